@@ -94,3 +94,19 @@ LONG, STRING, DOUBLE = T.LongType(), T.StringType(), T.DoubleType()
 
 def schema(*fields: tuple) -> T.StructType:
     return T.StructType([T.StructField(n, t) for n, t in fields])
+
+
+def documents(docs: DataFrame, *more: str) -> DataFrame:
+    """doc_id (null reads as -1), text (null reads as empty) and the columns named; no other column is read."""
+    return docs.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"),
+        F.coalesce(F.col("text"), F.lit("")).alias("text"),
+        *more,
+    )
+
+
+def hash_sample(df: DataFrame, key: str, by: str, each: int, seed: int = 7) -> DataFrame:
+    """About ``each`` rows for each value of ``by`` (all where it has fewer), chosen by a hash of ``key``."""
+    share = df.groupBy(by).agg((F.lit(float(each)) / F.count(F.lit(1))).alias("_share"))
+    unit = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1 << 30)) / float(1 << 30)
+    return df.join(share, by).where(unit < F.col("_share")).drop("_share")

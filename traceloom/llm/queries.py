@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from . import language, packing, quality, simhash, spans
+from .common import fold
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -11,12 +16,46 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens packed into as few sequences as the pattern fit finds."""
-    import public_tokenizers
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of 3-word shingles, linked at 3 or fewer differing bits."""
+    found = simhash.near_duplicates(_table(spark, sf_dir, "documents"), shingle=3, radius=3)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents, learned from the labels outside fold 0 of 5."""
+    docs = _table(spark, sf_dir, "documents")
+    labels = _table(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0)
+    scored = quality.score(docs, quality.train(docs, labels))
+    return scored.select(
+        "doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted")
+    )
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language of all documents, learned outside fold 2 of 4."""
+    docs = _table(spark, sf_dir, "documents")
+    labelled = docs.where(fold("doc_id", 4) != 2).select("doc_id", "text", "lang")
+    model = language.train(labelled, public_tokenizers.path("piece_bpe_32k.model"))
+    return language.identify(docs, model).select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
-    from .packing import pack
 
-    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of each document when later copies of runs of three sentences go."""
+    cut = spans.without_repeated_spans(_table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id",
+        F.col("_sentences").alias("n_sentences"),
+        F.col("_removed").alias("n_removed"),
+        F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("n_bytes_kept"),
+        F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"),
+    )
 
 
-QUERIES = {"op1_best_fit_packing": op1_best_fit_packing}
+QUERIES = {
+    f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op6_quality_classifier, op9_language_id, op10_substring_dedup)
+}
 ORACLES: dict[str, str] = {}
