@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, packing, quality, simhash, spans
+from . import language, mixing, packing, quality, rules, simhash, spans
 from .common import fold
 
 
@@ -25,6 +25,16 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+#: Target shares of the languages; sources share their language's part by size.
+MIX_WEIGHTS = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As many tokens as there are, drawn to the target shares of languages in at most four epochs."""
+    picked = mixing.mix(_table(spark, sf_dir, "documents"), MIX_WEIGHTS)
+    return picked.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from the labels outside fold 0 of 5."""
     docs = _table(spark, sf_dir, "documents")
@@ -35,6 +45,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics of all documents and the verdict of the rules learned from the labels."""
+    found = rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of all documents, learned outside fold 2 of 4."""
     docs = _table(spark, sf_dir, "documents")
@@ -56,6 +72,8 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_best_fit_packing, op2_simhash_near_dedup, op6_quality_classifier, op9_language_id, op10_substring_dedup)
+    f.__name__: f for f in (
+        op1_best_fit_packing, op2_simhash_near_dedup, op4_source_mixing, op6_quality_classifier, op8_quality_rules, op9_language_id, op10_substring_dedup,
+    )
 }
 ORACLES: dict[str, str] = {}

@@ -19,11 +19,19 @@ from pyspark.sql import types as T
 from .common import LONG, STRING, documents, schema, written
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)\s*")
+CLAUSE = re.compile(r"[^,;:]*(?:[,;:]+|$)\s*")
+LONG_WORDS = 24  # a sentence of more words is cut at its commas, semicolons and colons
 
 
 def sentences(text: str) -> list[str]:
     """Parts of the text, each up to its end mark or line break and the blanks after it; joined, they are the text."""
-    return [s for s in SENTENCE.findall(text) if s]
+    out = []
+    for part in SENTENCE.findall(text):
+        if len(part) > 2 * LONG_WORDS and len(part.split()) > LONG_WORDS:
+            out += [c for c in CLAUSE.findall(part) if c]
+        elif part:
+            out.append(part)
+    return out
 
 
 def span_hashes(parts: list[str], run: int, min_words: int) -> list[tuple[int, int, int]]:
@@ -72,7 +80,7 @@ def repeated_spans(docs: DataFrame, run: int, min_words: int) -> DataFrame:
     return spans.join(first, ["h1", "h2"]).where("doc_id > first").select("h1", "h2", "doc_id")
 
 
-def without_repeated_spans(docs: DataFrame, run: int = 3, min_words: int = 9) -> DataFrame:
+def without_repeated_spans(docs: DataFrame, run: int = 3, min_words: int = 16) -> DataFrame:
     """``docs`` with its texts cut, plus ``_sentences`` and ``_removed`` (how many there were and went).
 
     Blanks within a span do not count. Spans of fewer than ``min_words`` words are not hashed. A null
