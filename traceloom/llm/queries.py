@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, mixing, packing, quality, rules, simhash, spans
+from . import language, logbilinear, mixing, packing, quality, rules, simhash, spans
 from .common import fold
 
 
@@ -35,6 +35,13 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picked.select("doc_id", F.col("_domain").alias("domain"), "lang", "source", F.col("_tokens").alias("n_tokens"), F.col("_epoch").alias("epoch"))
 
 
+def op5_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """log10 probabilities of all documents under the model of those outside fold 0 of 10."""
+    docs = _table(spark, sf_dir, "documents")
+    scored = logbilinear.score(docs, *logbilinear.learn(docs.where(fold("doc_id", 10) != 0)))
+    return scored.select("doc_id", (fold("doc_id", 10) == 0).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of all documents, learned from the labels outside fold 0 of 5."""
     docs = _table(spark, sf_dir, "documents")
@@ -73,7 +80,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_best_fit_packing, op2_simhash_near_dedup, op4_source_mixing, op6_quality_classifier, op8_quality_rules, op9_language_id, op10_substring_dedup,
+        op1_best_fit_packing, op2_simhash_near_dedup, op4_source_mixing, op5_lm_scoring, op6_quality_classifier, op8_quality_rules, op9_language_id, op10_substring_dedup,
     )
 }
 ORACLES: dict[str, str] = {}
