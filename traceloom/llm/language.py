@@ -146,10 +146,17 @@ def fit(words: dict[str, Counter], lattice: Lattice, rounds: int = 4) -> tuple[l
 def train(labelled: DataFrame, vocabulary_path: str, sample: int = 1500) -> tuple[list[str], list[str], np.ndarray]:
     """pieces, languages, probabilities from about ``sample`` hash-chosen documents of each ``lang``."""
     chosen = hash_sample(labelled.where("lang is not null").select("doc_id", "lang"), "doc_id", "lang", sample)
-    rows = labelled.where("lang is not null").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+    rows = labelled.where("lang is not null and text is not null").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            found = Counter((lang, w) for lang, text in zip(batch["lang"], batch["text"]) for w in map(normal, text.lower().split()) if w)
+            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "word", "n"])
+
+    counted = rows.select("lang", "text").mapInPandas(count, schema(("lang", STRING), ("word", STRING), ("n", LONG)))
     words: dict[str, Counter] = defaultdict(Counter)
-    for row in rows.select("lang", F.substring("text", 1, 20_000).alias("text")).toLocalIterator():  # a bounded sample
-        words[row.lang].update(w for w in map(normal, row.text.lower().split()) if w)
+    for r in counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word").collect():  # words of the bounded sample
+        words[r.lang][r.word] = r.n
     pieces = vocabulary(vocabulary_path)
     names, prob = fit({k: v for k, v in words.items() if v}, Lattice(pieces))
     return pieces, names, prob

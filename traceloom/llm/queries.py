@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language, logbilinear, mixing, packing, quality, rules, simhash, spans
+from . import embeddings, language, logbilinear, mixing, packing, quality, rules, simhash, spans
 from .common import fold
 
 
@@ -52,6 +52,11 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of cosine 0.95 or more among all vectors, and their components."""
+    return embeddings.near_duplicates(_table(spark, sf_dir, "embeddings"), least=0.95)
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics of all documents and the verdict of the rules learned from the labels."""
     found = rules.judged(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -80,7 +85,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_best_fit_packing, op2_simhash_near_dedup, op4_source_mixing, op5_lm_scoring, op6_quality_classifier, op8_quality_rules, op9_language_id, op10_substring_dedup,
+        op1_best_fit_packing, op2_simhash_near_dedup, op4_source_mixing, op5_lm_scoring, op6_quality_classifier, op7_embedding_near_dedup, op8_quality_rules, op9_language_id, op10_substring_dedup,
     )
 }
 ORACLES: dict[str, str] = {}
