@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, logbilinear, mixing, packing, quality, rules, simhash, spans
+from . import embeddings, language, logbilinear, mixing, packing, quality, rules, simhash, spans, suffixes
 from .common import fold
 
 
@@ -25,6 +25,12 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without the bytes of 50-byte strings that start in an earlier one."""
+    found = suffixes.deduplicated(_table(spark, sf_dir, "documents"), length=50)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 #: Target shares of the languages; sources share their language's part by size.
 MIX_WEIGHTS = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}
 
@@ -85,7 +91,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f for f in (
-        op1_best_fit_packing, op2_simhash_near_dedup, op4_source_mixing, op5_lm_scoring, op6_quality_classifier, op7_embedding_near_dedup, op8_quality_rules, op9_language_id, op10_substring_dedup,
+        op1_best_fit_packing, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_source_mixing, op5_lm_scoring, op6_quality_classifier, op7_embedding_near_dedup, op8_quality_rules, op9_language_id, op10_substring_dedup,
     )
 }
 ORACLES: dict[str, str] = {}
