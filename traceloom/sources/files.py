@@ -20,16 +20,13 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, n: in
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One JSON document for a file, or JSON Lines where the file is not one document."""
-    kept = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    whole = spark.read.schema(kept).option("multiLine", True).option("columnNameOfCorruptRecord", "_bad").json(path)
-    lines = spark.read.schema(schema).json(path)
-    # Lines after the first document of a file are lost to the whole-file reader: count to tell
+    """One JSON document for a file, or JSON Lines: the whole-file reader is used where a line is no JSON of its own."""
     names = [f.name for f in schema.fields]
-    n_lines = spark.read.text(path).where(F.col("value").rlike(r"^\s*[\[{].*[\]}],?\s*$")).count()
-    good = whole.where("_bad is null").select(*names)
-    n_good = whole.agg(F.count(F.when(F.col("_bad").isNull(), F.struct(*names)))).first()[0]
-    return good if n_good >= n_lines else lines
+    kept = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    lines = spark.read.schema(kept).option("columnNameOfCorruptRecord", "_bad").json(path)
+    if lines.where("_bad is not null").select(*names, "_bad").take(1):
+        return spark.read.schema(schema).option("multiLine", True).json(path)
+    return lines.select(*names)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
