@@ -1,0 +1,447 @@
+"""Operators against brute force, on the smallest tables with awkward rows added."""
+
+import hashlib
+import math
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import public_tokenizers
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from traceloom.llm import common, embeddings, language, logbilinear, mixing, packing, quality, rules, simhash, spans, suffixes
+
+DATA = "/root/testdata/sf0.001"
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {i: i + 32 for i in range(65, 91)}
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
+
+#: Extra columns whose names operators use themselves.
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, piece int, start string, length string, fp string, component_id string, words string, salt int, score string, _bucket int"
+PASSAGE = "One shared passage of many words stands here. It has a second sentence of some length too. And a third one that ends the whole thing."
+
+
+@pytest.fixture(scope="module")
+def rows(spark):
+    base = [(r.doc_id, r.text, r.lang, r.source, r.n_chars) for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()]
+    more = [
+        (9001, None, None, None, None), (9002, "", "en", "src0", 0), (9003, " \n\t ", "en", "src0", 4), (9004, "a", "en", "src1", 1),
+        (9005, "x" * 300_000, "en", "src1", 1), (9006, "the of and " * 9000, "en", "src2", 1), (9007, "Ünï ﬁn 中文字 <|endoftext|> ’s 12½ İ ǅ", None, "src2", 1),
+        (9008, PASSAGE, "en", "src3", 1), (9009, "Start here. " + PASSAGE + " End there.", "en", "src3", 1), (9010, PASSAGE, "en", "src3", 1),
+        (9010, PASSAGE, "en", "src3", 1), (9011, "one two three four five six seven eight\n" * 4, "de", "", 1),
+        (9012, "# * $ % & | < > !", "es", "src0", 1), (9013, "é" * 60 + "a" * 49, "fr", "src0", 1),
+    ]
+    return base + more
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return spark.createDataFrame([(*r, 1, "s", "l", "f", "c", "w", 2, "x", 3) for r in rows], SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def words(text):
+    return WORD.findall(text or "")
+
+
+def test_pack(docs, rows):
+    from tokenizers import Tokenizer
+
+    got = packing.pack(docs, TOKENIZER).toPandas()
+    tokenizer, want = Tokenizer.from_file(TOKENIZER), Counter()
+    for doc, text, *_ in rows:
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids + [0]
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want[doc, k, at, len(part), zlib.crc32(np.array(part, "<u4").tobytes())] += 1
+    assert Counter(zip(got.doc_id, got.piece, got.start, got.length, got.ids_crc32)) == want
+    for _, own in got.sort_values("offset").groupby("sequence_id"):
+        assert own.offset.tolist() == [0, *own.length.cumsum().tolist()[:-1]] and own.length.sum() <= 2048
+    least = -(-int(got.length.sum()) // 2048)
+    assert got.sequence_id.nunique() <= least + 2
+
+
+def test_pack_nothing(nothing):
+    assert packing.pack(nothing, TOKENIZER).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_pack_histogram_is_whole(seed):
+    rng = np.random.default_rng(seed)
+    hist = np.bincount(np.minimum(64, rng.geometric(0.04, 5000)), minlength=65)
+    hist[0] = 0
+    packed, left = packing.pack_histogram(hist, 64), hist.copy()
+    for lengths, times in packed:
+        assert sum(lengths) <= 64 and times > 0
+        for v in lengths:
+            left[v] -= times
+    assert not left.any()
+    assert sum(t for _, t in packed) <= 1.02 * (hist * np.arange(65)).sum() / 64 + 1
+
+
+def brute_fingerprint(text):
+    w = words((text or "").translate(LOWER))
+    if not w:
+        return 0
+    shingles = [" ".join(w[i : i + 3]) for i in range(len(w) - 2)] or [" ".join(w)]
+    h = [xxhash.xxh64_intdigest(s.encode(), seed=42) for s in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def united(nodes, links):
+    root = {n: n for n in nodes}
+
+    def find(n):
+        while root[n] != n:
+            n = root[n]
+        return n
+
+    for a, b in links:
+        a, b = find(a), find(b)
+        root[max(a, b)] = min(a, b)
+    return {n: find(n) for n in nodes}
+
+
+def test_simhash(docs, rows):
+    got = simhash.near_duplicates(docs).collect()
+    assert len(got) == len(rows)
+    prints = {d: brute_fingerprint(t) for d, t, *_ in rows}
+    assert all(r.fp % (1 << 64) == prints[r.doc_id] for r in got)
+    ids = sorted(prints)
+    links = [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
+    want = united(ids, links)
+    assert all(r.component_id == want[r.doc_id] for r in got)
+    kept = simhash.deduplicated(docs)
+    assert kept.columns == docs.columns
+    assert {r.doc_id for r in kept.select("doc_id").collect()} == set(want.values())
+
+
+def test_simhash_nothing(nothing):
+    assert simhash.near_duplicates(nothing).count() == 0
+
+
+def test_simhash_variants_meet():
+    rng = np.random.default_rng(1)
+    for distance in (1, 2, 3):
+        for _ in range(50):
+            x = rng.integers(0, 1 << 63, dtype=np.uint64)
+            y = x
+            for b in rng.choice(64, distance, replace=False):
+                y ^= np.uint64(1 << int(b))
+            assert np.intersect1d(simhash.variants(np.array([x])), simhash.variants(np.array([y]))).size
+
+
+@pytest.mark.parametrize("size", [5, 300])
+def test_simhash_buckets_keep_components(size):
+    rng = np.random.default_rng(size)
+    fp = np.unique(rng.integers(0, 1 << 11, size, dtype=np.uint64))
+    a, b = simhash.bucket_links(np.zeros(len(fp), np.int64), fp, 3)
+    assert len(a) < len(fp)
+    values = [int(v) for v in fp]
+    want = united(values, [(u, v) for u in values for v in values if u < v and (u ^ v).bit_count() <= 3])
+    assert united(values, list(zip(a.tolist(), b.tolist()))) == want
+
+
+def test_components(spark):
+    chain = [(i, i + 1) for i in range(60)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (300, 301), (301, 300)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame(chain, "a long, b long")).collect()}
+    want = united({n for e in chain for n in e}, chain)
+    assert got == {n: c for n, c in want.items() if n != c}
+    assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_suffixes(docs, rows):
+    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffixes.deduplicated(docs).collect())
+    first: dict[bytes, int] = {}
+    for d, t, *_ in rows:
+        x = (t or "").encode()
+        for i in range(len(x) - 49):
+            w = x[i : i + 50]
+            first[w] = min(d, first.get(w, d))
+    want = []
+    for d, t, *_ in rows:
+        x = (t or "").encode()
+        gone = np.zeros(len(x) + 1, bool)
+        for i in range(len(x) - 49):
+            if first[x[i : i + 50]] < d:
+                gone[i : i + 50] = True
+        kept = bytes(c for c, g in zip(x, gone) if not g)
+        want.append((d, len(x), int(gone.sum()), int((np.diff(np.r_[False, gone].astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest()))
+    assert got == sorted(want)
+
+
+def test_suffixes_nothing(nothing):
+    assert suffixes.deduplicated(nothing).count() == 0
+
+
+def test_interval_expansion_finds_equal_windows():
+    rng = np.random.default_rng(0)
+    base = bytes(rng.integers(97, 100, 400).astype(np.uint8))
+    contexts = [base[i : i + int(rng.integers(50, 85))] for i in rng.integers(0, 300, 60)]
+    docs_ = rng.integers(0, 50, 60)
+    got = suffixes.smallest_documents(contexts, docs_, 50)
+    least: dict[bytes, int] = {}
+    for c, d in zip(contexts, docs_):
+        for i in range(len(c) - 49):
+            least[c[i : i + 50]] = min(d, least.get(c[i : i + 50], d))
+    for c, g in zip(contexts, got):
+        assert g.tolist() == [least[c[i : i + 50]] for i in range(len(c) - 49)]
+
+
+def test_long_texts_are_cut_with_overlap(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(suffixes, "BUFFER", 1000)
+    rng = np.random.default_rng(2)
+    text = "".join(map(chr, rng.integers(97, 123, 5000)))
+    starts = []
+    for rows_, offsets, parts in suffixes._buffers(pd.DataFrame({"text": ["short", text, ""]}), 50):
+        base = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        part, first, last, _ = suffixes.anchored(parts, 50)
+        for p, a, b in zip(part, first, last):
+            assert rows_[p] == 1
+            starts += range(a - base[p] + offsets[p], b - base[p] + offsets[p] + 1)
+    assert sorted(starts) == list(range(5000 - 49))
+
+
+def test_mixing(docs, rows):
+    weights = {"lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.2}}
+    tokens = Counter()
+    for d, t, lang, source, _ in rows:
+        tokens[re.match("[A-Za-z]*", source or "")[0] or "(none)", lang or "(none)", source if source is not None else "(none)"] += len(words(t))
+    total = sum(tokens.values()) // 2
+    got = mixing.mix(docs, weights, total=total, epochs=3).toPandas()
+    assert list(got.columns) == [*docs.columns, "_domain", "_tokens", "_epoch"]
+    per = {}
+    for d in {k[0] for k in tokens}:
+        for lang in {k[1] for k in tokens if k[0] == d}:
+            per[d, lang] = weights["lang"].get(lang)
+    want = mixing.budgets(dict(tokens), total, {k: v for k, v in per.items() if v is not None}, 3)
+    texts = {}
+    for d, t, lang, source, _ in rows:
+        texts.setdefault((re.match("[A-Za-z]*", source or "")[0] or "(none)", lang or "(none)", source if source is not None else "(none)"), []).append((d, len(words(t))))
+    from pyspark.sql import SparkSession
+
+    spark = SparkSession.active()
+    for leaf, members in texts.items():
+        whole, rest = divmod(want[leaf], tokens[leaf]) if tokens[leaf] else (0, 0)
+        order = {r.d: r.h for r in spark.createDataFrame([(d,) for d, _ in members], "d long").select("d", F.xxhash64(F.lit(17), F.lit(whole).cast("long"), "d").alias("h")).collect()}
+        count, so_far = Counter(), 0
+        sizes = Counter()
+        for d, n in members:
+            sizes[d] += n
+        copies = Counter(d for d, _ in members)
+        for d in sorted(sizes, key=lambda d: (order[d], d)):
+            so_far += sizes[d]
+            count[d] = (whole + (rest > 0 and so_far <= rest)) * copies[d]
+        mine = got[(got._domain == leaf[0]) & (got.lang.fillna("(none)") == leaf[1]) & (got.source.fillna("(none)") == leaf[2])]
+        assert Counter(mine.doc_id.tolist()) == Counter({k: v for k, v in count.items() if v})
+
+
+def test_mixing_nothing(nothing):
+    assert mixing.mix(nothing, {}).count() == 0
+
+
+def test_budgets_redistribute_among_siblings_first():
+    leaves = {("d", "en", "a"): 10, ("d", "en", "b"): 1000, ("d", "de", "c"): 1000}
+    got = mixing.budgets(leaves, 400, {("d", "en"): 0.5, ("d", "de"): 0.5, ("d", "en", "a"): 0.5, ("d", "en", "b"): 0.5}, 1)
+    assert got == {("d", "en", "a"): 10, ("d", "en", "b"): 190, ("d", "de", "c"): 200}
+    short = mixing.budgets({("d", "en", "a"): 10, ("d", "de", "c"): 1000}, 400, {("d", "en"): 0.5, ("d", "de"): 0.5}, 1)
+    assert short == {("d", "en", "a"): 10, ("d", "de", "c"): 390}
+    assert sum(mixing.share_out(100, [1, 1, 1], [100, 100, 100])) == 100
+
+
+def test_logbilinear(docs, rows):
+    train = docs.where("doc_id % 5 != 0")
+    model, counts, n = logbilinear.learn(train)
+    got = logbilinear.score(docs, model, counts, n).collect()
+    assert len(got) == len(rows)
+    tokens = {d: [*words((t or "").translate(LOWER)), None] for d, t, *_ in rows}
+    c = Counter()
+    for d, t, *_ in rows:
+        if d % 5:
+            c.update(tokens[d])
+    total, kinds = sum(c.values()), len(c)
+    for r in got:
+        own = tokens[r.doc_id]
+        want = sum(math.log10((c[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in own)
+        assert math.isclose(r.base_score, want, rel_tol=1e-9) and r.n_tokens == len(own) and r.n_known == sum(c[w] > 0 for w in own)
+        assert r.train_tokens == total and r.score < 0
+    held = [r for r in got if r.doc_id % 5 == 0 and r.doc_id < 9000]
+    assert sum(r.score for r in held) > sum(r.base_score for r in held)
+    table = logbilinear.log_probabilities(model.weights)
+    assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
+def test_logbilinear_nothing(nothing, docs):
+    model, counts, n = logbilinear.learn(nothing)
+    assert n == 0 and logbilinear.score(nothing, model, counts, n).count() == 0
+    assert all(r.n_known == 0 for r in logbilinear.score(docs.limit(5), model, counts, n).collect())
+
+
+def test_quality(docs, nothing, spark):
+    labels = spark.read.parquet(f"{DATA}/labels.parquet").select("doc_id", "quality").unionByName(spark.createDataFrame([(9001, None), (None, 1), (77777, 1)], "doc_id long, quality int"))
+    scored = {r.doc_id: r.score for r in quality.score(docs, quality.train(docs, labels)).collect()}
+    known = [(r.quality, scored[r.doc_id]) for r in labels.collect() if r.quality is not None and r.doc_id in scored]
+    assert all(0 <= s <= 1 for s in scored.values())
+    assert sum((s >= 0.3) == (q == 1) for q, s in known) >= 0.97 * len(known)
+    empty = quality.train(nothing, labels.limit(0))
+    assert quality.score(nothing, empty).count() == 0 and quality.score(docs, empty).count() == docs.count()
+
+
+def unit(rng, n, dim=16):
+    x = rng.normal(size=(n, dim))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def test_embeddings(spark):
+    rng = np.random.default_rng(5)
+    x = unit(rng, 300)
+    hub = unit(rng, 1)
+    near = np.vstack([hub + 0.02 * rng.normal(size=16) for _ in range(120)])
+    rows = [(i, v.tolist()) for i, v in enumerate(np.vstack([x, near, near[:3], 3 * near[:2]]))]
+    extra = [(9000, None), (9001, [0.0] * 16), (9002, [float("nan")] * 16), (9003, [None] * 16), (9004, [float("inf")] * 16), (9005, []), (9006, [1.0, 0.0])]
+    df = spark.createDataFrame([(*r, "n", "k") for r in rows + extra], "vec_id long, embedding array<double>, node string, kept string")
+    got = {r.vec_id: r for r in embeddings.near_duplicates(df, shards=3).collect()}
+    v = np.array([r[1] for r in rows])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    link = v @ v.T >= 0.95
+    np.fill_diagonal(link, False)
+    want = united(range(len(v)), zip(*np.nonzero(np.triu(link))))
+    assert len(got) == len(rows) + len(extra)
+    found, true = sum(got[i].n_links for i in range(len(v))), int(link.sum())
+    assert 0.98 * true <= found <= true
+    assert all(got[i].component_id == want[i] and got[i].kept == (want[i] == i) for i in range(len(v)))
+    assert all(got[i].n_links == 0 and got[i].component_id == i for i, _ in extra)
+
+
+def test_embeddings_nothing(spark):
+    assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_rules(docs, rows, spark, nothing):
+    got = {}
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    for r in rules.judged(docs, labels).collect():
+        got[r.doc_id] = r
+    for d, t, *_ in rows:
+        w, text, n = words(t), t or "", len(words(t))
+        seen, again = set(), 0
+        for line in text.split("\n"):
+            if WORD.search(line):
+                again += line in seen
+                seen.add(line)
+        c, covered = Counter(tuple(w[i : i + 8]) for i in range(n - 7)), set()
+        for i in range(n - 7):
+            if c[tuple(w[i : i + 8])] > 1:
+                covered.update(range(i, i + 8))
+        r = got[d]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), again, len(covered))
+        assert r.base_failed == (n < 20 or 100 * len(covered) > 30 * n) and not (r.base_failed and r.kept)
+    good = [got[r.doc_id].kept for r in labels.where("quality = 1").collect() if not got[r.doc_id].base_failed]
+    assert sum(good) >= 0.95 * len(good)
+    assert rules.judged(nothing, labels).count() == 0
+    assert rules.learn(rules.statistics(docs), labels.limit(0)) == []
+
+
+def test_rules_run_without_python(docs, spark):
+    plan = rules.statistics(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def test_language(docs, rows, nothing):
+    model = language.train(docs.where("doc_id % 4 != 2"), PIECES, sample=100)
+    got = {r.doc_id: r for r in language.identify(docs, model).collect()}
+    held = [(lang, got[d].lang_pred) for d, t, lang, *_ in rows if d % 4 == 2 and d < 9000]
+    assert sum(a == b for a, b in held) >= 0.95 * len(held)
+    for d in (9001, 9002, 9003, 9012):
+        assert (got[d].lang_pred, got[d].score) == ("und", 0.0)
+    assert all(0 <= r.score <= 1 for r in got.values())
+    untrained = language.train(nothing, PIECES)
+    assert {r.lang_pred for r in language.identify(docs, untrained).collect()} == {"und"}
+    assert language.identify(nothing, model).count() == 0
+
+
+def test_forward_sums_all_segmentations():
+    pieces = ["▁", "▁a", "a", "b", "ab", "▁ab", "bc", "c"]
+    lattice = language.Lattice(pieces)
+    prob = np.append(np.random.default_rng(0).random(len(pieces)), language.FLOOR)[:, None]
+
+    def total(text):
+        if not text:
+            return 1.0
+        out = 0.0
+        for k in range(1, len(text) + 1):
+            if text[:k] in pieces:
+                out += prob[pieces.index(text[:k]), 0] * total(text[k:])
+            elif k == 1:
+                out += language.FLOOR * total(text[1:])
+        return out
+
+    for word in ("a", "ab", "abc", "xab", "abab"):
+        assert math.isclose(language.word_scores([word], lattice, prob)[0, 0], math.log(total("▁" + word)), rel_tol=1e-9)
+
+
+def brute_spans(rows, run, least):
+    first: dict[bytes, tuple] = {}
+    parsed = {}
+    for d, t, *_ in rows:
+        parts = spans.sentences(t or "")
+        assert "".join(parts) == (t or "")
+        w = [p.split() for p in parts]
+        ranges = [(i, i + run) for i in range(len(parts) - run + 1)] if len(parts) >= run else ([(0, len(parts))] if parts else [])
+        own = [(i, j, " ".join(x for s in w[i:j] for x in s)) for i, j in ranges if sum(map(len, w[i:j])) >= least]
+        parsed[d] = (parts, own)
+        for i, _, s in own:
+            first[s] = min(first.get(s, (d, i)), (d, i))
+    out = {}
+    for d, (parts, own) in parsed.items():
+        gone = [False] * len(parts)
+        for i, j, s in own:
+            if first[s] != (d, i):
+                for k in range(i, j):
+                    gone[k] = True
+        out[d] = "".join(p for p, g in zip(parts, gone) if not g)
+    return out
+
+
+def test_spans(docs, rows):
+    got = spans.without_repeated_spans(docs).collect()
+    want = brute_spans(rows, 3, 16)
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.text or "") == want[r.doc_id]
+    kept = {r.doc_id: r.text for r in got}
+    assert kept[9008] == PASSAGE and kept[9009] == "Start here. End there." and kept[9010] == ""
+    assert kept[9001] is None
+
+
+def test_spans_nothing(nothing):
+    assert spans.without_repeated_spans(nothing).count() == 0
+
+
+def test_tables_go_to_the_named_folder(spark):
+    df = common.written(spark.range(5), "t")
+    assert df.inputFiles()[0].replace("///", "/").startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir").replace("///", "/"))
+    common.discard(df)
+    with pytest.raises(Exception):
+        df.collect()
+
+
+def test_ids_may_be_null(spark):
+    df = spark.createDataFrame([(None, PASSAGE), (None, None), (3, PASSAGE)], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()) == [(-1, -1), (-1, -1), (3, -1)]
+    assert packing.pack(df, TOKENIZER).count() == 3
+    assert suffixes.deduplicated(df).agg(F.sum("n_removed")).first()[0] == len(PASSAGE)
+    full = df.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
+    assert mixing.mix(full, {}).count() == 3
+    assert isinstance(full.schema, T.StructType)

@@ -66,6 +66,8 @@ class Graph:
         # links back: what a node has and is offered, spread again where it is too much
         to, back = kept.ravel(), np.repeat(new, kept.shape[1])
         ok = to >= 0
+        if not ok.any():
+            return
         order = np.argsort(to[ok], kind="stable")
         to, back = to[ok][order], back[ok][order]
         start = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
@@ -259,7 +261,7 @@ def _compared(nodes: DataFrame, least: float, shards: int, beam: int, recall: fl
     """Rows (node, null, how many vectors link with it in one shard) and (a, b, null) of a spanning forest."""
     dealt = nodes.select("node", "size", "v", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(shards)).alias("shard"))
 
-    def build(key, batch: pd.DataFrame) -> pd.DataFrame:
+    def build(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
         batch = batch.iloc[np.lexsort([batch["node"]])]
         batch = batch.iloc[np.random.default_rng(1).permutation(len(batch))]
         x = _unit(batch["v"])

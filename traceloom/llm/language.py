@@ -151,7 +151,8 @@ def train(labelled: DataFrame, vocabulary_path: str, sample: int = 1500) -> tupl
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             found = Counter((lang, w) for lang, text in zip(batch["lang"], batch["text"]) for w in map(normal, text.lower().split()) if w)
-            yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "word", "n"])
+            if found:
+                yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "word", "n"])
 
     counted = rows.select("lang", "text").mapInPandas(count, schema(("lang", STRING), ("word", STRING), ("n", LONG)))
     words: dict[str, Counter] = defaultdict(Counter)
