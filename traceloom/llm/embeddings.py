@@ -276,12 +276,14 @@ def _compared(nodes: DataFrame, least: float, shards: int, beam: int, recall: fl
                 yield pd.DataFrame([(s, 1, int(own["node"].iloc[0]), blob) for s in range(shards)], columns=SENT.names)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        graph = width = None
+        here = width = None
         for batch in batches:
-            for kind, blob in zip(batch["kind"].tolist(), batch["blob"]):
+            for shard, kind, blob in zip(batch["shard"].tolist(), batch["kind"].tolist(), batch["blob"]):
                 if kind == 0:
                     graph, exact, node, size = pickle.loads(blob)
-                    width = None
+                    here, width = shard, None
+                    continue
+                if shard != here:  # a shard without vectors
                     continue
                 ids, q = pickle.loads(blob)
                 if width is None:
