@@ -67,13 +67,13 @@ def r5(spark, sf_dir):
 
 @query(
     "r6_citing_steps",
-    "select distinct l_orderkey as episode, l_linenumber::bigint as step from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus = 'F' and l_partkey >= 1000 and l_suppkey % 2 = 0",
+    "select distinct l_orderkey as episode, l_linenumber::bigint as step from lineitem join orders on o_orderkey = l_orderkey where o_orderstatus = 'F' and l_partkey >= 100 and l_suppkey % 2 = 0",
 )
 def r6(spark, sf_dir):
     name = F.when(F.col("l_suppkey") % 2 == 0, "a.b").otherwise("ab")
     tokens = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("episode"), F.col("l_linenumber").cast("long").alias("step"), F.col("l_partkey").alias("id"), name.alias("name"))
     theorems = table(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("episode"))
-    return op.citing_steps(tokens, 1000, theorems)
+    return op.citing_steps(tokens, 100, theorems)
 
 
 @query(

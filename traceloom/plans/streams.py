@@ -31,7 +31,7 @@ def x1(spark, sf_dir):
     return good.unionByName(bad, allowMissingColumns=True).select("event_id", "reply", "error")
 
 
-@query("x2_windowed_counts", "select time_bucket(interval 1 day, ts)::varchar[1:10] as start, event_type, count(*)::bigint as n from events group by all")
+@query("x2_windowed_counts", "select strftime(ts, '%Y-%m-%d') as start, event_type, count(*)::bigint as n from events group by all")
 def x2(spark, sf_dir):
     path, rows = scratch(spark, "x2"), table(spark, sf_dir, "events").select(F.col("ts").cast("timestamp").alias("ts"), "event_type")
     rows.write.parquet(f"{path}/in")
