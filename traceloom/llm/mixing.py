@@ -71,12 +71,13 @@ def domain_of_source() -> Column:
     return F.regexp_extract(F.col("source"), r"^([A-Za-z]*)", 1)
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, float]], total: int | None = None, epochs: int = 4, seed: int = 17, buckets: int = 1024) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, dict[str, float]], total: int | None = None, epochs: int = 4, seed: int = 17, buckets: int = 1024, most_leaves: int = 100_000) -> DataFrame:
     """The rows picked, once for each epoch they are in: all columns of ``docs`` and _domain, _tokens, _epoch.
 
     ``weights``: of languages and of sources, by name; a level without any is weighted by its tokens.
     ``total``: tokens wanted, all there are if None. Tokens are words. A null language or source is a leaf
     of its own, "(none)", and a null text has no tokens; a text without tokens goes with the prefix it falls in.
+    The tree reaches the driver and, with its budgets, every task: more than ``most_leaves`` leaves are an error.
     """
     spark = docs.sparkSession
     names = docs.columns
@@ -89,7 +90,9 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], total: int | None
         F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("_id"),
     )
     leaf = ["_domain", "_lang", "_source"]
-    sums = keyed.groupBy(leaf).agg(F.sum("_tokens").alias("t")).collect()  # a row for each leaf of the tree
+    sums = keyed.groupBy(leaf).agg(F.sum("_tokens").alias("t")).limit(most_leaves + 1).collect()  # a row for each leaf of the tree
+    if len(sums) > most_leaves:
+        raise ValueError(f"more than {most_leaves} leaves: group sources first")
     held = {(r._domain, r._lang, r._source): int(r.t) for r in sums}
     if not held:
         return keyed.withColumn("_epoch", F.lit(0)).select(*names, "_domain", "_tokens", "_epoch")
