@@ -391,9 +391,9 @@ def byte_to_line_range(ranges: DataFrame, lines: DataFrame) -> DataFrame:
     return met.groupBy("file", "a", "b").agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"))
 
 
-def text_before(text: Column, mark: Column, suffix: str) -> Column:
+def text_before(text: Column, mark: str, suffix: str) -> Column:
     """The text before ``mark``, the statement from it to the first ``". "``, and a fixed last line."""
-    at = F.locate(mark, text) if isinstance(mark, str) else F.expr("locate(mark, text)")
+    at = F.locate(mark, text)
     rest = F.substr(text, at)
     return F.concat(F.substr(text, F.lit(1), at - 1), F.substring_index(rest, ". ", 1), F.lit(".\n" + suffix))
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -60,7 +58,3 @@ def as_document(df: DataFrame, key: str, value: str, most: int = 1_000_000) -> D
 
 def write_document(df: DataFrame, key: str, value: str, path: str) -> None:
     as_document(df, key, value).coalesce(1).write.mode("overwrite").text(path)
-
-
-def valid_name(name: str) -> bool:
-    return bool(re.fullmatch(r"[A-Za-z_]\w*", name))
