@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, documents, schema, written
+from .common import LONG, discard, documents, release, schema, written
 
 GRAM = 16
 PLACE = 20  # bits for a place within a buffer
@@ -166,9 +166,9 @@ def smallest_documents(contexts: list[bytes], docs: np.ndarray, length: int) ->
 
 
 CONTEXTS = schema(
-    ("anchor", LONG), ("k1", LONG), ("k2", LONG), ("context", BINARY), ("doc_id", LONG), ("text_hash", LONG), ("start", LONG)
+    ("anchor", LONG), ("key", LONG), ("context", BINARY), ("doc_id", LONG), ("text_hash", LONG), ("start", LONG), ("windows", LONG)
 )
-ANSWERS = schema(("k1", LONG), ("k2", LONG), ("first", LONG), ("last", LONG), ("least", LONG))
+ANSWERS = schema(("anchor", LONG), ("key", LONG), ("first", LONG), ("last", LONG), ("least", LONG))
 
 
 def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 27) -> DataFrame:
@@ -188,7 +188,9 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 27)
 
     found = texts.select("doc_id", "text").mapInPandas(find, schema(("anchor", LONG), ("doc_id", LONG)))
     shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(shared.select("anchor"), "anchor", anchor_bits))
+    spark = docs.sparkSession
+    sent = spark.sparkContext.broadcast(bitmap(shared.select("anchor"), "anchor", anchor_bits))
+    release(spark)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words = sent.value
@@ -198,25 +200,39 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 27)
                 part, first, last, anchor = anchored(parts, length)
                 anchor = anchor.view(np.int64)
                 keep = np.flatnonzero(in_bitmap(words, anchor))
+                if not len(keep):
+                    continue
                 raw = b"".join(parts)
                 base = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
                 texts_ = [raw[a : b + length] for a, b in zip(first[keep].tolist(), last[keep].tolist())]
-                keys = [xxhash.xxh3_128_intdigest(t) for t in texts_]
                 row, of = np.array(rows, np.int64)[part[keep]], part[keep]
                 yield pd.DataFrame(
                     {
                         "anchor": anchor[keep],
-                        "k1": np.array([k & (1 << 64) - 1 for k in keys], np.uint64).view(np.int64),
-                        "k2": np.array([k >> 64 for k in keys], np.uint64).view(np.int64),
+                        "key": np.array([xxhash.xxh3_64_intdigest(t) for t in texts_], np.uint64).view(np.int64),
                         "context": pd.Series(texts_, dtype=object),
                         "doc_id": ids[row],
                         "text_hash": hashes[row],
                         "start": first[keep] - base[of] + np.array(offsets, np.int64)[of],
+                        "windows": last[keep] - first[keep] + 1,
                     }
                 )
 
     contexts = written(texts.select("doc_id", "text_hash", "text").mapInPandas(cut, CONTEXTS), "contexts")
-    distinct = contexts.groupBy("anchor", "k1", "k2", "context").agg(F.min("doc_id").alias("least"))
+    # anchors with one context everywhere need no look at bytes: all its windows share their documents
+    kinds = contexts.groupBy("anchor").agg(
+        F.min("key").alias("key"), F.max("key").alias("other"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
+    )
+    kinds = written(kinds.where("least < most").select("anchor", "key", "other", "least"), "anchors")
+    release(spark)
+    mixed_bits = spark.sparkContext.broadcast(bitmap(kinds.where("key != other").select("anchor"), "anchor", anchor_bits))
+
+    @F.pandas_udf("boolean")
+    def maybe_mixed(anchors: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(mixed_bits.value, anchors.to_numpy()))
+
+    mixed = contexts.select("anchor", "context", "doc_id").where(maybe_mixed("anchor"))
+    distinct = mixed.groupBy("anchor", "context").agg(F.min("doc_id").alias("least"))
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
@@ -237,32 +253,39 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 27)
 
     def answers(own: pd.DataFrame) -> pd.DataFrame:
         anchor, least = own["anchor"].to_numpy(), own["least"].to_numpy()
+        key = np.array([xxhash.xxh3_64_intdigest(t) for t in own["context"]], np.uint64).view(np.int64)
         several = np.zeros(len(own), dtype=bool)
         same = anchor[1:] == anchor[:-1]
         several[1:] |= same
         several[:-1] |= same
-        texts_ = own["context"].tolist()
-        k1, k2 = own["k1"].to_numpy(), own["k2"].to_numpy()
-        alone = np.flatnonzero(~several)
-        rows = [(alone, np.zeros(len(alone), np.int64), np.array([len(texts_[i]) - length for i in alone], np.int64), least[alone])]
-        many = np.flatnonzero(several)
-        if len(many):
-            each = smallest_documents([texts_[i] for i in many], least[many], length)
-            flat = np.concatenate(each)
-            size = np.array([len(e) for e in each])
-            base = np.concatenate([[0], np.cumsum(size)[:-1]])
-            owner = np.repeat(np.arange(len(many)), size)
-            first = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])])
-            last = np.r_[first[1:], len(flat)] - 1
-            rows.append((many[owner[first]], first - base[owner[first]], last - base[owner[first]], flat[first]))
-        i, first, last, least_ = (np.concatenate(c) for c in zip(*rows))
-        return pd.DataFrame({"k1": k1[i], "k2": k2[i], "first": first, "last": last, "least": least_})
-
-    dealt = distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "k1", "k2", "context", "least")
-    known = dealt.mapInPandas(shard, ANSWERS)
-    hits = contexts.select("k1", "k2", "doc_id", "text_hash", "start").join(known, ["k1", "k2"]).where("least < doc_id")
-    span = F.struct((F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + length).alias("b"))
-    return hits.select("doc_id", "text_hash", span.alias("span")).groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("spans"))
+        many = np.flatnonzero(several)  # the others are here by a bit of the bitmap alone
+        if not len(many):
+            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ANSWERS.names})
+        each = smallest_documents(own["context"].iloc[many].tolist(), least[many], length)
+        flat = np.concatenate(each)
+        size = np.array([len(e) for e in each])
+        base = np.concatenate([[0], np.cumsum(size)[:-1]])
+        owner = np.repeat(np.arange(len(many)), size)
+        first = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])])
+        last = np.r_[first[1:], len(flat)] - 1
+        at = many[owner[first]]
+        return pd.DataFrame(
+            {"anchor": anchor[at], "key": key[at], "first": first - base[owner[first]], "last": last - base[owner[first]], "least": flat[first]}
+        )
+
+    dealt = distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "context", "least")
+    found_mixed = written(dealt.mapInPandas(shard, ANSWERS), "answers")
+    release(spark)
+    uniform = kinds.where("key = other").select("anchor", "key", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"), "least")
+    hits = contexts.select("anchor", "key", "doc_id", "text_hash", "start", "windows").join(found_mixed.unionByName(uniform), ["anchor", "key"]).where("least < doc_id")
+    to = F.col("start") + F.when(F.col("last") < 0, F.col("windows") - 1).otherwise(F.col("last")) + length
+    span = F.struct((F.col("start") + F.col("first")).alias("a"), to.alias("b"))
+    spans = hits.select("doc_id", "text_hash", span.alias("span")).groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("spans"))
+    spans = written(spans, "removed")
+    for done in (contexts, kinds, found_mixed):
+        discard(done)
+    release(spark)
+    return spans
 
 
 CUT = T.StructType(
@@ -276,7 +299,7 @@ def deduplicated(docs: DataFrame, length: int = 50, document_bits: int = 1 << 23
     Texts are judged as UTF-8 bytes on the input; null text is empty; matches never cross documents.
     Rows with equal doc_id do not remove from each other. A null doc_id reads as -1.
     """
-    spans = written(removed_spans(docs, length), "removed")
+    spans = removed_spans(docs, length)
     sent = docs.sparkSession.sparkContext.broadcast(bitmap(spans, "text_hash", document_bits))
     texts = documents(docs).withColumn("text_hash", F.xxhash64("text"))
 
