@@ -171,7 +171,7 @@ CONTEXTS = schema(
 ANSWERS = schema(("anchor", LONG), ("key", LONG), ("first", LONG), ("last", LONG), ("least", LONG))
 
 
-def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 27) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25) -> DataFrame:
     """doc_id, text_hash, spans: arrays of (from, to) bytes to remove, unmerged, of documents that have any."""
     import xxhash
 
