@@ -429,6 +429,49 @@ def test_spans_nothing(nothing):
     assert spans.without_repeated_spans(nothing).count() == 0
 
 
+def shared_runs(a, b):
+    return {h for *_, h in spans.hashed(a, None, 16)[1]} & {h for *_, h in spans.hashed(b, None, 16)[1]}
+
+
+@pytest.mark.parametrize("marks", [[""], ["", "", "", "", "", "", "", "", "", "."], ["", "", ","], ["", "", "", "", "\n"], ["", "", "", "", "", "", ",", "", "", "", "", "", "", "!"]])
+def test_passages_of_51_words_share_a_run(marks):
+    rng = np.random.default_rng(len(marks))
+    for n in range(400):
+        vocabulary = 5 if n % 4 == 0 else 400
+        text = lambda k: " ".join(f"w{w}{marks[m]}" for w, m in zip(rng.integers(vocabulary, size=k), rng.integers(len(marks), size=k)))
+        passage = text(51)
+        a, b = (f"{text(rng.integers(40))} {passage} {text(rng.integers(40))}" for _ in range(2))
+        assert "".join(spans.short_parts(a)) == a
+        assert shared_runs(a, b), (a, b)
+
+
+def test_spans_grow(spark, rows):
+    lines = "".join(f"line {k} has five words\n" for k in range(12))
+    single = " ".join(f"word{k * 7919 % 1000}" for k in range(60))
+    texts = {1: lines, 2: "Other start.\n" + lines + "Other end.", 3: single, 4: f"before {single} after", 5: " \n " + "few words. " * 3, 6: f"Head of it. {single} and {PASSAGE} Tail."}
+    got = {r.doc_id: r for r in spans.without_repeated_spans(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), run=None).collect()}
+    assert [got[k].text for k in (1, 3, 5)] == [texts[k] for k in (1, 3, 5)]
+    assert got[2].text == "Other start.\nOther end."
+    assert got[4].text.startswith("before ") and got[4].text.endswith("after") and len(got[4].text.split()) < 40
+    assert got[6].text.startswith("Head of it. ") and got[6].text.endswith(PASSAGE + " Tail.") and got[6]._removed > 0
+
+
+def test_grown_runs_find_all_that_fixed_runs_find(rows):
+    seen = {True: set(), False: set()}
+    for d, t, *_ in sorted((r for r in rows if r[1]), key=lambda r: r[0]):
+        gone = {}
+        for grown in (True, False):
+            parts, (n, runs) = spans.short_parts(t) if grown else spans.sentences(t), spans.hashed(t, None if grown else 3, 16)
+            assert n == len(parts)
+            ends, marked = np.cumsum([0, *map(len, parts)]), np.zeros(len(t), dtype=bool)
+            for i, j, h in runs:
+                if h in seen[grown]:
+                    marked[ends[i] : ends[j]] = True
+                seen[grown].add(h)
+            gone[grown] = marked
+        assert not (gone[False] & ~gone[True]).any(), d
+
+
 def test_tables_go_to_the_named_folder(spark):
     df = common.written(spark.range(5), "t")
     assert df.inputFiles()[0].replace("///", "/").startswith(spark.sparkContext.getConf().get("spark.checkpoint.dir").replace("///", "/"))

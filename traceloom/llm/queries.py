@@ -78,8 +78,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What is left of each document when later copies of runs of three sentences go."""
-    cut = spans.without_repeated_spans(_table(spark, sf_dir, "documents"))
+    """What is left of each document when later copies of runs of sentences of 16 words or more go."""
+    cut = spans.without_repeated_spans(_table(spark, sf_dir, "documents"), run=None)
     return cut.select(
         "doc_id",
         F.col("_sentences").alias("n_sentences"),
