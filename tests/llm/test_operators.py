@@ -260,6 +260,17 @@ def test_budgets_redistribute_among_siblings_first():
     assert sum(mixing.share_out(100, [1, 1, 1], [100, 100, 100])) == 100
 
 
+def test_budgets_keep_languages_without_a_weight():
+    leaves = {("d", "(none)", "a"): 900, ("d", "en", "a"): 100, ("e", "it", "b"): 300, ("e", "en", "b"): 60, ("e", "de", "b"): 40, ("f", "(none)", "c"): 50}
+    per = {(d, lang): w for d in "def" for lang, w in (("en", 0.4), ("de", 0.2))}
+    got = mixing.budgets(leaves, 1450, per, 4)
+    assert sum(got.values()) == 1450 and got["d", "(none)", "a"] == 900 and got["e", "it", "b"] == 300 and got["f", "(none)", "c"] == 50
+    assert abs(got["e", "en", "b"] - 2 * got["e", "de", "b"]) <= 2 and got["e", "en", "b"] + got["e", "de", "b"] == 100
+    shut = mixing.budgets(leaves, 1450, per | {("d", "(none)"): 0.0}, 4)
+    assert shut["d", "(none)", "a"] == 0 and sum(shut.values()) == 1450
+    assert mixing.budgets(leaves, 10**6, per | {("d", "(none)"): 0.0}, 4) == {p: 0 if p[:2] == ("d", "(none)") else 4 * t for p, t in leaves.items()}
+
+
 def test_logbilinear(docs, rows):
     train = docs.where("doc_id % 5 != 0")
     model, counts, n = logbilinear.learn(train)

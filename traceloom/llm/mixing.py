@@ -45,23 +45,26 @@ def share_out(budget: int, weights: list[float], room: list[int]) -> list[int]:
 def budgets(leaves: dict[tuple, int], total: int, weights: dict[tuple, float], epochs: int) -> dict[tuple, int]:
     """Tokens for each leaf. ``leaves``: path -> tokens there; ``weights``: path of any node -> weight.
 
-    Where no child of a node has a weight, each weighs what its subtree holds; where some have, the others get none.
+    Children without a weight share by tokens: together they weigh, of all there, what their subtrees hold, and those
+    with weights split the rest by them. A weight of 0 shuts its subtree out; no node is granted what it can't use.
     """
-    held: dict[tuple, int] = defaultdict(int)
     below: dict[tuple, set] = defaultdict(set)
-    for path, tokens in leaves.items():
-        for k in range(len(path) + 1):
-            held[path[:k]] += tokens * epochs
-            if k:
-                below[path[: k - 1]].add(path[:k])
+    for path in leaves:
+        for k in range(1, len(path) + 1):
+            below[path[: k - 1]].add(path[:k])
+    held = {p: tokens * epochs for p, tokens in leaves.items()}  # what a subtree can use
+    for node in sorted(below, key=len, reverse=True):
+        held[node] = sum(held[c] for c in below[node] if weights.get(c) != 0)
+    held.setdefault((), 0)
     given = {(): min(total, held[()])}
     for depth in range(max((len(p) for p in leaves), default=0)):
         for node in [n for n in list(given) if len(n) == depth and n in below]:
             children = sorted(below[node])
-            own = [weights.get(c) for c in children]
-            if all(w is None for w in own):
-                own = [float(held[c]) for c in children]
-            parts = share_out(given[node], [w or 0.0 for w in own], [held[c] for c in children])
+            named = {c: weights[c] for c in children if weights.get(c) is not None and held[c] > 0}
+            whole = sum(named.values())
+            part = sum(held[c] for c in named if named[c] > 0) / whole if whole > 0 else 0.0  # tokens a unit of weight
+            own = [named[c] * part if c in named else 0.0 if c in weights else float(held[c]) for c in children]
+            parts = share_out(given[node], own, [held[c] for c in children])
             given |= dict(zip(children, parts))
     return {p: given.get(p, 0) for p in leaves}
 
@@ -74,7 +77,7 @@ def domain_of_source() -> Column:
 def mix(docs: DataFrame, weights: dict[str, dict[str, float]], total: int | None = None, epochs: int = 4, seed: int = 17, buckets: int = 1024, most_leaves: int = 100_000) -> DataFrame:
     """The rows picked, once for each epoch they are in: all columns of ``docs`` and _domain, _tokens, _epoch.
 
-    ``weights``: of languages and of sources, by name; a level without any is weighted by its tokens.
+    ``weights``: of languages and of sources, by name; those without any are weighted by their tokens.
     ``total``: tokens wanted, all there are if None. Tokens are words. A null language or source is a leaf
     of its own, "(none)", and a null text has no tokens; a text without tokens goes with the prefix it falls in.
     The tree reaches the driver and, with its budgets, every task: more than ``most_leaves`` leaves are an error.
