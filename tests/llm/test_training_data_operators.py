@@ -400,6 +400,33 @@ def test_forward_sums_all_segmentations():
 
     for word in ("a", "ab", "abc", "xab", "abab"):
         assert math.isclose(language.word_scores([word], lattice, prob)[0, 0], math.log(total("▁" + word)), rel_tol=1e-9)
+        assert math.isclose(language.long_score("▁" + word, lattice, prob)[0], math.log(total("▁" + word)), rel_tol=1e-9)
+
+
+def test_long_words_are_scored_whole(monkeypatch):
+    pieces = language.vocabulary(PIECES)
+    assert max(map(len, pieces)) > 12
+    lattice = language.Lattice(pieces)
+    prob = np.random.default_rng(1).random((len(pieces) + 1, 2)) / len(pieces)
+    prob[-1] = language.FLOOR
+    words_ = ["internationalisation" * 2, "abcxyz" * 10, "中文" * 20]
+    along = language.word_scores(words_, lattice, prob)
+    blocks = [np.concatenate(list(lattice.ending("▁" + w, 7))) for w in words_]
+    assert all((b == next(lattice.ending("▁" + w))).all() for b, w in zip(blocks, words_))
+    monkeypatch.setattr(language, "TOGETHER", 100)
+    assert np.allclose(along, language.word_scores(words_, lattice, prob))
+    assert np.isfinite(language.long_score("x" * 20_000, lattice, prob)).all()
+
+
+def test_accepted_rows(docs, rows, spark):
+    model = language.train(docs, PIECES, sample=100)
+    kept = language.accepted(docs, model)
+    assert kept.columns == docs.columns
+    got = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert got == Counter((d, t) for d, t, *_ in rows if any(c.isalpha() for c in t or ""))
+    english = next(t for d, t, lang, *_ in rows if lang == "en" and len(t) > 500)
+    odd = spark.createDataFrame([(None, english, "fr", 1), (None, "1234", "en", 2), (7, english, None, 3), (7, "...", None, 4), (7, None, None, 5)], "doc_id long, text string, lang string, found int")
+    assert sorted((r.found, r.lang) for r in language.accepted(odd, model).collect()) == [(1, "en"), (3, "en")]
 
 
 def brute_spans(rows, run, least):

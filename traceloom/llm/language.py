@@ -2,26 +2,27 @@
 
 Each language gives the pieces of a fixed public vocabulary probabilities, fitted by expectation
 maximisation on words of labelled documents. A word's probability is the sum over all its
-segmentations (forward algorithm); a text's is the product over its words. Words recur, so the
-forward pass runs once for each distinct word a worker meets, vectorised over words of equal length.
+segmentations (forward algorithm), however long the word is; a text's is the product over its words.
+Words recur, so the forward pass runs once for each distinct word a task meets: vectorised over words
+of equal length, and for long words along the word, rescaled as it goes.
 """
 
 from __future__ import annotations
 
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import DOUBLE, LONG, STRING, documents, hash_sample, schema
 
-LONGEST = 24  # letters of a word scored together; longer words are cut
-WIDEST = 9  # characters of a piece, its word mark included
+TOGETHER = 32  # words up to so many letters are scored with others of their length, longer ones along the word
 FLOOR = 1e-7  # probability of a character outside the vocabulary
-CACHE_WORDS = 400_000
+CACHE_WORDS = 300_000
 
 
 def normal(word: str) -> str:
@@ -35,11 +36,7 @@ def vocabulary(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     pieces = {model.id_to_piece(i).lower() for i in range(model.get_piece_size())}
-    return sorted(p for p in pieces if 0 < len(p) <= WIDEST and (p.removeprefix("▁").isalpha() or p == "▁"))
-
-
-def _chunks(word: str) -> list[str]:
-    return ["▁" + word[:LONGEST], *(word[i : i + LONGEST] for i in range(LONGEST, len(word), LONGEST))]
+    return sorted(p for p in pieces if p and (p.removeprefix("▁").isalpha() or p == "▁"))
 
 
 class Lattice:
@@ -47,6 +44,7 @@ class Lattice:
 
     def __init__(self, pieces: list[str]):
         self.size = len(pieces)
+        self.widest = max(map(len, pieces), default=1)
         codes = np.array([self._codes([p])[0] @ self._powers(len(p)) for p in pieces], dtype=np.uint64)
         self.order = np.argsort(codes)
         self.codes = codes[self.order]
@@ -61,26 +59,43 @@ class Lattice:
         flat = np.frombuffer("".join(strings).encode("utf-32-le", "surrogatepass"), dtype="<u4").astype(np.uint64)
         return flat.reshape(len(strings), -1) + np.uint64(0x1F123BB5)
 
+    def _ids(self, code: np.ndarray) -> np.ndarray:
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        return np.where(self.codes[at] == code, self.order[at], -1)
+
     def spans(self, strings: list[str]) -> dict[tuple[int, int], np.ndarray]:
         """(from, to) -> ids, -1 where the vocabulary lacks the piece."""
         codes, out = self._codes(strings), {}
         n, step = codes.shape[1], np.uint64(0x9E3779B97F4A7C15)
         for i in range(n):
             code = np.zeros(len(strings), dtype=np.uint64)
-            for j in range(i + 1, min(n, i + WIDEST) + 1):
+            for j in range(i + 1, min(n, i + self.widest) + 1):
                 code = code * step + codes[:, j - 1]
-                at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
-                ids = np.where(self.codes[at] == code, self.order[at], -1)
+                ids = self._ids(code)
                 if j == i + 1 or (ids >= 0).any():
                     out[i, j] = ids
         return out
 
-
-def forward(spans: dict, n: int, rows: int, prob: np.ndarray) -> list[np.ndarray]:
+    def ending(self, string: str, block: int = 4096) -> Iterator[np.ndarray]:
+        """For blocks of places of one long string: (places, widest) ids of the spans of each width that end there."""
+        codes, powers = self._codes([string])[0], self._powers(self.widest)[::-1]
+        for lo in range(0, len(codes), block):
+            own = codes[max(0, lo - self.widest + 1) : lo + block]
+            code, out = np.zeros(len(own), dtype=np.uint64), []
+            for w in range(min(self.widest, len(own))):
+                code[w:] += own[: len(own) - w] * powers[w]
+                ids = self._ids(code)
+                ids[:w] = -2  # would start before the string
+                out.append(ids)
+            out += [np.full(len(own), -2)] * (self.widest - len(out))
+            yield np.stack(out, axis=1)[min(lo, self.widest - 1) :]
+
+
+def forward(spans: dict, n: int, rows: int, prob: np.ndarray, widest: int) -> list[np.ndarray]:
     """prob: (pieces + 1, languages), the last row for single characters outside. -> n + 1 arrays (rows, languages)."""
     alpha = [np.ones((rows, prob.shape[1]))] + [np.zeros((rows, prob.shape[1])) for _ in range(n)]
     for j in range(1, n + 1):
-        for i in range(max(0, j - WIDEST), j):
+        for i in range(max(0, j - widest), j):
             ids = spans.get((i, j))
             if ids is None:
                 continue
@@ -92,44 +107,64 @@ def forward(spans: dict, n: int, rows: int, prob: np.ndarray) -> list[np.ndarray
     return alpha
 
 
+def long_score(word: str, lattice: Lattice, prob: np.ndarray) -> np.ndarray:
+    """log probability of one word of any length in each language; the last sums are rescaled at each step."""
+    past = np.zeros((lattice.widest, prob.shape[1]))  # past[w]: the sum up to w + 1 places before
+    past[0] = 1.0
+    scale = np.zeros(prob.shape[1])
+    extended = np.vstack([prob, np.zeros((1, prob.shape[1]))])
+    for ids in lattice.ending(word):
+        ids = np.where(ids >= 0, ids, len(prob))
+        ids[:, 0] = np.where(ids[:, 0] == len(prob), len(prob) - 1, ids[:, 0])
+        for each in extended[ids]:
+            now = (past * each).sum(axis=0)
+            scale += np.log(now)
+            past[1:] = past[:-1] / now
+            past[0] = 1.0
+    return scale
+
+
 def word_scores(words: list[str], lattice: Lattice, prob: np.ndarray) -> np.ndarray:
     """log probability of each word in each language."""
     out = np.zeros((len(words), prob.shape[1]))
-    groups: dict[int, tuple[list[int], list[str]]] = defaultdict(lambda: ([], []))
+    groups: dict[int, list[int]] = defaultdict(list)
     for k, word in enumerate(words):
-        for chunk in _chunks(word) if word else ():
-            at, texts = groups[len(chunk)]
-            at.append(k)
-            texts.append(chunk)
-    for n, (at, texts) in groups.items():
+        if len(word) > TOGETHER:
+            out[k] = long_score("▁" + word, lattice, prob)
+        elif word:
+            groups[len(word) + 1].append(k)
+    for n, at in groups.items():
         for s in range(0, len(at), 20_000):
-            part = texts[s : s + 20_000]
-            logs = np.log(forward(lattice.spans(part), n, len(part), prob)[-1])
-            np.add.at(out, at[s : s + 20_000], logs)
+            part = at[s : s + 20_000]
+            spans = lattice.spans(["▁" + words[k] for k in part])
+            out[part] = np.log(forward(spans, n, len(part), prob, lattice.widest)[-1])
     return out
 
 
 def fit(words: dict[str, Counter], lattice: Lattice, rounds: int = 4) -> tuple[list[str], np.ndarray]:
-    """Languages (sorted) and the (pieces + 1, languages) probabilities, by expectation maximisation."""
+    """Languages (sorted) and the (pieces + 1, languages) probabilities, by expectation maximisation.
+
+    Learns from words of at most ``TOGETHER`` letters; longer ones are scored, but teach nothing.
+    """
     names = sorted(words)
     prob = np.full((lattice.size + 1, len(names)), 1.0 / max(1, lattice.size))
     prob[-1] = FLOOR
     groups = {}
     for k, name in enumerate(names):
-        chunks: dict[int, Counter] = defaultdict(Counter)
+        sized: dict[int, Counter] = defaultdict(Counter)
         for word, count in words[name].items():
-            for chunk in _chunks(word):
-                chunks[len(chunk)][chunk] += count
-        groups[k] = [(n, lattice.spans(list(c)), np.array(list(c.values()), float)) for n, c in chunks.items()]
+            if len(word) <= TOGETHER:
+                sized[len(word) + 1]["▁" + word] += count
+        groups[k] = [(n, lattice.spans(list(c)), np.array(list(c.values()), float)) for n, c in sized.items()]
     for _ in range(rounds):
         then = np.full_like(prob, 0.01)
         for k in range(len(names)):
             own = prob[:, k : k + 1]
             for n, spans, count in groups[k]:
-                alpha = forward(spans, n, len(count), own)
+                alpha = forward(spans, n, len(count), own, lattice.widest)
                 beta = [np.zeros((len(count), 1)) for _ in range(n)] + [np.ones((len(count), 1))]
                 for j in range(n, 0, -1):
-                    for i in range(max(0, j - WIDEST), j):
+                    for i in range(max(0, j - lattice.widest), j):
                         ids = spans.get((i, j))
                         if ids is not None:
                             use = ids >= 0 if j > i + 1 else slice(None)
@@ -163,34 +198,33 @@ def train(labelled: DataFrame, vocabulary_path: str, sample: int = 1500) -> tupl
     return pieces, names, prob
 
 
-def identify(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray]) -> DataFrame:
-    """doc_id, lang_pred, score for each row of ``docs``: the likeliest language and its posterior under equal priors.
+PREDICTED = T.StructType([T.StructField("lang_pred", STRING), T.StructField("score", DOUBLE)])
 
-    A text that is null or has no letter is ``und`` with score 0, as is every text when no language
-    was learned. Long texts are scored whole. A null doc_id reads as -1.
-    """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    known: dict = {}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def predictor(df: DataFrame, model: tuple[list[str], list[str], np.ndarray]) -> Callable[[Column], Column]:
+    """Of a text column: a struct of lang_pred, the likeliest language, and score, its posterior under equal priors."""
+    sent = df.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf(PREDICTED)
+    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         pieces, names, prob = sent.value
         lattice = Lattice(pieces) if names else None
-        at: dict[str, int] = known.setdefault("at", {})
-        table = known.get("table", np.zeros((0, len(names))))
+        at: dict[str, int] = {}
+        table, used = np.zeros((1024, len(names))), 0
         for batch in batches:
             langs, scores = [], []
             for lo in range(0, len(batch), 500):
-                split = [t.lower().split() for t in batch["text"].iloc[lo : lo + 500]]
-                new = list({w for words in split for w in words if w not in at}) if names else []
+                split = [(t or "").lower().split() for t in batch.iloc[lo : lo + 500]]
+                new = {w for words in split for w in words if w not in at} if names else set()
                 if len(at) + len(new) > CACHE_WORDS:
                     at.clear()
-                    table = np.zeros((0, len(names)))
-                    new = list({w for words in split for w in words})
+                    used, new = 0, {w for words in split for w in words}
                 if new:
-                    bare = [normal(w) for w in new]
-                    at.update(zip(new, range(len(table), len(table) + len(new))))
-                    table = np.concatenate([table, word_scores(bare, lattice, prob)])
-                known["table"] = table
+                    at.update(zip(new, range(used, used + len(new))))
+                    if used + len(new) > len(table):
+                        table = np.concatenate([table[:used], np.zeros((used + 2 * len(new), len(names)))])
+                    table[used : used + len(new)] = word_scores([normal(w) for w in new], lattice, prob)
+                    used += len(new)
                 for words in split:
                     if not names or not any(c.isalpha() for w in words for c in w):
                         langs.append("und")
@@ -200,6 +234,29 @@ def identify(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray]) ->
                     best = int(total.argmax())
                     langs.append(names[best])
                     scores.append(float(1 / np.exp(total - total[best]).sum()))
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "lang_pred": langs, "score": scores})
+            yield pd.DataFrame({"lang_pred": langs, "score": scores})
+
+    return predict.asNondeterministic()  # so that a filter on the result does not run it twice
+
 
-    return documents(docs).mapInPandas(run, schema(("doc_id", LONG), ("lang_pred", STRING), ("score", DOUBLE)))
+def identify(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray]) -> DataFrame:
+    """doc_id, lang_pred, score for each row of ``docs``, repeated rows each.
+
+    A text that is null or has no letter is ``und`` with score 0, as is every text when no language
+    was learned. Long texts and long words are scored whole; of languages that score the same, the first by
+    name. A null doc_id reads as -1. No other column is read; an empty table gives an empty one.
+    """
+    found = documents(docs).select("doc_id", predictor(docs, model)(F.col("text")).alias("found"))
+    return found.select("doc_id", "found.*")
+
+
+def accepted(docs: DataFrame, model: tuple[list[str], list[str], np.ndarray]) -> DataFrame:
+    """The rows of ``docs`` that have a language, with ``lang`` set to it and all other columns kept, whatever their names.
+
+    Rows are judged one by one in a single pass, by their text alone: null or repeated ids do not matter. Rows
+    that ``identify`` calls ``und`` go.
+    """
+    found = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), predictor(docs, model)(F.col("text")).alias("found"))
+    return found.where("found.lang_pred != 'und'").select(
+        *(F.col("found.lang_pred").alias("lang") if c == "lang" else F.col("row").getField(c).alias(c) for c in docs.columns)
+    )
