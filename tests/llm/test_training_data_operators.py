@@ -271,10 +271,30 @@ def test_budgets_keep_languages_without_a_weight():
     assert mixing.budgets(leaves, 10**6, per | {("d", "(none)"): 0.0}, 4) == {p: 0 if p[:2] == ("d", "(none)") else 4 * t for p, t in leaves.items()}
 
 
+def brute_logs(model, counts, text):
+    """log10 probability of a text, one token at a time, from the weights."""
+    w, z = model.weights, model.sizes
+    own = {x: logbilinear.FIRST + k for k, x in enumerate(model.words.split(b"\n")[: z.items - logbilinear.FIRST])}
+    total, before = 0.0, [0] * logbilinear.PLACES
+    for word in [*(x.encode() for x in words((text or "").translate(LOWER))), None]:
+        item = 0 if word is None else own.get(word, 1 + zlib.crc32(word[-2:]) % logbilinear.ENDINGS)
+        h = sum(w["r"][p].astype(float) * w["place"][k] for k, p in enumerate(before))
+        s = w["qc"].astype(float) @ h + w["bc"][:, 0]
+        c = item // z.each
+        total += (s[c] - np.log(np.exp(s).sum())) / np.log(10)
+        low = c * z.each
+        s = w["q"][low : min(low + z.each, z.items)].astype(float) @ h + w["b"][low : min(low + z.each, z.items), 0]
+        total += (s[item - low] - np.log(np.exp(s).sum())) / np.log(10)
+        if 0 < item < logbilinear.FIRST:
+            total += math.log10(counts[word] + 0.1) - model.shared[item]
+        before = [item, *before[:-1]]
+    return total
+
+
 def test_logbilinear(docs, rows):
     train = docs.where("doc_id % 5 != 0")
-    model, counts, n = logbilinear.learn(train)
-    got = logbilinear.score(docs, model, counts, n).collect()
+    model, counts = logbilinear.learn(train)
+    got = logbilinear.score(docs, model, counts).collect()
     assert len(got) == len(rows)
     tokens = {d: [*words((t or "").translate(LOWER)), None] for d, t, *_ in rows}
     c = Counter()
@@ -282,21 +302,52 @@ def test_logbilinear(docs, rows):
         if d % 5:
             c.update(tokens[d])
     total, kinds = sum(c.values()), len(c)
+    texts = {d: t for d, t, *_ in rows}
+    by_word = Counter({w.encode(): n for w, n in c.items() if w is not None})
     for r in got:
         own = tokens[r.doc_id]
         want = sum(math.log10((c[w] + 0.1) / (total + 0.1 * (kinds + 1))) for w in own)
         assert math.isclose(r.base_score, want, rel_tol=1e-9) and r.n_tokens == len(own) and r.n_known == sum(c[w] > 0 for w in own)
         assert r.train_tokens == total and r.score < 0
+        if len(own) < 3000:
+            assert math.isclose(r.score, brute_logs(model, by_word, texts[r.doc_id]), rel_tol=1e-4)
     held = [r for r in got if r.doc_id % 5 == 0 and r.doc_id < 9000]
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
-    table = logbilinear.log_probabilities(model.weights)
-    assert np.allclose((10.0 ** table.astype(float)).sum(axis=1), 1, atol=1e-4)
+
+
+def test_logbilinear_sums_to_one(docs):
+    model, counts = logbilinear.learn(docs)
+    z = model.sizes
+    for before in ([0, 0, 0, 0], [70, 3, 66, 0]):
+        every = logbilinear.item_logs(model.weights, z, np.repeat([before], z.items, axis=0), np.arange(z.items))
+        assert math.isclose(np.exp(every).sum(), 1, rel_tol=1e-4)
+    vocabulary = set(model.words.split(b"\n")[: z.items - logbilinear.FIRST])
+    shares = Counter()
+    for r in counts.collect():
+        if r.word.encode() not in vocabulary:
+            shares[logbilinear.ending(r.word.encode())] += r.c + 0.1
+    assert len(shares) > 10 and all(math.isclose(n + 0.1, 10 ** model.shared[k], rel_tol=1e-9) for k, n in shares.items())
+
+
+def test_logbilinear_vocabulary_grows(docs, spark):
+    few, _ = logbilinear.learn(docs.where("doc_id < 40"))
+    many, _ = logbilinear.learn(docs)
+    assert logbilinear.FIRST < few.sizes.items < many.sizes.items
+
+
+def test_logbilinear_learns_what_follows(spark):
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"{v}{rng.integers(8)}" for _ in range(60)) for v in "abcd" for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model, counts = logbilinear.learn(df.where("doc_id % 10 != 0"))
+    held = logbilinear.score(df.where("doc_id % 10 = 0"), model, counts).agg(F.sum("score"), F.sum("base_score"), F.sum("n_tokens")).first()
+    assert held[1] / held[2] < -1.45 and held[0] / held[2] > -1.25  # of 32 words, eight can follow
 
 
 def test_logbilinear_nothing(nothing, docs):
-    model, counts, n = logbilinear.learn(nothing)
-    assert n == 0 and logbilinear.score(nothing, model, counts, n).count() == 0
-    assert all(r.n_known == 0 for r in logbilinear.score(docs.limit(5), model, counts, n).collect())
+    model, counts = logbilinear.learn(nothing)
+    assert model.documents == 0 and logbilinear.score(nothing, model, counts).count() == 0
+    assert all(r.n_known == 0 for r in logbilinear.score(docs.limit(5), model, counts).collect())
 
 
 def test_quality(docs, nothing, spark):

@@ -1,13 +1,17 @@
 """Language-model scoring: a log-bilinear neural model trained with noise-contrastive estimation.
 
-The network predicts a word's class from the classes of the two words before it: the commonest words
-are classes of their own, the end mark is one, all other words share classes by their last two bytes,
-and a word's share of its class comes from corpus counts. Training uses the class trigrams of the
-whole training part, whose number is bounded by the cube of the classes. Scoring normalises exactly:
-one matrix product gives the scores of every class after every context.
-
-Counts cover all training words. The commonest (a bounded number) are sent to all tasks; the others
-meet their counts in a join, as (document, word, times).
+The model predicts each word from the four before it: their vectors, each weighted by a vector of its
+place, add up to a state, and an item's score is the state's product with the item's own vector, plus a
+bias. Items are the end mark, the words of the vocabulary and ``ENDINGS`` groups of all other words by
+their last two bytes. The vocabulary grows with the corpus: all words that occur at least
+``sqrt(tokens) / RARITY`` times. Items are cut into classes of equal size, so that two matrix products give
+normalised log-probabilities: of the classes, and of the items in the class. Words of a group share its
+probability by their counts plus 0.1, as does one place for all words of it that training never met.
+
+Training is a few rounds, each over a part of the training documents. In a round every task trains a copy
+of the weights on its share, telling data from noise (noise-contrastive estimation); Spark averages the
+copies row by row, weighted by how often each row was trained. Counts cover all training words. The
+commonest are sent to all tasks; the others meet their counts in a join, as (document, word, times).
 """
 
 from __future__ import annotations
@@ -21,13 +25,19 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import DOUBLE, LONG, STRING, documents, schema, written
 
-OWN, SHARED = 95, 32  # classes of single words, and classes by word ending
-CLASSES = 1 + OWN + SHARED  # class 0: the end mark, also what stands before a text
-SENT_WORDS = 150_000  # at most so many common words are sent to all tasks
+PLACES, WIDTH = 4, 32  # words a state is made of, numbers in a vector
+ENDINGS = 64
+RARITY = 32
+MOST_WORDS = 1_000_000  # bound of the vocabulary (its vectors are sent to all tasks); words beyond go by their endings
+SENT_WORDS = 150_000  # at most so many common words are sent for their counts alone
+TRAINER = 3_000_000  # tokens of a round for one task to train on, about
 ALPHA = 0.1
+END, FIRST = 0, 1 + ENDINGS  # the end mark, also what stands before a text; the first word of the vocabulary
+Weights = dict[str, np.ndarray]
 
 
 def words_of(text: str) -> list[bytes]:
@@ -35,10 +45,6 @@ def words_of(text: str) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").lower().split()
 
 
-def ending_class(word: bytes) -> int:
-    return 1 + OWN + zlib.crc32(word[-2:]) % SHARED
-
-
 def word_counts(docs: DataFrame) -> DataFrame:
     """word, c over all of ``docs``."""
 
@@ -57,211 +63,365 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return rows.groupBy("word").agg(F.sum("c").alias("c"))
 
 
-class Classes:
-    """Class of each word, with a cache of the words met."""
+def ending(word: bytes) -> int:
+    return 1 + zlib.crc32(word[-2:]) % ENDINGS
 
-    def __init__(self, own: list[bytes]):
-        self.known = {w: 1 + k for k, w in enumerate(own)}
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > 500_000:
-            self.known = known = {w: c for w, c in known.items() if c <= OWN}
-        out = np.empty(len(words) + 3, dtype=np.int64)
-        out[:2] = out[-1] = 0
-        for w in set(words):
-            if w not in known:
-                known[w] = ending_class(w)
-        out[2:-1] = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        return out
+@dataclass
+class Sizes:
+    """Items are the end mark, the endings, then the vocabulary by falling count."""
 
+    items: int
+    classes: int
+    each: int  # items of a class
 
-def class_trigrams(docs: DataFrame, own: list[bytes]) -> DataFrame:
-    """code (classes before last, last and now in base CLASSES), n."""
+    @classmethod
+    def of(cls, items: int) -> Sizes:
+        each = -(-items // max(1, int(np.sqrt(items))))
+        return cls(items, -(-items // each), each)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        classes, held, size = Classes(own), [], 0
 
-        def counted():
-            codes, n = np.unique(np.concatenate(held), return_counts=True)
-            return pd.DataFrame({"code": codes, "n": n})
+class Encoder:
+    """Items of words."""
 
-        for batch in batches:
-            for text in batch["text"]:
-                c = classes.of(words_of(text))
-                held.append((c[:-2] * CLASSES + c[1:-1]) * CLASSES + c[2:])
-                size += len(c)
-                if size > 3_000_000:
-                    yield counted()
-                    held, size = [], 0
-        if held:
-            yield counted()
+    def __init__(self, words: list[bytes]):
+        self.own = {w: FIRST + k for k, w in enumerate(words)}
+        self.known = dict(self.own)
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        known = self.known
+        if len(known) > len(self.own) + 400_000:
+            self.known = known = dict(self.own)
+        for w in set(words):
+            if w not in known:
+                known[w] = ending(w)
+        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+
+    def texts(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+        """(the items before each place, the last first; the item there) of all places of the texts, their ends included."""
+        parts, gap = [], np.full(PLACES, END)
+        for words in texts:
+            parts += [gap, self.of(words), gap[:1]]
+        flat = np.concatenate(parts) if parts else gap
+        size = np.array([len(w) + 1 for w in texts], dtype=np.int64)
+        start = PLACES + np.r_[0, np.cumsum(size + PLACES)[:-1]]
+        at = np.repeat(start - np.r_[0, np.cumsum(size)[:-1]], size) + np.arange(size.sum())
+        return np.stack([flat[at - k] for k in range(1, PLACES + 1)], axis=1), flat[at]
+
+
+def initial(sizes: Sizes, unigram: np.ndarray, seed: int = 5) -> Weights:
+    """``unigram``: shares of the items, summing to 1."""
+    rng = np.random.default_rng(seed)
 
-    return docs.select("text").mapInPandas(run, schema(("code", LONG), ("n", LONG))).groupBy("code").agg(F.sum("n").alias("n"))
+    def normal(*shape: int) -> np.ndarray:
+        return rng.normal(0, 0.1, shape).astype(np.float32)
+
+    share = np.zeros(sizes.classes * sizes.each)
+    share[: sizes.items] = unigram
+    by_class = share.reshape(sizes.classes, sizes.each).sum(axis=1)
+    within = np.log(np.maximum(share, 1e-30)) - np.repeat(np.log(by_class), sizes.each)
+    return {
+        "r": normal(sizes.items, WIDTH), "place": np.ones((PLACES, WIDTH), np.float32) / 2,
+        "q": np.zeros((len(share), WIDTH), np.float32), "b": within[:, None].astype(np.float32),
+        "qc": np.zeros((sizes.classes, WIDTH), np.float32), "bc": np.log(by_class)[:, None].astype(np.float32),
+    }
 
 
-def train(codes: np.ndarray, counts: np.ndarray, width: int = 24, steps: int = 1200, batch: int = 2048, noise: int = 96, seed: int = 5) -> dict[str, np.ndarray]:
-    """Weights of the network: inputs r, position weights c1 and c2, outputs q, biases b.
+class Trainer:
+    """Stochastic gradient steps on a copy of the weights; Adagrad sets each number's pace.
 
-    Each step draws trigrams by their counts and ``noise`` classes from the unigram distribution, shared by
-    the batch; the loss tells data from noise (noise-contrastive estimation), weights follow Adagrad.
+    Of a batch's gradients for one vector the last is taken: places in a batch are random, so it is a random one.
     """
-    rng = np.random.default_rng(seed)
-    now = codes % CLASSES
-    unigram = np.bincount(now, counts, CLASSES) + 0.5
-    unigram /= unigram.sum()
-    log_noise = np.log(noise * unigram)
-    w = {
-        "r": rng.normal(0, 0.1, (CLASSES, width)), "c1": np.eye(width) + 0, "c2": np.eye(width) * 0.5,
-        "q": rng.normal(0, 0.1, (CLASSES, width)), "b": np.log(unigram),
-    }
-    if not len(codes):
-        return w
-    history = {k: np.full_like(v, 1e-2) for k, v in w.items()}
-    upto = np.cumsum(counts / counts.sum())
-    for step in range(steps):
-        pick = np.minimum(np.searchsorted(upto, rng.random(batch)), len(codes) - 1)
-        c = codes[pick]
-        t, p1, p2 = c % CLASSES, c // CLASSES % CLASSES, c // CLASSES**2
-        r1, r2 = w["r"][p1], w["r"][p2]
-        h = r1 @ w["c1"] + r2 @ w["c2"]
-        drawn = rng.choice(CLASSES, noise, p=unigram)
-        own = 1 / (1 + np.exp(np.clip((h * w["q"][t]).sum(1) + w["b"][t] - log_noise[t], -30, 30)))  # 1 - P(data)
-        other = 1 / (1 + np.exp(-np.clip(h @ w["q"][drawn].T + w["b"][drawn] - log_noise[drawn], -30, 30)))  # P(data)
-        g = {k: np.zeros_like(v) for k, v in w.items()}
-        gh = -own[:, None] * w["q"][t] + other @ w["q"][drawn]
-        np.add.at(g["q"], t, -own[:, None] * h)
-        np.add.at(g["q"], drawn, other.T @ h)
-        np.add.at(g["b"], t, -own)
-        np.add.at(g["b"], drawn, other.sum(0))
-        g["c1"], g["c2"] = r1.T @ gh, r2.T @ gh
-        np.add.at(g["r"], p1, gh @ w["c1"].T)
-        np.add.at(g["r"], p2, gh @ w["c2"].T)
-        rate = 0.15 * (1 - step / steps) + 0.005
-        for k in w:
-            d = g[k] / batch
-            history[k] += d * d
-            w[k] -= rate * d / np.sqrt(history[k]) * (0.3 if k == "b" else 1.0)
-    return w
-
-
-def log_probabilities(w: dict[str, np.ndarray]) -> np.ndarray:
-    """log10 P(class | the two before): (CLASSES ** 2, CLASSES), normalised."""
-    out = np.empty((CLASSES**2, CLASSES), dtype=np.float32)
-    last = w["r"] @ w["c1"]
-    for p2 in range(CLASSES):
-        s = (last + w["r"][p2] @ w["c2"]) @ w["q"].T + w["b"]
+
+    def __init__(self, weights: Weights, sizes: Sizes, unigram: np.ndarray, seed: int, pace: float = 1.0):
+        self.w = {k: v.copy() for k, v in weights.items()}
+        self.history = {k: np.full_like(v, 1e-2) for k, v in weights.items()}
+        self.trained = {k: np.zeros(len(v), np.float64) for k, v in weights.items()}
+        self.last = {k: np.zeros(len(v), np.int32) for k, v in weights.items()}
+        self.sizes, self.rng, self.pace = sizes, np.random.default_rng(seed), pace
+        share = np.zeros(sizes.classes * sizes.each)
+        share[: sizes.items] = unigram
+        self.class_share = share.reshape(sizes.classes, sizes.each).sum(axis=1)
+        self.log_within = np.log(np.maximum(share / np.repeat(self.class_share, sizes.each), 1e-30)).astype(np.float32)
+        upto = np.r_[0, np.cumsum(share)]
+        at = np.arange(sizes.classes)[:, None] * sizes.each
+        draw = upto[at] + self.rng.random((sizes.classes, 1024)) * (upto[at + sizes.each] - upto[at])
+        self.noise = np.clip(np.searchsorted(upto, draw, side="right") - 1, at, at + sizes.each - 1)
+
+    def _rows(self, name: str, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
+        every = np.arange(len(rows), dtype=np.int32)
+        self.last[name][rows] = every
+        pick = np.flatnonzero(self.last[name][rows] == every)
+        self._step(name, rows[pick], grad[pick], 1, rate)
+
+    def _step(self, name: str, rows: np.ndarray | slice, g: np.ndarray, times: np.ndarray | float, rate: float) -> None:
+        past = self.history[name][rows] + g * g
+        self.history[name][rows] = past
+        self.w[name][rows] -= (self.pace * rate) * g / np.sqrt(past)
+        self.trained[name][rows] += times
+
+    def words(self, inputs: np.ndarray, item: np.ndarray, batch: int, classes: int = 64, own: int = 3, rate: float = 0.04) -> None:
+        """One pass, in random order. Noise: ``classes`` classes shared by a batch, ``own`` words of each true word's class."""
+        w, each = self.w, self.sizes.each
+        log_own = np.float32(np.log(own))
+        order = self.rng.permutation(len(item))
+        for lo in range(0, len(item), batch):
+            pick = order[lo : lo + batch]
+            rows, t = inputs[pick], item[pick]
+            c = t // each
+            x = w["r"][rows]
+            h = np.einsum("bkd,kd->bd", x, w["place"])
+            gh = self._against_classes(h, c, classes, rate)
+            every = np.empty((len(t), own + 1), np.int64)
+            every[:, 0] = t
+            every[:, 1:] = self.noise[c[:, None], self.rng.integers(0, 1024, (len(t), own))]
+            q = w["q"][every]
+            s = np.einsum("bd,bkd->bk", h, q) + w["b"][every, 0] - log_own - self.log_within[every]
+            g = 1 / (1 + np.exp(-np.clip(s, -30, 30)))  # P(data)
+            g[:, 0] -= 1
+            gh += np.einsum("bk,bkd->bd", g, q)
+            self._rows("q", every.ravel(), (g[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1]), rate)
+            self._rows("b", every.ravel(), g.reshape(-1, 1), rate)
+            self._step("place", slice(None), np.einsum("bkd,bd->kd", x, gh), 1, rate / 4)
+            self._rows("r", rows.ravel(), (gh[:, None, :] * w["place"]).reshape(-1, h.shape[1]), rate)
+
+    def _against_classes(self, h: np.ndarray, true: np.ndarray, k: int, rate: float) -> np.ndarray:
+        """Moves classes towards the true and away from ``k`` shared noise classes; returns the states' gradient."""
+        q, b = self.w["qc"], self.w["bc"][:, 0]
+        noise, times = np.unique(self.rng.choice(len(q), k, p=self.class_share), return_counts=True)
+        log_noise = np.log(k * np.maximum(self.class_share, 1e-30)).astype(np.float32)
+        own = -1 / (1 + np.exp(np.clip((h * q[true]).sum(axis=1) + b[true] - log_noise[true], -30, 30)))
+        other = h @ q[noise].T
+        other += b[noise] - log_noise[noise]
+        other = times.astype(np.float32) / (1 + np.exp(-np.clip(other, -30, 30)))
+        gh = own[:, None] * q[true] + other @ q[noise]
+        whose = np.zeros((len(h), len(q)), np.float32)
+        whose[:, noise] = other
+        whose[np.arange(len(h)), true] += own
+        self._step("qc", slice(None), whose.T @ h, 1, rate)
+        self._step("bc", slice(None), whose.sum(axis=0)[:, None], 1, rate)
+        return gh
+
+
+def log_picked(s: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """ln of the softmax of each row of ``s`` at one place of it; ``s`` is used up."""
+    if not s.size or s.max() > 60:  # else exponentials are finite as they are
         s -= s.max(axis=1, keepdims=True)
-        out[p2 * CLASSES : (p2 + 1) * CLASSES] = (s - np.log(np.exp(s).sum(axis=1, keepdims=True))) / np.log(10)
+    own = s[np.arange(len(s)), at]
+    np.exp(s, out=s)
+    return own - np.log(s.sum(axis=1) + 1e-38)
+
+
+def item_logs(w: Weights, sizes: Sizes, inputs: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """ln P(item | state), normalised over all items, in batched matrix products."""
+    c = item // sizes.each
+    out, h = np.empty(len(item)), np.ones((len(item), WIDTH + 1), np.float32)  # the last number takes the bias
+    qc, q = (np.concatenate([w[v], w[b]], axis=1).T.copy() for v, b in (("qc", "bc"), ("q", "b")))
+    for lo in range(0, len(item), 2048):
+        part = slice(lo, lo + 2048)
+        h[part, :WIDTH] = np.einsum("bkd,kd->bd", w["r"][inputs[part]], w["place"])
+        out[part] = log_picked(h[part] @ qc, c[part])
+    order = np.argsort(c, kind="stable")
+    start = np.flatnonzero(np.r_[True, c[order][1:] != c[order][:-1]])
+    for a, b in zip(start, np.r_[start[1:], len(c)]):
+        low = int(c[order[a]]) * sizes.each
+        own = q[:, low : min(low + sizes.each, sizes.items)]
+        for lo in range(a, b, 2048):
+            rows = order[lo : min(b, lo + 2048)]
+            out[rows] += log_picked(h[rows] @ own, item[rows] - low)
     return out
 
 
 @dataclass
 class Model:
-    weights: dict[str, np.ndarray]
-    own: list[bytes]
-    common: dict[bytes, int]  # word -> count
-    class_log_total: np.ndarray  # log10 of what a class's words share
+    weights: Weights
+    sizes: Sizes
+    words: bytes  # the common words by falling count, joined by line breaks; the first are the vocabulary
+    counts: np.ndarray  # of the common words
+    shared: np.ndarray  # log10 of what the words of each ending share, the end mark's at 0 unused
     tokens: int  # N
     distinct: int  # V
+    documents: int
+
+
+UPDATE = schema(("name", STRING), ("block", LONG), ("rows", T.BinaryType()), ("times", T.BinaryType()))
+ROWS = 512  # rows of a block
+
 
+def averaged(weights: Weights, copies: DataFrame) -> Weights:
+    """``weights`` with each trained row set to its copies' mean, weighted by how often each copy trained it."""
 
-def learn(docs: DataFrame) -> tuple[Model, DataFrame, int]:
-    """The model, the counts of all words (word, c) of the training documents ``docs``, and how many these are."""
+    def add(group: tuple, blobs: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = times = None
+        for batch in blobs:
+            for s, t in zip(batch["rows"], batch["times"]):
+                t = np.frombuffer(t, np.float32).astype(np.float64)
+                s = np.frombuffer(s, np.float16).reshape(len(t), -1) * t[:, None]
+                sums, times = (s, t) if sums is None else (sums + s, times + t)
+        mean = sums / np.maximum(times, 1)[:, None]
+        yield pd.DataFrame([(*group, mean.astype(np.float32).tobytes(), times.astype(np.float32).tobytes())], columns=UPDATE.names)
+
+    out = {k: v.copy() for k, v in weights.items()}
+    found = copies.groupBy("name", "block").applyInPandas(add, UPDATE).toArrow()
+    for name, block, rows, times in zip(*(found.column(c).to_pylist() for c in UPDATE.names)):
+        at = np.flatnonzero(np.frombuffer(times, np.float32))
+        out[name][block * ROWS + at] = np.frombuffer(rows, np.float32).reshape(-1, out[name].shape[1])[at]
+    return out
+
+
+def train(docs: DataFrame, words: list[bytes], unigram: np.ndarray, tokens: int, small: int = 3_000_000, rounds: int = 3) -> tuple[Weights, Sizes]:
+    """Weights after ``rounds``, each over its part of ``docs``: all are gone over once, those of fewer than ``small`` tokens up to eight times."""
+    sizes = Sizes.of(len(unigram))
+    weights = initial(sizes, unigram)
+    if not tokens:
+        return weights, sizes
+    passes = int(np.clip(-(-small // tokens), 1, 8))
+    together = int(np.clip(tokens // 1000, 128, 4096))
+    spark = docs.sparkSession
+    turn = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(rounds))
+    for k in range(rounds):
+        sent = spark.sparkContext.broadcast((weights, b"\n".join(words), sizes, unigram))
+
+        def run(batches: Iterator[pd.DataFrame], k: int = k) -> Iterator[pd.DataFrame]:
+            weights, joined, sizes, unigram = sent.value
+            encoder = Encoder(joined.split(b"\n") if joined else [])
+            trainer = Trainer(weights, sizes, unigram, 100 + k, 1 / (1 + k))
+
+            def learn(texts: list[list[bytes]]) -> None:
+                inputs, item = encoder.texts(texts)
+                for _ in range(passes):
+                    trainer.words(inputs, item, together)
+
+            texts, size = [], 0
+            for batch in batches:
+                for text in batch["text"]:
+                    texts.append(words_of(text))
+                    size += len(texts[-1]) + 1
+                    if size > 200_000:
+                        learn(texts)
+                        texts, size = [], 0
+            if texts:
+                learn(texts)
+            for name, w in trainer.w.items():
+                times = trainer.trained[name]
+                for at in range(0, len(w), ROWS):
+                    t = times[at : at + ROWS]
+                    if t.any():
+                        yield pd.DataFrame([(name, at // ROWS, w[at : at + ROWS].astype(np.float16).tobytes(), t.astype(np.float32).tobytes())], columns=UPDATE.names)
+
+        part = docs.where(turn == k).select("text").coalesce(-(-tokens // (rounds * TRAINER)))
+        weights = averaged(weights, part.mapInPandas(run, UPDATE))
+        sent.unpersist()
+    return weights, sizes
+
+
+def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """The model and the counts of all words (word, c) of the training documents ``docs``."""
     docs = documents(docs)
     counts = written(word_counts(docs), "word-counts")
     n_docs = docs.count()
-    last_two = F.substring(F.col("word").cast("binary"), -2, 2)
-    top = counts.orderBy(F.desc("c"), "word").limit(OWN).collect()
-    own = [r.word.encode() for r in top]
-    label = F.crc32(last_two) % SHARED
-    by_class = counts.where(~F.col("word").isin([r.word for r in top])).groupBy(label.alias("k")).agg(
-        F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")
-    ).collect()
-    total, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in by_class:
-        total[1 + OWN + r.k], kinds[1 + OWN + r.k] = r.c, r.v
     step = F.floor(F.log2("c") * 8)
-    sizes = sorted(map(tuple, counts.groupBy(step.alias("s")).count().collect()), reverse=True)  # a few hundred rows
-    least, held = None, 0
-    for s, n in sizes:
+    sizes = sorted(map(tuple, counts.groupBy(step.alias("s")).agg(F.count(F.lit(1)), F.sum("c")).collect()), reverse=True)  # a few hundred rows
+    tokens, distinct = sum(c for _, _, c in sizes) + n_docs, sum(n for _, n, _ in sizes) + bool(n_docs)
+    least, held = max(2, tokens**0.5 / RARITY), 0
+    sent = vocabulary = 1 + max((s for s, _, _ in sizes), default=0)  # the lowest step of each
+    for s, n, _ in sizes:
         held += n
-        if held > SENT_WORDS:
-            break
-        least = s
-    common = [] if least is None else counts.where(step >= least).collect()  # at most SENT_WORDS
-    trigrams = class_trigrams(docs, own).toPandas()  # at most CLASSES ** 3 rows
-    trigrams = trigrams.sort_values("code")
-    model = Model(
-        train(trigrams["code"].to_numpy(), trigrams["n"].to_numpy().astype(float)),
-        own,
-        {r.word.encode(): r.c for r in common} | {r.word.encode(): r.c for r in top},
-        np.log10(total + ALPHA * (kinds + 1)),
-        int(sum(r.c for r in by_class) + sum(r.c for r in top) + n_docs),
-        int(sum(r.v for r in by_class) + len(top) + bool(n_docs)),
-    )
-    return model, counts, n_docs
+        if held <= SENT_WORDS:
+            sent = s
+        if held <= MOST_WORDS and 2 ** (s / 8) >= least:
+            vocabulary = s
+    found = counts.where(step >= min(sent, vocabulary)).toArrow()  # at most MOST_WORDS rows
+    times, names = found.column("c").to_numpy(), found.column("word").to_pylist()
+    order = np.lexsort([names, -times])
+    common, times = [names[k].encode() for k in order], times[order]
+    del found, names
+    own = common[: int((np.floor(np.log2(times) * 8) >= vocabulary).sum())]
+    label = F.crc32(F.substring(F.col("word").cast("binary"), -2, 2)) % ENDINGS
+    rest = counts.where(step < vocabulary).groupBy(label.alias("k")).agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).collect()
+    held, kinds = np.zeros(FIRST), np.zeros(FIRST)
+    for r in rest:
+        held[1 + r.k], kinds[1 + r.k] = r.c, r.v
+    unigram = np.r_[n_docs, held[1:], times[: len(own)]] + ALPHA
+    weights, shape = train(docs, own, unigram / unigram.sum(), tokens)
+    return Model(weights, shape, b"\n".join(common), times, np.log10(held + ALPHA * (kinds + 1)), tokens, distinct, n_docs), counts
 
 
 PARTS = schema(
-    ("doc_id", LONG), ("text_hash", LONG), ("word", STRING), ("times", LONG), ("copies", LONG), ("n_tokens", LONG), ("known", LONG), ("base", DOUBLE), ("own", DOUBLE)
+    ("row", STRING), ("word", STRING), ("doc_id", LONG), ("times", LONG), ("n_tokens", LONG), ("known", LONG), ("base", DOUBLE), ("own", DOUBLE)
 )
 
 
-def score(docs: DataFrame, model: Model, counts: DataFrame, n_docs: int) -> DataFrame:
+def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score for each row of ``docs``.
 
-    A null or empty text is the end mark alone. Repeated rows are scored each. Scores are log10.
+    Scores are log10. A null or empty text is the end mark alone; texts are scored whole, however long;
+    a null doc_id reads as -1; repeated rows are scored each; no column but doc_id and text is read, so others
+    may have any name; an empty table gives an empty one. Where nothing was learned all words are new.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = sent.value
-        table = log_probabilities(m.weights)
-        classes = Classes(m.own)
-        place = {w: k for k, w in enumerate(m.common)}
-        logs = np.log10(np.array([*m.common.values(), 0], dtype=float) + ALPHA)  # the last for words to be joined
+        common = m.words.split(b"\n") if m.words else []
+        encoder = Encoder(common[: m.sizes.items - FIRST])
+        place = {w: k for k, w in enumerate(common)}
+        logs = np.log10(np.r_[m.counts, 1].astype(float) + ALPHA)  # the last for words to be joined
         logs[-1] = 0
-        end = np.log10(n_docs + ALPHA)
-        for batch in batches:
-            rows = []
-            for doc, key, text in zip(batch["doc_id"].tolist(), batch["text_hash"].tolist(), batch["text"]):
-                words = words_of(text)
-                c = classes.of(words)
+        end = np.log10(m.documents + ALPHA)
+
+        def scored(ids: list[int], names: list[str], texts: list[list[bytes]]) -> Iterator[pd.DataFrame]:
+            inputs, item = encoder.texts(texts)
+            each = item_logs(m.weights, m.sizes, inputs, item) / np.log(10)
+            others = (item > END) & (item < FIRST)
+            each[others] -= m.shared[item[others]]
+            rows, lo = [], 0
+            for doc, name, words in zip(ids, names, texts):
                 at = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
-                shared = c[2:] > OWN
-                chain = float(table[c[:-2] * CLASSES + c[1:-1], c[2:]].sum(dtype=float))
-                chain -= float(m.class_log_total[c[2:][shared]].sum())
                 found = logs[at]
-                chain += float(found[shared[:-1]].sum())
-                common = int((at >= 0).sum())
-                rows.append((doc, key, f" {doc} {key}", 0, 1, len(words) + 1, common + (n_docs > 0), float(found.sum()) + end, chain))
-                if common < len(words):
+                own = each[lo : lo + len(words) + 1].sum() + found[others[lo : lo + len(words)]].sum()
+                lo += len(words) + 1
+                here = int((at >= 0).sum())
+                rows.append((name, name, doc, 0, len(words) + 1, here + (m.documents > 0), float(found.sum()) + end, float(own)))
+                if here < len(words):
                     for w, n in Counter(words[k] for k in np.flatnonzero(at < 0)).items():
-                        rows.append((doc, key, w.decode("utf-8", "replace"), n, 0, 0, 0, 0.0, 0.0))
-                if len(rows) > 200_000:
+                        rows.append((name, w.decode("utf-8", "replace"), doc, n, 0, 0, 0.0, 0.0))
+                if len(rows) > 100_000:
                     yield pd.DataFrame(rows, columns=PARTS.names)
                     rows = []
-            if rows:
-                yield pd.DataFrame(rows, columns=PARTS.names)
+            yield pd.DataFrame(rows, columns=PARTS.names)
 
-    parts = documents(docs).withColumn("text_hash", F.xxhash64("text")).mapInPandas(run, PARTS)
+        for batch in batches:
+            ids, names, texts, size = [], [], [], 0
+            for doc, name, text in zip(batch["doc_id"].tolist(), batch["row"], batch["text"]):
+                ids.append(doc)
+                names.append(name)
+                texts.append(words_of(text))
+                size += len(texts[-1]) + 1
+                if size > 100_000:
+                    yield from scored(ids, names, texts)
+                    ids, names, texts, size = [], [], [], 0
+            if ids:
+                yield from scored(ids, names, texts)
+
+    # a row's name holds blanks, so that no word is equal to it; parts of a task that runs again are the same
+    name = F.concat_ws(" ", F.lit(" row"), F.spark_partition_id(), F.monotonically_increasing_id())
+    parts = documents(docs).select("doc_id", "text", name.alias("row")).mapInPandas(run, PARTS)
     here = F.coalesce("c", F.lit(0))
-    log = F.col("times") * F.log10(here + ALPHA)
-    sums = parts.join(counts, "word", "left").groupBy("doc_id", "text_hash").agg(
-        F.sum("copies").alias("copies"),
+    log = F.when(F.col("times") > 0, F.col("times") * F.log10(here + ALPHA)).otherwise(0.0)
+    sums = parts.join(counts, "word", "left").groupBy("row").agg(
+        F.max("doc_id").alias("doc_id"),
         F.sum("n_tokens").alias("n_tokens"),
         F.sum(F.col("known") + F.when(here > 0, F.col("times")).otherwise(0)).alias("n_known"),
         F.sum(F.col("base") + log).alias("base"),
-        F.sum(F.col("own") + log).alias("own"),
+        F.sum(F.col("own") + log).alias("score"),
     )
     floor = float(np.log10(model.tokens + ALPHA * (model.distinct + 1)))
-    each = [(F.col(c) / F.col("copies")).alias(c) for c in ("n_tokens", "n_known", "base", "own")]
-    return sums.select("doc_id", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))), *each).select(
+    return sums.select(
         "doc_id",
         F.col("n_tokens").cast("long").alias("n_tokens"),
         F.col("n_known").cast("long").alias("n_known"),
         F.lit(model.tokens).cast("long").alias("train_tokens"),
         (F.col("base") - F.col("n_tokens") * F.lit(floor)).alias("base_score"),
-        F.col("own").alias("score"),
+        "score",
     )
