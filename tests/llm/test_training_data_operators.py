@@ -120,13 +120,62 @@ def test_simhash(docs, rows):
     links = [(a, b) for a in ids for b in ids if a < b and (prints[a] ^ prints[b]).bit_count() <= 3]
     want = united(ids, links)
     assert all(r.component_id == want[r.doc_id] for r in got)
-    kept = simhash.deduplicated(docs)
-    assert kept.columns == docs.columns
-    assert {r.doc_id for r in kept.select("doc_id").collect()} == set(want.values())
 
 
 def test_simhash_nothing(nothing):
     assert simhash.near_duplicates(nothing).count() == 0
+    assert simhash.deduplicated(nothing).count() == 0
+
+
+def brute_shingles(text):
+    w = words((text or "").translate(LOWER))
+    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4)))
+
+
+def test_near_copies(docs, rows, spark):
+    rng, base = np.random.default_rng(8), next(t for d, t, *_ in rows if t and 300 < len(words(t)) < 900)
+    more = []
+    for k in range(30):
+        w = base.split()
+        for at in rng.choice(len(w), k // 3, replace=False):
+            w[at] = f"new{k}x{at}"
+        more.append((10_000 + k, " ".join(w), "en", "src0", 1))
+    every = rows + more
+    df = spark.createDataFrame([(*r, 1, "s", "l", "f", "c", "w", 2, "x", 3) for r in every], SCHEMA)
+    got = {}
+    for r in simhash.near_copies(df).collect():
+        got.setdefault(r.component, set()).add(r.doc_id)
+    sets = {d: brute_shingles(t) for d, t, *_ in every}
+    ids = sorted(sets)
+    alike = [(a, b) for a in ids for b in ids if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    near = [(a, b) for a, b in alike if len(sets[a] & sets[b]) >= 0.9 * len(sets[a] | sets[b])]
+    of = {d: c for c, members in got.items() for d in members}
+    assert sum(of[a] == of[b] for a, b in near) >= 0.98 * len(near) > 100
+    assert sum(of[a] == of[b] for a, b in alike) >= 0.9 * len(alike)
+    want = united(ids, alike)
+    assert all(len({want[d] for d in members}) == 1 for members in got.values())
+    kept = simhash.deduplicated(df)
+    assert kept.columns == df.columns
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(min(m) for m in got.values())
+
+
+def test_one_of_equal_rows_stays(spark):
+    other = " ".join(f"w{k}" for k in range(30))
+    df = spark.createDataFrame([(None, PASSAGE, 1), (None, PASSAGE, 1), (None, other, 2), (4, other + " ", 3), (5, "solo text", 4), (5, "solo text", 4), (6, None, 5), (7, " ", 6)], "doc_id long, text string, key int")
+    got = sorted((r.doc_id if r.doc_id is not None else -1, r.key) for r in simhash.deduplicated(df).collect())
+    assert got == [(-1, 1), (-1, 2), (5, 4), (6, 5)]
+
+
+def test_buckets_of_any_size_link_nearest():
+    rng = np.random.default_rng(4)
+    fp = np.repeat(rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64), 6000, axis=0)
+    for k in range(6000):
+        for bit in rng.integers(0, 256, 6):
+            fp[k, bit // 64] ^= np.uint64(1 << int(bit % 64))
+    bucket = simhash._Bucket(56)
+    ends = [bucket.add(np.arange(lo, lo + 1500), fp[lo : lo + 1500]) for lo in range(0, 6000, 1500)]
+    a, b = (np.concatenate([x for e in ends for x in e[k]]) for k in (0, 1))
+    assert sorted(a.tolist()) == list(range(1, 6000)) and (b < a).all() and len(bucket.node) < 4400
 
 
 def test_simhash_variants_meet():

@@ -112,6 +112,14 @@ def documents(docs: DataFrame, *more: str) -> DataFrame:
     )
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no column of that name (Spark ignores case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def hash_sample(df: DataFrame, key: str, by: str, each: int, seed: int = 7) -> DataFrame:
     """About ``each`` rows for each value of ``by`` (all where it has fewer), chosen by a hash of ``key``."""
     share = df.groupBy(by).agg((F.lit(float(each)) / F.count(F.lit(1))).alias("_share"))
