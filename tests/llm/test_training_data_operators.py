@@ -208,8 +208,7 @@ def test_components(spark):
     assert common.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_suffixes(docs, rows):
-    got = sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in suffixes.deduplicated(docs).collect())
+def brute_removed(rows):
     first: dict[bytes, int] = {}
     for d, t, *_ in rows:
         x = (t or "").encode()
@@ -225,7 +224,31 @@ def test_suffixes(docs, rows):
                 gone[i : i + 50] = True
         kept = bytes(c for c, g in zip(x, gone) if not g)
         want.append((d, len(x), int(gone.sum()), int((np.diff(np.r_[False, gone].astype(int)) == 1).sum()), hashlib.sha256(kept).hexdigest()))
-    assert got == sorted(want)
+    return sorted(want)
+
+
+def removed(df):
+    return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in df.collect())
+
+
+def test_suffixes(docs, rows):
+    assert removed(suffixes.deduplicated(docs)) == brute_removed(rows)
+
+
+def test_suffixes_of_a_passage_in_many_documents(spark):
+    rng, rows = np.random.default_rng(6), []
+    for d in range(300):
+        own = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+        rows.append((d, own(int(rng.integers(60))) + PASSAGE[: int(rng.integers(40, len(PASSAGE)))] + own(int(rng.integers(60)))))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute_removed(rows)
+    spans_ = suffixes.removed_spans(df, together=5)
+    assert sum(w[2] > 0 for w in want) > 200
+    marked = {}
+    for r in spans_.collect():
+        marked.setdefault(r.doc_id, set()).update(k for s in r.spans for k in range(s.a, s.b))
+    assert {d: len(m) for d, m in marked.items()} == {w[0]: w[2] for w in want if w[2]}
+    assert removed(suffixes.deduplicated(df)) == want
 
 
 def test_suffixes_nothing(nothing):
@@ -255,7 +278,8 @@ def test_long_texts_are_cut_with_overlap(monkeypatch):
     starts = []
     for rows_, offsets, parts in suffixes._buffers(pd.DataFrame({"text": ["short", text, ""]}), 50):
         base = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-        part, first, last, _ = suffixes.anchored(parts, 50)
+        part, first, last, _, own = suffixes.anchored(parts, 50)
+        assert ((own >= first) & (own + suffixes.GRAM <= first + 50) | (own > first)).all()
         for p, a, b in zip(part, first, last):
             assert rows_[p] == 1
             starts += range(a - base[p] + offsets[p], b - base[p] + offsets[p] + 1)

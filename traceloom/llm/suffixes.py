@@ -3,17 +3,22 @@
 A byte goes if a string of ``length`` (50) bytes covers it that also starts in a document with a smaller
 id. The corpus has no suffix array of its own; its work is cut so that strings that can be equal meet:
 
-1. Every window of 50 bytes belongs to an anchor, the least-hashed 16-byte string in it (leftmost), so
+1. Every window of 50 bytes belongs to an anchor, the least-hashed 24-byte string in it (leftmost), so
    equal windows have equal anchors at equal places. One aggregation finds anchors of several documents.
-2. For these, runs of windows with one anchor are kept as contexts of at most 84 bytes. Equal
-   contexts are one, with the smallest document.
-3. Contexts are dealt by anchor to shards. A shard's text gets its suffixes sorted and transformed, and
-   breadth-first backward extension sets common prefixes by increasing value, level by level: a
-   neighbour pair is set once a pair between the two suffixes behind it is. It stops at 50;
+2. For these, runs of windows with one anchor are contexts of at most 76 bytes. Anchors that have one context
+   everywhere are done: all its windows share their smallest document (contexts are told apart by a 64-bit hash).
+3. Of the others, equal contexts are one, with the smallest document. Each is split in two: windows with 13 bytes
+   or more before the anchor, which must agree on these and the anchor, and the rest, which must agree
+   on the anchor and 13 bytes after it. Those that agree meet in a shard. A shard's text gets its suffixes
+   sorted and transformed, and breadth-first backward extension sets common prefixes by increasing value,
+   level by level: a neighbour pair is set once a pair between the two suffixes behind it is. It stops at 50;
    the neighbours not set share 50 bytes. Each group of equal windows learns its smallest document.
+   Parts that agree in more contexts than a task should hold (a passage in very many documents, each time
+   with something else beside it) are taken window by window, in an aggregation that Spark combines map-side.
 4. Occurrences meet their context's answer, and each document its spans.
 
-Bitmaps of fixed size only spare work: they drop anchors and documents that surely have no match.
+Bitmaps of fixed size only spare work: they drop anchors and documents that surely have no match. The more
+anchors there are in all, the less they spare; the result is the same.
 """
 
 from __future__ import annotations
@@ -28,10 +33,11 @@ from pyspark.sql import types as T
 
 from .common import LONG, discard, documents, release, schema, written
 
-GRAM = 16
+GRAM = 24
 PLACE = 20  # bits for a place within a buffer
 BUFFER = (1 << PLACE) - 4096
 SHARD_BYTES = 1_500_000
+TOGETHER = 20_000  # contexts that agree on a part are compared in one task up to this number
 BINARY = T.BinaryType()
 
 
@@ -44,21 +50,22 @@ def _sliding(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
-def anchored(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of windows with one anchor, over the joined ``parts``: part, first and last window start, anchor's hash."""
+def anchored(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of windows with one anchor, over the joined ``parts``: part, first and last window start, anchor's hash and start."""
     sizes = np.array([len(p) for p in parts])
     starts = np.concatenate([[0], np.cumsum(sizes)])
     n = int(starts[-1])
     none = np.zeros(0, np.int64)
     if n < length:
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none
     raw = b"".join(parts) + bytes(32)
-    words = np.empty(n + 16, dtype=np.uint64)
+    words = np.empty(n + 24, dtype=np.uint64)
     for o in range(8):
         at = words[o::8]
         at[:] = np.frombuffer(raw, dtype="<u8", count=len(at), offset=o)
     z = (words[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ ((words[8 : n + 8] + np.uint64(0x7F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F))
     z ^= z >> np.uint64(31)
+    z += words[16 : n + 16]
     z *= np.uint64(0xBF58476D1CE4E5B9)
     z ^= z >> np.uint64(29)
     z *= np.uint64(0x94D049BB133111EB)
@@ -70,11 +77,11 @@ def anchored(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
         valid[a : max(a, a + size - length + 1)] = True
     s = np.flatnonzero(valid)
     if not len(s):
-        return none, none, none, none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none
     own = own[s]
     first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (s[1:] != s[:-1] + 1)])
     last = np.r_[first[1:], len(s)] - 1
-    return np.searchsorted(starts, s[first], side="right") - 1, s[first], s[last], z[own[first]]
+    return np.searchsorted(starts, s[first], side="right") - 1, s[first], s[last], z[own[first]], own[first]
 
 
 def _buffers(batch: pd.DataFrame, length: int):
@@ -166,28 +173,51 @@ def smallest_documents(contexts: list[bytes], docs: np.ndarray, length: int) ->
 
 
 CONTEXTS = schema(
-    ("anchor", LONG), ("key", LONG), ("context", BINARY), ("doc_id", LONG), ("text_hash", LONG), ("start", LONG), ("windows", LONG)
+    ("anchor", LONG), ("key", LONG), ("context", BINARY), ("place", T.IntegerType()), ("doc_id", LONG), ("text_hash", LONG), ("start", LONG), ("windows", T.IntegerType())
 )
+SIDES = schema(("side", LONG), ("anchor", LONG), ("key", LONG), ("at", T.IntegerType()), ("part", BINARY), ("least", LONG), ("most", LONG))
 ANSWERS = schema(("anchor", LONG), ("key", LONG), ("first", LONG), ("last", LONG), ("least", LONG))
 
 
-def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25) -> DataFrame:
-    """doc_id, text_hash, spans: arrays of (from, to) bytes to remove, unmerged, of documents that have any."""
+def _digest(part: bytes) -> int:
     import xxhash
 
+    return xxhash.xxh3_64_intdigest(part)
+
+
+def _signed(hashes: list[int]) -> np.ndarray:
+    return np.array(hashes, np.uint64).view(np.int64)
+
+
+def sides(context: bytes, place: int, length: int) -> list[tuple[bytes, int, bytes]]:
+    """(what its windows agree on, first window, bytes) of the context's windows with much before the anchor, and of the rest.
+
+    ``place``: where the anchor starts. A window has ``length - GRAM`` bytes around it, so half of them on one side.
+    """
+    half, last = (length - GRAM) // 2, len(context) - length
+    out = []
+    if place >= half:
+        out.append((b"<" + context[place - half : place + GRAM], 0, context[: min(last, place - half) + length]))
+    if last > place - half:
+        at = max(0, place - half + 1)
+        out.append((b">" + context[place : place + GRAM + half], at, context[at:]))
+    return out
+
+
+def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25, together: int = TOGETHER) -> DataFrame:
+    """doc_id, text_hash, spans: arrays of (from, to) bytes to remove, unmerged, of documents that have any."""
     if not GRAM < length <= 64:
         raise ValueError("windows must be longer than an anchor and at most 64 bytes")
     texts = documents(docs).where(F.octet_length("text") >= length).withColumn("text_hash", F.xxhash64("text"))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            ids = batch["doc_id"].to_numpy()
-            for rows, _, parts in _buffers(batch, length):
-                part, _, _, anchor = anchored(parts, length)
-                yield pd.DataFrame({"anchor": anchor.view(np.int64), "doc_id": ids[np.array(rows, np.int64)[part]]})
+            for _, _, parts in _buffers(batch, length):
+                part, _, _, anchor, _ = anchored(parts, length)
+                _, once = np.unique(anchor + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
+                yield pd.DataFrame({"anchor": anchor.view(np.int64)[once]})  # each once a text
 
-    found = texts.select("doc_id", "text").mapInPandas(find, schema(("anchor", LONG), ("doc_id", LONG)))
-    shared = found.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b")
+    shared = texts.select("text").mapInPandas(find, schema(("anchor", LONG))).groupBy("anchor").count().where("count > 1")
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(bitmap(shared.select("anchor"), "anchor", anchor_bits))
     release(spark)
@@ -197,7 +227,7 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25)
         for batch in batches:
             ids, hashes = batch["doc_id"].to_numpy(), batch["text_hash"].to_numpy()
             for rows, offsets, parts in _buffers(batch, length):
-                part, first, last, anchor = anchored(parts, length)
+                part, first, last, anchor, own = anchored(parts, length)
                 anchor = anchor.view(np.int64)
                 keep = np.flatnonzero(in_bitmap(words, anchor))
                 if not len(keep):
@@ -209,17 +239,17 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25)
                 yield pd.DataFrame(
                     {
                         "anchor": anchor[keep],
-                        "key": np.array([xxhash.xxh3_64_intdigest(t) for t in texts_], np.uint64).view(np.int64),
+                        "key": _signed([_digest(t) for t in texts_]),
                         "context": pd.Series(texts_, dtype=object),
+                        "place": (own[keep] - first[keep]).astype(np.int32),
                         "doc_id": ids[row],
                         "text_hash": hashes[row],
                         "start": first[keep] - base[of] + np.array(offsets, np.int64)[of],
-                        "windows": last[keep] - first[keep] + 1,
+                        "windows": (last[keep] - first[keep] + 1).astype(np.int32),
                     }
                 )
 
     contexts = written(texts.select("doc_id", "text_hash", "text").mapInPandas(cut, CONTEXTS), "contexts")
-    # anchors with one context everywhere need no look at bytes: all its windows share their documents
     kinds = contexts.groupBy("anchor").agg(
         F.min("key").alias("key"), F.max("key").alias("other"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
     )
@@ -231,58 +261,107 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25)
     def maybe_mixed(anchors: pd.Series) -> pd.Series:
         return pd.Series(in_bitmap(mixed_bits.value, anchors.to_numpy()))
 
-    mixed = contexts.select("anchor", "context", "doc_id").where(maybe_mixed("anchor"))
-    distinct = mixed.groupBy("anchor", "context").agg(F.min("doc_id").alias("least"))
+    mixed = contexts.where(maybe_mixed("anchor")).groupBy("anchor", "key").agg(
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("context").alias("context"), F.first("place").alias("place")
+    )
+
+    def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [
+                (_digest(agreed), anchor, key, at, part, least, most)
+                for anchor, key, context, place, least, most in zip(*(batch[c] for c in ("anchor", "key", "context", "place", "least", "most")))
+                for agreed, at, part in sides(context, place, length)
+            ]
+            out = pd.DataFrame(rows, columns=SIDES.names)
+            yield out.assign(side=_signed([r[0] for r in rows]))
+
+    halves = written(mixed.mapInPandas(split, SIDES), "sides")
+    release(spark)
+    met = halves.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("a"), F.max("least").alias("b"))
+    met = written(met.where("n > 1 and a < b").select("side", "n"), "met-sides")
+    many = met.where(F.col("n") > together).select("side")
+    met_bits = spark.sparkContext.broadcast(bitmap(met.where(F.col("n") <= together).select("side"), "side", anchor_bits))
+
+    @F.pandas_udf("boolean")
+    def maybe_met(values: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(met_bits.value, values.to_numpy()))
 
     def shard(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, size = [], 0
         for batch in batches:
-            held = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            while len(held) * (length + 20) > SHARD_BYTES:
-                anchor = held["anchor"].to_numpy()
-                at = min(len(held) - 1, SHARD_BYTES // (length + 20))
-                end = int(np.searchsorted(anchor, anchor[at]))  # whole anchors only
-                if end == 0:
-                    end = int(np.searchsorted(anchor, anchor[at], side="right"))
-                    if end == len(held):
-                        break
-                yield answers(held.iloc[:end])
-                held = held.iloc[end:].reset_index(drop=True)
-        if held is not None and len(held):
-            yield answers(held)
-
-    def answers(own: pd.DataFrame) -> pd.DataFrame:
-        anchor, least = own["anchor"].to_numpy(), own["least"].to_numpy()
-        key = np.array([xxhash.xxh3_64_intdigest(t) for t in own["context"]], np.uint64).view(np.int64)
-        several = np.zeros(len(own), dtype=bool)
-        same = anchor[1:] == anchor[:-1]
-        several[1:] |= same
-        several[:-1] |= same
-        many = np.flatnonzero(several)  # the others are here by a bit of the bitmap alone
-        if not len(many):
-            return pd.DataFrame({c: np.zeros(0, np.int64) for c in ANSWERS.names})
-        each = smallest_documents(own["context"].iloc[many].tolist(), least[many], length)
-        flat = np.concatenate(each)
-        size = np.array([len(e) for e in each])
+            held.append(batch)
+            size += len(batch) * (length + 20)
+            if size > SHARD_BYTES:
+                every = pd.concat(held, ignore_index=True)
+                side = every["side"].to_numpy()
+                end = int(np.searchsorted(side, side[-1]))  # the last one may go on
+                if end:
+                    yield from answers(every.iloc[:end])
+                held, size = [every.iloc[end:]], (len(every) - end) * (length + 20)
+        if held:
+            yield from answers(pd.concat(held, ignore_index=True))
+
+    def answers(own: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        side = own["side"].to_numpy()
+        start = np.flatnonzero(np.r_[True, side[1:] != side[:-1]]) if len(side) else np.zeros(0, np.int64)
+        size = np.diff(np.r_[start, len(side)])
+        own = own[np.repeat(size > 1, size)]  # the others are here by a bit of the bitmap alone
+        side = own["side"].to_numpy()
+        most = SHARD_BYTES // (length + 20)
+        lo = 0
+        while lo < len(own):
+            hi = len(own) if len(own) - lo <= most else max(int(np.searchsorted(side, side[lo + most])), int(np.searchsorted(side, side[lo], "right")))
+            yield compared(own.iloc[lo:hi])
+            lo = hi
+
+    def compared(own: pd.DataFrame) -> pd.DataFrame:
+        anchor, key, at = (own[c].to_numpy() for c in ("anchor", "key", "at"))
+        each = smallest_documents(own["part"].tolist(), own["least"].to_numpy(), length)
+        flat, size = np.concatenate(each), np.array([len(e) for e in each])
         base = np.concatenate([[0], np.cumsum(size)[:-1]])
-        owner = np.repeat(np.arange(len(many)), size)
+        owner = np.repeat(np.arange(len(own)), size)
         first = np.flatnonzero(np.r_[True, (flat[1:] != flat[:-1]) | (owner[1:] != owner[:-1])])
         last = np.r_[first[1:], len(flat)] - 1
-        at = many[owner[first]]
-        return pd.DataFrame(
-            {"anchor": anchor[at], "key": key[at], "first": first - base[owner[first]], "last": last - base[owner[first]], "least": flat[first]}
-        )
+        of = owner[first]
+        less = flat[first] < own["least"].to_numpy()[of]  # the others' smallest document is their context's own
+        first, last, of = first[less], last[less], of[less]
+        shift = at[of] - base[of]
+        return pd.DataFrame({"anchor": anchor[of], "key": key[of], "first": first + shift, "last": last + shift, "least": flat[first]})
 
-    dealt = distinct.repartition("anchor").sortWithinPartitions("anchor").select("anchor", "context", "least")
+    dealt = halves.where(maybe_met("side")).join(many, "side", "left_anti").repartition("side").sortWithinPartitions("side")
     found_mixed = written(dealt.mapInPandas(shard, ANSWERS), "answers")
     release(spark)
+    tables = [contexts, kinds, halves, met, found_mixed]
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 2000):
+                part = batch.iloc[lo : lo + 2000]
+                rows = [
+                    (anchor, key, at + i, least, text[i : i + length])
+                    for anchor, key, at, text, least in zip(part["anchor"], part["key"], part["at"], part["part"], part["least"])
+                    for i in range(len(text) - length + 1)
+                ]
+                yield pd.DataFrame(rows, columns=["anchor", "key", "first", "own", "window"])
+
+    if not many.isEmpty():
+        single = halves.join(many, "side", "left_semi").mapInPandas(windows, schema(("anchor", LONG), ("key", LONG), ("first", LONG), ("own", LONG), ("window", BINARY)))
+        single = written(single, "single-windows")
+        tables.append(single)
+        smallest = single.groupBy("window").agg(F.min("own").alias("least"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+        by_window = single.join(smallest, "window").where("least < own").select("anchor", "key", "first", F.col("first").alias("last"), "least")
+        found_mixed = found_mixed.unionByName(by_window)
+
+    # of the documents of one context, the later ones lose it whole; each context has one part that begins where it does
+    same = halves.where("at = 0 and least < most").select("anchor", "key", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"), "least")
     uniform = kinds.where("key = other").select("anchor", "key", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"), "least")
-    hits = contexts.select("anchor", "key", "doc_id", "text_hash", "start", "windows").join(found_mixed.unionByName(uniform), ["anchor", "key"]).where("least < doc_id")
+    answered = found_mixed.unionByName(same).unionByName(uniform)
+    hits = contexts.select("anchor", "key", "doc_id", "text_hash", "start", "windows").join(answered, ["anchor", "key"]).where("least < doc_id")
     to = F.col("start") + F.when(F.col("last") < 0, F.col("windows") - 1).otherwise(F.col("last")) + length
     span = F.struct((F.col("start") + F.col("first")).alias("a"), to.alias("b"))
     spans = hits.select("doc_id", "text_hash", span.alias("span")).groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("spans"))
     spans = written(spans, "removed")
-    for done in (contexts, kinds, found_mixed):
+    for done in tables:
         discard(done)
     release(spark)
     return spans
