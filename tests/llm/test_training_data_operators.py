@@ -352,11 +352,12 @@ def brute_logs(model, counts, text):
     for word in [*(x.encode() for x in words((text or "").translate(LOWER))), None]:
         item = 0 if word is None else own.get(word, 1 + zlib.crc32(word[-2:]) % logbilinear.ENDINGS)
         h = sum(w["r"][p].astype(float) * w["place"][k] for k, p in enumerate(before))
-        s = w["qc"].astype(float) @ h + w["bc"][:, 0]
-        c = item // z.each
+        h = [*h, 1.0]
+        s = w["qc"].astype(float) @ h
+        c = int(np.searchsorted(z.start, item, side="right")) - 1
         total += (s[c] - np.log(np.exp(s).sum())) / np.log(10)
-        low = c * z.each
-        s = w["q"][low : min(low + z.each, z.items)].astype(float) @ h + w["b"][low : min(low + z.each, z.items), 0]
+        low = z.start[c]
+        s = w["q"][low : z.start[c + 1]].astype(float) @ h
         total += (s[item - low] - np.log(np.exp(s).sum())) / np.log(10)
         if 0 < item < logbilinear.FIRST:
             total += math.log10(counts[word] + 0.1) - model.shared[item]

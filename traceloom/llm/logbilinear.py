@@ -4,8 +4,8 @@ The model predicts each word from the four before it: their vectors, each weight
 place, add up to a state, and an item's score is the state's product with the item's own vector, plus a
 bias. Items are the end mark, the words of the vocabulary and ``ENDINGS`` groups of all other words by
 their last two bytes. The vocabulary grows with the corpus: all words that occur at least
-``sqrt(tokens) / RARITY`` times. Items are cut into classes of equal size, so that two matrix products give
-normalised log-probabilities: of the classes, and of the items in the class. Words of a group share its
+``sqrt(tokens) / RARITY`` times. Items are cut into classes, the commonest into small ones, so that two matrix
+products give normalised log-probabilities: of the classes, and of the items in the class. Words of a group share its
 probability by their counts plus 0.1, as does one place for all words of it that training never met.
 
 Training is a few rounds, each over a part of the training documents. In a round every task trains a copy
@@ -69,16 +69,25 @@ def ending(word: bytes) -> int:
 
 @dataclass
 class Sizes:
-    """Items are the end mark, the endings, then the vocabulary by falling count."""
+    """Items are the end mark, the endings, then the vocabulary by falling count; ``start`` is where each class begins, and all end."""
 
     items: int
-    classes: int
-    each: int  # items of a class
+    start: np.ndarray
 
     @classmethod
     def of(cls, items: int) -> Sizes:
-        each = -(-items // max(1, int(np.sqrt(items))))
-        return cls(items, -(-items // each), each)
+        classes = max(1, int(0.75 * np.sqrt(items)))
+        grown = np.arange(1, classes + 1) ** 2 / classes**2 * max(0, items - 16 * classes) + 16 * np.arange(1, classes + 1)
+        start = np.unique(np.r_[0, np.minimum(items, np.ceil(grown)), items].astype(np.int64))
+        return cls(items, start)
+
+    @property
+    def classes(self) -> int:
+        return len(self.start) - 1
+
+    @property
+    def class_of(self) -> np.ndarray:
+        return np.repeat(np.arange(self.classes), np.diff(self.start))
 
 
 class Encoder:
@@ -116,17 +125,26 @@ def initial(sizes: Sizes, unigram: np.ndarray, seed: int = 5) -> Weights:
     def normal(*shape: int) -> np.ndarray:
         return rng.normal(0, 0.1, shape).astype(np.float32)
 
-    share = np.zeros(sizes.classes * sizes.each)
-    share[: sizes.items] = unigram
-    by_class = share.reshape(sizes.classes, sizes.each).sum(axis=1)
-    within = np.log(np.maximum(share, 1e-30)) - np.repeat(np.log(by_class), sizes.each)
+    by_class = np.add.reduceat(unigram, sizes.start[:-1])
+    within = np.log(np.maximum(unigram, 1e-30) / by_class[sizes.class_of])
+
+    def outputs(bias: np.ndarray) -> np.ndarray:
+        return np.concatenate([np.zeros((len(bias), WIDTH)), bias[:, None]], axis=1).astype(np.float32)
+
     return {
         "r": normal(sizes.items, WIDTH), "place": np.ones((PLACES, WIDTH), np.float32) / 2,
-        "q": np.zeros((len(share), WIDTH), np.float32), "b": within[:, None].astype(np.float32),
-        "qc": np.zeros((sizes.classes, WIDTH), np.float32), "bc": np.log(by_class)[:, None].astype(np.float32),
+        "q": outputs(within), "qc": outputs(np.log(by_class)),  # the last number of each is its bias
     }
 
 
+def states(w: Weights, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The inputs' vectors, and the states with a one after them, which takes the bias."""
+    x = w["r"][inputs]
+    h = np.ones((len(x), WIDTH + 1), np.float32)
+    np.einsum("bkd,kd->bd", x, w["place"], out=h[:, :WIDTH])
+    return x, h
+
+
 class Trainer:
     """Stochastic gradient steps on a copy of the weights; Adagrad sets each number's pace.
 
@@ -139,14 +157,13 @@ class Trainer:
         self.trained = {k: np.zeros(len(v), np.float64) for k, v in weights.items()}
         self.last = {k: np.zeros(len(v), np.int32) for k, v in weights.items()}
         self.sizes, self.rng, self.pace = sizes, np.random.default_rng(seed), pace
-        share = np.zeros(sizes.classes * sizes.each)
-        share[: sizes.items] = unigram
-        self.class_share = share.reshape(sizes.classes, sizes.each).sum(axis=1)
-        self.log_within = np.log(np.maximum(share / np.repeat(self.class_share, sizes.each), 1e-30)).astype(np.float32)
-        upto = np.r_[0, np.cumsum(share)]
-        at = np.arange(sizes.classes)[:, None] * sizes.each
-        draw = upto[at] + self.rng.random((sizes.classes, 1024)) * (upto[at + sizes.each] - upto[at])
-        self.noise = np.clip(np.searchsorted(upto, draw, side="right") - 1, at, at + sizes.each - 1)
+        self.class_of = sizes.class_of
+        self.class_share = np.add.reduceat(unigram, sizes.start[:-1])
+        self.log_within = np.log(np.maximum(unigram / self.class_share[self.class_of], 1e-30)).astype(np.float32)
+        upto, low = np.r_[0, np.cumsum(unigram)], sizes.start[:-1, None]
+        high = sizes.start[1:, None]
+        draw = upto[low] + self.rng.random((sizes.classes, 1024)) * (upto[high] - upto[low])
+        self.noise = np.clip(np.searchsorted(upto, draw, side="right") - 1, low, high - 1)
 
     def _rows(self, name: str, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
         every = np.arange(len(rows), dtype=np.int32)
@@ -162,44 +179,40 @@ class Trainer:
 
     def words(self, inputs: np.ndarray, item: np.ndarray, batch: int, classes: int = 64, own: int = 3, rate: float = 0.04) -> None:
         """One pass, in random order. Noise: ``classes`` classes shared by a batch, ``own`` words of each true word's class."""
-        w, each = self.w, self.sizes.each
+        w = self.w
         log_own = np.float32(np.log(own))
         order = self.rng.permutation(len(item))
         for lo in range(0, len(item), batch):
             pick = order[lo : lo + batch]
             rows, t = inputs[pick], item[pick]
-            c = t // each
-            x = w["r"][rows]
-            h = np.einsum("bkd,kd->bd", x, w["place"])
+            c = self.class_of[t]
+            x, h = states(w, rows)
             gh = self._against_classes(h, c, classes, rate)
             every = np.empty((len(t), own + 1), np.int64)
             every[:, 0] = t
             every[:, 1:] = self.noise[c[:, None], self.rng.integers(0, 1024, (len(t), own))]
             q = w["q"][every]
-            s = np.einsum("bd,bkd->bk", h, q) + w["b"][every, 0] - log_own - self.log_within[every]
+            s = np.einsum("bd,bkd->bk", h, q) - (self.log_within[every] + log_own)
             g = 1 / (1 + np.exp(-np.clip(s, -30, 30)))  # P(data)
             g[:, 0] -= 1
             gh += np.einsum("bk,bkd->bd", g, q)
-            self._rows("q", every.ravel(), (g[:, :, None] * h[:, None, :]).reshape(-1, h.shape[1]), rate)
-            self._rows("b", every.ravel(), g.reshape(-1, 1), rate)
-            self._step("place", slice(None), np.einsum("bkd,bd->kd", x, gh), 1, rate / 4)
-            self._rows("r", rows.ravel(), (gh[:, None, :] * w["place"]).reshape(-1, h.shape[1]), rate)
+            gh = gh[:, None, :WIDTH]
+            self._rows("q", every.ravel(), (g[:, :, None] * h[:, None, :]).reshape(-1, WIDTH + 1), rate)
+            self._step("place", slice(None), np.einsum("bkd,bd->kd", x, gh[:, 0]), 1, rate / 4)
+            self._rows("r", rows.ravel(), (gh * w["place"]).reshape(-1, WIDTH), rate)
 
     def _against_classes(self, h: np.ndarray, true: np.ndarray, k: int, rate: float) -> np.ndarray:
         """Moves classes towards the true and away from ``k`` shared noise classes; returns the states' gradient."""
-        q, b = self.w["qc"], self.w["bc"][:, 0]
+        q = self.w["qc"]
         noise, times = np.unique(self.rng.choice(len(q), k, p=self.class_share), return_counts=True)
         log_noise = np.log(k * np.maximum(self.class_share, 1e-30)).astype(np.float32)
-        own = -1 / (1 + np.exp(np.clip((h * q[true]).sum(axis=1) + b[true] - log_noise[true], -30, 30)))
-        other = h @ q[noise].T
-        other += b[noise] - log_noise[noise]
-        other = times.astype(np.float32) / (1 + np.exp(-np.clip(other, -30, 30)))
+        own = -1 / (1 + np.exp(np.clip((h * q[true]).sum(axis=1) - log_noise[true], -30, 30)))
+        other = times.astype(np.float32) / (1 + np.exp(-np.clip(h @ q[noise].T - log_noise[noise], -30, 30)))
         gh = own[:, None] * q[true] + other @ q[noise]
         whose = np.zeros((len(h), len(q)), np.float32)
         whose[:, noise] = other
         whose[np.arange(len(h)), true] += own
         self._step("qc", slice(None), whose.T @ h, 1, rate)
-        self._step("bc", slice(None), whose.sum(axis=0)[:, None], 1, rate)
         return gh
 
 
@@ -214,21 +227,20 @@ def log_picked(s: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def item_logs(w: Weights, sizes: Sizes, inputs: np.ndarray, item: np.ndarray) -> np.ndarray:
     """ln P(item | state), normalised over all items, in batched matrix products."""
-    c = item // sizes.each
-    out, h = np.empty(len(item)), np.ones((len(item), WIDTH + 1), np.float32)  # the last number takes the bias
-    qc, q = (np.concatenate([w[v], w[b]], axis=1).T.copy() for v, b in (("qc", "bc"), ("q", "b")))
+    c = sizes.class_of[item]
+    out, h = np.empty(len(item)), np.empty((len(item), WIDTH + 1), np.float32)
+    qc, q = w["qc"].T.copy(), w["q"].T.copy()
     for lo in range(0, len(item), 2048):
         part = slice(lo, lo + 2048)
-        h[part, :WIDTH] = np.einsum("bkd,kd->bd", w["r"][inputs[part]], w["place"])
+        h[part] = states(w, inputs[part])[1]
         out[part] = log_picked(h[part] @ qc, c[part])
     order = np.argsort(c, kind="stable")
-    start = np.flatnonzero(np.r_[True, c[order][1:] != c[order][:-1]])
-    for a, b in zip(start, np.r_[start[1:], len(c)]):
-        low = int(c[order[a]]) * sizes.each
-        own = q[:, low : min(low + sizes.each, sizes.items)]
+    first = np.flatnonzero(np.r_[True, c[order][1:] != c[order][:-1]])
+    for a, b in zip(first, np.r_[first[1:], len(c)]):
+        low, high = sizes.start[c[order[a]]], sizes.start[c[order[a]] + 1]
         for lo in range(a, b, 2048):
             rows = order[lo : min(b, lo + 2048)]
-            out[rows] += log_picked(h[rows] @ own, item[rows] - low)
+            out[rows] += log_picked(h[rows] @ q[:, low:high], item[rows] - low)
     return out
 
 
@@ -333,7 +345,7 @@ def learn(docs: DataFrame) -> tuple[Model, DataFrame]:
             vocabulary = s
     found = counts.where(step >= min(sent, vocabulary)).toArrow()  # at most MOST_WORDS rows
     times, names = found.column("c").to_numpy(), found.column("word").to_pylist()
-    order = np.lexsort([names, -times])
+    order = sorted(range(len(names)), key=lambda k: (-times[k], names[k]))
     common, times = [names[k].encode() for k in order], times[order]
     del found, names
     own = common[: int((np.floor(np.log2(times) * 8) >= vocabulary).sum())]
@@ -376,6 +388,7 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
             others = (item > END) & (item < FIRST)
             each[others] -= m.shared[item[others]]
             rows, lo = [], 0
+            joined: tuple[list, list, list, list] = ([], [], [], [])
             for doc, name, words in zip(ids, names, texts):
                 at = np.fromiter((place.get(w, -1) for w in words), np.int64, len(words))
                 found = logs[at]
@@ -384,12 +397,14 @@ def score(docs: DataFrame, model: Model, counts: DataFrame) -> DataFrame:
                 here = int((at >= 0).sum())
                 rows.append((name, name, doc, 0, len(words) + 1, here + (m.documents > 0), float(found.sum()) + end, float(own)))
                 if here < len(words):
-                    for w, n in Counter(words[k] for k in np.flatnonzero(at < 0)).items():
-                        rows.append((name, w.decode("utf-8", "replace"), doc, n, 0, 0, 0.0, 0.0))
-                if len(rows) > 100_000:
-                    yield pd.DataFrame(rows, columns=PARTS.names)
-                    rows = []
+                    rest = Counter(words[k] for k in np.flatnonzero(at < 0).tolist())
+                    joined[0].extend([name] * len(rest))
+                    joined[1].extend(w.decode("utf-8", "replace") for w in rest)
+                    joined[2].extend([doc] * len(rest))
+                    joined[3].extend(rest.values())
             yield pd.DataFrame(rows, columns=PARTS.names)
+            if joined[0]:
+                yield pd.DataFrame(dict(zip(PARTS.names, joined)) | {"n_tokens": 0, "known": 0, "base": 0.0, "own": 0.0})
 
         for batch in batches:
             ids, names, texts, size = [], [], [], 0
