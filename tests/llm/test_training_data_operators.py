@@ -293,7 +293,11 @@ def test_mixing(docs, rows):
         tokens[re.match("[A-Za-z]*", source or "")[0] or "(none)", lang or "(none)", source if source is not None else "(none)"] += len(words(t))
     total = sum(tokens.values()) // 2
     got = mixing.mix(docs, weights, total=total, epochs=3).toPandas()
-    assert list(got.columns) == [*docs.columns, "_domain", "_tokens", "_epoch"]
+    assert list(got.columns) == [*docs.columns, "_domain", "_tokens", "_epoch"] and (got._bucket == 3).all()
+    taken = docs.withColumn("_domain", F.lit(5)).withColumn("_row", F.lit(6)).withColumn("_rest", F.lit(7))
+    again = mixing.mix(taken, weights, total=total, epochs=3)
+    assert again.columns == [*taken.columns, "__domain", "_tokens", "_epoch"]
+    assert again.where("_domain = 5 and _row = 6 and _rest = 7 and _bucket = 3").count() == len(got)
     per = {}
     for d in {k[0] for k in tokens}:
         for lang in {k[1] for k in tokens if k[0] == d}:
@@ -586,6 +590,10 @@ def test_spans(docs, rows):
     kept = {r.doc_id: r.text for r in got}
     assert kept[9008] == PASSAGE and kept[9009] == "Start here. End there." and kept[9010] == ""
     assert kept[9001] is None
+    taken = docs.withColumn("_hits", F.lit(5)).withColumn("_removed", F.lit(6)).withColumn("_key", F.lit(7))
+    again = spans.without_repeated_spans(taken)
+    assert again.columns == [*taken.columns, "_sentences", "__removed"]
+    assert again.where("_hits = 5 and _removed = 6 and _key = 7").count() == len(rows)
 
 
 def test_spans_nothing(nothing):
@@ -647,6 +655,8 @@ def test_ids_may_be_null(spark):
     df = spark.createDataFrame([(None, PASSAGE), (None, None), (3, PASSAGE)], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in simhash.near_duplicates(df).collect()) == [(-1, -1), (-1, -1), (3, -1)]
     assert packing.pack(df, TOKENIZER).count() == 3
+    large = spark.createDataFrame([(None, "a"), (2**53 + 1, "b")], "doc_id long, text string").coalesce(1)
+    assert sorted(r.doc_id for r in packing.pack(large, TOKENIZER).collect()) == [-1, 2**53 + 1]
     assert suffixes.deduplicated(df).agg(F.sum("n_removed")).first()[0] == len(PASSAGE)
     full = df.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
     assert mixing.mix(full, {}).count() == 3

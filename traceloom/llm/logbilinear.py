@@ -288,7 +288,7 @@ def train(docs: DataFrame, words: list[bytes], unigram: np.ndarray, tokens: int,
     if not tokens:
         return weights, sizes
     passes = int(np.clip(-(-small // tokens), 1, 8))
-    together = int(np.clip(tokens // 1000, 128, 4096))
+    together = int(np.clip(tokens // 1000, 128, 8192))
     spark = docs.sparkSession
     turn = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(rounds))
     for k in range(rounds):

@@ -14,6 +14,8 @@ from collections import defaultdict
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import free_name
+
 WORD = r"[^\x20\x09-\x0D]+"
 NONE = "(none)"
 
@@ -80,12 +82,17 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], total: int | None
     ``weights``: of languages and of sources, by name; those without any are weighted by their tokens.
     ``total``: tokens wanted, all there are if None. Tokens are words. A null language or source is a leaf
     of its own, "(none)", and a null text has no tokens; a text without tokens goes with the prefix it falls in.
+    A null doc_id reads as -1. Rows of a leaf with equal ids stand together: all or none of them end a prefix. Texts
+    are counted whole, however long. An empty table gives an empty one. Columns of ``docs`` may have any names: an
+    added one that is taken gets underscores before it. A language without a weight beside ones that have some
+    keeps the share its tokens have.
     The tree reaches the driver and, with its budgets, every task: more than ``most_leaves`` leaves are an error.
     """
     spark = docs.sparkSession
     names = docs.columns
+    added = [free_name(docs, n) for n in ("_domain", "_tokens", "_epoch")]
     keyed = docs.select(
-        "*",
+        F.struct(*(F.col(f"`{c}`") for c in names)).alias("_row"),  # so that no name of theirs meets one of ours
         F.coalesce(F.nullif(domain_of_source(), F.lit("")), F.lit(NONE)).alias("_domain"),
         F.coalesce("lang", F.lit(NONE)).alias("_lang"),
         F.coalesce("source", F.lit(NONE)).alias("_source"),
@@ -98,7 +105,7 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], total: int | None
         raise ValueError(f"more than {most_leaves} leaves: group sources first")
     held = {(r._domain, r._lang, r._source): int(r.t) for r in sums}
     if not held:
-        return keyed.withColumn("_epoch", F.lit(0)).select(*names, "_domain", "_tokens", "_epoch")
+        return _unpacked(keyed.withColumn("_epoch", F.lit(0)), names, added)
     by_path: dict[tuple, float] = {}
     for d, lang, source in held:
         by_path[d,] = weights.get("domain", {}).get(d)
@@ -131,8 +138,9 @@ def mix(docs: DataFrame, weights: dict[str, dict[str, float]], total: int | None
         | ((F.col("_bucket") == F.col("_edge")) & F.coalesce(F.struct("_order", "_id") <= F.col("_last"), F.lit(False)))
     )
     copies = F.col("_whole") + F.when((F.col("_rest") > 0) & inside, 1).otherwise(0)
-    return (
-        planned.join(F.broadcast(ends), leaf, "left")
-        .withColumn("_epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), (copies - 1).cast("int")))))
-        .select(*names, "_domain", "_tokens", "_epoch")
-    )
+    picked = planned.join(F.broadcast(ends), leaf, "left").withColumn("_epoch", F.explode(F.when(copies > 0, F.sequence(F.lit(0), (copies - 1).cast("int")))))
+    return _unpacked(picked, names, added)
+
+
+def _unpacked(df: DataFrame, names: list[str], added: list[str]) -> DataFrame:
+    return df.select(*(F.col("_row").getField(c).alias(c) for c in names), *(F.col(o).alias(n) for o, n in zip(("_domain", "_tokens", "_epoch"), added)))

@@ -67,7 +67,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, closing
     odd = text.rlike(ODD)
     plain = F.regexp_replace(F.regexp_replace(F.lower(text), f"^[{WS}]+", ""), PIECE, "$1 ")
     prepared = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), F.when(~odd, plain).alias("plain"), F.when(odd, text).alias("odd")
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.when(~odd, plain).alias("plain"), F.when(odd, text).alias("odd")
     )
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

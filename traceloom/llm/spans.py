@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LONG, STRING, discard, documents, release, schema, written
+from .common import LONG, STRING, discard, documents, free_name, release, schema, written
 
 SENTENCE = re.compile(r"[^.!?\n]*(?:[.!?]+|\n|$)\s*")
 CLAUSE = re.compile(r"[^,;:]*(?:[,;:]+|$)\s*")
@@ -178,7 +178,8 @@ def without_repeated_spans(docs: DataFrame, run: int | None = 3, min_words: int
     Blanks within a span do not count. Spans of fewer than ``min_words`` words are not hashed: a
     run of ``run`` sentences that is shorter is left out, and where ``run`` is None runs grow until they
     hold as many. A null text stays null; a text that loses all sentences is empty. Rows with equal doc_id are one
-    document: they do not repeat each other. All other columns are kept.
+    document: they do not repeat each other. Texts are cut whole, however long. An empty table gives an empty one.
+    All other columns are kept, whatever their names: an added one that is taken gets underscores before it.
     """
     hits, spans = repeated_spans(docs, run, min_words)
     hits = hits.groupBy("doc_id").agg(F.collect_set("h1").alias("_hits"))
@@ -186,8 +187,9 @@ def without_repeated_spans(docs: DataFrame, run: int | None = 3, min_words: int
     discard(spans)
     release(docs.sparkSession)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-1))
-    joined = docs.withColumn("_key", key).join(hits.withColumnRenamed("doc_id", "_key"), "_key", "left").drop("_key")
     names = docs.columns
+    row = F.struct(*(F.col(f"`{c}`") for c in names)).alias("row")  # so that no name of theirs meets one of ours
+    joined = docs.select(row, key.alias("_key"), F.col("text").alias("_text")).join(hits.withColumnRenamed("doc_id", "_key"), "_key", "left")
     text_type = T.StructType([T.StructField("text", STRING), T.StructField("_sentences", LONG), T.StructField("_removed", LONG)])
 
     @F.pandas_udf(text_type)
@@ -212,7 +214,8 @@ def without_repeated_spans(docs: DataFrame, run: int | None = 3, min_words: int
             rows.append((kept, n, int(gone.sum())))
         return pd.DataFrame(rows, columns=["text", "_sentences", "_removed"])
 
-    done = joined.withColumn("_cut", cut("text", "_hits"))
+    done = joined.select("row", cut("_text", "_hits").alias("_cut"))
     return done.select(
-        *(F.col("_cut.text").alias("text") if c == "text" else F.col(c) for c in names), "_cut._sentences", "_cut._removed"
+        *(F.col("_cut.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names),
+        F.col("_cut._sentences").alias(free_name(docs, "_sentences")), F.col("_cut._removed").alias(free_name(docs, "_removed")),
     )
