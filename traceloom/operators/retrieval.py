@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from traceloom.functions.ordering import first_n, seeded, seeded_unit
+from traceloom.functions.ordering import first_n, global_row_number, seeded, seeded_unit
 
 
 def split_kinds(vectors: DataFrame, is_tactic: Column) -> tuple[DataFrame, DataFrame]:
@@ -17,19 +17,22 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, most_queries: int = 10_000) -> DataFrame:
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 10_000) -> DataFrame:
     """R2: query, name, score (100 times the dot product), rank: the ``k`` best of ``vectors`` for each query.
 
-    ``queries``: query, v. ``vectors``: name, v. The queries are the small side: their number is checked, and
-    they go to every task; each task keeps ``k`` rows a query before the shuffle.
+    ``queries``: query, v. ``vectors``: name, v. The queries go to every task in blocks of about ``block`` (by a hash of
+    their name); each task keeps ``k`` rows a query before the shuffle. However many there are, each meets every vector.
     """
-    n = queries.limit(most_queries + 1).count()
-    if n > most_queries:
-        raise ValueError(f"more than {most_queries} queries: send them in parts")
-    small = F.broadcast(queries.select("query", F.col("v").alias("_q")))
-    scored = vectors.join(small, how="cross").select("query", "name", (100 * dot(F.col("_q"), F.col("v"))).alias("score"))
+    n = -(-queries.count() // block) or 1
+    small = queries.select("query", F.col("v").alias("_q"), F.pmod(F.xxhash64("query"), F.lit(n)).alias("_block"))
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "name"))
-    return scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+    out = None
+    for b in range(n):
+        own = F.broadcast(small.where(F.col("_block") == b).drop("_block"))  # about ``block`` rows
+        scored = vectors.join(own, how="cross").select("query", "name", (100 * dot(F.col("_q"), F.col("v"))).alias("score"))
+        best = scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def top_k_of_both(queries: DataFrame, premises: DataFrame, tactics: DataFrame, k: int) -> DataFrame:
@@ -107,4 +110,8 @@ def kind_sample(df: DataFrame, kinds: list[str], key: str, n: int, seed: str) ->
 def work_list(df: DataFrame, key: str, ratio: float, seed: str, cap: int | None = None) -> DataFrame:
     """A seeded share of the rows, at least one, at most ``cap``."""
     n = max(1, int(df.count() * ratio))
-    return df.withColumn("_o", seeded(seed, key)).orderBy("_o", key).limit(n if cap is None else min(n, cap)).drop("_o")
+    keyed = df.withColumn("_o", seeded(seed, key))
+    if cap is not None and cap <= n:
+        return keyed.orderBy("_o", key).limit(cap).drop("_o")
+    # the first n by number, without sending them through one task
+    return global_row_number(keyed, "_o", key).where(F.col("rn") <= n).drop("_o", "rn")

@@ -10,17 +10,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-# fixed values: keys a reply must have, by its kind
-REQUIRED = {
-    "enrichment": ("mathematical_domains", "key_concepts", "concept_relations", "intuitive_explanation", "dependent_premises", "potential_applications"),
-    "tactics": ("tactics",),
-    "refined": ("refined_tactic", "reason"),
-    "info": ("info",),
-    "notes": ("add", "remove"),
-    "summary": ("proof_trace", "steps", "score"),
-}
-
-
 def definition_text(mode: str | Column, origin: Column, content: Column, body: Column) -> Column:
     """By mode: origin, internal (content, then ``body: ...``), mixed (both) or empty."""
     mode = F.lit(mode) if isinstance(mode, str) else mode
@@ -51,7 +40,7 @@ def prompt(template: str, *values: Column) -> Column:
     return F.concat(*out)
 
 
-def path_after(path: Column, mark: str = "coq_train/") -> Column:
+def path_after(path: Column, mark: str) -> Column:
     return F.substring_index(path, mark, -1)
 
 
@@ -60,8 +49,11 @@ def remaining(work: DataFrame, done: DataFrame, key: str) -> DataFrame:
     return work.join(done.select(key).distinct(), key, "left_anti")
 
 
-def enriched(df: DataFrame, scorer: Callable[[str], str], key: str, prompt_column: str) -> tuple[DataFrame, DataFrame]:
-    """(key, reply) where the scorer gave one, and (key, prompt, error) where it failed. Rows go by Arrow batch."""
+def enriched(df: DataFrame, scorer: Callable[[str], str], key: str, prompt_column: str, settle: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(key, reply) where the scorer gave one, (key, prompt, error) where it failed, and one row of totals: processed, succeeded, failed.
+
+    Rows go by Arrow batch. ``settle`` writes a table and reads it again, so that each row is scored once.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -74,8 +66,9 @@ def enriched(df: DataFrame, scorer: Callable[[str], str], key: str, prompt_colum
             yield pd.DataFrame(rows, columns=[key, "prompt", "reply", "error"])
 
     kind = dict(df.dtypes)[key]
-    out = df.select(key, prompt_column).mapInPandas(run, f"{key} {kind}, prompt string, reply string, error string")
-    return out.where("error is null").select(key, "reply"), out.where("error is not null").select(key, "prompt", "error")
+    out = settle(df.select(key, prompt_column).mapInPandas(run, f"{key} {kind}, prompt string, reply string, error string"))
+    totals = out.agg(F.count("*").alias("processed"), F.count_if(F.col("error").isNull()).alias("succeeded"), F.count_if(F.col("error").isNotNull()).alias("failed"))
+    return out.where("error is null").select(key, "reply"), out.where("error is not null").select(key, "prompt", "error"), totals
 
 
 def clean_reply(text: Column) -> Column:
@@ -156,19 +149,24 @@ def assembled_prompt(blocks: dict[str, tuple[Column, Column]]) -> Column:
     return F.concat_ws("\n\n", *(F.when(flag, F.concat(F.lit(f"# {name}\n"), text)) for name, (flag, text) in blocks.items()))
 
 
-# fixed values: ablation case -> (origin mode, intuition, definitions)
+# fixed values: ablation case -> (origin mode, intuition, definitions, plain prompt); null keeps the row's own setting
 CASES = {
-    "none": ("empty", False, False), "origin": ("origin", False, True), "internal": ("internal", False, True), "mixed": ("mixed", False, True),
-    "origin_intuition": ("origin", True, True), "internal_intuition": ("internal", True, True), "mixed_intuition": ("mixed", True, True),
-    "origin_internal": ("mixed", False, True), "intuition": ("empty", True, True), "no_definition": ("mixed", True, False), "full": ("mixed", True, True),
+    "no_ref_ps_all": ("mixed", None, False, False), "no_ref_ps_origin": ("origin", None, False, False),
+    "origin_only": ("origin", False, True, False), "internal_only": ("internal", False, True, False), "intuition_only": ("empty", True, True, False),
+    "origin_internal": ("origin", True, True, False), "origin_intuition": ("origin", True, True, False), "internal_intuition": ("internal", True, True, False),
+    "origin_internal_intuition": ("mixed", True, True, False), "zh_explanation": (None, None, True, False), "base": (None, None, True, True),
 }
-CASE = T.StructType([T.StructField("case", T.StringType()), T.StructField("mode", T.StringType()), T.StructField("intuition", T.BooleanType()), T.StructField("definitions", T.BooleanType())])
+CASE = T.StructType([
+    T.StructField("case", T.StringType()), T.StructField("mode", T.StringType()), T.StructField("intuition", T.BooleanType()),
+    T.StructField("definitions", T.BooleanType()), T.StructField("plain", T.BooleanType()),
+])
 
 
-def with_case(df: DataFrame, case: str) -> DataFrame:
-    """Adds mode, intuition and definitions of the row's ablation case."""
+def with_case(df: DataFrame, case: str, mode: str = "mixed", intuition: bool = True) -> DataFrame:
+    """Adds mode, intuition, definitions and plain of the row's ablation case; a case that is not known keeps the settings given."""
     cases = df.sparkSession.createDataFrame([(k, *v) for k, v in CASES.items()], CASE)
-    return df.join(F.broadcast(cases.withColumnRenamed("case", case)), case)  # eleven rows
+    met = df.join(F.broadcast(cases.withColumnRenamed("case", case)), case, "left")  # eleven rows
+    return met.fillna({"mode": mode, "intuition": intuition, "definitions": True, "plain": False}, ["mode", "intuition", "definitions", "plain"])
 
 
 def ranking_card(df: DataFrame, by: str, order: str, tactics: Column, goals: Column) -> DataFrame:

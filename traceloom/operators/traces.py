@@ -13,13 +13,16 @@ from traceloom.functions.ordering import last_wins
 
 # fixed values: markers and kinds of the trace format
 BLOCK_TYPES = ("Vernac", "Constr", "Type", "ProofState")
-KINDS = ("Definition", "Proof", "Fixpoint", "CoFixpoint", "Inductive", "Record", "Class", "Instance", "Context", "Ltac", "TacticNotation", "Primitive", "Arguments")
+KINDS = ("Definition", "Proof", "Assumption", "Inductive", "Fixpoint", "CoFixpoint", "Instance", "Context", "Ltac", "TacticNotation", "Primitive", "Arguments")
 SECTIONS = {"original": "Original:", "pure": "pure constr:", "constr": "constr:", "processed": "processed:"}
 USELESS_ERRORS = (
-    "Syntax error", "Timeout", "Stack overflow", "Out of memory", "not found in the current environment", "No such goal",
-    "Attempt to save an incomplete proof", "Cannot find a physical path", "Unable to locate library", "interrupted", "Anomaly",
+    "Compiled library", "Cannot find a physical path bound to logical path matching suffix", "makes inconsistent assumptions", "error loading shared library:",
+    "File not found", "Unable to locate library", "Error: Native compiler exited", "Error: Unknown interpretation for notation",
+    "Error: This command does not support this attribute", "cmxs", "Uncaught exception Not_found",
 )
-STARTS = ("Lemma", "Theorem", "Definition", "Fixpoint", "CoFixpoint", "Inductive", "Record", "Class", "Instance", "Corollary", "Remark", "Fact")
+STARTS = ("Axiom", "Definition", "Fixpoint", "Lemma", "Theorem", "Instance", "Corollary", "Inductive", "Variable", "Parameter", "Notation", "Ltac")
+DECLARATIONS, BINDER = ("prf", "var", "def"), "binder"
+NO_PATH = "Cannot find a physical path bound to logical path matching suffix"
 
 
 def blocks(lines: DataFrame) -> DataFrame:
@@ -40,9 +43,9 @@ def blocks(lines: DataFrame) -> DataFrame:
             "_end": (kind != "") & F.col("line").contains("End"),
         }
     )
-    same = Window.partitionBy("file", "_name").orderBy("line_no").rowsBetween(1, Window.unboundedFollowing)
+    same = Window.partitionBy("file", "_name").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)  # the lines after
     is_state = F.col("_type") == "ProofState"
-    closes = F.first(F.when(is_state & F.col("_end"), F.col("line_no")), ignorenulls=True).over(same)
+    closes = F.last(F.when(is_state & F.col("_end"), F.col("line_no")), ignorenulls=True).over(same)
     shut = F.when(is_state & F.col("_begin"), F.coalesce(closes, F.lit(2**62)))
     held = F.max(shut).over(over.rowsBetween(Window.unboundedPreceding, -1))
     masked = marked.withColumn("_in", F.coalesce(held >= F.col("line_no"), F.lit(False)))
@@ -154,7 +157,7 @@ _END = re.compile(r"PS End of (\S+) <T>(.*?)</T>", re.DOTALL)
 _NOTICE = re.compile(r"PS Notice.*<T>(.*?)</T>", re.DOTALL)
 
 
-def _steps(lines: list[str], lo: int, hi: int, depth: int, most: int) -> list[tuple[int, int, str, list]]:
+def _steps(lines: list[str], lo: int, hi: int, depth: int, most: float) -> list[tuple[int, int, str, list]]:
     """(begin, end, tactic, children) of the steps at one level of lines[lo:hi]."""
     found, k = [], lo
     while k < hi:
@@ -182,7 +185,7 @@ def _steps(lines: list[str], lo: int, hi: int, depth: int, most: int) -> list[tu
     return found
 
 
-def step_tree(episodes: DataFrame, most_depth: int = 8) -> DataFrame:
+def step_tree(episodes: DataFrame, most_depth: float = float("inf")) -> DataFrame:
     """Episode, path ("i/n" for each level, joined by "-"), depth, tactic, first, last (places in ``lines``).
 
     A step closes at the End with its tactic, counting steps of equal tactic between; a notice that names it
@@ -214,8 +217,10 @@ def step_fields(steps: DataFrame, episodes: DataFrame) -> DataFrame:
     """
     lines = episodes.select("episode", F.posexplode("lines").alias("at", "line")).where(F.col("line").rlike("^PS (Before|After)"))
     named = lines.withColumn("_t", F.regexp_extract("line", r"(?s)<T>(.*?)</T>", 1))
-    met = steps.join(named, "episode", "left").where("_t is null or (at between first and last and _t = tactic) or _t != tactic or at < first or at > last")
-    hit = F.col("at").between(F.col("first"), F.col("last")) & (F.col("_t") == F.col("tactic"))
+    marks = named.select(F.col("episode").alias("_e"), "_t", "at", "line")
+    own = (F.col("episode") == F.col("_e")) & (F.col("tactic") == F.col("_t")) & F.col("at").between(F.col("first"), F.col("last"))
+    met = steps.join(marks, own, "left")
+    hit = F.col("at").isNotNull()
     ml = F.regexp_extract("tactic", "::(.*?)@", 1)
     return met.groupBy("episode", "path", "depth", "tactic", "first", "last").agg(
         F.max(F.when(hit & F.col("line").startswith("PS Before"), F.col("at"))).cast("long").alias("before_line"),
@@ -324,37 +329,65 @@ def enclosing(rows: DataFrame, by: str, order: str, is_start: Column, name: Colu
     """Adds ``before`` and ``after``: names of the nearest start at or before the row, and at or after it."""
     at = F.when(is_start, name)
     up = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    down = Window.partitionBy(by).orderBy(order).rowsBetween(0, Window.unboundedFollowing)
-    return rows.withColumn("before", F.last(at, ignorenulls=True).over(up)).withColumn("after", F.first(at, ignorenulls=True).over(down))
+    down = Window.partitionBy(by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, 0)
+    return rows.withColumn("before", F.last(at, ignorenulls=True).over(up)).withColumn("after", F.last(at, ignorenulls=True).over(down))
 
 
-def module_name(paths: DataFrame, rules: DataFrame) -> DataFrame:
-    """P25: adds ``module``: the first rule (by ordinal) whose dir the path contains gives the alias, the rest follows, dotted.
+def start_name(line: Column, keywords: tuple[str, ...] = STARTS) -> Column:
+    """The word after the first of ``keywords`` (in their order) that the line holds with a blank after it; null if none."""
+    out = F.lit(None).cast("string")
+    for k in reversed(keywords):
+        out = F.when(line.contains(k + " "), F.substring_index(F.substr(line, F.locate(k + " ", line) + len(k) + 1), " ", 1)).otherwise(out)
+    return out
 
-    ``rules``: ordinal, dir, alias: few enough for Spark to send them to all tasks. Paths without a rule have none.
-    """
-    met = paths.join(rules, paths["path"].contains(rules["dir"]), "left")
-    best = met.groupBy("path").agg(F.min_by(F.struct("dir", "alias"), "ordinal").alias("r"))
-    rest = F.regexp_replace(F.regexp_replace(F.call_function("substring_index", F.col("path"), F.col("r.dir"), F.lit(-1)), r"\.[a-z]+$", ""), "/+", ".")
-    return best.select("path", F.when(F.col("r").isNotNull(), F.concat(F.col("r.alias"), rest)).alias("module"))
 
+def module_name(paths: DataFrame, rules: DataFrame, prefix: str = "coq-", suffix: str = ".v") -> DataFrame:
+    """P25: path, module, problem. The path's last segment that begins with ``prefix`` is its package.
 
-def closure(edges: DataFrame, starts: DataFrame, settle, most: int = 50) -> DataFrame:
+    ``rules``: package, ordinal, dir, alias. Of the package's rules the first (by ordinal) whose dir is in the path, with a
+    slash after it, gives the alias; a dir of ``.`` is the package's segment itself. What follows the dir's first place,
+    dotted and without ``suffix``, follows the alias. ``problem`` says why a path has no module: no package, or no rule.
+    """
+    segments = F.filter(F.split("path", "/"), lambda s: s.startswith(prefix))
+    keyed = paths.select("path").distinct().withColumn("package", F.try_element_at(segments, F.lit(-1)))
+    met = keyed.join(rules.select("package", "ordinal", "dir", "alias"), "package", "left")
+    mark = F.concat(F.when(F.col("dir") == ".", F.col("package")).otherwise(F.col("dir")), F.lit("/"))
+    at = F.call_function("locate", mark, F.col("path"))
+    fits = met.withColumn("_at", at).withColumn("_rest", F.substr("path", F.col("_at") + F.length(mark)))
+    best = fits.groupBy("path", "package").agg(F.min_by(F.struct("alias", "_rest"), F.when(F.col("_at") > 0, F.col("ordinal"))).alias("r"), F.max(F.coalesce(F.col("_at") > 0, F.lit(False))).alias("_fits"))
+    dotted = F.concat_ws(".", "r.alias", F.translate("r._rest", "/", "."))
+    bare = F.when(dotted.endswith(suffix), F.left(dotted, F.length(dotted) - len(suffix))).otherwise(dotted)
+    problem = F.when(F.col("package").isNull(), F.lit("no package in the path")).when(~F.col("_fits"), F.lit("no rule for the path"))
+    return best.select("path", F.when(F.col("_fits"), bare).alias("module"), problem.alias("problem"))
+
+
+def closure(edges: DataFrame, starts: DataFrame, settle) -> DataFrame:
     """(start, node) for every node reached from each start, itself left out unless on a cycle.
 
-    ``edges``: src, dst. ``settle`` writes a table and reads it again: each round's lineage ends there.
+    ``edges``: src, dst. ``settle`` writes a table and reads it again: each round's lineage ends there. A round joins
+    only the pairs found last with the edges; it ends when there are no new ones, however long the chains are.
     """
-    reached = frontier = settle(starts.select(F.col("start"), F.col("start").alias("node")).join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct())
-    for _ in range(most):
+    frontier = settle(starts.select(F.col("start"), F.col("start").alias("node")).join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct())
+    found = [frontier]  # tables of fewer and fewer rounds: equal sizes are merged, so there are few
+    while not frontier.isEmpty():
+        reached = found[0]
+        for t in found[1:]:
+            reached = reached.unionByName(t)
         step = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
         frontier = settle(step.join(reached, ["start", "node"], "left_anti"))
-        if frontier.isEmpty():
-            return reached
-        reached = settle(reached.unionByName(frontier))
-    raise RuntimeError(f"closure did not settle in {most} rounds")
-
-
-def compile_flags(needs: DataFrame, flags: DataFrame, skipped: tuple[str, ...] = ("tactician",)) -> DataFrame:
+        found.append(frontier)
+        if len(found) > 8:
+            merged = found[1]
+            for t in found[2:]:
+                merged = merged.unionByName(t)
+            found = [found[0], settle(merged)]
+    reached = found[0]
+    for t in found[1:]:
+        reached = reached.unionByName(t)
+    return reached
+
+
+def compile_flags(needs: DataFrame, flags: DataFrame, skipped: tuple[str, ...] = ()) -> DataFrame:
     """Distinct package, flag, dir, alias of needed packages; a dir of ``.`` is the package's root."""
     return (
         needs.where(~F.col("package").isin(*skipped)).join(flags, "package")
@@ -364,17 +397,36 @@ def compile_flags(needs: DataFrame, flags: DataFrame, skipped: tuple[str, ...] =
 
 
 def missing_packages(messages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(id, package) for every rule whose alias contains the head of the message's last line, up to its first dot."""
-    last = F.element_at(F.split(F.rtrim("text"), "\n"), -1)
+    """(id, head, package) for every rule whose alias contains the head of the message's last line, up to its first dot.
+
+    Only messages of the missing-path kind count. One that no rule answers has a null package. Heads are few: each is
+    met once with the rules' substrings of its length, by an equal join.
+    """
+    last = F.element_at(F.split(F.regexp_replace("text", r"\s+$", ""), "\n"), -1)
     head = F.trim(F.substring_index(last, ".", 1))
-    wanted = messages.select("id", head.alias("head")).where("head != ''")
-    return wanted.join(rules, F.col("alias").contains(F.col("head"))).select("id", "package").distinct()
+    wanted = messages.where(F.col("text").contains(NO_PATH)).select("id", head.alias("head")).where("head != ''")
+    sizes = wanted.select(F.length("head").alias("n")).distinct()
+    places = F.explode(F.when(F.length("alias") >= F.col("n"), F.sequence(F.lit(1), F.length("alias") - F.col("n") + 1)))
+    cut = rules.join(F.broadcast(sizes), F.length("alias") >= F.col("n")).select("package", "alias", "n", places.alias("at"))  # a row for each length of a name
+    known = cut.select("package", F.substr("alias", F.col("at"), F.col("n")).alias("head")).distinct()
+    return wanted.join(known, "head", "left").select("id", "head", "package").distinct()
+
+
+def declaration_end(rows: DataFrame, by: str, order: str, is_start: Column, is_end: Column | None = None) -> DataFrame:
+    """Adds ``until``: where the next row of the group that ends a declaration starts, null when the last is open."""
+    after = Window.partitionBy(by).orderBy(F.desc(order)).rowsBetween(Window.unboundedPreceding, -1)
+    ends = is_start if is_end is None else is_end
+    return rows.withColumn("until", F.last(F.when(ends, F.col(order)), ignorenulls=True).over(after)).where(is_start)
+
+
+def declares(line: Column) -> Column:
+    """A row of an offset index that starts a declaration."""
+    return F.trim(line).rlike(f"^({'|'.join(DECLARATIONS)})")
 
 
-def declaration_end(rows: DataFrame, by: str, order: str, is_start: Column) -> DataFrame:
-    """Adds ``until``: where the next declaration of the group starts, null when the last is open."""
-    after = Window.partitionBy(by).orderBy(order).rowsBetween(1, Window.unboundedFollowing)
-    return rows.withColumn("until", F.first(F.when(is_start, F.col(order)), ignorenulls=True).over(after)).where(is_start)
+def ends_declaration(line: Column) -> Column:
+    """The next declaration ends one, and so does any row that begins with a small letter and is no binder."""
+    return F.trim(line).rlike(r"^\p{Ll}") & ~F.trim(line).startswith(BINDER)
 
 
 def line_offsets(lines: DataFrame) -> DataFrame:

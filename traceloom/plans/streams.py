@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from traceloom.operators.text import enriched
 from traceloom.plans.registry import ORACLES, query, table
 from traceloom.plans import traces  # noqa: F401  registers the SQL that x3 shares
-from traceloom.sources.shared import scratch
+from traceloom.sources.shared import scratch, table_in_shared
 from traceloom.streaming import incremental as op
 
 
@@ -26,7 +26,7 @@ def x1(spark, sf_dir):
     rows.write.json(f"{path}/in")
     rows.where("event_id % 3 = 0").write.mode("append").json(f"{path}/in")  # seen again: counts once
     source = spark.readStream.schema("event_id long, props string").option("maxFilesPerTrigger", 100).json(f"{path}/in")
-    op.enrich_new_files(source, "event_id", lambda df: enriched(df, _score, "event_id", "props"), f"{path}/good", f"{path}/bad", f"{path}/state").awaitTermination()
+    op.enrich_new_files(source, "event_id", lambda df: enriched(df, _score, "event_id", "props", lambda t: table_in_shared(t, "x1")), f"{path}/good", f"{path}/bad", f"{path}/state").awaitTermination()
     good, bad = (spark.read.schema(s).parquet(f"{path}/{n}") for n, s in (("good", "event_id long, reply string"), ("bad", "event_id long, error string")))
     return good.unionByName(bad, allowMissingColumns=True).select("event_id", "reply", "error")
 

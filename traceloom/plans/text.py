@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from traceloom.operators import text as op
 from traceloom.plans.registry import query, table
+from traceloom.sources.shared import table_in_shared
 
 
 def docs(spark, sf_dir):
@@ -35,7 +36,7 @@ def e3(spark, sf_dir):
 
 @query("e4_prompt", "select doc_id, 'Explain src/' || source || ' in ' || lang || ': ' || text as prompt from documents")
 def e4(spark, sf_dir):
-    path = op.path_after(F.concat(F.lit("/data/coq_train/src/"), "source"))
+    path = op.path_after(F.concat(F.lit("/data/train/src/"), "source"), "train/")
     return docs(spark, sf_dir).select("doc_id", op.prompt("Explain {} in {}: {}", path, F.col("lang"), F.col("text")).alias("prompt"))
 
 
@@ -55,7 +56,7 @@ def _length_reply(prompt: str) -> str:
     "select doc_id, case when length(text) <= 3000 then length(text)::varchar end as reply, case when length(text) > 3000 then 'ValueError: too long' end as error from documents",
 )
 def e6(spark, sf_dir):
-    good, bad = op.enriched(docs(spark, sf_dir), _length_reply, "doc_id", "text")
+    good, bad, _ = op.enriched(docs(spark, sf_dir), _length_reply, "doc_id", "text", lambda df: table_in_shared(df, "enriched"))
     return good.unionByName(bad.select("doc_id", "error"), allowMissingColumns=True)
 
 
@@ -145,14 +146,20 @@ def e17(spark, sf_dir):
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", op.assembled_prompt(blocks).alias("prompt"))
 
 
+CASE_NAMES = [*op.CASES, "unknown"]
+
+
 @query(
     "e18_ablation_cases",
-    """select n_nationkey, case when n_nationkey % 3 = 0 then 'origin' else 'mixed' end as mode, n_nationkey % 3 = 2 as intuition from nation""",
+    """with c as (select custkey, c from (select c_custkey as custkey, ['no_ref_ps_all', 'no_ref_ps_origin', 'origin_only', 'internal_only', 'intuition_only', 'origin_internal', 'origin_intuition',
+    'internal_intuition', 'origin_internal_intuition', 'zh_explanation', 'base', 'unknown'][1 + c_custkey % 12] as c from customer))
+    select custkey, case when c in ('origin_only', 'origin_internal', 'origin_intuition', 'no_ref_ps_origin') then 'origin' when starts_with(c, 'internal') then 'internal'
+    when c = 'intuition_only' then 'empty' else 'mixed' end as mode, c not in ('origin_only', 'internal_only') as intuition, not starts_with(c, 'no_ref') as definitions, c = 'base' as plain from c""",
 )
 def e18(spark, sf_dir):
-    k = F.col("n_nationkey") % 3
-    case = F.when(k == 0, "origin").when(k == 1, "origin_internal").otherwise("full")
-    return op.with_case(table(spark, sf_dir, "nation").withColumn("case", case), "case").select("n_nationkey", "mode", "intuition")
+    names = F.array(*(F.lit(c) for c in CASE_NAMES))
+    rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.get(names, (F.col("c_custkey") % 12).cast("int")).alias("case"))
+    return op.with_case(rows, "case").select("custkey", "mode", "intuition", "definitions", "plain")
 
 
 @query(

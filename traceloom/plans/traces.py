@@ -98,11 +98,21 @@ def p2(spark, sf_dir):
     return open_.select("file", F.regexp_extract(F.array_join("lines", "\n"), r"\.d(\d+)", 1).cast("long").alias("n"))
 
 
-@query("p3_kinds", f"select kind, kind != 'Proof' as known, 2 * count(*)::bigint as n from {DEFS_SQL} group by all")
+KIND_WORDS = [*op.KINDS, "Record", "Class", "Prof", ""]
+
+
+@query(
+    "p3_kinds",
+    """select word, word in ('Definition', 'Proof', 'Assumption', 'Inductive', 'Fixpoint', 'CoFixpoint', 'Instance', 'Context', 'Ltac', 'TacticNotation', 'Primitive', 'Arguments') as known, count(*)::bigint as n
+    from (select ['Definition', 'Proof', 'Assumption', 'Inductive', 'Fixpoint', 'CoFixpoint', 'Instance', 'Context', 'Ltac', 'TacticNotation', 'Primitive', 'Arguments', 'Record', 'Class', 'Prof', ''][1 + doc_id % 16] as word from documents) group by all""",
+)
 def p3(spark, sf_dir):
-    found = op.blocks(document_trace(spark, sf_dir))
-    word = F.when(F.col("kind_word") == "Proof", F.lit("Prof")).otherwise(F.col("kind_word"))
-    return found.withColumn("known", op.known_kind(word)).groupBy(F.col("kind_word").alias("kind"), "known").agg(F.count("*").alias("n"))
+    words = F.array(*(F.lit(k) for k in KIND_WORDS))
+    header = F.concat(F.lit("Vernac Begin "), F.get(words, (F.col("doc_id") % 16).cast("int")))
+    rows = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.explode(F.array(F.struct(F.lit(1).cast("long").alias("line_no"), header.alias("line")), F.struct(F.lit(2).cast("long").alias("line_no"), F.lit("text").alias("line")))).alias("x"))
+    found = op.blocks(rows.select("file", "x.*"))
+    word = F.when(F.col("kind_word") == "Begin", "").otherwise(F.col("kind_word"))
+    return found.select(word.alias("word")).withColumn("known", op.known_kind(F.col("word"))).groupBy("word", "known").agg(F.count("*").alias("n"))
 
 
 @query("p4_surface_fields", f"select file, name, name || ' : ' || source || ' ' || lang as content from {DEFS_SQL}")
@@ -116,9 +126,9 @@ def p5(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", op.context_name(wrapped).alias("name"))
 
 
-@query("p6_tactic_definition", "select doc_id, source as name, text as body from documents where text = trim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")
+@query("p6_tactic_definition", r"select doc_id, source as name, regexp_replace(text, '^[ \t\n\x0B\f\r]+', '') as body from documents")
 def p6(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(F.col("text") == F.regexp_replace("text", r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", ""))
+    docs = table(spark, sf_dir, "documents")
     name, body = op.tactic_definition(F.concat(F.lit("Name: "), F.col("source"), F.lit(" Body: "), F.col("text")))
     return docs.select("doc_id", name.alias("name"), body.alias("body"))
 
@@ -256,48 +266,66 @@ def p22(spark, sf_dir):
     return op.failed_files(table(spark, sf_dir, "documents").select(line.alias("line")))
 
 
-@query("p23_useful_errors", "select doc_id, not (text like '%the of%' or text like '%and.%') as useful from documents")
+NO_USE = """'Compiled library', 'Cannot find a physical path bound to logical path matching suffix', 'makes inconsistent assumptions', 'error loading shared library:', 'File not found', 'Unable to locate library',
+    'Error: Native compiler exited', 'Error: Unknown interpretation for notation', 'Error: This command does not support this attribute', 'cmxs', 'Uncaught exception Not_found'"""
+
+
+@query("p23_useful_errors", f"select doc_id, doc_id % 13 >= 11 as useful from documents where len([{NO_USE}]) = 11")
 def p23(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", op.useful_error(F.col("text"), ("the of", "and.")).alias("useful"))
+    shown = F.array(*(F.lit(e) for e in (*op.USELESS_ERRORS, "Syntax error: no such goal", "")))
+    text = F.concat("text", F.lit("\nFile x, line 3\n"), F.get(shown, (F.col("doc_id") % 13).cast("int")), F.lit(" here"))
+    return table(spark, sf_dir, "documents").select("doc_id", op.useful_error(text).alias("useful"))
+
+
+STARTS_SQL = """(select event_id, user_id, ['Axiom', 'Definition', 'Fixpoint', 'Lemma', 'Theorem', 'Instance', 'Corollary', 'Inductive', 'Variable', 'Parameter', 'Notation', 'Ltac', 'Record', 'apply', 'Qed.', 'Lemmas', 'x', 'y', 'z'][1 + event_id % 19] as word,
+    event_id % 19 < 12 as starts from events)"""
 
 
 @query(
     "p24_enclosing",
-    """select e.event_id, b.event_id as before, a.event_id as after from events e
-    asof left join (select * from events where event_type = 'purchase') b on e.user_id = b.user_id and e.event_id >= b.event_id
-    asof left join (select * from events where event_type = 'purchase') a on e.user_id = a.user_id and e.event_id <= a.event_id""",
+    f"""select e.event_id, 'n' || b.event_id as before, 'n' || a.event_id as after from {STARTS_SQL} e
+    asof left join (select * from {STARTS_SQL} where starts) b on e.user_id = b.user_id and e.event_id >= b.event_id
+    asof left join (select * from {STARTS_SQL} where starts) a on e.user_id = a.user_id and e.event_id <= a.event_id""",
 )
 def p24(spark, sf_dir):
-    return op.enclosing(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "purchase", F.col("event_id")).select("event_id", "before", "after")
+    words = F.array(*(F.lit(w) for w in (*op.STARTS, "Record", "apply", "Qed.", "Lemmas", "x", "y", "z")))
+    line = F.concat(F.lit("  "), F.get(words, (F.col("event_id") % 19).cast("int")), F.lit(" n"), "event_id", F.lit(" : t."))
+    name = op.start_name(F.col("line"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", line.alias("line"))
+    return op.enclosing(rows, "user_id", "event_id", name.isNotNull(), name).select("event_id", "before", "after")
 
 
 @query(
     "p25_module_names",
-    """select url as path, case when url like '%//www.%' then 'W' when url like '%//%' then 'X' end ||
-    regexp_replace(regexp_replace(case when url like '%//www.%' then substr(url, instr(url, '//www.') + 6) else substr(url, instr(url, '//') + 2) end, '\\.[a-z]+$', ''), '/+', '.', 'g') as module
-    from (select distinct url from pages)""",
+    """select path, case k when 0 then 'Root.' || rest when 1 then 'Sub.' || rest when 2 then 'Root.theories.' || rest end as module,
+    case k when 3 then 'no rule for the path' when 4 then 'no package in the path' end as problem
+    from (select doc_id % 5 as k, 'S.F' || doc_id as rest, ['/a/coq-old/coq-one/', '/a/coq-one/src/', '/a/coq-two/theories/', '/a/coq-none/', '/a/b/'][1 + doc_id % 5] || 'S/F' || doc_id || '.v' as path from documents)""",
 )
 def p25(spark, sf_dir):
-    rules = spark.createDataFrame([(0, "//www.", "W"), (1, "//", "X")], "ordinal int, dir string, alias string")
-    return op.module_name(table(spark, sf_dir, "pages").select(F.col("url").alias("path")).distinct(), rules)
+    folders = F.array(*(F.lit(f) for f in ("/a/coq-old/coq-one/", "/a/coq-one/src/", "/a/coq-two/theories/", "/a/coq-none/", "/a/b/")))
+    path = F.concat(F.get(folders, (F.col("doc_id") % 5).cast("int")), F.lit("S/F"), "doc_id", F.lit(".v"))
+    rules = spark.createDataFrame(
+        [("coq-one", 0, "src", "Sub"), ("coq-one", 1, ".", "Root"), ("coq-two", 0, "lib/x", "Lib"), ("coq-two", 1, ".", "Root"), ("coq-old", 0, ".", "Old")], "package string, ordinal int, dir string, alias string"
+    )
+    return op.module_name(table(spark, sf_dir, "documents").select(path.alias("path")), rules)
 
 
-EDGES_SQL = "(select distinct l_suppkey as src, (l_partkey * 7) % 100 + 1 as dst from lineitem where l_linenumber = 1 and l_quantity < 3 and l_suppkey != (l_partkey * 7) % 100 + 1)"
+# each supplier needs the ones whose numbers its parts point to: a third as large at most, so chains stay short
+EDGES_SQL = "(select distinct l_suppkey as src, l_suppkey // (2 + l_partkey % 3) as dst from lineitem)"
 
 
 def edges(spark, sf_dir):
-    line = table(spark, sf_dir, "lineitem").where("l_linenumber = 1 and l_quantity < 3")
-    pair = line.select(F.col("l_suppkey").alias("src"), ((F.col("l_partkey") * 7) % 100 + 1).alias("dst"))
-    return pair.where("src != dst").distinct()
+    dst = F.floor(F.col("l_suppkey") / (2 + F.col("l_partkey") % 3)).cast("long")
+    return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").cast("long").alias("src"), dst.alias("dst")).distinct()
 
 
 @query(
     "p26_dependencies",
-    f"with recursive e as {EDGES_SQL}, r as (select src as start, dst as node from e where src % 10 = 0 union select r.start, e.dst from r join e on r.node = e.src) select start, node from r",
+    f"with recursive e as {EDGES_SQL}, r as (select src as start, dst as node from e union select r.start, e.dst from r join e on r.node = e.src) select start, node from r",
 )
 def p26(spark, sf_dir):
     e = edges(spark, sf_dir)
-    starts = e.select(F.col("src").alias("start")).where("start % 10 = 0").distinct()
+    starts = e.select(F.col("src").alias("start")).distinct()
     return op.closure(e, starts, lambda df: table_in_shared(df, "closure"))
 
 
@@ -316,23 +344,31 @@ def p27(spark, sf_dir):
 
 @query(
     "p28_missing_packages",
-    "select distinct doc_id as id, n_nationkey::bigint as package from documents, nation where contains(n_name, 'NATION_' || (doc_id % 25))",
+    """select distinct m.id, head, n_nationkey::bigint as package from (select doc_id as id, 'NATION_' || (doc_id % 30) as head from documents where doc_id % 4 != 3) m
+    left join nation on contains(n_name, head)""",
 )
 def p28(spark, sf_dir):
+    said = F.when(F.col("doc_id") % 4 == 3, F.lit("Error: no such file")).otherwise(F.lit(op.NO_PATH))
     messages = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.concat(F.lit("first line\nNATION_"), F.col("doc_id") % 25, F.lit(".lib not found.")).alias("text")
+        F.col("doc_id").alias("id"), F.concat(said, F.lit("\nNATION_"), F.col("doc_id") % 30, F.lit(".lib not found.\n")).alias("text")
     )
     rules = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("package"), F.col("n_name").alias("alias"))
     return op.missing_packages(messages, rules)
 
 
+INDEX_SQL = "(select event_id, user_id, ['prf', 'var', 'def', 'binder', 'R', 'ind', 'not', ' binder'][1 + event_id % 8] as kind from events)"
+
+
 @query(
     "p29_declaration_ranges",
-    """select e.event_id, (select min(n.event_id) from events n where n.user_id = e.user_id and n.event_id > e.event_id and n.event_type = 'signup') as until
-    from events e where e.event_type = 'signup'""",
+    f"""select e.event_id, n.event_id as until from (select *, event_id + 1 as next from {INDEX_SQL} where kind in ('prf', 'var', 'def')) e
+    asof left join (select * from {INDEX_SQL} where kind in ('prf', 'var', 'def', 'ind', 'not')) n on e.user_id = n.user_id and e.next <= n.event_id""",
 )
 def p29(spark, sf_dir):
-    return op.declaration_end(table(spark, sf_dir, "events"), "user_id", "event_id", F.col("event_type") == "signup").select("event_id", "until")
+    kinds = F.array(*(F.lit(k) for k in ("prf", "var", "def", "binder", "R", "ind", "not", " binder")))
+    line = F.concat(F.get(kinds, (F.col("event_id") % 8).cast("int")), F.lit(" 12:20 <> name"))
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", line.alias("line"))
+    return op.declaration_end(rows, "user_id", "event_id", op.declares(F.col("line")), op.ends_declaration(F.col("line"))).select("event_id", "until")
 
 
 OFFSETS_SQL = f"(select file, line_no, strlen(line) + 1 as n, sum(strlen(line) + 1) over (partition by file order by line_no rows unbounded preceding) as to_byte from {LINES_SQL})"

@@ -18,13 +18,25 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, n: in
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One JSON document for a file, or JSON Lines: the whole-file reader is used where a line is no JSON of its own."""
+    """One JSON document for a file where all files parse as such, else JSON Lines.
+
+    Of JSON Lines, the good lines; ``bad_lines`` gives the others.
+    """
     names = [f.name for f in schema.fields]
-    kept = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
-    lines = spark.read.schema(kept).option("columnNameOfCorruptRecord", "_bad").json(path)
-    if lines.where("_bad is not null").select(*names, "_bad").take(1):
+    lines = _lines(spark, path, schema)
+    if lines.where("_bad is not null").limit(1).count() and lines.where("_bad is null").limit(1).count() == 0:
         return spark.read.schema(schema).option("multiLine", True).json(path)
-    return lines.select(*names)
+    return lines.where("_bad is null").select(*names)
+
+
+def bad_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """line: those of JSON Lines that are no JSON."""
+    return _lines(spark, path, schema).where("_bad is not null").select(F.col("_bad").alias("line"))
+
+
+def _lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    parsed = F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"})
+    return spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("p")).select("p.*")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

@@ -11,9 +11,11 @@ _OWN: list[str] = []
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
-    """A new path in the folder of ``spark.checkpoint.dir``, or in one of our own where none is named."""
+    """A new path in the folder of ``spark.checkpoint.dir``; on one machine, in a folder of our own where none is named."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
         if not _OWN:
             _OWN.append("file://" + tempfile.mkdtemp(prefix="spark-"))
         named = _OWN[0]

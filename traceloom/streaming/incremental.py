@@ -12,19 +12,20 @@ from pyspark.sql.streaming.state import GroupState
 
 
 def enrich_new_files(
-    source: DataFrame, key: str, enrich: Callable[[DataFrame], tuple[DataFrame, DataFrame]], good: str, bad: str, checkpoint: str
+    source: DataFrame, key: str, enrich: Callable[[DataFrame], tuple], good: str, bad: str, checkpoint: str, time: str | None = None, late: str = "7 days"
 ) -> StreamingQuery:
     """Each key of the stream once; successes and failures appended to two tables.
 
+    With a ``time`` column keys are held for ``late`` only; without one the state holds every key there ever was.
     A batch that runs again after a failure writes under its own number, so nothing is doubled.
     """
 
     def both(batch: DataFrame, number: int) -> None:
-        done, failed = enrich(batch)
+        done, failed, *_ = enrich(batch)
         done.write.mode("overwrite").parquet(f"{good}/batch={number}")
         failed.write.mode("overwrite").parquet(f"{bad}/batch={number}")
 
-    once = source.dropDuplicates([key])
+    once = source.dropDuplicates([key]) if time is None else source.withWatermark(time, late).dropDuplicatesWithinWatermark([key])
     return once.writeStream.foreachBatch(both).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
