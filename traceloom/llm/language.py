@@ -22,7 +22,7 @@ from .common import DOUBLE, LONG, STRING, documents, hash_sample, schema
 
 TOGETHER = 32  # words up to so many letters are scored with others of their length, longer ones along the word
 FLOOR = 1e-7  # probability of a character outside the vocabulary
-CACHE_WORDS = 300_000
+CACHE_WORDS = 150_000
 
 
 def normal(word: str) -> str:
@@ -134,8 +134,8 @@ def word_scores(words: list[str], lattice: Lattice, prob: np.ndarray) -> np.ndar
         elif word:
             groups[len(word) + 1].append(k)
     for n, at in groups.items():
-        for s in range(0, len(at), 20_000):
-            part = at[s : s + 20_000]
+        for s in range(0, len(at), 2_000):
+            part = at[s : s + 2_000]
             spans = lattice.spans(["▁" + words[k] for k in part])
             out[part] = np.log(forward(spans, n, len(part), prob, lattice.widest)[-1])
     return out
@@ -213,8 +213,8 @@ def predictor(df: DataFrame, model: tuple[list[str], list[str], np.ndarray]) ->
         table, used = np.zeros((1024, len(names))), 0
         for batch in batches:
             langs, scores = [], []
-            for lo in range(0, len(batch), 500):
-                split = [(t or "").lower().split() for t in batch.iloc[lo : lo + 500]]
+            for lo in range(0, len(batch), 100):
+                split = [(t or "").lower().split() for t in batch.iloc[lo : lo + 100]]
                 new = {w for words in split for w in words if w not in at} if names else set()
                 if len(at) + len(new) > CACHE_WORDS:
                     at.clear()

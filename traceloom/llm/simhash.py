@@ -270,8 +270,8 @@ def candidates(nodes: DataFrame, bits: int) -> DataFrame:
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for at in range(0, len(batch), 1000):
-                part = batch.iloc[at : at + 1000]
+            for at in range(0, len(batch), 200):
+                part = batch.iloc[at : at + 200]
                 fp = part[PRINT].to_numpy().view(np.uint64)
                 keys = wide_variants(fp)
                 yield pd.DataFrame({"key": keys.ravel().view(np.int64), **{c: np.repeat(part[c].to_numpy(), keys.shape[1]) for c in ("node", *PRINT)}})

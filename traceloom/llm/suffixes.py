@@ -223,7 +223,7 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25,
     release(spark)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        words = sent.value
+        words, seen = sent.value, set()
         for batch in batches:
             ids, hashes = batch["doc_id"].to_numpy(), batch["text_hash"].to_numpy()
             for rows, offsets, parts in _buffers(batch, length):
@@ -236,11 +236,15 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25,
                 base = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
                 texts_ = [raw[a : b + length] for a, b in zip(first[keep].tolist(), last[keep].tolist())]
                 row, of = np.array(rows, np.int64)[part[keep]], part[keep]
+                keys = [_digest(t) for t in texts_]
+                if len(seen) > 1_000_000:
+                    seen.clear()
+                once = [None if k in seen or seen.add(k) else t for k, t in zip(keys, texts_)]  # a task's later ones go without bytes
                 yield pd.DataFrame(
                     {
                         "anchor": anchor[keep],
-                        "key": _signed([_digest(t) for t in texts_]),
-                        "context": pd.Series(texts_, dtype=object),
+                        "key": _signed(keys),
+                        "context": pd.Series(once, dtype=object),
                         "place": (own[keep] - first[keep]).astype(np.int32),
                         "doc_id": ids[row],
                         "text_hash": hashes[row],
@@ -262,7 +266,7 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25,
         return pd.Series(in_bitmap(mixed_bits.value, anchors.to_numpy()))
 
     mixed = contexts.where(maybe_mixed("anchor")).groupBy("anchor", "key").agg(
-        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("context").alias("context"), F.first("place").alias("place")
+        F.min("doc_id").alias("least"), F.max("doc_id").alias("most"), F.first("context", ignorenulls=True).alias("context"), F.first("place").alias("place")
     )
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
