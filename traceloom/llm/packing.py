@@ -14,7 +14,6 @@ empty table gives no rows. Other columns of the input are not read.
 
 from __future__ import annotations
 
-import functools
 import json
 import zlib
 from collections.abc import Iterator
@@ -36,15 +35,13 @@ CACHE_WORDS = 300_000
 PIECES = schema(("doc_id", LONG), ("piece", LONG), ("start", LONG), ("length", LONG), ("ids_crc32", LONG))
 
 
-@functools.lru_cache(maxsize=2)
-def _encoders(path: str):
-    """(the tokenizer, a byte-pair encoder over single words with the same ids).
+def _word_encoder(path: str):
+    """A byte-pair encoder over single words with the tokenizer's ids.
 
-    Words end in a blank in the second, standing for the vocabulary's end-of-word mark; no word
-    holds a blank, so the byte is free.
+    Words end in a blank, standing for the vocabulary's end-of-word mark; no word holds a blank, so the
+    byte is free. A task builds its own: held by Python workers, which outlive tasks, each would take 60 MB.
     """
     import tiktoken
-    from tokenizers import Tokenizer
 
     with open(path, encoding="utf-8") as f:
         vocab = json.load(f)["model"]["vocab"]
@@ -57,8 +54,7 @@ def _encoders(path: str):
             continue
         end = len(token) > 4 and token.endswith("</w>")
         ranks[bytes(byte[c] for c in (token[:-4] if end else token)) + b" " * end] = i
-    words = tiktoken.Encoding("words", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
-    return Tokenizer.from_file(path), words
+    return tiktoken.Encoding("words", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
 
 def tokenised(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, closing_id: int = 0) -> DataFrame:
@@ -71,7 +67,9 @@ def tokenised(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, closing
     )
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tokenizer, words = _encoders(tokenizer_path)
+        from tokenizers import Tokenizer
+
+        words, tokenizer = _word_encoder(tokenizer_path), None
         close = int(closing_id).to_bytes(4, "little")
         cache: dict[str, bytes] = {}
         for batch in batches:
@@ -88,6 +86,7 @@ def tokenised(docs: DataFrame, tokenizer_path: str, max_len: int = 2048, closing
                         cache[w] = np.asarray(words.encode_ordinary(w + " "), dtype="<u4").tobytes()
                     ids = b"".join(map(cache.__getitem__, parts)) + close
                 else:
+                    tokenizer = tokenizer or Tokenizer.from_file(tokenizer_path)
                     ids = np.asarray(tokenizer.encode(odd, add_special_tokens=False).ids, dtype="<u4").tobytes() + close
                 for k, at in enumerate(range(0, len(ids), 4 * max_len)):
                     part = ids[at : at + 4 * max_len]
