@@ -464,6 +464,26 @@ def test_embeddings(spark):
     assert all(got[i].n_links == 0 and got[i].component_id == i for i, _ in extra)
 
 
+def test_audited_beam_counts_real_links():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(600, 16))
+    x = np.concatenate([x, np.repeat(x[:1], 60, 0) + rng.normal(size=(60, 16)) * 0.02])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+
+    class Blind(embeddings.Graph):
+        """Meets nothing but the vector itself until its beam is wide."""
+
+        def search(self, q, beam, limit=None):
+            ids, sims = super().search(q, beam, limit)
+            if limit is None and beam < 256:
+                sims = np.where(sims > 1 - 1e-6, sims, -9)
+            return ids, sims
+
+    assert embeddings.audited_beam(Blind(x), x, 0.95, 64, 0.98, 64) == 256
+    assert embeddings.audited_beam(embeddings.Graph(x), x, 0.95, 64, 0.98, 64) == 64
+    assert embeddings.audited_beam(embeddings.Graph(x[:1]), x[:1], 0.95, 64, 0.98, 64) == 64
+
+
 def test_embeddings_nothing(spark):
     assert embeddings.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -185,6 +185,25 @@ def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, beam: i
     return np.concatenate(a or [rows]), np.concatenate(b or [rows])
 
 
+def audited_beam(graph: Graph, exact: np.ndarray, least: float, beam: int, recall: float, audited: int) -> int:
+    """``beam``, doubled until a search finds ``recall`` of the links that brute force finds; a vector's link to itself is none.
+
+    Asks with the nodes put in last, which no upper level holds; a shard's nodes are a hash sample of the table. There are
+    ``audited`` of them, or more, up to 16 times as many, until they have ``audited`` links.
+    """
+    n, rows, true = len(exact), np.zeros(0, np.int64), 0
+    while len(rows) < min(n, 16 * audited) and true < audited:
+        own = np.arange(max(0, n - len(rows) - audited), n - len(rows))
+        true += int((exact[own] @ exact.T >= least).sum()) - len(own)
+        rows = np.concatenate([rows, own])
+    while beam < n:
+        a, b = linked(graph, exact, exact[rows], least, beam)
+        if int((rows[a] != b).sum()) >= recall * true:
+            break
+        beam *= 2
+    return beam
+
+
 def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """A spanning forest of the links a-b."""
     root: dict[int, int] = {}
@@ -229,8 +248,8 @@ def near_duplicates(
     n_links counts the other vectors found with cosine >= ``least``; component_id is the smallest vec_id
     reachable by links, itself included. Vectors that are null, zero or hold null or non-finite
     components link with nothing. Vectors of unequal dimension do not link. A null vec_id reads as -1.
-    ``audited`` vectors of each shard's first block are compared with all of the shard; its beams double until they find
-    ``recall`` of the links. Choose ``shards`` so that a shard fits a task's memory.
+    ``audited`` vectors of each shard or more are compared with all of it (see ``audited_beam``); its beams double until
+    they find ``recall`` of the links. Choose ``shards`` so that a shard fits a task's memory.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(-1)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -287,10 +306,7 @@ def _compared(nodes: DataFrame, least: float, shards: int, beam: int, recall: fl
                     continue
                 ids, q = pickle.loads(blob)
                 if width is None:
-                    width = beam
-                    true = int(((q[:audited] @ exact.T) >= least).sum())
-                    while width < len(exact) and len(linked(graph, exact, q[:audited], least, width)[0]) < recall * true:
-                        width *= 2
+                    width = audited_beam(graph, exact, least, beam, recall, audited)
                 a, b = linked(graph, exact, q, least, width)
                 other = ids[a] != node[b]
                 a, b = a[other], b[other]
