@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, logbilinear, mixing, packing, quality, rules, simhash, spans, suffixes
+from . import embeddings, language, lines, logbilinear, mixing, packing, quality, rules, simhash, spans, suffixes
 from .common import fold
 
 
@@ -90,9 +90,36 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without lines of 40 code points or more that stand in 5 documents or more, but in the last of these."""
+    left = lines.without_common_lines(_table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
+    return left.select(
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.col("_lines").alias("n_lines"), F.col("_dropped").alias("n_dropped"),
+        F.sha2("text", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_source_mixing, op5_lm_scoring, op6_quality_classifier, op7_embedding_near_dedup, op8_quality_rules, op9_language_id, op10_substring_dedup,
+        op13_line_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op13_line_dedup": """
+with lines as (
+  select doc_id, unnest(l) as line, unnest(range(len(l))) as pos
+  from (select doc_id, string_split(coalesce(text, ''), chr(10)) as l from documents)
+), keyed as (
+  select *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key
+  from lines
+), common as (
+  select key, max(doc_id) as last from keyed where length(key) >= 40 group by key having count(distinct doc_id) >= 5
+), judged as (
+  select k.doc_id, k.line, k.pos, c.last is not null and k.doc_id <> c.last as gone from keyed k left join common c on k.key = c.key
+)
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not gone), '')) as kept_sha256
+from judged group by doc_id
+""",
+}
