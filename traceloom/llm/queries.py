@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, lines, logbilinear, mixing, packing, quality, rules, simhash, spans, suffixes
+from . import embeddings, language, lines, logbilinear, mixing, packing, quality, rules, simhash, spans, suffixes, trie
 from .common import fold
 
 
@@ -90,6 +90,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of conversations, rebuilt with the first turns of the first conversation of their hundred."""
+    rows = trie.with_borrowed_heads(trie.turns(_table(spark, sf_dir, "conversations")))
+    return trie.prefix_trie(rows).drop("node")
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without lines of 40 code points or more that stand in 5 documents or more, but in the last of these."""
     left = lines.without_common_lines(_table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
@@ -102,10 +108,47 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_source_mixing, op5_lm_scoring, op6_quality_classifier, op7_embedding_near_dedup, op8_quality_rules, op9_language_id, op10_substring_dedup,
-        op13_line_dedup,
+        op11_prefix_trie, op13_line_dedup,
     )
 }
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of the UTF-8 bytes of a text."""
+    return f"""xor(4294967295, list_reduce(
+      list_prepend(4294967295::bigint, list_transform(range(octet_length(encode({text}))), lambda i: ('0x' || substr(hex(encode({text})), 2 * i + 1, 2))::bigint)),
+      lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::bigint[]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384))))"""
+
+
 ORACLES = {
+    "op11_prefix_trie": f"""
+with turns as (
+  select conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as key, length(coalesce(text, '')) as n,
+    row_number() over (partition by conv_id order by turn nulls first) - 1 as pos
+  from conversations
+), convs as (
+  select conv_id, conv_id - conv_id % 100 as base, {_crc32("conv_id::varchar")} % 6 as h from (select distinct conv_id from conversations)
+), joined as (
+  select c.conv_id, 0 as own, t.pos, t.key, t.n from convs c join turns t on t.conv_id = c.base and t.pos < c.h
+  union all select c.conv_id, 1, t.pos, t.key, t.n from convs c join turns t on t.conv_id = c.conv_id and t.pos >= c.h
+), placed as (
+  select conv_id, n, row_number() over w as depth, string_agg(key, '') over w as path from joined window w as (partition by conv_id order by own, pos)
+), member as (
+  select conv_id, depth, path, left(path, 32 * (depth - 1)) as parent, n from placed union all select conv_id, 0, '', null, 0 from convs
+), last as (
+  select conv_id, max_by(path, depth) as path from member group by conv_id
+), node as (
+  select path, any_value(parent) as parent, any_value(depth) as depth, any_value(n) as n, min(conv_id) as conv_id, count(*) as n_convs from member group by path
+), ends as (
+  select path, string_agg(conv_id::varchar, ',' order by conv_id) as ids from last group by path
+), children as (
+  select parent as path, count(*) as k from node where parent is not null group by parent
+), below as (
+  select a.path, sum((d.n_convs - 1) * d.n) as saved, count(*) filter (where c.k is null) as leaves
+  from node a join node d on starts_with(d.path, a.path) left join children c on c.path = d.path group by a.path
+)
+select v.conv_id, v.depth::bigint as depth, p.conv_id as parent_conv_id, v.n_convs, coalesce(c.k, 0) as n_children, b.leaves as n_leaves,
+  b.saved::bigint as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
+from node v left join node p on p.path = v.parent left join children c on c.path = v.path join below b on b.path = v.path left join ends e on e.path = v.path
+""",
     "op13_line_dedup": """
 with lines as (
   select doc_id, unnest(l) as line, unnest(range(len(l))) as pos
