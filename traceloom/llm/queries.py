@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embeddings, language, lines, logbilinear, mixing, packing, quality, rules, simhash, spans, suffixes, trie
+from . import embeddings, language, lines, logbilinear, mixing, packing, quality, rules, simhash, spans, suffixes, trie, variants
 from .common import fold
 
 
@@ -96,6 +96,12 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trie.prefix_trie(rows).drop("node")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of 7 letters or more that stand twice or more, some less a letter, with the form ten times as frequent that they vary."""
+    found = variants.grouped(_table(spark, sf_dir, "documents"), least_chars=7, least_n=2, times=10, drop_one_in=31)
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without lines of 40 code points or more that stand in 5 documents or more, but in the last of these."""
     left = lines.without_common_lines(_table(spark, sf_dir, "documents"), least_chars=40, least_docs=5)
@@ -108,7 +114,7 @@ def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (
         op1_best_fit_packing, op2_simhash_near_dedup, op3_suffix_array_dedup, op4_source_mixing, op5_lm_scoring, op6_quality_classifier, op7_embedding_near_dedup, op8_quality_rules, op9_language_id, op10_substring_dedup,
-        op11_prefix_trie, op13_line_dedup,
+        op11_prefix_trie, op12_spelling_variants, op13_line_dedup,
     )
 }
 def _crc32(text: str) -> str:
@@ -148,6 +154,36 @@ with turns as (
 select v.conv_id, v.depth::bigint as depth, p.conv_id as parent_conv_id, v.n_convs, coalesce(c.k, 0) as n_children, b.leaves as n_leaves,
   b.saved::bigint as saved_tokens, sha256(coalesce(e.ids, '')) as ends_sha256
 from node v left join node p on p.path = v.parent left join children c on c.path = v.path join below b on b.path = v.path left join ends e on e.path = v.path
+""",
+    "op12_spelling_variants": f"""
+with recursive runs as (
+  select doc_id, run, count(*) as n from (
+    select doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00c0-\u00ff]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as run from documents
+  ) where length(run) >= 7 group by all
+), hashed as (
+  select run, n, {_crc32("(doc_id || ':' || run)")} as h from runs
+), word as (
+  select word, sum(n)::bigint as n from (
+    select n, case when h % 31 = 0 then substr(run, 1, (h % length(run))::int) || substr(run, (h % length(run))::int + 2) else run end as word from hashed
+  ) where length(word) >= 7 group by word having sum(n) >= 2
+), place as (
+  select word, n, unnest(range(1, length(word) + 1)) as i from word
+), less as (
+  select word, n, i, substr(word, 1, i - 1) || '*' || substr(word, i + 1) as masked, substr(word, 1, i - 1) || substr(word, i + 1) as cut from place
+), near as (
+  select a.word, b.word as other, b.n as other_n from less a join less b on a.masked = b.masked and a.word <> b.word
+  union select c.word, w.word, w.n from less c join word w on c.cut = w.word
+  union select w.word, c.word, c.n from less c join word w on c.cut = w.word
+), best as (
+  select word, count(*) as n_near, min({{'less': -other_n, 'other': other}}) as first from near group by word
+), form as (
+  select w.word, w.n, coalesce(b.n_near, 0) as n_near, case when -b.first.less >= 10 * w.n then b.first.other end as form,
+    case when -b.first.less >= 10 * w.n then -b.first.less end as form_n
+  from word w left join best b on b.word = w.word
+), follow as (
+  select word, word as root, form as onward from form union all select f.word, f.onward, g.form from follow f join form g on g.word = f.onward
+)
+select f.word, f.form, r.root, f.n, f.n_near, f.form_n from form f join (select word, root from follow where onward is null) r on r.word = f.word
 """,
     "op13_line_dedup": """
 with lines as (
