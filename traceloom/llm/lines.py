@@ -11,14 +11,11 @@ next level. Documents come in batches of falling doc_id, so the largest doc_id o
 from __future__ import annotations
 
 import uuid
-import zlib
-from collections.abc import Iterator
+from string import ascii_lowercase, ascii_uppercase
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .common import LONG, STRING, discard, documents, free_name, schema, shared_dir, written
 
@@ -33,34 +30,16 @@ def line_key(line: str, least_chars: int) -> bytes | None:
 
 
 def line_keys(docs: DataFrame, least_chars: int, edges: list[int]) -> DataFrame:
-    """h1, h2 (128 bits of the key's hash), doc_id, salt (crc32 of the text), batch (0: doc_id above all ``edges``); one row for each key of a row."""
-
-    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import xxhash
-
-        digest = xxhash.xxh3_128_digest
-
-        def table(ids, salts, sizes, hashes):
-            both = np.frombuffer(b"".join(hashes), dtype=">i8").reshape(-1, 2).astype(np.int64)
-            doc = np.repeat(np.array(ids, np.int64), sizes)
-            batch = (len(edges) - np.searchsorted(edges, doc, side="left")).astype(np.int32)
-            return pd.DataFrame({"h1": both[:, 0], "h2": both[:, 1], "doc_id": doc, "salt": np.repeat(np.array(salts, np.int64), sizes), "batch": batch})
-
-        for part in batches:
-            ids, salts, sizes, hashes = [], [], [], []
-            for doc, text in zip(part["doc_id"].tolist(), part["text"].tolist()):
-                own = {key for line in set(text.split("\n")) if (key := line_key(line, least_chars)) is not None}
-                if own:
-                    ids.append(doc)
-                    salts.append(zlib.crc32(text.encode("utf-8", "surrogatepass")))
-                    sizes.append(len(own))
-                    hashes += map(digest, own)
-                if len(hashes) > 100_000:
-                    yield table(ids, salts, sizes, hashes)
-                    ids, salts, sizes, hashes = [], [], [], []
-            yield table(ids, salts, sizes, hashes)
-
-    return documents(docs).mapInPandas(emit, schema(("h1", LONG), ("h2", LONG), ("doc_id", LONG), ("salt", LONG), ("batch", T.IntegerType())))
+    """h1, h2 (XXH64 of the key with two seeds), doc_id, salt (crc32 of the text), batch (0: doc_id above all ``edges``); a row for each line with a key."""
+    batch = F.lit(len(edges))
+    for edge in edges:
+        batch = batch - (F.col("doc_id") > edge).cast("int")
+    split = documents(docs).select("doc_id", F.crc32(F.col("text").cast("binary")).alias("salt"), F.explode(F.split("text", "\n")).alias("line"))
+    key = F.translate("key", ascii_uppercase, ascii_lowercase)
+    trimmed = split.select("doc_id", "salt", F.btrim("line", F.lit(BLANKS)).alias("key")).where(F.length("key") >= least_chars)
+    return trimmed.select("doc_id", "salt", batch.alias("batch"), key.alias("key")).select(
+        F.xxhash64("key").alias("h1"), F.xxhash64(F.lit("second"), "key").alias("h2"), "doc_id", "salt", "batch"
+    )
 
 
 class LineRuns:
@@ -136,8 +115,8 @@ def without_common_lines(docs: DataFrame, least_chars: int = 40, least_docs: int
     empty too. Texts are taken whole, however long. An empty table gives an empty one. All other columns are kept,
     whatever their names: an added one that is taken gets underscores before it.
 
-    Documents go through the runs in ``batches`` batches of falling doc_id. Hashes of 128 bits stand for keys; in a
-    document 64 bits of them are compared with those the document has to lose.
+    Documents go through the runs in ``batches`` batches of falling doc_id. Two hashes of 64 bits stand for keys; in a
+    document one of them is compared with those the document has to lose.
     """
     spark = docs.sparkSession
     marks = documents(docs).approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)
@@ -156,22 +135,24 @@ def without_common_lines(docs: DataFrame, least_chars: int = 40, least_docs: int
     keyed = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("doc_id"), F.crc32(text.cast("binary")).alias("salt"), text.alias("_text"))
     joined = keyed.join(hits, ["doc_id", "salt"], "left")
 
-    @F.pandas_udf(schema(("text", STRING), ("lines", LONG), ("dropped", LONG)))
+    @F.pandas_udf(schema(("text", STRING), ("dropped", LONG)))
     def cut(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
         import xxhash
 
-        digest, rows = xxhash.xxh3_128_digest, []
+        rows = []
         for text, hit in zip(texts, hits):
             if hit is None:
-                rows.append((text, text.count("\n") + 1, 0))
+                rows.append((None, 0))
                 continue
-            found, lines = set(hit.tolist()), text.split("\n")
-            kept = [line for line in lines if (key := line_key(line, least_chars)) is None or int.from_bytes(digest(key)[:8], "big", signed=True) not in found]
-            rows.append(("\n".join(kept), len(lines), len(lines) - len(kept)))
-        return pd.DataFrame(rows, columns=["text", "lines", "dropped"])
-
-    done = joined.select("row", cut("_text", "_hits").alias("_cut"))
+            found, lines = {h & (1 << 64) - 1 for h in hit.tolist()}, text.split("\n")
+            kept = [line for line in lines if (key := line_key(line, least_chars)) is None or xxhash.xxh64_intdigest(key, 42) not in found]
+            rows.append(("\n".join(kept), len(lines) - len(kept)))
+        return pd.DataFrame(rows, columns=["text", "dropped"])
+
+    hit_text = F.when(F.col("_hits").isNotNull(), F.col("_text"))  # others need not go to Python
+    done = joined.select("row", "_text", cut(hit_text, "_hits").alias("_cut"))
+    n_lines = F.size(F.split("_text", "\n"))
     return done.select(
-        *(F.col("_cut.text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names),
-        F.col("_cut.lines").alias(free_name(docs, "_lines")), F.col("_cut.dropped").alias(free_name(docs, "_dropped")),
+        *(F.coalesce("_cut.text", "_text").alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in names),
+        n_lines.cast("long").alias(free_name(docs, "_lines")), F.col("_cut.dropped").alias(free_name(docs, "_dropped")),
     )
