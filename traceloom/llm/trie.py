@@ -208,7 +208,8 @@ def _digests(ends: DataFrame) -> DataFrame:
                     nodes.append(node)
                     out.append(state.hexdigest())
                 node, state = at, hashlib.sha256(text)
-            yield pd.DataFrame({"node": nodes, "ends_sha256": out})
+            if nodes:
+                yield pd.DataFrame({"node": nodes, "ends_sha256": out})
         if node is not None:
             yield pd.DataFrame({"node": [node], "ends_sha256": [state.hexdigest()]})
 

@@ -53,18 +53,16 @@ def words(docs: DataFrame, least_chars: int = 7, least_n: int = 2, drop_one_in:
         for batch in batches:
             for doc, text in zip(batch["doc_id"].tolist(), batch["text"].tolist()):
                 own = Counter(runs.findall(text.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass")))
-                if drop_one_in is None:
-                    held.update(own)
-                    continue
                 prefix = zlib.crc32(f"{doc}:".encode())
                 for run, n in own.items():
-                    word = misspelled(run, prefix, drop_one_in)
+                    word = run if drop_one_in is None else misspelled(run, prefix, drop_one_in)
                     if len(word) >= least_chars:
                         held[word] += n
                 if len(held) > 200_000:
                     yield pd.DataFrame({"word": list(held), "n": list(held.values())})
                     held = Counter()
-        yield pd.DataFrame({"word": list(held), "n": pd.array(list(held.values()), dtype="int64")})
+        if held:
+            yield pd.DataFrame({"word": list(held), "n": list(held.values())})
 
     counted = documents(docs).mapInPandas(count, schema(("word", STRING), ("n", LONG)))
     return counted.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= least_n)
