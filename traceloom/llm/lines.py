@@ -119,7 +119,7 @@ def without_common_lines(docs: DataFrame, least_chars: int = 40, least_docs: int
     document one of them is compared with those the document has to lose.
     """
     spark = docs.sparkSession
-    marks = documents(docs).approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)
+    marks = documents(docs).approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01) if batches > 1 else []
     edges = sorted({int(m) for m in marks})
     keys = written(line_keys(docs, least_chars, edges), "line-keys", by=["batch"])
     runs = LineRuns(spark, least_docs, fanout)
