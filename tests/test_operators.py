@@ -1,10 +1,12 @@
 """Small hand-written cases of the operators: quirks, errors, ties, empty input."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from traceloom.functions.ordering import global_row_number
-from traceloom.operators import clarity, runlog, sources, text, traces, training, uncertainty, vocabulary
+from traceloom.operators import clarity, resolution, runlog, sources, text, traces, training, uncertainty, vocabulary
 from traceloom.sources import files
 from traceloom.streaming.incremental import after
 
@@ -123,8 +125,72 @@ def test_aliases_and_resolution(spark):
     tokens = spark.createDataFrame(
         [("i", 1, "A.d", "M.f"), ("i", 2, "f", "M.f"), ("i", 3, "g", "M.f"), ("i", 4, "M.g.g", "M.f"), ("i", 5, "nope", "M.f")], "item string, pos long, token string, name string"
     )
-    got = {r.pos: (r.id, r.rule) for r in vocabulary.resolved(tokens, v).collect()}
-    assert got == {1: (1002, "alias"), 2: (1003, "own"), 3: (1004, "sibling"), 4: (1004, "less"), 5: (None, None)}
+    got = {r.pos: (r.id, r.rule) for r in resolution.resolved(tokens, v).collect()}
+    assert got == {1: (1002, "alias"), 2: (1003, "own"), 3: (1004, "sibling"), 4: (1004, "less"), 5: (1, "fallback")}
+
+
+def one_by_one(items, names, short, given, typed):
+    """The rules of token resolution, a token at a time. ``items``: item -> (name, tokens)."""
+    out = {}
+    for item, (name, tokens) in items.items():
+        own, local = name.split("."), dict(given.get(item, {}))
+        count = max(local.values(), default=0)
+
+        def known(t):
+            p = t.split(".")
+            if len(p) > 1:
+                keys = [(names, t, "exact")] + [(names, ".".join(p[:-1]), "less")] * (p[-1] == p[-2]) + [(short, t, "alias")]
+            else:
+                keys = []
+            keys += [(names, name, "own")] * (t == own[-1]) + [(names, t, "exact")] * (len(p) == 1)
+            keys += [(local, t, "local"), (names, ".".join(own[:-1] or own) + "." + t, "sibling")]
+            return next(((table[key], rule) for table, key, rule in keys if key in table), None)
+
+        for pos, token in enumerate(tokens):
+            halves = token.split("<ker>")
+            hit = next((h for h in map(known, halves) if h), None)
+            a = halves[0]
+            if hit is None and a not in typed.get(item, ()):
+                path = a.split(".") if "." in a and own[0] in a else own[:-1] + a.split(".")
+                walk = [".".join([path[0], *path[1 : 1 + k], path[-1]]) for k in range(len(path) - 3, -1, -1)]
+                hit = next(((short[w], "walk") for w in walk if w in short), None)
+            if hit is None:
+                count += 1
+                local[a] = count
+                hit = (count, "typed" if a in typed.get(item, ()) else "fallback")
+            out[item, pos] = hit
+    return out
+
+
+def test_resolution_of_random_items(spark):
+    rng = random.Random(5)
+    words = ["a", "b", "c", "d", "e", "f.g", "M.a", "M.x.c", "M.N.c", "f", "g", "M.h.h", "h", "q", "r", "N.b"]
+    names = {"M.N.a": 1001, "M.N.b": 1002, "M.x.y.c": 1003, "M.x.y.z.q": 1004, "a": 1005, "M.N.h": 1006, "f.g": 1007, "M.h": 1008, "K": 1009}
+    v = spark.createDataFrame(list(names.items()), "token string, id long")
+    short = {r.alias: r.id for r in vocabulary.aliases(v).collect()}
+    items, given, typed = {}, {}, {}
+    for i in range(300):
+        pick = lambda: rng.choice(words) if rng.random() < 0.6 else f"{rng.choice(words)}<ker>{rng.choice(words)}"
+        items[i] = (rng.choice(["M.N.a", "M.N.u", "K", "lone", "M.x.c"]), [pick() for _ in range(12)])
+        if i % 3 == 0:
+            given[i] = {"b": 1, "r": 2}
+        if i % 4 == 0:
+            typed[i] = ["e", "q"]
+    tokens = spark.createDataFrame([(i, pos, t, name) for i, (name, own) in items.items() for pos, t in enumerate(own)], "item long, pos long, token string, name string")
+    local = spark.createDataFrame([(i, t, k) for i, own in given.items() for t, k in own.items()], "item long, token string, id long")
+    types = spark.createDataFrame([(i, t) for i, own in typed.items() for t in own], "item long, token string")
+    got = {(r.item, r.pos): (r.id, r.rule) for r in resolution.resolved(tokens, v, local, types).collect()}
+    assert got == one_by_one(items, names, short, given, typed)
+    assert {rule for _, rule in got.values()} == {"exact", "less", "alias", "own", "local", "sibling", "typed", "walk", "fallback"}
+
+
+def test_a_tactic_of_locals_alone_is_split_at_underscores(spark):
+    v = spark.createDataFrame([("known", 1000)], "token string, id long")
+    rows = [(1, 1, "x", False), (1, 2, "x_known", True), (1, 3, "y__x", True), (2, 1, "known", True), (2, 2, "x_known", True), (3, 1, "a", False)]
+    tokens = spark.createDataFrame([(*r, "n") for r in rows], "item long, pos long, token string, tactic boolean, name string")
+    ids, local = resolution.encoded_steps(tokens, v)
+    assert {r.item: (r.ids, r.retried) for r in ids.collect()} == {1: ([1, 1000, 4, 5, 1], True), 2: ([1000, 1], False)}
+    assert sorted((r.item, r.token, r.id) for r in local.collect()) == [(1, "", 5), (1, "x", 1), (1, "x_known", 2), (1, "y", 4), (1, "y__x", 3), (2, "x_known", 1), (3, "a", 1)]
 
 
 def test_decoding_a_missing_local_is_an_error(spark):

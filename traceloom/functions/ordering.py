@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from traceloom.sources.shared import table_in_shared
+
 
 def seeded(seed: str, *keys: str) -> Column:
     """md5 of seed and keys: an order that is random to the eye and the same on every engine."""
@@ -16,26 +18,21 @@ def seeded_unit(seed: str, *keys: str) -> Column:
     return (F.conv(F.substring(seeded(seed, *keys), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
 
 
-def global_row_number(df: DataFrame, key: str, *ties: str, buckets: int = 64) -> DataFrame:
-    """``df`` with ``rn``: row numbers from 1 by numeric or hex-string ``key``, then ``ties``.
+def global_row_number(df: DataFrame, key: str, *ties: str) -> DataFrame:
+    """``df`` with ``rn``: row numbers from 1 by ``key``, then ``ties``, nulls first.
 
-    Rows are cut into buckets of the key's range; only the buckets' counts are summed in one place, and
-    each bucket is numbered in a task of its own.
+    ``df`` is computed once and written; ranges of its keys, as many as shuffle partitions, are drawn from a sample of
+    that, each is sorted in a task of its own, and the ranges before it give where its numbers start. Name
+    ties where a key may stand in a large part of the rows.
     """
-    if dict(df.dtypes)[key] == "string":  # hex digits, evenly spread
-        bucket = (F.conv(F.substring(F.col(key), 1, 4), 16, 10).cast("int") * buckets / 65536).cast("int")
-    else:
-        marks = df.agg(F.percentile_approx(key, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-        bucket = F.lit(0)
-        for m in sorted(set(marks)):
-            bucket = bucket + F.when(F.col(key) > m, 1).otherwise(0)
-    cut = df.withColumn("_bucket", bucket)
-    counts = cut.groupBy("_bucket").count()
-    before = counts.select(
-        "_bucket", (F.sum("count").over(Window.orderBy("_bucket")) - F.col("count")).alias("_before")
-    )  # a row for each bucket
-    own = F.row_number().over(Window.partitionBy("_bucket").orderBy(key, *ties))
-    return cut.join(F.broadcast(before), "_bucket").withColumn("rn", (own + F.col("_before")).cast("long")).drop("_bucket", "_before")
+    once = table_in_shared(df, "unordered")
+    ranges = once.repartitionByRange(key, *ties).sortWithinPartitions(key, *ties)
+    placed = table_in_shared(ranges.withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    rows = placed.withColumn("_range", F.shiftright("_at", 33))  # the id's upper bits: the task; the lower ones: the row in it
+    counts = rows.groupBy("_range").count()
+    before = counts.select("_range", (F.sum("count").over(Window.orderBy("_range")) - F.col("count")).alias("_before"))  # a row for each range
+    place = F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + F.col("_before") + 1
+    return rows.join(F.broadcast(before), "_range").withColumn("rn", place.cast("long")).drop("_at", "_range", "_before")
 
 
 def first_n(df: DataFrame, by: list[str], order: list, n: int | Column) -> DataFrame:

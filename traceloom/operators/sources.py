@@ -42,9 +42,9 @@ def decode_list(text: Column, kind: str = "double") -> Column:
 
 def contiguous_shards(df: DataFrame, key: str, n: int, *ties: str) -> DataFrame:
     """``df`` with ``shard``: n runs of equal length by key, the remainder in the last."""
-    total = df.count()
-    size = max(1, total // n)
-    return global_row_number(df, key, *ties).withColumn("shard", F.least(F.floor((F.col("rn") - 1) / size), F.lit(n - 1)).cast("long")).drop("rn")
+    numbered = global_row_number(df, key, *ties)
+    size = max(1, numbered.count() // n)
+    return numbered.withColumn("shard", F.least(F.floor((F.col("rn") - 1) / size), F.lit(n - 1)).cast("long")).drop("rn")
 
 
 def shuffled_shards(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:

@@ -11,25 +11,42 @@ LOCALS = 100  # ids 1 to 100 are local variables
 FIRST_GLOBAL = 1000
 FIRST_LATE = 1_000_000
 
-# fixed values: delimiters that stay tokens, the longer ones first
-DELIMITERS = (r":=", r"=>", r"<=", r"<-", r"/\\", r"\\/", r"\|-", r"\+", r"-\s", r"\s", r"\(", r"\)", r"\[", r"\]", r"\{", r"\}", r"\|", ",", "~", "%", ";", ":", "@", r"\?", "/")
+# fixed value: delimiters that stay tokens, the longer ones first
+DELIMITERS = r"(:=|=>|<=|<-|/\\|\\/|\|-|\+|-\s|\s|\(|\)|\[|\]|\{|\}|\||,|~|%|;|:|@|\?|/)"
 
 
-def fixed_vocabulary(spark: SparkSession, internal: DataFrame) -> DataFrame:
-    """V1: token, id, class. ``internal``: token, ord; the first occurrence wins; ids follow the locals."""
+def fixed_vocabulary(spark: SparkSession, internal: DataFrame, names: DataFrame | None = None) -> DataFrame:
+    """V1: token, id, class. ``internal``: token, ord, and reserved where ``names`` are given; the first occurrence wins; ids follow the locals.
+
+    An internal token that is one of ``names`` (token) loses its place, unless it is reserved.
+    """
     local = spark.range(1, LOCALS + 1).select(F.concat(F.lit("local_var_"), "id").alias("token"), "id", F.lit("local").alias("class"))
+    if names is not None:
+        taken = names.select("token").join(F.broadcast(internal.where("not reserved").select("token")), "token", "left_semi")  # fewer than a thousand tokens
+        internal = internal.join(taken, "token", "left_anti")
     once = internal.groupBy("token").agg(F.min("ord").alias("ord"))
     over = Window.orderBy("ord")  # fewer than a thousand tokens
     return local.unionByName(once.select("token", (F.row_number().over(over) + LOCALS).cast("long").alias("id"), F.lit("internal").alias("class")))
 
 
+def definition_names(definitions: DataFrame) -> DataFrame:
+    """V2: token, ord of definitions (name, kind, ord): tactic definitions go by their base name, unnamed ones have none."""
+    base = F.element_at(F.split("name", r"\."), -1)
+    return definitions.where("name != ''").select(F.when(F.col("kind") == "Ltac", base).otherwise(F.col("name")).alias("token"), "ord")
+
+
 def first_seen(names: DataFrame) -> DataFrame:
     return names.groupBy("token").agg(F.min("ord").alias("ord"))
 
 
 def global_ids(names: DataFrame, internal: DataFrame, current: int = FIRST_GLOBAL) -> DataFrame:
-    """V2: token, id: distinct names in first-seen order after max(current, 1000); internal names are left out."""
-    new = first_seen(names).join(internal.select("token"), "token", "left_anti")
+    """V2: token, id: distinct names in first-seen order after max(current, 1000).
+
+    ``internal``: token, and reserved where not all are. Reserved tokens (built-in tactics and signs) never become names; a name that equals
+    another internal token gets an id here, and ``fixed_vocabulary`` drops the token.
+    """
+    kept = internal.where("reserved") if "reserved" in internal.columns else internal
+    new = first_seen(names).join(F.broadcast(kept.select("token")), "token", "left_anti")  # fewer than a thousand tokens
     return global_row_number(new, "ord", "token").select("token", (F.col("rn") + max(current, FIRST_GLOBAL) - 1).alias("id"))
 
 
@@ -53,7 +70,7 @@ def aliases(vocabulary: DataFrame) -> DataFrame:
 
 def symbol_tokens(text: Column) -> Column:
     """V5: tokens with delimiters kept and single blanks dropped; ``3!x`` gives 3 and x, ``!x`` gives ! and x."""
-    marked = F.regexp_replace(text, f"({'|'.join(DELIMITERS)})", "\u0001$1\u0001")
+    marked = F.regexp_replace(text, DELIMITERS, "\u0001$1\u0001")
     parts = F.filter(F.split(marked, "\u0001"), lambda p: (p != "") & (p != " "))
 
     def halves(p: Column) -> Column:
@@ -80,49 +97,6 @@ def token_rows(df: DataFrame, key: str, tokens: Column) -> DataFrame:
     return df.select(F.col(key).alias("item"), F.posexplode(tokens).alias("pos", "token")).select("item", (F.col("pos") + 1).cast("long").alias("pos"), "token")
 
 
-def resolved(tokens: DataFrame, vocabulary: DataFrame, local: DataFrame | None = None) -> DataFrame:
-    """V7: adds ``id`` and ``rule``. ``tokens``: item, pos, token, name (of the item); ``local``: item, token, id.
-
-    In order: the token itself, where it is dotted; less its last part, where that repeats the one before; an alias;
-    the item's own base name; the token itself; a local of the item; a sibling with the item's prefix. Else null.
-    """
-    parts = F.split("token", r"\.")
-    dotted = F.size(parts) > 1
-    doubled = dotted & (F.element_at(parts, -1) == F.try_element_at(parts, F.lit(-2)))
-    base = F.element_at(F.split("name", r"\."), -1)
-    keyed = tokens.withColumns(
-        {
-            "_exact": F.col("token"),
-            "_less": F.when(doubled, F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 1), ".")),
-            "_alias": F.when(dotted, F.col("token")),
-            "_own": F.when(F.col("token") == base, F.col("name")),
-            "_sibling": F.when(~dotted & F.col("name").contains("."), F.concat_ws(".", F.call_function("substring_index", F.col("name"), F.lit("."), F.size(F.split("name", r"\.")) - 1), "token")),
-        }
-    )
-    known = aliases(vocabulary)
-    out = keyed
-    for rule, source, column in (("exact", vocabulary, "token"), ("less", vocabulary, "token"), ("alias", known, "alias"), ("own", vocabulary, "token"), ("sibling", vocabulary, "token")):
-        out = out.join(source.select(F.col(column).alias(f"_{rule}"), F.col("id").alias(f"_id_{rule}")), f"_{rule}", "left")
-    if local is None:
-        out = out.withColumn("_id_local", F.lit(None).cast("long"))
-    else:
-        out = out.join(local.select("item", "token", F.col("id").alias("_id_local")), ["item", "token"], "left")
-    order = ["less", "alias", "own", "exact", "local", "sibling"]
-    picked = F.when(dotted & F.col("_id_exact").isNotNull(), F.struct(F.col("_id_exact").alias("id"), F.lit("exact").alias("rule")))
-    for rule in order:
-        picked = picked.when(F.col(f"_id_{rule}").isNotNull(), F.struct(F.col(f"_id_{rule}").alias("id"), F.lit(rule).alias("rule")))
-    return out.withColumn("_p", picked).select(*tokens.columns, F.col("_p.id").alias("id"), F.col("_p.rule").alias("rule"))
-
-
-def resolved_alternatives(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """V8: ``a<ker>b`` is a where a is known, else b."""
-    halves = F.split("token", "<ker>")
-    both = tokens.withColumns({"_a": F.get(halves, 0), "_b": F.get(halves, 1)})
-    a = vocabulary.select(F.col("token").alias("_a"), F.col("id").alias("_ia"))
-    b = vocabulary.select(F.col("token").alias("_b"), F.col("id").alias("_ib"))
-    return both.join(a, "_a", "left").join(b, "_b", "left").select(*tokens.columns, F.coalesce("_ia", "_ib").alias("id"))
-
-
 def local_ids(seen: DataFrame, after: DataFrame | None = None) -> DataFrame:
     """V9: item, token, id: numbered by first appearance (``seen``: item, token, ord), after each item's largest id in ``after``."""
     once = seen.groupBy("item", "token").agg(F.min("ord").alias("ord"))
@@ -143,16 +117,11 @@ def attached_types(*sources: DataFrame) -> DataFrame:
 
 
 def encoded(rows: DataFrame) -> DataFrame:
-    """Item, ids: the ids of each item's tokens in order (``rows``: item, pos, id), unresolved ones left out."""
+    """Item, ids: the ids of each item's tokens in order (``rows``: item, pos, id), unresolved ones left out."""
     ordered = F.sort_array(F.collect_list(F.when(F.col("id").isNotNull(), F.struct("pos", "id"))))
     return rows.groupBy("item").agg(F.transform(ordered, lambda x: x["id"]).alias("ids"))
 
 
-def needs_retry(ids: Column) -> Column:
-    """All ids are local, so that ``_`` must split too."""
-    return (F.size(ids) > 0) & F.forall(ids, lambda i: i <= LOCALS)
-
-
 def looked_up(episodes: DataFrame, definitions: DataFrame) -> DataFrame:
     """Adds ``found``: the definition by name, else by the text before the first ``_``."""
     d = definitions.select("name", "value")
@@ -194,11 +163,6 @@ def coverage(rows: DataFrame, by: str) -> DataFrame:
     )
 
 
-def renamed(text: Column, temporary: str, module: Column) -> Column:
-    """Names under a temporary file's prefix go to their real module."""
-    return F.regexp_replace(text, F.lit(rf"\b{temporary}\."), F.concat(module, F.lit(".")))
-
-
 def referenced(definitions: DataFrame, start: int) -> DataFrame:
     """Item, ids: distinct ids of content, body and types, from ``start`` on, the item's own left out, ascending."""
     every = F.array_union(F.array_union(F.coalesce("content", F.array()), F.coalesce("body", F.array())), F.coalesce("types", F.array()))
