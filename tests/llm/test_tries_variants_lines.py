@@ -245,3 +245,20 @@ def test_query_matches_its_sql(spark, name):
     want = con.sql(queries.ORACLES[name]).df()
     plain = lambda df: sorted(tuple("null" if pd.isna(v) else str(v if isinstance(v, str) else int(v)) for v in r) for r in df[list(got.columns)].itertuples(index=False))
     assert plain(got.toPandas()) == plain(want)
+
+
+# --- learning from rows without ids ------------------------------------------------------------------------------
+
+
+def test_languages_are_learned_whatever_the_ids(spark):
+    import public_tokenizers
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    for ids in (F.lit(None).cast("long"), F.lit(7).cast("long")):
+        from traceloom.llm import language
+
+        renumbered = docs.withColumn("doc_id", ids)
+        model = language.train(renumbered, public_tokenizers.path("piece_bpe_32k.model"))
+        kept = language.accepted(renumbered.withColumn("was", F.col("lang")), model)
+        assert kept.count() > 190 and kept.where("lang != was").count() == 0

@@ -14,10 +14,12 @@ _OWN_DIR: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``. Where the cluster names none (tests), one of our own."""
+    """The folder of ``spark.checkpoint.dir``. On one machine that names none (tests), one of our own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a folder that driver and executors share in spark.checkpoint.dir")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="spark-"))
     return _OWN_DIR[0]
@@ -92,8 +94,8 @@ def components(edges: DataFrame, max_rounds: int = 40) -> DataFrame:
 
 
 def fold(column: str, folds: int):
-    """crc32 of the id as text, modulo ``folds``."""
-    return F.crc32(F.col(column).cast("string").cast("binary")) % folds
+    """crc32 of the id as text, modulo ``folds``; a null id reads as -1."""
+    return F.crc32(F.coalesce(F.col(column).cast("long"), F.lit(-1)).cast("string").cast("binary")) % folds
 
 
 LONG, STRING, DOUBLE = T.LongType(), T.StringType(), T.DoubleType()

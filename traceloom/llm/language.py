@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import DOUBLE, LONG, STRING, documents, hash_sample, schema
+from .common import DOUBLE, LONG, STRING, documents, schema
 
 TOGETHER = 32  # words up to so many letters are scored with others of their length, longer ones along the word
 FLOOR = 1e-7  # probability of a character outside the vocabulary
@@ -179,9 +179,15 @@ def fit(words: dict[str, Counter], lattice: Lattice, rounds: int = 4) -> tuple[l
 
 
 def train(labelled: DataFrame, vocabulary_path: str, sample: int = 1500) -> tuple[list[str], list[str], np.ndarray]:
-    """pieces, languages, probabilities from about ``sample`` hash-chosen documents of each ``lang``."""
-    chosen = hash_sample(labelled.where("lang is not null").select("doc_id", "lang"), "doc_id", "lang", sample)
-    rows = labelled.where("lang is not null and text is not null").join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id")
+    """pieces, languages, probabilities from about ``sample`` documents of each ``lang``, chosen by a hash of id and text.
+
+    Rows without ``lang`` or text teach nothing. Null and repeated ids do not matter; rows of the same id and text are chosen together and
+    count once. The model holds a column for each language, so their number is one that a driver can hold.
+    """
+    labelled = labelled.where("lang is not null and text is not null")
+    held = labelled.groupBy("lang").count()
+    unit = F.pmod(F.xxhash64(F.lit(7), "doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    rows = labelled.join(F.broadcast(held), "lang").where(unit < F.lit(float(sample)) / F.col("count")).select("lang", "text").distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -189,7 +195,7 @@ def train(labelled: DataFrame, vocabulary_path: str, sample: int = 1500) -> tupl
             if found:
                 yield pd.DataFrame([(*k, n) for k, n in found.items()], columns=["lang", "word", "n"])
 
-    counted = rows.select("lang", "text").mapInPandas(count, schema(("lang", STRING), ("word", STRING), ("n", LONG)))
+    counted = rows.mapInPandas(count, schema(("lang", STRING), ("word", STRING), ("n", LONG)))
     words: dict[str, Counter] = defaultdict(Counter)
     for r in counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word").collect():  # words of the bounded sample
         words[r.lang][r.word] = r.n
