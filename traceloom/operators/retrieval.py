@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,26 +15,49 @@ def split_kinds(vectors: DataFrame, is_tactic: Column) -> tuple[DataFrame, DataF
     return vectors.where(is_tactic), vectors.where(~is_tactic)
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+def _block(key: str, n: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
 
 
-def top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 10_000) -> DataFrame:
-    """R2: query, name, score (100 times the dot product), rank: the ``k`` best of ``vectors`` for each query.
+def _best_of_cell(k: int):
+    """Of a cell of the grid: the ``k`` best vectors for each query, ties by name."""
 
-    ``queries``: query, v. ``vectors``: name, v. The queries go to every task in blocks of about ``block`` (by a hash of
-    their name); each task keeps ``k`` rows a query before the shuffle. However many there are, each meets every vector.
+    def run(queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
+        out = {"query": [], "name": [], "score": []}
+        if len(queries) and len(vectors):
+            vectors = vectors.sort_values("name", ignore_index=True)
+            q, v = np.stack(queries["v"]).astype(np.float64), np.stack(vectors["v"]).astype(np.float64)
+            names = vectors["name"].to_numpy()
+            near = q @ v.T
+            # the product's last digits depend on the order of its sums: what may be among the best is added up again, in order
+            least = np.partition(near, -k, axis=1)[:, -k] if len(v) > k else near.min(axis=1)
+            slack = 1e-9 * (np.abs(q).sum(axis=1) * np.abs(v).max(initial=0) + 1)
+            for i, query in enumerate(queries["query"]):
+                rows = np.flatnonzero(near[i] >= least[i] - slack[i])
+                score = 100 * np.concatenate([np.add.accumulate(v[part] * q[i], axis=1)[:, -1] for part in np.array_split(rows, len(rows) // 4096 + 1)])
+                best = np.lexsort([rows, -score])[:k]
+                out["query"] += [query] * len(best)
+                out["name"] += names[rows[best]].tolist()
+                out["score"] += score[best].tolist()
+        return pd.DataFrame({"query": np.array(out["query"], queries["query"].dtype), "name": np.array(out["name"], vectors["name"].dtype), "score": np.array(out["score"], float)})
+
+    return run
+
+
+def top_k(queries: DataFrame, vectors: DataFrame, k: int, block: int = 4096) -> DataFrame:
+    """R2: query, name, score (100 times the dot product), rank: the ``k`` best of ``vectors`` for each query, ties by name.
+
+    ``queries``: query, v. ``vectors``: name, v, all of one length and without nulls. Both are cut by hash into blocks of about ``block`` rows; every
+    block of queries meets every block of vectors in a task's group of its own, as a matrix product, and only ``k`` rows
+    a query leave it. One scan of each table whatever their sizes; names in ``queries`` are distinct.
     """
-    n = -(-queries.count() // block) or 1
-    small = queries.select("query", F.col("v").alias("_q"), F.pmod(F.xxhash64("query"), F.lit(n)).alias("_block"))
+    n_q, n_v = (max(1, -(-df.count() // block)) for df in (queries, vectors))
+    q = queries.select("query", "v", _block("query", n_q).alias("_q"), F.explode(F.sequence(F.lit(0), F.lit(n_v - 1))).alias("_v"))
+    v = vectors.select("name", "v", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("_q"), _block("name", n_v).alias("_v"))
+    kinds = f"query {dict(queries.dtypes)['query']}, name {dict(vectors.dtypes)['name']}, score double"
+    met = q.groupBy("_q", "_v").cogroup(v.groupBy("_q", "_v")).applyInPandas(_best_of_cell(k), kinds)
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "name"))
-    out = None
-    for b in range(n):
-        own = F.broadcast(small.where(F.col("_block") == b).drop("_block"))  # about ``block`` rows
-        scored = vectors.join(own, how="cross").select("query", "name", (100 * dot(F.col("_q"), F.col("v"))).alias("score"))
-        best = scored.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    return met.withColumn("rank", rank.cast("long")).where(F.col("rank") <= k)
 
 
 def top_k_of_both(queries: DataFrame, premises: DataFrame, tactics: DataFrame, k: int) -> DataFrame:
@@ -49,9 +74,15 @@ def explained(names: DataFrame, premises: DataFrame, tactics: DataFrame) -> Data
     return out.withColumn("explanation", F.coalesce("_p", "_t", F.lit(""))).drop("_p", "_t")
 
 
-def context(ranked: DataFrame, items: DataFrame) -> DataFrame:
-    """Ranked rows with their item's text, less the query itself and Primitive ones: fewer than k may be left."""
-    kept = ranked.where(F.col("name") != F.col("query"))
+def context(ranked: DataFrame, items: DataFrame, current: DataFrame | None = None) -> DataFrame:
+    """Ranked rows with their item's text, less the item at work and Primitive ones: fewer than k may be left.
+
+    ``current``: query, current (the item at work, else the query itself). Its name less what follows its last ``_`` goes too.
+    """
+    named = ranked.withColumn("_current", F.col("query").cast("string")) if current is None else ranked.join(current.select("query", F.col("current").alias("_current")), "query", "left")
+    name, last = F.col("name").cast("string"), F.substring_index("_current", "_", -1)
+    whole = F.when(F.col("_current").contains("_"), F.left("_current", F.length("_current") - F.length(last) - 1)).otherwise(F.col("_current"))
+    kept = named.where(F.col("_current").isNull() | ((name != F.col("_current")) & (name != whole))).drop("_current")
     return kept.join(items.select("name", "kind", "text"), "name").where("kind != 'Primitive'")
 
 
@@ -61,15 +92,25 @@ def citing_steps(tokens: DataFrame, start: int, theorems: DataFrame) -> DataFram
     return hit.join(theorems.select("episode").distinct(), "episode", "left_semi").select("episode", "step").distinct()
 
 
-def multiple_choice(ranked: DataFrame, gold: DataFrame, seed: str) -> DataFrame:
-    """Query, choices (names in seeded order), gold_at (from 0). The gold name joins the nearest if it is not there."""
+def multiple_choice(ranked: DataFrame, gold: DataFrame, seed: str, items: DataFrame | None = None, skipped: tuple[str, ...] = ("Primitive", "Ltac")) -> DataFrame:
+    """Query, choices (names in seeded order), gold_at (from 0), cards. The gold name joins the nearest if it is not there.
+
+    ``cards`` are lines ``ID i: text`` with the places of the choices; with ``items`` (name, kind, text) those of ``skipped`` kinds have no
+    card but keep their number, and a name without an item has its name for a text; without ``items``, cards are the names.
+    """
     every = ranked.select("query", "name").unionByName(gold.select("query", F.col("gold").alias("name"))).distinct()
     at = F.row_number().over(Window.partitionBy("query").orderBy(seeded(seed, "query", "name"))) - 1
     shuffled = every.withColumn("_at", at).join(gold, "query")
-    ordered = F.sort_array(F.collect_list(F.struct("_at", "name")))
+    if items is None:
+        shuffled = shuffled.withColumns({"text": F.col("name").cast("string"), "kind": F.lit("")})
+    else:
+        shuffled = shuffled.join(items.select("name", "kind", "text"), "name", "left").withColumns({"text": F.coalesce("text", F.col("name").cast("string")), "kind": F.coalesce("kind", F.lit(""))})
+    card = F.when(~F.col("kind").isin(*skipped), F.concat(F.lit("ID "), "_at", F.lit(": "), "text"))
+    ordered = F.sort_array(F.collect_list(F.struct("_at", "name", card.alias("card"))))
     return shuffled.groupBy("query").agg(
         F.transform(ordered, lambda x: x["name"]).alias("choices"),
         F.max(F.when(F.col("name") == F.col("gold"), F.col("_at"))).cast("long").alias("gold_at"),
+        F.filter(F.transform(ordered, lambda x: x["card"]), lambda c: c.isNotNull()).alias("cards"),
     )
 
 

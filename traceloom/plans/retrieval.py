@@ -57,12 +57,17 @@ def r4(spark, sf_dir):
 
 @query(
     "r5_context",
-    f"""select query, name, 'vector ' || label as text from (select *, row_number() over (partition by query order by score desc, name) as rank from {RANKED} qualify rank <= 10) where name != query and label != 3""",
+    f"""select query, 'v' || name as name, 'vector ' || label as text from (select *, row_number() over (partition by query order by score desc, 'v' || name) as rank from {RANKED} qualify rank <= 10)
+    where name != case when query % 3 = 0 then query + 1 else query end and label != 3""",
 )
 def r5(spark, sf_dir):
-    v = vectors(spark, sf_dir)
+    v = vectors(spark, sf_dir).withColumn("name", F.concat(F.lit("v"), "name"))
     items = v.select("name", F.when(F.col("label") == 3, "Primitive").otherwise("Definition").alias("kind"), F.concat(F.lit("vector "), "label").alias("text"))
-    return op.context(op.top_k(asked(spark, sf_dir), v, 10), items).select("query", "name", "text")
+    own = asked(spark, sf_dir)
+    k = F.col("query") % 3
+    # the item at work: the query's own, one of its parts, or, in every third, another
+    at_work = F.when(k == 0, F.concat(F.lit("v"), F.col("query") + 1)).when(k == 1, F.concat(F.lit("v"), "query")).otherwise(F.concat(F.lit("v"), "query", F.lit("_subproof2")))
+    return op.context(op.top_k(own, v, 10), items, own.select("query", at_work.alias("current"))).select("query", "name", "text")
 
 
 @query(
@@ -80,12 +85,17 @@ def r6(spark, sf_dir):
     "r7_multiple_choice",
     f"""with n as (select query, name from {RANKED} qualify row_number() over (partition by query order by score desc, name) <= 10), g as (select distinct query, (query * 7) % 100 as gold from n),
     c as (select query, name from n union select query, gold from g), s as (select c.*, gold, row_number() over (partition by query order by md5('9:' || query || ':' || name)) - 1 as pos from c join g using (query))
-    select query, string_agg(name::varchar, ',' order by pos) as choices, max(case when name = gold then pos end) as gold_at from s group by query""",
+    select query, string_agg(name::varchar, ',' order by pos) as choices, max(case when name = gold then pos end) as gold_at,
+      coalesce(string_agg('ID ' || pos || ': DEFINITION v' || name || ' of ' || label, chr(10) order by pos) filter (where label not in (3, 0)), '') as cards
+    from s join embeddings e on e.vec_id = s.name group by query""",
 )
 def r7(spark, sf_dir):
-    ranked = op.top_k(asked(spark, sf_dir), vectors(spark, sf_dir), 10)
-    gold = ranked.select("query").distinct().withColumn("gold", (F.col("query") * 7) % 100)
-    return op.multiple_choice(ranked, gold, "9").withColumn("choices", F.array_join("choices", ","))
+    v = vectors(spark, sf_dir)
+    ranked = op.top_k(asked(spark, sf_dir), v, 10)
+    gold = asked(spark, sf_dir).select("query", ((F.col("query") * 7) % 100).alias("gold"))
+    kind = F.when(F.col("label") == 3, "Primitive").when(F.col("label") == 0, "Ltac").otherwise("Definition")
+    items = v.select("name", kind.alias("kind"), F.concat(F.lit("DEFINITION v"), "name", F.lit(" of "), "label").alias("text"))
+    return op.multiple_choice(ranked, gold, "9", items).withColumns({"choices": F.array_join("choices", ","), "cards": F.array_join("cards", "\n")})
 
 
 REFS = "(select distinct l_orderkey as item, l_partkey as ref from lineitem)"
