@@ -1,12 +1,15 @@
 """Small hand-written cases of the operators: quirks, errors, ties, empty input."""
 
+import functools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from traceloom.functions.ordering import global_row_number
-from traceloom.operators import clarity, resolution, runlog, sources, text, traces, training, uncertainty, vocabulary
+from traceloom.operators import clarity, resolution, retrieval, runlog, sources, text, traces, training, uncertainty, vocabulary
 from traceloom.sources import files
 from traceloom.streaming.incremental import after
 
@@ -282,3 +285,105 @@ def test_log_split_by_header(spark):
     log = "junk\nCOQC a.v\nx\ny\nCOQC b.v\nz"
     rows = sources.split_log(lines_of(spark, log), r"^COQC (\S+)").collect()
     assert sorted((r.line_no, r.part, r.path) for r in rows) == [(2, 1, "a.v"), (3, 1, "a.v"), (4, 1, "a.v"), (5, 2, "b.v"), (6, 2, "b.v")]
+
+
+def test_json_is_read_file_by_file(spark, tmp_path):
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("items", T.ArrayType(T.StructType([T.StructField("a", T.LongType())])))])
+    pretty = '{\n"a": 1,\n"items": [\n {"a": 1},\n {"a": 2}\n]\n}\n'
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "pretty.json").write_text(pretty)
+    read = lambda folder: sorted((r.a, None if r["items"] is None else [i.a for i in r["items"]]) for r in files.read_json(spark, str(tmp_path / folder), schema).collect())
+    assert read("one") == [(1, [1, 2])]
+    mixed = tmp_path / "mixed [1]"
+    mixed.mkdir()
+    (mixed / "pretty one.json").write_text("\n\n" + pretty)
+    (mixed / "lines.json").write_text('{"a": 5}\n\n{"a": \n{"a": 6}\n[{"a": 7}, {"a": 8}]\n')
+    (mixed / "bad first.json").write_text('{"a": \n{"a": 9}\n')
+    (mixed / "empty.json").write_text("")
+    where = "mixed \\[1\\]"
+    assert read(where) == [(1, [1, 2]), (5, None), (6, None), (7, None), (8, None), (9, None)]
+    assert [r.line for r in files.bad_lines(spark, str(tmp_path / where), schema).collect()] == ['{"a": '] * 2
+
+
+def test_deep_steps_and_long_files(spark):
+    deep = 3000
+    lines = [f"PS Begin of t <T>s{k}</T> in proof of p" for k in range(deep)] + [f"PS End of t <T>s{k}</T> with 0 goals" for k in reversed(range(deep))]
+    episodes = spark.createDataFrame([("p", lines)], "episode string, lines array<string>")
+    got = traces.step_tree(episodes).agg(F.count("*"), F.max("depth"), F.max(F.length("path"))).first()
+    assert tuple(got) == (deep, deep, 4 * deep - 1)
+    rows = spark.range(200_000).select(F.lit("f").alias("file"), (F.col("id") + 1).alias("line_no"), F.when(F.col("id") % 10 == 0, "Vernac Begin Proof").when(F.col("id") % 10 == 9, "Vernac End Proof").otherwise("x").alias("line"))
+    found = traces.blocks(rows).agg(F.count("*"), F.sum(F.size("lines")), F.min(F.col("finished").cast("int")), F.max("block")).first()
+    assert tuple(found) == (20_000, 160_000, 1, 20_000)
+
+
+def test_steps_close_like_a_forward_scan(spark):
+    import re
+
+    begin, end, notice = (re.compile(p) for p in (r"PS Begin of (\S+) <T>(.*?)</T>", r"PS End of (\S+) <T>(.*?)</T>", r"PS Notice.*<T>(.*?)</T>"))
+
+    def scan(lines, lo, hi, prefix, depth):
+        k, found = lo, []
+        while k < hi:
+            if m := begin.match(lines[k]):
+                count = 1
+                for j in range(k + 1, hi):
+                    b, e, n = begin.match(lines[j]), end.match(lines[j]), notice.match(lines[j])
+                    count += bool(b and b[2] == m[2]) - bool((e and e[2] == m[2]) or (n and n[1] == m[2]))
+                    if not count:
+                        break
+                else:
+                    k += 1
+                    continue
+                if not n:
+                    found.append((k, j, m[2]))
+                k = j
+            k += 1
+        out = set()
+        for i, (a, b, t) in enumerate(found, 1):
+            out |= {(f"{prefix}{i}/{len(found)}", depth, t, a, b)} | scan(lines, a + 1, b, f"{prefix}{i}/{len(found)}-", depth + 1)
+        return out
+
+    rng, episodes = random.Random(3), []
+    for _ in range(120):
+        kinds = ["PS Begin of n <T>{}</T> in proof", "PS End of n <T>{}</T> with 0", "PS Notice: Tactic <T>{}</T> did nothing", "other {}"]
+        episodes.append([rng.choices(kinds, [5, 5, 1, 1])[0].format(rng.choice("abc")) for _ in range(rng.randrange(40))])
+    frame = spark.createDataFrame([(str(k), e) for k, e in enumerate(episodes)], "episode string, lines array<string>")
+    got = {}
+    for r in traces.step_tree(frame).collect():
+        got.setdefault(r.episode, set()).add((r.path, r.depth, r.tactic, r["first"], r["last"]))
+    for k, e in enumerate(episodes):
+        assert got.get(str(k), set()) == scan(e, 0, len(e), "", 1)
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_top_k_in_blocks(spark, block):
+    rng = random.Random(1)
+    own = [[float(rng.choice([0, 1, 2, 0.1])) for _ in range(5)] for _ in range(60)]
+    v = spark.createDataFrame([(k, x) for k, x in enumerate(own)], "name long, v array<float>")
+    q = v.where("name % 3 = 0").withColumnRenamed("name", "query")
+    got = {(r.query, r["rank"]): (r.name, r.score) for r in retrieval.top_k(q, v, 4, block).collect()}
+    single = np.array(own, np.float32).astype(float)
+    for i in range(0, 60, 3):
+        score = {n: 100 * functools.reduce(lambda t, ab: t + ab[0] * ab[1], zip(single[i], x), 0.0) for n, x in enumerate(single)}  # in order: sum() compensates
+        best = sorted(score, key=lambda n: (-score[n], n))[:4]
+        assert [got[i, r + 1] for r in range(4)] == [(n, score[n]) for n in best]
+    assert retrieval.top_k(q.limit(0), v, 4).count() == 0 and retrieval.top_k(q, v.limit(0), 4).count() == 0
+
+
+def test_context_and_choices(spark):
+    ranked = spark.createDataFrame([(1, "a_b", 1), (1, "a_b_c", 2), (1, "p", 3), (1, "l", 4), (2, "x", 1), (2, "a", 2)], "query long, name string, rank long")
+    items = spark.createDataFrame([(n, k, n.upper()) for n, k in (("a_b", "D"), ("a_b_c", "D"), ("p", "Primitive"), ("l", "Ltac"), ("x", "D"), ("a", "D"))], "name string, kind string, text string")
+    current = spark.createDataFrame([(1, "a_b_c")], "query long, current string")
+    assert sorted(r.name for r in retrieval.context(ranked, items, current).collect()) == ["a", "l", "x"]
+    gold = spark.createDataFrame([(1, "a_b"), (2, "x")], "query long, gold string")
+    got = {r.query: r for r in retrieval.multiple_choice(ranked, gold, "s", items).collect()}
+    for q, names, skipped in ((1, {"a_b", "a_b_c", "p", "l"}, {"p", "l"}), (2, {"x", "a"}, set())):
+        assert set(got[q].choices) == names and got[q].choices[got[q].gold_at] == {1: "a_b", 2: "x"}[q]
+        assert got[q].cards == [f"ID {i}: {n.upper()}" for i, n in enumerate(got[q].choices) if n not in skipped]
+
+
+def test_stratified_tops_up_null_statuses_too(spark):
+    rows = [(k, s, d) for k, (s, d) in enumerate([("ok", 1)] * 2 + [("ok", 3)] * 9 + [(None, 2)] * 3 + [(None, 4)] * 3 + [("no", 9)] * 4)]
+    df = spark.createDataFrame(rows, "id long, status string, depth long")
+    got = runlog.stratified(df, "id", 4, 3, "s").groupBy("status", "depth", "stratum").count().collect()
+    assert {(r.status, r.depth, r.stratum): r["count"] for r in got} == {("ok", 1, 1): 2, ("ok", 3, 3): 4, ("ok", 3, 1): 2, (None, 2, 2): 3, (None, 4, 2): 1}

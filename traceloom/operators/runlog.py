@@ -106,17 +106,21 @@ def stratified(df: DataFrame, key: str, n: int, most_depth: int, seed: str, step
 
     Adds ``stratum``: the depth that a row counts for.
     """
-    keyed = df.withColumn("_o", seeded(seed, key))
-    rank = F.row_number().over(Window.partitionBy("status", "depth").orderBy("_o", key))
-    ranked = keyed.withColumn("_r", rank)
-    own = ranked.where((F.col("depth") <= most_depth) & (F.col("_r") <= n)).withColumn("stratum", F.col("depth"))
-    sizes = own.groupBy("status", "depth").agg((F.lit(n) - F.count("*")).alias("_short")).where("_short > 0")
-    # rows of the deeper stratum that it does not use itself
-    spare = ranked.where((F.col("depth") > most_depth) | (F.col("_r") > n)).withColumn("stratum", F.col("depth") - step)
-    over = Window.partitionBy("status", "stratum").orderBy("_o", key)
-    short = sizes.select("status", F.col("depth").alias("stratum"), "_short")
-    more = spare.join(F.broadcast(short), ["status", "stratum"]).withColumn("_k", F.row_number().over(over)).where("_k <= _short")  # a row for each stratum
-    return own.select(*df.columns, "stratum").unionByName(more.select(*df.columns, "stratum"))
+    by, o = ["_null", "_status", "depth"], seeded(seed, key)  # a null status is one of its own
+    named = df.withColumns({"_null": F.col("status").isNull(), "_status": F.coalesce("status", F.lit(""))})
+    keyed = named.withColumn("_o", o).withColumn("_b", F.conv(F.substring("_o", 1, 5), 16, 10).cast("int"))
+    # how many rows of each stratum count: its own, and what the one above it lacks; a histogram of their order's first digits says up to where
+    bars = keyed.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
+    totals = bars.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    lack = totals.where((F.col("depth") <= most_depth) & (F.col("_total") < n)).select("_null", "_status", (F.col("depth") + step).alias("depth"), (n - F.col("_total")).alias("_lack"))
+    own = F.when(F.col("depth") <= most_depth, n).otherwise(0)
+    quota = totals.join(lack, by, "left").select(*by, own.alias("_own"), F.coalesce("_lack", F.lit(0)).alias("_lack"))
+    before = F.sum("_n").over(Window.partitionBy(*by).orderBy("_b")) - F.col("_n")
+    cut = bars.withColumn("_before", before).join(quota, by).where(F.col("_before") < F.col("_own") + F.col("_lack")).groupBy(*by, "_own", "_lack").agg(F.max("_b").alias("_cut"))
+    few = keyed.join(F.broadcast(cut), by).where(F.col("_b") <= F.col("_cut"))  # a row for each stratum
+    ranked = few.withColumn("_r", F.row_number().over(Window.partitionBy(*by).orderBy("_o", key)))
+    stratum = F.when(F.col("_r") <= F.col("_own"), F.col("depth")).when(F.col("_r") <= F.col("_own") + F.col("_lack"), F.col("depth") - step)
+    return ranked.withColumn("stratum", stratum).where("stratum is not null").select(*df.columns, "stratum")
 
 
 def prompt_at_depth(nodes: DataFrame, wanted: DataFrame, by: str) -> DataFrame:

@@ -25,46 +25,47 @@ DECLARATIONS, BINDER = ("prf", "var", "def"), "binder"
 NO_PATH = "Cannot find a physical path bound to logical path matching suffix"
 
 
+_MARK = re.compile(rf"({'|'.join(BLOCK_TYPES)})\b")
+
+
 def blocks(lines: DataFrame) -> DataFrame:
     """File, block, type, kind_word, first_line, finished, lines (array of texts without the marks).
 
     Texts are trimmed and blank lines dropped. A block runs from a line that starts with a block type and
     says Begin to the End of that type. Within a ProofState no block opens, and only an End with its name
     closes it. Lines outside blocks are dropped; a block without an end runs to the next one and is unfinished.
+
+    A file's lines are sorted once and pass through in order; what is held is one block, however long the file.
     """
-    over = Window.partitionBy("file").orderBy("line_no")
-    kind = F.regexp_extract("line", rf"^({'|'.join(BLOCK_TYPES)})\b", 1)
-    word = F.element_at(F.split("line", " "), -1)
-    marked = lines.select("file", "line_no", F.trim("line").alias("line")).where("line != ''").withColumns(
-        {
-            "_type": kind,
-            "_name": word,
-            "_begin": (kind != "") & F.col("line").contains("Begin"),
-            "_end": (kind != "") & F.col("line").contains("End"),
-        }
-    )
-    same = Window.partitionBy("file", "_name").orderBy(F.desc("line_no")).rowsBetween(Window.unboundedPreceding, -1)  # the lines after
-    is_state = F.col("_type") == "ProofState"
-    closes = F.last(F.when(is_state & F.col("_end"), F.col("line_no")), ignorenulls=True).over(same)
-    shut = F.when(is_state & F.col("_begin"), F.coalesce(closes, F.lit(2**62)))
-    held = F.max(shut).over(over.rowsBetween(Window.unboundedPreceding, -1))
-    masked = marked.withColumn("_in", F.coalesce(held >= F.col("line_no"), F.lit(False)))
-    opened = masked.withColumn("_open", F.col("_begin") & ~F.col("_in")).withColumn(
-        "block", F.sum(F.when(F.col("_open"), 1).otherwise(0)).over(over)
-    )
-    own = Window.partitionBy("file", "block").orderBy("line_no")
-    of = opened.where("block > 0").withColumn("_of", F.first("_type").over(own)).withColumn("_head", F.first("_name").over(own))
-    closing = F.col("_end") & (F.col("_type") == F.col("_of")) & ((F.col("_of") != "ProofState") | (F.col("_name") == F.col("_head")))
-    counted = of.withColumn("_shut", F.coalesce(F.sum(F.when(closing, 1).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = counted.where("_shut = 0").withColumn("_closing", closing)
-    content = F.when(~F.col("_open") & ~F.col("_closing"), F.struct("line_no", "line"))
-    return inside.groupBy("file", "block").agg(
-        F.first("_of").alias("type"),
-        F.first("_head").alias("kind_word"),
-        F.min("line_no").alias("first_line"),
-        F.max("_closing").alias("finished"),
-        F.transform(F.sort_array(F.collect_list(content)), lambda x: x["line"]).alias("lines"),
-    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["file", "block", "type", "kind_word", "first_line", "finished", "lines"]
+        file, block, kind, word, first, held, done = None, 0, "", "", 0, [], []
+        for batch in batches:
+            for of, at, text in zip(batch["file"].tolist(), batch["line_no"].tolist(), batch["line"].tolist()):
+                if of != file:
+                    if kind:
+                        done.append((file, block, kind, word, first, False, held))
+                    file, block, kind = of, 0, ""
+                mark = _MARK.match(text)
+                if mark and "Begin" in text and kind != "ProofState":
+                    if kind:
+                        done.append((file, block, kind, word, first, False, held))
+                    block, kind, word, first, held = block + 1, mark[1], text.rpartition(" ")[2], at, []
+                elif mark and mark[1] == kind and "End" in text and (kind != "ProofState" or text.rpartition(" ")[2] == word):
+                    done.append((file, block, kind, word, first, True, held))
+                    kind, held = "", []
+                elif kind:
+                    held.append(text)
+            if done:
+                yield pd.DataFrame(done, columns=names)
+                done = []
+        if kind:
+            yield pd.DataFrame([(file, block, kind, word, first, False, held)], columns=names)
+
+    kinds = dict(lines.dtypes)
+    ordered = lines.select("file", "line_no", F.trim("line").alias("line")).where("line != ''").repartition("file").sortWithinPartitions("file", "line_no")
+    return ordered.mapInPandas(run, f"file {kinds['file']}, block long, type string, kind_word string, first_line {kinds['line_no']}, finished boolean, lines array<string>")
 
 
 def known_kind(word: Column) -> Column:
@@ -157,55 +158,64 @@ _END = re.compile(r"PS End of (\S+) <T>(.*?)</T>", re.DOTALL)
 _NOTICE = re.compile(r"PS Notice.*<T>(.*?)</T>", re.DOTALL)
 
 
-def _steps(lines: list[str], lo: int, hi: int, depth: int, most: float) -> list[tuple[int, int, str, list]]:
-    """(begin, end, tactic, children) of the steps at one level of lines[lo:hi]."""
-    found, k = [], lo
-    while k < hi:
-        m = _BEGIN.match(lines[k])
-        if not m:
-            k += 1
+def _closings(lines: list[str]) -> dict[int, tuple[int, bool]]:
+    """Of each line that begins a step and has an end: where that is, and whether it is a proper one. Steps of one tactic nest."""
+    open_: dict[str, list[int]] = {}
+    out = {}
+    for at, line in enumerate(lines):
+        if not line.startswith("PS "):
             continue
-        tactic, open_, end, normal = m[2], 1, None, True
-        for j in range(k + 1, hi):
-            b, e, n = _BEGIN.match(lines[j]), _END.match(lines[j]), _NOTICE.match(lines[j])
-            if b and b[2] == tactic:
-                open_ += 1
-            elif (e and e[2] == tactic) or (n and n[1] == tactic):
-                open_ -= 1
-                if not open_:
-                    end, normal = j, not n
-                    break
-        if end is None:
-            k += 1
-            continue
-        if normal:
-            deeper = depth < most or (most == 1 and ";" in tactic)
-            found.append((k, end, tactic, _steps(lines, k + 1, end, depth + 1, most) if deeper else []))
-        k = end + 1
-    return found
+        if m := _BEGIN.match(line):
+            open_.setdefault(m[2], []).append(at)
+        elif (e := _END.match(line)) or (n := _NOTICE.match(line)):
+            if begun := open_.get(e[2] if e else n[1]):
+                out[begun.pop()] = (at, bool(e))
+    return out
+
+
+def _tree(lines: list[str], most: float) -> Iterator[tuple[str, int, str, int, int]]:
+    """(path, depth, tactic, first, last) of an episode's steps, parents first."""
+    closing = _closings(lines)
+    todo = [(0, len(lines), 1, "")]
+    while todo:
+        k, hi, depth, prefix = todo.pop()
+        found = []
+        while k < hi:
+            end, proper = closing.get(k, (hi, False))
+            if end >= hi:  # no step begins here, or not one that ends at this level
+                k += 1
+                continue
+            if proper:
+                found.append((k, end, _BEGIN.match(lines[k])[2]))
+            k = end + 1
+        for i, (first, last, tactic) in enumerate(found, 1):
+            path = f"{prefix}{i}/{len(found)}"
+            yield path, depth, tactic, first, last
+            if last > first + 1 and (depth < most or (most == 1 and ";" in tactic)):
+                todo.append((first + 1, last, depth + 1, path + "-"))
 
 
 def step_tree(episodes: DataFrame, most_depth: float = float("inf")) -> DataFrame:
     """Episode, path ("i/n" for each level, joined by "-"), depth, tactic, first, last (places in ``lines``).
 
     A step closes at the End with its tactic, counting steps of equal tactic between; a notice that names it
-    closes it as abnormal and drops it. Siblings are numbered after that. ``episodes``: episode, lines.
+    closes it as abnormal and drops it. Siblings are numbered after that. ``episodes``: episode, lines. Nesting may be of
+    any depth, and an episode's lines are gone over twice; as each path names all its levels, very deep steps have long paths.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = ["episode", "path", "depth", "tactic", "first", "last"]
         for batch in batches:
-            out = []
+            out, size = [], 0
             for episode, lines in zip(batch["episode"], batch["lines"]):
-                lines = list(lines)
-
-                def walk(steps, prefix, episode=episode):
-                    for i, (first, last, tactic, below) in enumerate(steps, 1):
-                        path = f"{prefix}{i}/{len(steps)}"
-                        out.append((episode, path, path.count("-") + 1, tactic, first, last))
-                        walk(below, path + "-")
-
-                walk(_steps(lines, 0, len(lines), 1, most_depth), "")
-            yield pd.DataFrame(out, columns=["episode", "path", "depth", "tactic", "first", "last"])
+                for step in _tree(list(lines), most_depth):
+                    out.append((episode, *step))
+                    size += len(step[0]) + 100
+                    if size > 8 << 20:
+                        yield pd.DataFrame(out, columns=names)
+                        out, size = [], 0
+            if out:
+                yield pd.DataFrame(out, columns=names)
 
     return episodes.select("episode", "lines").mapInPandas(run, "episode string, path string, depth long, tactic string, first long, last long")
 

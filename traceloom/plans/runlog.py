@@ -120,15 +120,16 @@ def b11(spark, sf_dir):
 
 @query(
     "b12_stratified",
-    f"""with e as (select event_id, {STATUS} as status, user_id % 9 as depth, md5('2:' || event_id) as o from events where event_id % 40 < user_id % 9 and event_type != 'click'),
+    f"""with e as (select event_id, {STATUS} as status, case when event_id % 40 = 0 then user_id % 5 else 3 + user_id % 6 end as depth, md5('2:' || event_id) as o from events),
     r as (select *, row_number() over (partition by status, depth order by o, event_id) as r from e),
     own as (select event_id, status, depth, depth as stratum from r where depth <= 4 and r <= 60),
     short as (select status, stratum, 60 - count(*) as n from own group by all having count(*) < 60),
-    more as (select r.event_id, r.status, r.depth, r.depth - 2 as stratum from r join short s on s.status = r.status and s.stratum = r.depth - 2 where (r.depth > 4 or r.r > 60)
+    more as (select r.event_id, r.status, r.depth, r.depth - 2 as stratum from r join short s on s.status is not distinct from r.status and s.stratum = r.depth - 2 where (r.depth > 4 or r.r > 60)
     qualify row_number() over (partition by r.status, r.depth order by o, event_id) <= s.n) select * from own union all select * from more""",
 )
 def b12(spark, sf_dir):
-    e = events(spark, sf_dir).where("event_id % 40 < user_id % 9 and event_type != 'click'").select("event_id", "status", (F.col("user_id") % 9).alias("depth"))
+    depth = F.when(F.col("event_id") % 40 == 0, F.col("user_id") % 5).otherwise(3 + F.col("user_id") % 6)
+    e = events(spark, sf_dir).select("event_id", "status", depth.alias("depth"))
     return op.stratified(e, "event_id", 60, 4, "2")
 
 

@@ -20,11 +20,24 @@ def s1(spark, sf_dir):
     return files.read_jsonl(spark, path, EVENT)
 
 
-@query("s2_read_json", "select n_nationkey, n_name, n_regionkey from nation")
+@query(
+    "s2_read_json",
+    """select n_nationkey as key, n_name as name, null as n from nation union all select r_regionkey, r_name, 2 from region
+    union all select s_suppkey, s_name, null from supplier where s_suppkey % 10 != 3""",
+)
 def s2(spark, sf_dir):
-    path, nation = scratch(spark, "s2"), table(spark, sf_dir, "nation")
-    nation.agg(F.to_json(F.collect_list(F.struct("n_nationkey", "n_name", "n_regionkey")))).coalesce(1).write.text(path)
-    return files.read_json(spark, path, nation.select("n_nationkey", "n_name", "n_regionkey").schema)
+    """A folder with documents in one line, pretty ones that hold one-line objects, and JSON Lines with bad lines."""
+    path = scratch(spark, "s2")
+    nation = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("key"), F.col("n_name").alias("name"))
+    nation.agg(F.to_json(F.collect_list(F.struct("key", "name")))).coalesce(1).write.text(f"{path}/a")
+    items = F.lit('"items": [\n{"at": 1},\n{"at": 2}\n]')
+    pretty = F.concat(F.lit('{\n"key": '), "r_regionkey", F.lit(',\n"name": "'), "r_name", F.lit('",\n'), items, F.lit("\n}\n"))
+    table(spark, sf_dir, "region").select(pretty.alias("value"), "r_regionkey").repartitionByRange("r_regionkey").write.partitionBy("r_regionkey").text(f"{path}/b")
+    line = F.when(F.col("s_suppkey") % 10 == 3, F.lit('{"key": ')).otherwise(F.to_json(F.struct(F.col("s_suppkey").alias("key"), F.col("s_name").alias("name"))))
+    table(spark, sf_dir, "supplier").select(line.alias("value")).write.text(f"{path}/c")
+    schema = T.StructType([T.StructField("key", T.LongType()), T.StructField("name", T.StringType()), T.StructField("items", T.ArrayType(T.StructType([T.StructField("at", T.LongType())])))])
+    rows = files.read_json(spark, f"{path}/*/*.txt", schema).unionByName(files.read_json(spark, f"{path}/b/*", schema))
+    return rows.select("key", "name", F.when(F.col("items").isNotNull(), F.size("items")).alias("n"))
 
 
 @query("s3_numbered_lines", f"select file, line_no, line from {LINES_SQL}")

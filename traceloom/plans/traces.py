@@ -170,12 +170,11 @@ def p12(spark, sf_dir):
     return found.select("episode", "path", "tactic", "n_after", (F.col("before_line") - F.col("first")).alias("before_at"))
 
 
-@query("p13_state_fields", f"select episode, path, 'H' || turn as hyps, 'G' || turn as goal from {STEPS_SQL} where depth = 2 or (turn % 3 = 2)")
+@query("p13_state_fields", f"select episode, path, 'H' || turn as hyps, 'G' || turn as goal from {STEPS_SQL}")
 def p13(spark, sf_dir):
     met = steps(spark, sf_dir).join(episodes(spark, sf_dir).select("episode", "lines"), "episode")
     hyps, goal = op.state_fields(F.slice(F.col("lines"), F.col("first") + 2, F.lit(11)))
-    turn = F.regexp_extract("tactic", r"tac(\d+)", 1).cast("int")
-    return met.where((F.col("depth") == 2) | (turn % 3 == 2)).select("episode", "path", F.array_join(hyps, ",").alias("hyps"), goal.alias("goal"))
+    return met.select("episode", "path", F.array_join(hyps, ",").alias("hyps"), goal.alias("goal"))
 
 
 @query(

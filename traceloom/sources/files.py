@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -18,25 +21,52 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, n: in
 
 
 def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """One JSON document for a file where all files parse as such, else JSON Lines.
+    """The rows of each file as one JSON document (an object, or a list of them), or as JSON Lines, file by file.
 
-    Of JSON Lines, the good lines; ``bad_lines`` gives the others.
+    A file whose first line with text is JSON by itself holds JSON Lines; so does one that is no document as a whole. Of JSON
+    Lines, the good lines are rows; ``bad_lines`` gives the others. Values that don't fit the schema are null in a document.
     """
     names = [f.name for f in schema.fields]
-    lines = _lines(spark, path, schema)
-    if lines.where("_bad is not null").limit(1).count() and lines.where("_bad is null").limit(1).count() == 0:
-        return spark.read.schema(schema).option("multiLine", True).json(path)
-    return lines.where("_bad is null").select(*names)
+    documents, lines = _kinds_of_files(spark, path)
+    rows = _lines(spark, lines, schema).where("_bad is null").select(*names)
+    if documents:
+        rows = rows.unionByName(spark.read.schema(schema).option("multiLine", True).json(documents))
+    return rows
 
 
 def bad_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """line: those of JSON Lines that are no JSON."""
-    return _lines(spark, path, schema).where("_bad is not null").select(F.col("_bad").alias("line"))
-
-
-def _lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    parsed = F.from_json("value", T.StructType([*schema.fields, T.StructField("_bad", T.StringType())]), {"columnNameOfCorruptRecord": "_bad"})
-    return spark.read.text(path).where(F.trim("value") != "").select(parsed.alias("p")).select("p.*")
+    """line: those of JSON Lines that are no JSON or don't fit the schema."""
+    return _lines(spark, _kinds_of_files(spark, path)[1], schema).where("_bad is not null").select(F.col("_bad").alias("line"))
+
+
+def _kinds_of_files(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
+    """(files of one document each, files of JSON Lines); the driver lists files anyway."""
+
+    def plain(uri: str) -> str:
+        return re.sub(r"([\[\]{}*?])", r"\\\1", unquote(uri))  # these are patterns in paths
+
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
+    text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value").where(F.trim("value") != "")
+    first = text.groupBy("file").agg(F.min_by("value", "at").alias("value")).select("file", F.try_parse_json("value").isNull().alias("more")).collect()
+    lines, whole = ([plain(r.file) for r in first if r.more == more] for more in (False, True))
+    if whole:
+        texts = spark.read.text(whole, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+        broken = {plain(r.file) for r in texts.where(F.try_parse_json("value").isNull()).select("file").collect()}
+        lines, whole = lines + sorted(broken), [f for f in whole if f not in broken]
+    return whole, lines
+
+
+def _lines(spark: SparkSession, files: list[str], schema: T.StructType) -> DataFrame:
+    both = T.StructType([*schema.fields, T.StructField("_bad", T.StringType())])
+    if not files:
+        return spark.createDataFrame([], both)
+    parsed = F.from_json("value", both, {"columnNameOfCorruptRecord": "_bad"})
+    listed = F.from_json("value", T.ArrayType(T.StructType(schema.fields)))  # a line may hold a list of rows
+    good = F.transform(listed, lambda x: F.struct(*(x[f.name].alias(f.name) for f in schema.fields), F.lit(None).cast("string").alias("_bad")))
+    bad = F.struct(*(F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields), F.col("value").alias("_bad"))
+    is_list = F.ltrim("value").startswith("[")
+    rows = F.when(is_list & listed.isNotNull(), good).when(is_list, F.array(bad)).otherwise(F.array(parsed))
+    return spark.read.text(files).where(F.trim("value") != "").select(F.inline(rows))
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
