@@ -35,6 +35,7 @@ RARITY = 32
 MOST_WORDS = 1_000_000  # bound of the vocabulary (its vectors are sent to all tasks); words beyond go by their endings
 SENT_WORDS = 150_000  # at most so many common words are sent for their counts alone
 TRAINER = 3_000_000  # tokens of a round for one task to train on, about
+BATCH, RATE = 2048, 0.2  # tokens of a gradient step, its length
 ALPHA = 0.1
 END, FIRST = 0, 1 + ENDINGS  # the end mark, also what stands before a text; the first word of the vocabulary
 Weights = dict[str, np.ndarray]
@@ -145,17 +146,21 @@ def states(w: Weights, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return x, h
 
 
-class Trainer:
-    """Stochastic gradient steps on a copy of the weights; Adagrad sets each number's pace.
+def summed(rows: np.ndarray, grad: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ``rows``, ascending, and the sum of each one's gradients."""
+    order = np.argsort(rows)
+    sorted_rows = rows[order]
+    start = np.flatnonzero(np.r_[True, sorted_rows[1:] != sorted_rows[:-1]])
+    return sorted_rows[start], np.add.reduceat(grad.take(order, axis=0), start, axis=0)
 
-    Of a batch's gradients for one vector the last is taken: places in a batch are random, so it is a random one.
-    """
+
+class Trainer:
+    """Stochastic gradient steps on a copy of the weights; Adagrad sets each number's pace. A batch's gradients for one vector add up."""
 
     def __init__(self, weights: Weights, sizes: Sizes, unigram: np.ndarray, seed: int, pace: float = 1.0):
         self.w = {k: v.copy() for k, v in weights.items()}
         self.history = {k: np.full_like(v, 1e-2) for k, v in weights.items()}
         self.trained = {k: np.zeros(len(v), np.float64) for k, v in weights.items()}
-        self.last = {k: np.zeros(len(v), np.int32) for k, v in weights.items()}
         self.sizes, self.rng, self.pace = sizes, np.random.default_rng(seed), pace
         self.class_of = sizes.class_of
         self.class_share = np.add.reduceat(unigram, sizes.start[:-1])
@@ -166,10 +171,8 @@ class Trainer:
         self.noise = np.clip(np.searchsorted(upto, draw, side="right") - 1, low, high - 1)
 
     def _rows(self, name: str, rows: np.ndarray, grad: np.ndarray, rate: float) -> None:
-        every = np.arange(len(rows), dtype=np.int32)
-        self.last[name][rows] = every
-        pick = np.flatnonzero(self.last[name][rows] == every)
-        self._step(name, rows[pick], grad[pick], 1, rate)
+        own, total = summed(rows, grad)
+        self._step(name, own, total, 1, rate)
 
     def _step(self, name: str, rows: np.ndarray | slice, g: np.ndarray, times: np.ndarray | float, rate: float) -> None:
         past = self.history[name][rows] + g * g
@@ -177,7 +180,7 @@ class Trainer:
         self.w[name][rows] -= (self.pace * rate) * g / np.sqrt(past)
         self.trained[name][rows] += times
 
-    def words(self, inputs: np.ndarray, item: np.ndarray, batch: int, classes: int = 64, own: int = 3, rate: float = 0.04) -> None:
+    def words(self, inputs: np.ndarray, item: np.ndarray, batch: int = BATCH, classes: int = 64, own: int = 3, rate: float = RATE) -> None:
         """One pass, in random order. Noise: ``classes`` classes shared by a batch, ``own`` words of each true word's class."""
         w = self.w
         log_own = np.float32(np.log(own))
@@ -281,16 +284,14 @@ def averaged(weights: Weights, copies: DataFrame) -> Weights:
     return out
 
 
-def train(docs: DataFrame, words: list[bytes], unigram: np.ndarray, tokens: int, small: int = 3_000_000, rounds: int = 3) -> tuple[Weights, Sizes]:
-    """Weights after ``rounds``, each over its part of ``docs``: all are gone over once, those of fewer than ``small`` tokens up to eight times."""
+def train(docs: DataFrame, words: list[bytes], unigram: np.ndarray, tokens: int, rounds: int = 3) -> tuple[Weights, Sizes]:
+    """Weights after ``rounds``, each over its part of ``docs``: all are gone over once."""
     sizes = Sizes.of(len(unigram))
     weights = initial(sizes, unigram)
     if not tokens:
         return weights, sizes
-    passes = int(np.clip(-(-small // tokens), 1, 8))
-    together = int(np.clip(tokens // 1000, 128, 8192))
     spark = docs.sparkSession
-    turn = F.pmod(F.xxhash64(F.lit(11), "doc_id"), F.lit(rounds))
+    turn = F.pmod(F.xxhash64(F.lit(11), "doc_id", "text"), F.lit(rounds))
     for k in range(rounds):
         sent = spark.sparkContext.broadcast((weights, b"\n".join(words), sizes, unigram))
 
@@ -301,8 +302,7 @@ def train(docs: DataFrame, words: list[bytes], unigram: np.ndarray, tokens: int,
 
             def learn(texts: list[list[bytes]]) -> None:
                 inputs, item = encoder.texts(texts)
-                for _ in range(passes):
-                    trainer.words(inputs, item, together)
+                trainer.words(inputs, item)
 
             texts, size = [], 0
             for batch in batches:
