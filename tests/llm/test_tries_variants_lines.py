@@ -262,3 +262,47 @@ def test_languages_are_learned_whatever_the_ids(spark):
         model = language.train(renumbered, public_tokenizers.path("piece_bpe_32k.model"))
         kept = language.accepted(renumbered.withColumn("was", F.col("lang")), model)
         assert kept.count() > 190 and kept.where("lang != was").count() == 0
+
+
+# --- what batches and buckets must not lose ----------------------------------------------------------------------
+
+
+def test_gradients_of_one_word_add_up():
+    import numpy as np
+
+    from traceloom.llm import logbilinear
+
+    rng = np.random.default_rng(0)
+    rows = np.r_[np.full(1000, 3), rng.integers(0, 9, 500)]
+    grad = rng.normal(size=(len(rows), 4))
+    want = np.zeros((9, 4))
+    np.add.at(want, rows, grad)
+    own, total = logbilinear.summed(rows, grad)
+    assert own.tolist() == list(range(9))
+    np.testing.assert_allclose(total, want)
+
+
+def test_near_copies_meet(spark):
+    import random
+
+    from traceloom.llm import simhash
+
+    rng, rows, similar = random.Random(4), [], []
+    words = [f"w{k}" for k in range(5000)]
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    jaccard = lambda x, y: len(x & y) / len(x | y)
+    for target in [0.8] * 150 + [0.85] * 100 + [0.9] * 100:
+        while True:
+            a = rng.choices(words, k=rng.choice([120, 300, 700]))
+            b, own = list(a), shingles(a)
+            while jaccard(own, shingles(b)) > target + 0.01:
+                b[rng.randrange(len(b))] = rng.choice(words)
+            if jaccard(own, shingles(b)) >= target:
+                break
+        rows += [(2 * len(similar), " ".join(a)), (2 * len(similar) + 1, " ".join(b))]
+        similar.append(target)
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    of = {r.doc_id: r.component for r in simhash.near_copies(frame).collect()}
+    met = {t: [of[2 * k] == of[2 * k + 1] for k, x in enumerate(similar) if x == t] for t in (0.8, 0.85, 0.9)}
+    assert [sum(m) / len(m) >= least for m, least in zip(met.values(), (0.88, 0.95, 0.99))] == [True] * 3  # nine in ten at 0.8, give or take two
+    assert len(set(of.values())) == len(rows) - sum(map(sum, met.values()))

@@ -9,11 +9,11 @@ fingerprint on 48 free bits, so chance collisions stay rare at any size. Variant
 colliding pairs verified on all 64 bits; a bucket emits a spanning forest of its links, never all
 pairs. Equal fingerprints are one node throughout.
 
-``near_copies`` finds texts by the similarity of their shingle sets instead. It takes a fingerprint of 256
-bits, cut into eight words: each word emits its ball of radius one (half of two bits), 264 variants a
-text, so two texts meet where any of their words differ in two bits at most. Of 0.8 similar texts 64 % meet,
-of 0.85 similar ones 84 %, of 0.9 similar ones 97 %, of 0.95 similar ones all but one in ten thousand; a
-copy with several near ones has as many chances. Texts that meet are verified on their shingle sets.
+``near_copies`` finds texts by the similarity of their shingle sets instead. It takes a fingerprint of 576
+bits, cut into eighteen words: each word emits its ball of radius one (half of two bits), 594 variants a
+text, so two texts meet where any of their words differ in two bits at most. Of 0.8 similar texts nine in ten
+meet, of 0.9 similar ones all but one in a thousand; a copy with several near ones has as many chances. A variant carries
+one 64-bit part of the fingerprint, by which pairs are chosen; they are verified on their shingle sets.
 """
 
 from __future__ import annotations
@@ -30,9 +30,10 @@ from pyspark.sql import types as T
 from .common import LONG, components, discard, documents, free_name, schema, written
 
 BLOCKS = 4
-WORDS, FLIPS = 8, 33  # of the wide fingerprint: 32-bit words; variants of each, itself included
-SURE = 20  # differing bits of 256, at about 0.9 similar: in a large bucket such a text needs no other link
+WORDS = 18  # of the wide fingerprint, 32 bits each
+SURE = 4  # differing bits of the sketch's 64, at about 0.9 similar: in a large bucket such a text needs no other link
 LEADERS = 4096
+ALL_PAIRS = 32  # texts of a bucket up to which all its near pairs are verified
 BINARY = T.BinaryType()
 SMALL = 48  # buckets up to this size are compared as matrices, larger ones by a search
 
@@ -196,11 +197,11 @@ def _mixed(z: np.ndarray) -> np.ndarray:
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """256 bits as four 64-bit words: the majority over four mixings of each hash."""
-    ones = np.zeros(256, np.int64)
+    """576 bits as nine 64-bit words: the majority over nine mixings of each hash."""
+    ones = np.zeros(32 * WORDS, np.int64)
     for at in range(0, len(hashes), 4096):
         z, parts = hashes[at : at + 4096], []
-        for _ in range(4):
+        for _ in range(WORDS // 2):
             z = _mixed(z)
             parts.append(z ^ (z >> np.uint64(31)))
         bits = np.unpackbits(np.stack(parts, axis=1).astype("<u8").view(np.uint8).reshape(len(z), -1), axis=1, bitorder="little")
@@ -208,9 +209,9 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")
 
 
-PRINTED = schema(("doc_id", LONG), ("text_hash", LONG), ("node", LONG), ("f0", LONG), ("f1", LONG), ("f2", LONG), ("f3", LONG))
-PRINT = ["f0", "f1", "f2", "f3"]
-NODES = schema(("key", LONG), ("node", LONG), *((f, LONG) for f in PRINT))
+PRINT = [f"f{k}" for k in range(WORDS // 2)]
+PRINTED = schema(("doc_id", LONG), ("text_hash", LONG), ("node", LONG), *((f, LONG) for f in PRINT))
+NODES = schema(("key", LONG), ("node", LONG), ("sketch", LONG))
 LINKS = schema(("a", LONG), ("b", LONG))
 
 
@@ -222,37 +223,46 @@ def _printed(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             own = [b" ".join(t.encode("utf-8", "surrogatepass").lower().split()) for t in batch["text"]]
             node = np.array([xxhash.xxh3_64_intdigest(t) for t in own], np.uint64)
-            fp = np.array([wide_fingerprint(shingle_hashes(t, shingle)) for t in batch["text"]], np.uint64).reshape(-1, 4)
+            fp = np.array([wide_fingerprint(shingle_hashes(t, shingle)) for t in batch["text"]], np.uint64).reshape(-1, len(PRINT))
             yield pd.DataFrame({"doc_id": batch["doc_id"], "text_hash": batch["text_hash"], "node": node.view(np.int64), **{f: fp[:, k].view(np.int64) for k, f in enumerate(PRINT)}})
 
     return documents(docs).withColumn("text_hash", F.xxhash64("text")).mapInPandas(run, PRINTED)
 
 
 def wide_variants(fp: np.ndarray) -> np.ndarray:
-    """(len(fp), 264) keys: each 32-bit word of the fingerprint (len(fp), 4) with none or one bit flipped, and its place."""
+    """(len(fp), 594) keys: each 32-bit word of the fingerprint with none or one bit flipped, and its place."""
     word = np.ascontiguousarray(fp).view("<u4").astype(np.uint64) | (np.arange(WORDS, dtype=np.uint64) << np.uint64(32))
     flips = np.array([0, *(1 << i for i in range(32))], np.uint64)
     return (word[:, :, None] ^ flips).reshape(len(fp), -1)
 
 
 class _Bucket:
-    """Links each text of one bucket to the nearest before it; texts all but equal to one before are not kept for later ones."""
+    """Links the texts of one bucket: of a small one all near pairs, else each text to the nearest before it.
+
+    Of a large bucket, texts all but equal to one before are not kept for later ones.
+    """
 
     def __init__(self, bits: int):
-        self.bits, self.node, self.fp = bits, np.zeros(0, np.int64), np.zeros((0, 4), np.uint64)
+        self.bits, self.node, self.sketch = bits, np.zeros(0, np.int64), np.zeros(0, np.uint64)
 
-    def add(self, node: np.ndarray, fp: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    def add(self, node: np.ndarray, sketch: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         a, b = [], []
+        if len(self.node) + len(node) <= ALL_PAIRS:
+            n, f = np.concatenate([self.node, node]), np.concatenate([self.sketch, sketch])
+            i, j = np.nonzero(np.tril(np.bitwise_count(f[:, None] ^ f[None]) <= self.bits, -1))
+            new = i >= len(self.node)
+            self.node, self.sketch = n, f
+            return [n[i[new]]], [n[j[new]]]
         for lo in range(0, len(node), 256):
-            n, f = node[lo : lo + 256], fp[lo : lo + 256]
+            n, f = node[lo : lo + 256], sketch[lo : lo + 256]
             best, where = np.full(len(n), 999), np.zeros(len(n), np.int64)
             for at in range(0, len(self.node), 8192):
-                apart = np.bitwise_count(f[:, None] ^ self.fp[None, at : at + 8192]).sum(axis=2, dtype=np.int64)
+                apart = np.bitwise_count(f[:, None] ^ self.sketch[None, at : at + 8192])
                 near = apart.argmin(axis=1)
                 d = apart[np.arange(len(n)), near]
                 where = np.where(d < best, self.node[near + at], where)
                 best = np.minimum(best, d)
-            apart = np.bitwise_count(f[:, None] ^ f[None]).sum(axis=2, dtype=np.int64)
+            apart = np.bitwise_count(f[:, None] ^ f[None]).astype(np.int64)
             apart[np.triu_indices(len(n))] = 999
             near = apart.argmin(axis=1)
             d = apart[np.arange(len(n)), near]
@@ -261,12 +271,12 @@ class _Bucket:
             a.append(n[hit])
             b.append(where[hit])
             leads = (best > SURE) | (len(self.node) < LEADERS)
-            self.node, self.fp = np.concatenate([self.node, n[leads]]), np.concatenate([self.fp, f[leads]])
+            self.node, self.sketch = np.concatenate([self.node, n[leads]]), np.concatenate([self.sketch, f[leads]])
         return a, b
 
 
 def candidates(nodes: DataFrame, bits: int) -> DataFrame:
-    """a, b: texts (``node``, its fingerprint) that share a variant and differ in ``bits`` or fewer; one for each text and bucket."""
+    """a, b: texts (``node``, its fingerprint) that share a variant and whose sketches differ in ``bits`` or fewer."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -274,13 +284,13 @@ def candidates(nodes: DataFrame, bits: int) -> DataFrame:
                 part = batch.iloc[at : at + 200]
                 fp = part[PRINT].to_numpy().view(np.uint64)
                 keys = wide_variants(fp)
-                yield pd.DataFrame({"key": keys.ravel().view(np.int64), **{c: np.repeat(part[c].to_numpy(), keys.shape[1]) for c in ("node", *PRINT)}})
+                yield pd.DataFrame({"key": keys.ravel().view(np.int64), "node": np.repeat(part["node"].to_numpy(), keys.shape[1]), "sketch": np.repeat(part[PRINT[0]].to_numpy(), keys.shape[1])})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, bucket = None, None
         for batch in batches:
             key, node = batch["key"].to_numpy(), batch["node"].to_numpy()
-            fp = batch[PRINT].to_numpy().view(np.uint64)
+            sketch = batch["sketch"].to_numpy().view(np.uint64)
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             end = np.r_[start[1:], len(key)]
             more = np.flatnonzero((end - start > 1) | (key[start] == last) | (end == len(key)))
@@ -288,7 +298,7 @@ def candidates(nodes: DataFrame, bits: int) -> DataFrame:
             for lo, hi in zip(start[more].tolist(), end[more].tolist()):
                 if key[lo] != last or bucket is None:
                     last, bucket = key[lo], _Bucket(bits)
-                x, y = bucket.add(node[lo:hi], fp[lo:hi])
+                x, y = bucket.add(node[lo:hi], sketch[lo:hi])
                 a += x
                 b += y
             both = np.unique(np.column_stack([np.concatenate(a or [node[:0]]), np.concatenate(b or [node[:0]])]), axis=0)
@@ -326,14 +336,14 @@ def similar(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(alike("x", "y")).select("a", "b")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, bits: int = 56) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, bits: int = 20) -> DataFrame:
     """doc_id, text_hash, component: a row for each row; ``component`` is equal for texts linked by similar ones.
 
     Texts are similar if their sets of ``shingle``-word shingles have a Jaccard similarity of ``least`` or more, or
     if their words are the same in the same order, ASCII case and blanks aside; so all texts without a word,
     null ones too, are copies of each other. A text of fewer words is one shingle. Long texts are taken whole. A
     null doc_id reads as -1; ids may repeat. Only doc_id and text are read. An empty table gives an empty one.
-    ``bits``: how many of the 256 may differ for a pair to be verified (0.8 similar texts differ in 39 on average).
+    ``bits``: how many of the sketch's 64 may differ for a pair to be verified (0.8 similar texts differ in ten on average).
     """
     printed = written(_printed(docs, shingle), "simhash-wide")
     nodes = written(printed.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), *(F.min(f).alias(f) for f in PRINT)), "simhash-nodes")
