@@ -387,3 +387,61 @@ def test_stratified_tops_up_null_statuses_too(spark):
     df = spark.createDataFrame(rows, "id long, status string, depth long")
     got = runlog.stratified(df, "id", 4, 3, "s").groupBy("status", "depth", "stratum").count().collect()
     assert {(r.status, r.depth, r.stratum): r["count"] for r in got} == {("ok", 1, 1): 2, ("ok", 3, 3): 4, ("ok", 3, 1): 2, (None, 2, 2): 3, (None, 4, 2): 1}
+
+
+def test_closure_of_chains_forks_and_cycles(spark, tmp_path):
+    from traceloom.sources.shared import table_in_shared
+
+    rng = random.Random(2)
+    edges = [(k, k + 1) for k in range(300)] + [(k, 1000 + k) for k in range(0, 300, 7)]  # a chain whose nodes have ends beside it
+    edges += [(2000 + k, 2000 + (k + 1) % 40) for k in range(40)] + [(2005, 3000)]  # a cycle with a way out
+    edges += [(3000 + rng.randrange(30), 3000 + rng.randrange(30)) for _ in range(40)] + [(4, 2010)]
+    after = {}
+    for a, b in edges:
+        after.setdefault(a, set()).add(b)
+    want = set()
+    for start in (0, 150, 2000, 3001, 7777):
+        todo, seen = list(after.get(start, ())), set()
+        while todo:
+            if (n := todo.pop()) not in seen:
+                seen.add(n)
+                todo += after.get(n, ())
+        want |= {(start, n) for n in seen}
+    frame = spark.createDataFrame(edges, "src long, dst long")
+    starts = spark.createDataFrame([(s,) for s in (0, 150, 2000, 3001, 7777)], "start long")
+    for plain in (2, 500):
+        got = [tuple(r) for r in traces.closure(frame, starts, lambda df: table_in_shared(df, "c"), plain).select("start", "node").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        if plain == 2:
+            frame = frame.where("src >= 2000")  # the plain rounds on what has short ways
+            starts, want = starts.where("start >= 2000"), {w for w in want if w[0] >= 2000}
+
+
+def test_dependencies_of_a_long_chain(spark):
+    from traceloom.sources.shared import table_in_shared
+
+    n = 5000
+    rows = spark.range(n).select(F.concat(F.lit("p"), F.col("id"), F.lit("/f.v")).alias("file"), F.col("id").alias("place"), F.explode(F.array(
+        F.struct(F.lit(1).alias("ordinal"), F.concat(F.lit("first"), F.col("id") % 3, F.lit("/x.v")).alias("dep")),
+        F.struct(F.lit(2).alias("ordinal"), F.concat(F.lit("p"), F.col("id") + 1, F.lit("/f.v")).alias("dep")))).alias("d")).select("file", "place", "d.*")
+    starts = spark.createDataFrame([("/home/p0/f.v",), ("p4990/f",), ("nowhere",)], "path string")
+    got = traces.dependencies(table_in_shared(rows, "deps"), starts, lambda df: table_in_shared(df, "c")).groupBy("path").agg(F.count("*").alias("n"), F.count_if(F.col("package").startswith("first")).alias("f"))
+    assert {r.path: (r.n, r.f) for r in got.collect()} == {"/home/p0/f.v": (n + 3, 3), "p4990/f": (10 + 3, 3)}
+
+
+def test_containing(spark):
+    rng = random.Random(0)
+    text = lambda n: "".join(rng.choice("ab/") for _ in range(n))
+    needles, hays = [text(rng.randrange(20)) for _ in range(60)] + [None], [text(rng.randrange(40)) for _ in range(60)] + [None, ""]
+    got = traces.containing(*(spark.createDataFrame([(t,) for t in own], f"{name} string") for name, own in (("needle", needles), ("hay", hays))), anchor=4)
+    assert {tuple(r) for r in got.collect()} == {(n, h) for n in needles for h in hays if n and h and n in h}
+
+
+def test_a_missing_package_may_be_an_error(spark):
+    messages = spark.createDataFrame([(1, traces.NO_PATH + "\nQ lib.x\n"), (2, traces.NO_PATH + "\nnone.x")], "id long, text string")
+    rules = spark.createDataFrame([("p", "-Q lib A"), ("q", "-R lib B"), ("r", "-Q lib B")], "package string, rule string")
+    got = sorted((r.id, r.head, r.package) for r in traces.missing_packages(messages.where("id = 1"), rules, strict=True).collect())
+    assert got == [(1, "Q lib", "p"), (1, "Q lib", "r")]
+    assert traces.missing_packages(messages, rules).where("package is null").count() == 1
+    with pytest.raises(Exception, match="no package for none"):
+        traces.missing_packages(messages, rules, strict=True).collect()

@@ -351,17 +351,33 @@ def start_name(line: Column, keywords: tuple[str, ...] = STARTS) -> Column:
     return out
 
 
+def containing(needles: DataFrame, hays: DataFrame, anchor: int = 12) -> DataFrame:
+    """Distinct (needle, hay) where the text ``hay`` holds the text ``needle``; empty and null ones are left out.
+
+    The first letters of needles, ``anchor`` at most, meet the pieces of the hays of these lengths in an equal join; what meets is verified.
+    """
+    short = needles.select("needle").where("needle != ''").distinct().withColumn("_piece", F.left("needle", F.lit(anchor)))
+    sizes = short.select(F.length("_piece").alias("_n")).distinct()  # ``anchor`` rows at most
+    long = hays.select("hay").distinct().join(F.broadcast(sizes), F.length("hay") >= F.col("_n"))
+    pieces = long.select("hay", F.explode(F.transform(F.sequence(F.lit(1), F.length("hay") - F.col("_n") + 1), lambda k: F.substr("hay", k, F.col("_n")))).alias("_piece")).distinct()
+    return pieces.join(short, "_piece").where(F.col("hay").contains(F.col("needle"))).select("needle", "hay").distinct()
+
+
 def module_name(paths: DataFrame, rules: DataFrame, prefix: str = "coq-", suffix: str = ".v") -> DataFrame:
-    """P25: path, module, problem. The path's last segment that begins with ``prefix`` is its package.
+    """P25: path, module, problem. The path's last segment that begins with ``prefix`` names its package: the first one that holds it.
 
-    ``rules``: package, ordinal, dir, alias. Of the package's rules the first (by ordinal) whose dir is in the path, with a
-    slash after it, gives the alias; a dir of ``.`` is the package's segment itself. What follows the dir's first place,
-    dotted and without ``suffix``, follows the alias. ``problem`` says why a path has no module: no package, or no rule.
+    ``rules``: package, ordinal, dir, alias, and place (the packages' order; else they go by name). Of the package's rules the first (by
+    ordinal) whose dir is in the path, with a slash after it, gives the alias; a dir of ``.`` is the path's segment itself. What follows the
+    dir's first place, dotted and without ``suffix``, follows the alias. ``problem`` says why a path has no module: no package, or no rule.
     """
     segments = F.filter(F.split("path", "/"), lambda s: s.startswith(prefix))
-    keyed = paths.select("path").distinct().withColumn("package", F.try_element_at(segments, F.lit(-1)))
-    met = keyed.join(rules.select("package", "ordinal", "dir", "alias"), "package", "left")
-    mark = F.concat(F.when(F.col("dir") == ".", F.col("package")).otherwise(F.col("dir")), F.lit("/"))
+    keyed = paths.select("path").distinct().withColumn("segment", F.try_element_at(segments, F.lit(-1)))
+    place = F.col("place") if "place" in rules.columns else F.lit(0)
+    packages = rules.select("package", place.alias("place")).distinct()
+    held = containing(keyed.select(F.col("segment").alias("needle")), packages.select(F.col("package").alias("hay")))
+    first = held.withColumnsRenamed({"needle": "segment", "hay": "package"}).join(packages, "package").groupBy("segment").agg(F.min_by("package", F.struct("place", "package")).alias("package"))
+    met = keyed.join(first, "segment", "left").join(rules.select("package", "ordinal", "dir", "alias"), "package", "left")
+    mark = F.concat(F.when(F.col("dir") == ".", F.col("segment")).otherwise(F.col("dir")), F.lit("/"))
     at = F.call_function("locate", mark, F.col("path"))
     fits = met.withColumn("_at", at).withColumn("_rest", F.substr("path", F.col("_at") + F.length(mark)))
     best = fits.groupBy("path", "package").agg(F.min_by(F.struct("alias", "_rest"), F.when(F.col("_at") > 0, F.col("ordinal"))).alias("r"), F.max(F.coalesce(F.col("_at") > 0, F.lit(False))).alias("_fits"))
@@ -371,30 +387,75 @@ def module_name(paths: DataFrame, rules: DataFrame, prefix: str = "coq-", suffix
     return best.select("path", F.when(F.col("_fits"), bare).alias("module"), problem.alias("problem"))
 
 
-def closure(edges: DataFrame, starts: DataFrame, settle) -> DataFrame:
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for t in tables[1:]:
+        out = out.unionByName(t)
+    return out
+
+
+def _jumps(single: DataFrame, settle) -> list[DataFrame]:
+    """src, dst one, two, four, ... steps on, of nodes with one way onward (``single``: src, dst)."""
+    found = [single]
+    for _ in range(max(1, single.count()).bit_length()):  # no path without a repeated node is longer
+        a, b = found[-1].withColumnRenamed("dst", "_on"), found[-1].withColumnRenamed("src", "_on")
+        then = settle(a.join(b, "_on").select("src", "dst"))
+        if then.isEmpty():
+            break
+        found.append(then)
+    return found
+
+
+def closure(edges: DataFrame, starts: DataFrame, settle, plain_rounds: int = 8) -> DataFrame:
     """(start, node) for every node reached from each start, itself left out unless on a cycle.
 
-    ``edges``: src, dst. ``settle`` writes a table and reads it again: each round's lineage ends there. A round joins
-    only the pairs found last with the edges; it ends when there are no new ones, however long the chains are.
+    ``edges``: src, dst. ``settle`` writes a table and reads it again: each round's lineage ends there. A round joins only the pairs
+    found last with the edges; it ends when there are no new ones. Where that takes more than ``plain_rounds``,
+    nodes with a single way onward (other ways end at once) are jumped along, in one, two, four, ... steps, so that a chain
+    takes as many rounds as its length has binary digits, and only forks take one round each.
     """
-    frontier = settle(starts.select(F.col("start"), F.col("start").alias("node")).join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct())
-    found = [frontier]  # tables of fewer and fewer rounds: equal sizes are merged, so there are few
+    def step(pairs: DataFrame, by: DataFrame) -> DataFrame:
+        return pairs.join(by.select(F.col("src").alias("node"), "dst"), "node").select("start", F.col("dst").alias("node"))
+
+    frontier = settle(step(starts.select("start", F.col("start").alias("node")), edges).distinct())
+    found, jumps, forks, rounds = [frontier], [], edges, 0  # tables of fewer and fewer rounds: they are merged, so there are few
     while not frontier.isEmpty():
-        reached = found[0]
-        for t in found[1:]:
-            reached = reached.unionByName(t)
-        step = frontier.join(edges, F.col("node") == F.col("src")).select("start", F.col("dst").alias("node")).distinct()
-        frontier = settle(step.join(reached, ["start", "node"], "left_anti"))
+        rounds += 1
+        if rounds == plain_rounds:
+            onward = settle(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").distinct())
+            single = onward.groupBy("src").agg(F.min("dst").alias("dst"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
+            jumps = _jumps(settle(single), settle)
+            # ways that end at once are gone before forks are, so a fork's own ends are still found with it
+            forks = settle(edges.join(jumps[0].withColumn("_single", F.lit(True)), ["src", "dst"], "left_anti"))
+        reached = _union(found)
+        new = settle(step(frontier, forks).distinct().join(reached, ["start", "node"], "left_anti"))
+        if jumps:
+            along = frontier.unionByName(new)
+            for jump in jumps:
+                along = settle(along.unionByName(step(along, jump)).distinct())
+            new = settle(along.join(reached, ["start", "node"], "left_anti"))
+        frontier = new
         found.append(frontier)
         if len(found) > 8:
-            merged = found[1]
-            for t in found[2:]:
-                merged = merged.unionByName(t)
-            found = [found[0], settle(merged)]
-    reached = found[0]
-    for t in found[1:]:
-        reached = reached.unionByName(t)
-    return reached
+            found = [found[0], settle(_union(found[1:]))]
+    return _union(found)
+
+
+def dependencies(deps: DataFrame, starts: DataFrame, settle) -> DataFrame:
+    """(path, package) of all packages that each path needs, through the dependencies of its dependencies.
+
+    ``deps``: file, place (its order among files), ordinal (from 1), dep. ``starts``: path. A path is the first file that holds it or that it holds;
+    one that is no file needs nothing. Each listed dependency's first part is a package; all but a file's first one are followed.
+    """
+    files = deps.groupBy("file").agg(F.min("place").alias("place"))
+    wide = containing(starts.select(F.col("path").alias("needle")), files.select(F.col("file").alias("hay"))).select(F.col("needle").alias("path"), F.col("hay").alias("file"))
+    narrow = containing(files.select(F.col("file").alias("needle")), starts.select(F.col("path").alias("hay"))).select(F.col("hay").alias("path"), F.col("needle").alias("file"))
+    met = settle(wide.unionByName(narrow).join(files, "file").groupBy("path").agg(F.min_by("file", F.struct("place", "file")).alias("file")))
+    followed = deps.where("ordinal > 1").select(F.col("file").alias("src"), F.col("dep").alias("dst")).distinct()
+    first = met.select(F.col("file").alias("start")).distinct()
+    reached = closure(followed, first, settle).unionByName(first.select("start", F.col("start").alias("node")))
+    needed = reached.join(deps.select(F.col("file").alias("node"), F.substring_index("dep", "/", 1).alias("package")), "node").select("start", "package").distinct()
+    return met.join(needed.withColumnRenamed("start", "file"), "file").select("path", "package").distinct()
 
 
 def compile_flags(needs: DataFrame, flags: DataFrame, skipped: tuple[str, ...] = ()) -> DataFrame:
@@ -406,20 +467,20 @@ def compile_flags(needs: DataFrame, flags: DataFrame, skipped: tuple[str, ...] =
     )
 
 
-def missing_packages(messages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(id, head, package) for every rule whose alias contains the head of the message's last line, up to its first dot.
+def missing_packages(messages: DataFrame, rules: DataFrame, strict: bool = False) -> DataFrame:
+    """(id, head, package) for every package with a rule that holds the head of the message's last line, up to its first dot.
 
-    Only messages of the missing-path kind count. One that no rule answers has a null package. Heads are few: each is
-    met once with the rules' substrings of its length, by an equal join.
+    ``messages``: id, text. ``rules``: package, rule (its whole text). Only messages of the missing-path kind count. One that no rule answers has a
+    null package; with ``strict``, it is an error. Heads meet rules by ``containing``.
     """
     last = F.element_at(F.split(F.regexp_replace("text", r"\s+$", ""), "\n"), -1)
     head = F.trim(F.substring_index(last, ".", 1))
     wanted = messages.where(F.col("text").contains(NO_PATH)).select("id", head.alias("head")).where("head != ''")
-    sizes = wanted.select(F.length("head").alias("n")).distinct()
-    places = F.explode(F.when(F.length("alias") >= F.col("n"), F.sequence(F.lit(1), F.length("alias") - F.col("n") + 1)))
-    cut = rules.join(F.broadcast(sizes), F.length("alias") >= F.col("n")).select("package", "alias", "n", places.alias("at"))  # a row for each length of a name
-    known = cut.select("package", F.substr("alias", F.col("at"), F.col("n")).alias("head")).distinct()
-    return wanted.join(known, "head", "left").select("id", "head", "package").distinct()
+    held = containing(wanted.select(F.col("head").alias("needle")), rules.select(F.col("rule").alias("hay"))).select(F.col("needle").alias("head"), F.col("hay").alias("rule"))
+    known = held.join(rules.select("rule", "package"), "rule").select("head", "package").distinct()
+    out = wanted.join(known, "head", "left").select("id", "head", "package").distinct()
+    error = F.raise_error(F.concat(F.lit("no package for "), F.col("head"))).cast(dict(rules.dtypes)["package"])
+    return out.withColumn("package", F.coalesce("package", error)) if strict else out
 
 
 def declaration_end(rows: DataFrame, by: str, order: str, is_start: Column, is_end: Column | None = None) -> DataFrame:

@@ -297,15 +297,16 @@ def p24(spark, sf_dir):
 
 @query(
     "p25_module_names",
-    """select path, case k when 0 then 'Root.' || rest when 1 then 'Sub.' || rest when 2 then 'Root.theories.' || rest end as module,
+    """select path, case k when 0 then 'Root.' || rest when 1 then 'Sub.' || rest when 2 then 'Root.theories.' || rest when 5 then 'Early.' || rest end as module,
     case k when 3 then 'no rule for the path' when 4 then 'no package in the path' end as problem
-    from (select doc_id % 5 as k, 'S.F' || doc_id as rest, ['/a/coq-old/coq-one/', '/a/coq-one/src/', '/a/coq-two/theories/', '/a/coq-none/', '/a/b/'][1 + doc_id % 5] || 'S/F' || doc_id || '.v' as path from documents)""",
+    from (select doc_id % 6 as k, 'S.F' || doc_id as rest, ['/a/coq-old/coq-one/', '/a/coq-one/src/', '/a/coq-two/theories/', '/a/coq-none/', '/a/b/', '/a/coq-old.1/coq-o/'][1 + doc_id % 6] || 'S/F' || doc_id || '.v' as path from documents)""",
 )
 def p25(spark, sf_dir):
-    folders = F.array(*(F.lit(f) for f in ("/a/coq-old/coq-one/", "/a/coq-one/src/", "/a/coq-two/theories/", "/a/coq-none/", "/a/b/")))
-    path = F.concat(F.get(folders, (F.col("doc_id") % 5).cast("int")), F.lit("S/F"), "doc_id", F.lit(".v"))
+    folders = F.array(*(F.lit(f) for f in ("/a/coq-old/coq-one/", "/a/coq-one/src/", "/a/coq-two/theories/", "/a/coq-none/", "/a/b/", "/a/coq-old.1/coq-o/")))
+    path = F.concat(F.get(folders, (F.col("doc_id") % 6).cast("int")), F.lit("S/F"), "doc_id", F.lit(".v"))
     rules = spark.createDataFrame(
-        [("coq-one", 0, "src", "Sub"), ("coq-one", 1, ".", "Root"), ("coq-two", 0, "lib/x", "Lib"), ("coq-two", 1, ".", "Root"), ("coq-old", 0, ".", "Old")], "package string, ordinal int, dir string, alias string"
+        [("coq-one.2.1", 2, 0, "src", "Sub"), ("coq-one.2.1", 2, 1, ".", "Root"), ("coq-two.dev", 1, 0, "lib/x", "Lib"), ("coq-two.dev", 1, 1, ".", "Root"), ("x-coq-none", 3, 0, "lib", "None"),
+         ("coq-old", 0, 0, ".", "Early"), ("coq-one", 4, 0, ".", "Late"), ("coq-two", 5, 0, ".", "Late")], "package string, place int, ordinal int, dir string, alias string"
     )
     return op.module_name(table(spark, sf_dir, "documents").select(path.alias("path")), rules)
 
@@ -329,6 +330,27 @@ def p26(spark, sf_dir):
     return op.closure(e, starts, lambda df: table_in_shared(df, "closure"))
 
 
+# files need those their parts point to, in falling order of number; the first is not followed
+DEPS_SQL = f"""(select 'g' || src % 5 || '/f' || src || '.v' as file, src as place, row_number() over (partition by src order by dst desc) as ordinal, 'g' || dst % 5 || '/f' || dst || '.v' as dep from {EDGES_SQL} where dst != src)"""
+
+
+@query(
+    "p26_packages",
+    f"""with recursive d as materialized {DEPS_SQL}, s as (select distinct file as start, '/root/' || file as path from d where place % 3 = 0 union select file, substr(file, 4) from d where place % 3 = 1),
+    m as (select path, start from s where path[1] = '/' union select path, file from (select path, file from s join d on path[1] != '/' and contains(file, path) qualify row_number() over (partition by path order by place) = 1)),
+    r as (select start, start as node from m union select r.start, d.dep from r join d on r.node = d.file and d.ordinal > 1)
+    select distinct path, split_part(dep, '/', 1) as package from m join r on r.start = m.start join d on d.file = r.node""",
+)
+def p26_packages(spark, sf_dir):
+    name = lambda k: F.concat(F.lit("g"), F.col(k) % 5, F.lit("/f"), F.col(k), F.lit(".v"))
+    order = F.row_number().over(Window.partitionBy("src").orderBy(F.desc("dst")))
+    deps = edges(spark, sf_dir).where("dst != src").select(name("src").alias("file"), F.col("src").alias("place"), order.alias("ordinal"), name("dst").alias("dep"))
+    deps = table_in_shared(deps, "deps")
+    file = F.col("file")
+    paths = deps.where("place % 3 < 2").select(F.when(F.col("place") % 3 == 0, F.concat(F.lit("/root/"), file)).otherwise(F.substr(file, F.lit(4))).alias("path")).distinct()
+    return op.dependencies(deps, paths, lambda df: table_in_shared(df, "closure"))
+
+
 @query(
     "p27_compile_flags",
     "select distinct r_name as package, '-R' as flag, case when n_nationkey % 2 = 0 then r_name else r_name || '/d' || n_nationkey end as dir, n_name as alias from nation join region on n_regionkey = r_regionkey where r_name != 'ASIA'",
@@ -344,15 +366,16 @@ def p27(spark, sf_dir):
 
 @query(
     "p28_missing_packages",
-    """select distinct m.id, head, n_nationkey::bigint as package from (select doc_id as id, 'NATION_' || (doc_id % 30) as head from documents where doc_id % 4 != 3) m
-    left join nation on contains(n_name, head)""",
+    """select distinct m.id, head, n_nationkey::bigint as package from (select doc_id as id, case when doc_id % 5 = 0 then 'd' else 'NATION_' end || (doc_id % 30) as head from documents where doc_id % 4 != 3) m
+    left join nation on contains('-Q d' || n_nationkey || ' ' || n_name, head)""",
 )
 def p28(spark, sf_dir):
     said = F.when(F.col("doc_id") % 4 == 3, F.lit("Error: no such file")).otherwise(F.lit(op.NO_PATH))
     messages = table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), F.concat(said, F.lit("\nNATION_"), F.col("doc_id") % 30, F.lit(".lib not found.\n")).alias("text")
+        F.col("doc_id").alias("id"), F.concat(said, F.lit("\n"), F.when(F.col("doc_id") % 5 == 0, "d").otherwise("NATION_"), F.col("doc_id") % 30, F.lit(".lib not found.\n")).alias("text")
     )
-    rules = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("package"), F.col("n_name").alias("alias"))
+    rule = F.concat(F.lit("-Q d"), "n_nationkey", F.lit(" "), "n_name")
+    rules = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("package"), rule.alias("rule"))
     return op.missing_packages(messages, rules)
 
 
