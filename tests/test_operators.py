@@ -257,9 +257,48 @@ def test_meaningful_and_entropy(spark):
 
 
 @pytest.mark.parametrize("a,b,ratio,distance", [("kitten", "sitting", 61.5384, 3), ("", "", 100.0, 0), ("abc", "", 0.0, 3), ("same", "same", 100.0, 0)])
-def test_edit_measures(a, b, ratio, distance):
-    assert abs(uncertainty.indel_ratio(a, b) - ratio) < 1e-3
-    assert uncertainty._levenshtein(a, b) == distance
+def test_edit_measures(spark, a, b, ratio, distance):
+    assert abs(uncertainty.indel_ratio(a, uncertainty._places(b), len(b)) - ratio) < 1e-3
+    pair = spark.createDataFrame([(0, 1, a), (0, 2, b)], "g long, k long, t string")
+    assert uncertainty.levenshtein_pairs(pair, "g", "k", "t").first().distance == distance
+
+
+def test_common_subsequences_of_random_texts():
+    rng = random.Random(6)
+    for _ in range(300):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randrange(90))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            row = functools.reduce(lambda new, j: [*new, row[j] + 1 if b[j] == x else max(row[j + 1], new[-1])], range(len(b)), [0])  # noqa: B023
+        want = 100.0 if not a and not b else 200.0 * row[-1] / (len(a) + len(b))
+        assert uncertainty.indel_ratio(a, uncertainty._places(b), len(b)) == want
+
+
+def test_average_linkage_merges_the_nearest():
+    rng = np.random.default_rng(1)
+    for n in (2, 5, 30):
+        x = rng.normal(size=(n, 3))
+        d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(axis=2))
+        label = np.arange(n)
+        for a, b in uncertainty._average_linkage(d):
+            kinds = np.unique(label)
+            mean = {(i, j): d[np.ix_(label == i, label == j)].mean() for i in kinds for j in kinds if i < j}
+            assert {label[a], label[b]} == set(min(mean, key=mean.get))
+            label[label == label[b]] = label[a]
+        assert len(set(label)) == 1
+
+
+def test_two_thousand_texts_in_a_group(spark):
+    texts = spark.range(2000).select(F.lit(1).alias("g"), F.col("id").alias("k"), F.concat(F.when(F.col("id") % 2 == 0, "aaaaaa").otherwise("zzzzzz"), F.col("id") % 10).alias("t"))
+    alone = spark.createDataFrame([(2, 0, "x")], "g int, k long, t string")
+    assert {r.g: r.n for r in uncertainty.text_clusters(texts.unionByName(alone), "g", "k", "t", 4).collect()} == {1: 2, 2: 1}
+
+
+def test_clusters_of_one_large_group(spark):
+    rows = spark.range(3000).select(F.array((F.col("id") % 3 * 10).cast("double"), (F.col("id") % 7 * 0.01).cast("double")).alias("v"))
+    got = uncertainty.cluster_entropy_of_all(rows, "v", 5).first()
+    assert got.k == 3 and abs(got.entropy - np.log(3)) < 1e-9
+    assert uncertainty.cluster_entropy_of_all(rows.limit(2), "v").first() == (0.0, 1)
 
 
 def test_clusters_are_found(spark):
@@ -300,9 +339,10 @@ def test_json_is_read_file_by_file(spark, tmp_path):
     (mixed / "lines.json").write_text('{"a": 5}\n\n{"a": \n{"a": 6}\n[{"a": 7}, {"a": 8}]\n')
     (mixed / "bad first.json").write_text('{"a": \n{"a": 9}\n')
     (mixed / "empty.json").write_text("")
+    (mixed / "two.json").write_text("{\n}\n{\n}\n")  # neither a document nor lines
     where = "mixed \\[1\\]"
     assert read(where) == [(1, [1, 2]), (5, None), (6, None), (7, None), (8, None), (9, None)]
-    assert [r.line for r in files.bad_lines(spark, str(tmp_path / where), schema).collect()] == ['{"a": '] * 2
+    assert sorted(r.line for r in files.bad_lines(spark, str(tmp_path / where), schema).collect()) == ["{", "{"] + ['{"a": '] * 2 + ["}", "}"]
 
 
 def test_deep_steps_and_long_files(spark):
@@ -445,3 +485,47 @@ def test_a_missing_package_may_be_an_error(spark):
     assert traces.missing_packages(messages, rules).where("package is null").count() == 1
     with pytest.raises(Exception, match="no package for none"):
         traces.missing_packages(messages, rules, strict=True).collect()
+
+
+@pytest.mark.parametrize(
+    "kind,reply,problem",
+    [
+        ("tactics", '{"TACTICS": [{"tactic": "a", "reason": "b"}]}', None), ("tactics", '{"tactics": [{"tactic": "a"}]}', "a tactic without tactic and reason"), ("tactics", '{"tactics": 3}', "tactics are no list"),
+        ("tactics", None, "no JSON object"), ("tactics", '{"tactics": [1]} more', "no JSON object"), ("tactics", "[]", "no JSON object"), ("tactics", "{\"tactics\": []}{}", "no JSON object"), ("generation", '{"x": 1}', "no info or tactics"), ("generation", '{"info": 1}', None),
+        ("selection", '{"states": [1, 2, 3, 4]}', "more than three states"), ("selection", '{"States": [1]}', "no states"), ("notes", '{"add": null, "remove": 0}', None),
+        ("explanation", '{"before": {"zh": 1, "en": 2}, "after": {"zh": 1, "en": 2}, "tactic": {"zh": 1}}', "tactic lacks a language"), ("strategy", '{"proof_trace": 1, "steps": 2}', "no score"), ("refinement", '{"Refined_Tactic": "", "reason": ""}', None),
+    ],
+)
+def test_reply_problems(spark, kind, reply, problem):
+    df = spark.createDataFrame([(reply,)], "r string")
+    assert df.select(text.reply_problem(F.col("r"), kind)).first()[0] == problem
+
+
+def test_a_list_of_tactics_may_do(spark):
+    df = spark.createDataFrame([('{"tactics": ["auto"]}',)], "r string")
+    assert df.select(text.reply_problem(F.col("r"), "tactics", reasons=False)).first()[0] is None
+
+
+def test_open_goals_of_shuffled_batches(spark, tmp_path):
+    """Batches out of order, and a watermark that settles most of them."""
+    from traceloom.streaming import incremental
+
+    rng = random.Random(9)
+    rows = [(k, k % 3, rng.choice([0, 0, 1, 2, 3])) for k in range(240)]
+    batches = [rows[k : k + 40] for k in range(0, 240, 40)]
+    for k in range(0, 6, 2):  # two batches' events are mixed: up to 80 seconds late
+        both = batches[k] + batches[k + 1]
+        rng.shuffle(both)
+        batches[k], batches[k + 1] = both[:40], both[40:]
+    schema = "id long, key long, goals long, ts timestamp"
+    for k, b in enumerate(batches):
+        frame = spark.createDataFrame(b, "id long, key long, goals long").withColumn("ts", F.timestamp_seconds(F.col("id") + 1_000_000))
+        frame.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    live = incremental.live_open_goals(stream, "key", "id", F.col("goals"), "ts", "90 seconds")
+    incremental.write_updates(live, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    got = {r.key: r.left_open for r in incremental.latest(spark.read.parquet(str(tmp_path / "out")), ["key"], "batch", ["left_open"]).collect()}
+    want = {}
+    for _, key, g in rows:
+        want[key] = after(want.get(key, 1), g)
+    assert got == want

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from traceloom.functions.json import is_json
+
 
 def definition_text(mode: str | Column, origin: Column, content: Column, body: Column) -> Column:
     """By mode: origin, internal (content, then ``body: ...``), mixed (both) or empty."""
@@ -88,6 +90,60 @@ def has_keys(reply: Column, keys: tuple[str, ...]) -> Column:
     return F.coalesce(F.size(F.array_except(F.array(*(F.lit(k) for k in keys)), F.json_object_keys(reply))) == 0, F.lit(False))
 
 
+# fixed values: the keys that each kind of reply must have
+REQUIRED = {
+    "enrichment": ("mathematical_domains", "key_concepts", "concept_relations", "intuitive_explanation", "dependent_premises", "potential_applications"),
+    "tactics": ("tactics",), "refinement": ("refined_tactic", "reason"), "generation": (), "selection": ("states",), "notes": ("add", "remove"),
+    "explanation": ("before", "after", "tactic"), "strategy": ("proof_trace", "steps", "score"),
+}
+TACTIC, LANGUAGES, MOST_STATES = ("tactic", "reason"), ("zh", "en"), 3
+ANY_CASE = ("tactics", "refinement", "generation")  # kinds whose keys may be in any case
+
+
+def reply_problem(reply: Column, kind: str, reasons: bool = True) -> Column:
+    """What is wrong with a JSON reply of a kind (of ``REQUIRED``), null if nothing is.
+
+    Beside the required keys: every item of ``tactics`` is an object with a tactic and a reason (with ``reasons`` off, a list is enough);
+    a generation has info or tactics; a selection lists three states at most; each part of an explanation is an object
+    with a text in both languages. Of keys that differ in case alone the last counts, where case doesn't matter. A null reply is no object.
+    """
+    pairs = F.map_entries(F.from_json(reply, "map<string,string>"))  # nested values as JSON texts
+
+    def value(key: str) -> Column:
+        own = F.filter(pairs, lambda e: (F.lower(e["key"]) if kind in ANY_CASE else e["key"]) == key)
+        return F.try_element_at(F.transform(own, lambda e: F.coalesce(e["value"], F.lit("null"))), F.lit(-1))
+
+    def lacks(keys: tuple[str, ...], objects: Column) -> Column:
+        return F.exists(objects, lambda o: F.coalesce(~_all_keys(o, keys), F.lit(True)))
+
+    def _all_keys(o: Column, keys: tuple[str, ...]) -> Column:
+        out = F.lit(True)
+        for k in keys:
+            out = out & F.map_contains_key(o, F.lit(k))
+        return out
+
+    problem = F.when(pairs.isNull() | reply.isNull() | ~is_json(reply), F.lit("no JSON object"))
+    for key in REQUIRED[kind]:
+        problem = problem.when(value(key).isNull(), F.lit(f"no {key}"))
+    if kind == "generation":
+        problem = problem.when(value("info").isNull() & value("tactics").isNull(), F.lit("no info or tactics"))
+    if kind in ("tactics", "generation"):
+        tactics = value("tactics")
+        is_list = F.ltrim(tactics).startswith("[")
+        problem = problem.when(tactics.isNotNull() & ~is_list, F.lit("tactics are no list"))
+        if reasons:
+            items = F.from_json(tactics, "array<map<string,string>>")
+            incomplete = F.coalesce(lacks(TACTIC, items), F.lit(True))
+            problem = problem.when(tactics.isNotNull() & incomplete, F.lit("a tactic without tactic and reason"))
+    if kind == "selection":
+        states = F.from_json(value("states"), "array<string>")
+        problem = problem.when(~F.ltrim(value("states")).startswith("[") | states.isNull(), F.lit("states are no list")).when(F.size(states) > MOST_STATES, F.lit("more than three states"))
+    if kind == "explanation":
+        for key in REQUIRED[kind]:
+            problem = problem.when(lacks(LANGUAGES, F.array(F.from_json(value(key), "map<string,string>"))), F.lit(f"{key} lacks a language"))
+    return problem
+
+
 def lower_keys(values: Column) -> Column:
     """E10."""
     return F.transform_keys(values, lambda k, _: F.lower(k))

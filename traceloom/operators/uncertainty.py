@@ -136,16 +136,48 @@ def cluster_entropy(df: DataFrame, by: str, key: str, v: str, most: int = 10, se
     return df.select(by, key, v).groupBy(by).applyInPandas(run, f"{by} {kind}, entropy double, k long")
 
 
-def indel_ratio(a: str, b: str) -> float:
-    """100 (1 - insertions and deletions / both lengths), by the longest common subsequence."""
-    if not a and not b:
+def cluster_entropy_of_all(df: DataFrame, v: str, most: int = 10, seed: int = 0) -> DataFrame:
+    """U8 for one large group: entropy of cluster shares and k, over all rows, each k-means and its silhouette a few passes of Spark.
+
+    The measure is of squared distances, as Spark's is. Where no k fits (fewer than three rows, or all equal), entropy 0 and k 1.
+    """
+    from pyspark.ml.clustering import KMeans
+    from pyspark.ml.evaluation import ClusteringEvaluator
+    from pyspark.ml.functions import array_to_vector
+
+    spark, rows = df.sparkSession, df.select(array_to_vector(F.col(v).cast("array<double>")).alias("features")).persist()
+    best, n = (-1.0, 0.0, 1), rows.count()
+    for k in range(2, min(most, n - 1) + 1):
+        model = KMeans(k=k, seed=seed).fit(rows)
+        found = model.transform(rows)
+        sizes = [r["count"] for r in found.groupBy("prediction").count().collect()]
+        if len(sizes) > 1 and (s := ClusteringEvaluator().evaluate(found)) > best[0]:
+            p = np.array(sizes) / n
+            best = (s, float(-(p * np.log(p)).sum()), k)
+    rows.unpersist()
+    return spark.createDataFrame([(best[1], best[2])], "entropy double, k long")
+
+
+def _places(text: str) -> dict[str, int]:
+    """Of each letter the places where it stands, as bits."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def indel_ratio(a: str, places: dict[str, int], n: int) -> float:
+    """100 (1 - insertions and deletions / both lengths) of ``a`` and a text of ``n`` letters at ``places``.
+
+    By the longest common subsequence, a row of its table at a time as the bits of one number.
+    """
+    if not a and not n:
         return 100.0
-    row = np.zeros(len(b) + 1, dtype=np.int64)
-    codes = np.array([ord(c) for c in b])
+    every = open_ = (1 << n) - 1
     for c in a:
-        grown = np.maximum(row[1:], np.where(codes == ord(c), row[:-1] + 1, 0))
-        row[1:] = np.maximum.accumulate(grown)
-    return 100.0 * 2 * int(row[-1]) / (len(a) + len(b))
+        hit = open_ & places.get(c, 0)
+        open_ = ((open_ + hit) | (open_ - hit)) & every
+    return 100.0 * 2 * (n - open_.bit_count()) / (len(a) + n)
 
 
 def edit_similarity(df: DataFrame, by: str, key: str, text: str) -> DataFrame:
@@ -153,7 +185,8 @@ def edit_similarity(df: DataFrame, by: str, key: str, text: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series([indel_ratio(x, y) for x, y in zip(a, b)])
+        known = {y: _places(y) for y in set(b)}
+        return pd.Series([indel_ratio(x, known[y], len(y)) for x, y in zip(a, b)])
 
     a = df.select(by, F.col(key).alias("_a"), F.col(text).alias("_x"))
     b = df.select(by, F.col(key).alias("_b"), F.col(text).alias("_y"))
@@ -161,40 +194,63 @@ def edit_similarity(df: DataFrame, by: str, key: str, text: str) -> DataFrame:
     return each.groupBy(by).agg(F.avg("r").alias("mean"), F.stddev_pop("r").alias("std"))
 
 
-def _levenshtein(a: str, b: str) -> int:
-    row = np.arange(len(b) + 1)
-    codes, at = np.array([ord(c) for c in b], dtype=np.int64), np.arange(len(b) + 1)
-    for i, c in enumerate(a, 1):
-        then = np.empty_like(row)
-        then[0] = i
-        then[1:] = np.minimum(row[1:] + 1, row[:-1] + (codes != ord(c)))
-        row = np.minimum.accumulate(then - at) + at
-    return int(row[-1])
+def _average_linkage(d: np.ndarray) -> list[tuple[int, int]]:
+    """The merges of average linkage by rising distance, each as two members of the clusters; by chains of nearest neighbours, in the square of the rows."""
+    d, n = d.astype(float).copy(), len(d)
+    np.fill_diagonal(d, np.inf)
+    size, live, chain, merges = np.ones(n), np.ones(n, bool), [], []
+    while len(merges) < n - 1:
+        if not chain:
+            chain = [int(live.argmax())]
+        while True:
+            a = chain[-1]
+            b = int(d[a].argmin())
+            if len(chain) > 1 and d[a, chain[-2]] <= d[a, b]:
+                b = chain[-2]
+                break
+            chain.append(b)
+        chain = chain[:-2]
+        merges.append((d[a, b], len(merges), a, b))
+        row = (size[a] * d[a] + size[b] * d[b]) / (size[a] + size[b])
+        d[a], d[:, a] = row, row
+        d[b], d[:, b], d[a, a] = np.inf, np.inf, np.inf
+        size[a] += size[b]
+        live[b] = False
+    return [(a, b) for _, _, a, b in sorted(merges)]
+
+
+def _best_cut(d: np.ndarray, most: int) -> int:
+    """How many clusters, from 2 to ``most``, have the best silhouette; of equal ones the most. 1 if none is above -1."""
+    n, best = len(d), (-1.0, 1)
+    label, left = np.arange(n), n
+    for a, b in _average_linkage(d):
+        if 2 <= left <= min(most, n - 1) and (s := _silhouette(d, label)) > best[0]:
+            best = (s, left)
+        label[label == label[b]] = label[a]
+        left -= 1
+    return best[1]
 
 
 def text_clusters(df: DataFrame, by: str, key: str, text: str, most: int = 29) -> DataFrame:
-    """Group, n: how many average-linkage clusters of Levenshtein distances (2 to ``most``) have the best silhouette; 1 if none."""
+    """Group, n: how many average-linkage clusters of Levenshtein distances (2 to ``most``) have the best silhouette; 1 if none.
 
-    def run(group: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        texts = rows.sort_values(key)[text].tolist()
-        n = len(texts)
-        d = np.zeros((n, n))
-        for i in range(n):
-            for j in range(i):
-                d[i, j] = d[j, i] = _levenshtein(texts[i], texts[j])
-        label, best = np.arange(n), (-1.0, 1)
-        while len(kinds := np.unique(label)) > 1:
-            if 2 <= len(kinds) <= min(most, n - 1) and (s := _silhouette(d, label)) > best[0]:
-                best = (s, len(kinds))
-            one = (label[:, None] == kinds[None]).astype(float)
-            mean = one.T @ d @ one / np.outer(one.sum(0), one.sum(0))
-            np.fill_diagonal(mean, np.inf)
-            a, b = divmod(int(mean.argmin()), len(kinds))
-            label[label == kinds[b]] = kinds[a]
-        return pd.DataFrame([(group[0], best[1])], columns=[by, "n"])
+    The distances of a group's pairs are Spark's; its matrix is held in one task, so groups are of bounded size (the responses to one
+    prompt, a few thousand). Merges at equal distances may come in any order.
+    """
+
+    def run(group: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
+        keys, at = np.unique(np.concatenate([pairs["a"].to_numpy(), pairs["b"].to_numpy()]), return_inverse=True)
+        i, j = np.split(at, 2)
+        d = np.zeros((len(keys), len(keys)))
+        d[i, j] = d[j, i] = pairs["distance"].to_numpy()
+        return pd.DataFrame([(group[0], _best_cut(d, most))], columns=[by, "n"])
 
     kind = dict(df.dtypes)[by]
-    return df.select(by, key, text).groupBy(by).applyInPandas(run, f"{by} {kind}, n long")
+    a = df.select(by, F.col(key).alias("a"), F.col(text).alias("_x"))
+    b = df.select(by, F.col(key).alias("b"), F.col(text).alias("_y"))
+    pairs = a.join(b, by).where("a < b").select(by, "a", "b", F.levenshtein("_x", "_y").alias("distance"))
+    found = pairs.groupBy(by).applyInPandas(run, f"{by} {kind}, n long")
+    return df.select(by).distinct().join(found, by, "left").withColumn("n", F.coalesce("n", F.lit(1)))  # a text alone has no pair
 
 
 def levenshtein_pairs(df: DataFrame, by: str, key: str, text: str) -> DataFrame:

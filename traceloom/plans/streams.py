@@ -22,11 +22,11 @@ def _score(props: str) -> str:
     "select event_id, case when props not like '%0}' then upper(props) end as reply, case when props like '%0}' then 'ValueError: round' end as error from events",
 )
 def x1(spark, sf_dir):
-    path, rows = scratch(spark, "x1"), table(spark, sf_dir, "events").select("event_id", "props")
+    path, rows = scratch(spark, "x1"), table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), "props")
     rows.write.json(f"{path}/in")
     rows.where("event_id % 3 = 0").write.mode("append").json(f"{path}/in")  # seen again: counts once
-    source = spark.readStream.schema("event_id long, props string").option("maxFilesPerTrigger", 100).json(f"{path}/in")
-    op.enrich_new_files(source, "event_id", lambda df: enriched(df, _score, "event_id", "props", lambda t: table_in_shared(t, "x1")), f"{path}/good", f"{path}/bad", f"{path}/state").awaitTermination()
+    source = spark.readStream.schema("event_id long, ts timestamp, props string").option("maxFilesPerTrigger", 100).json(f"{path}/in")
+    op.enrich_new_files(source, "event_id", lambda df: enriched(df, _score, "event_id", "props", lambda t: table_in_shared(t, "x1")), f"{path}/good", f"{path}/bad", f"{path}/state", "ts", "400 days").awaitTermination()
     good, bad = (spark.read.schema(s).parquet(f"{path}/{n}") for n, s in (("good", "event_id long, reply string"), ("bad", "event_id long, error string")))
     return good.unionByName(bad, allowMissingColumns=True).select("event_id", "reply", "error")
 
@@ -44,9 +44,10 @@ def x2(spark, sf_dir):
 @query("x3_live_open_goals", ORACLES["p18_open_goals"])
 def x3(spark, sf_dir):
     path = scratch(spark, "x3")
-    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    rows.write.parquet(f"{path}/in")
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    for part in range(3):  # three files, each of events from all times
+        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
     goals = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 0).when(F.col("event_type") == "purchase", 2).otherwise(1)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1000).parquet(f"{path}/in")
-    op.write_updates(op.live_open_goals(stream, "user_id", "event_id", goals), f"{path}/out", f"{path}/state").awaitTermination()
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    op.write_updates(op.live_open_goals(stream, "user_id", "event_id", goals, "ts", "400 days"), f"{path}/out", f"{path}/state").awaitTermination()
     return op.latest(spark.read.parquet(f"{path}/out"), ["user_id"], "batch", ["left_open"])

@@ -79,6 +79,45 @@ def e9(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", op.has_keys(reply, ("k", "reason")).alias("valid"))
 
 
+KINDS_OF_REPLY = list(op.REQUIRED)
+# replies of every kind, good and bad: %k stands for a number
+REPLIES = [
+    '{"mathematical_domains": [%k], "key_concepts": [], "concept_relations": "", "intuitive_explanation": null, "dependent_premises": [], "potential_applications": "x"}',
+    '{"mathematical_domains": [%k], "key_concepts": [], "concept_relations": "", "Intuitive_explanation": "", "dependent_premises": [], "potential_applications": "x"}',
+    '{"tactics": [{"tactic": "a %k", "reason": "b"}, {"tactic": "c", "reason": null, "more": 1}]}', '{"Tactics": [{"tactic": "a", "reason": "b"}], "x": %k}',
+    '{"tactics": [{"tactic": "a"}, {"tactic": "c", "reason": "d"}]}', '{"tactics": {"tactic": "a", "reason": "b"}}', '{"tactics": []}', '{"tactics": ["auto %k"]}', '{"tactics": "auto"}',
+    '{"info": "need %k"}', '{"INFO": null}', '{"info": "x", "tactics": [{"reason": "only"}]}', '{"refined_tactic": "a", "Reason": "b %k"}', '{"refined_tactic": "a"}',
+    '{"states": [%k, 2, 3]}', '{"states": [1, 2, 3, %k]}', '{"states": "1"}', '{"states": []}', '{"add": [], "remove": [%k]}', '{"add": []}',
+    '{"before": {"zh": "1", "en": "2"}, "after": {"zh": "1", "en": "2"}, "tactic": {"zh": "", "en": "%k"}}', '{"before": {"zh": "1", "en": "2"}, "after": {"zh": "1"}, "tactic": {"zh": "", "en": "2"}}',
+    '{"before": {"zh": "1", "en": "2"}, "after": ["zh", "en"], "tactic": {"zh": "", "en": "2"}}', '{"proof_trace": "", "steps": [], "score": %k}', '{"proof_trace": "", "steps": []}',
+    '{"tactics": [', 'no object %k', '[{"tactics": []}]', '', '{}',
+]
+
+
+@query(
+    "e9_reply_problems",
+    f"""with e as (select event_id, [{", ".join(f"'{k}'" for k in KINDS_OF_REPLY)}][1 + event_id % 8] as kind, replace([{", ".join(f"'{r}'" for r in REPLIES)}][1 + (event_id // 8) % {len(REPLIES)}], '%k', user_id::varchar) as r from events),
+    s as (select event_id, kind, json_valid(r) and r[1] = '{{' as ok, case when json_valid(r) and r[1] = '{{' then r else '{{}}' end as r from e), o as (select *, json_keys(r) as keys from s),
+    p as (select *, case when kind in ('tactics', 'refinement', 'generation') then list_transform(keys, lambda k: lower(k)) else keys end as own, list_filter(keys, lambda k: lower(k) = 'tactics')[-1] as tk from o),
+    v as (select *, case when ok and tk is not null then json_extract(r, '$."' || tk || '"') end as t from p)
+    select event_id, kind, ok and case kind
+      when 'enrichment' then list_has_all(own, ['mathematical_domains', 'key_concepts', 'concept_relations', 'intuitive_explanation', 'dependent_premises', 'potential_applications'])
+      when 'refinement' then list_has_all(own, ['refined_tactic', 'reason']) when 'notes' then list_has_all(own, ['add', 'remove']) when 'strategy' then list_has_all(own, ['proof_trace', 'steps', 'score'])
+      when 'selection' then coalesce(json_type(r, '$.states') = 'ARRAY' and json_array_length(r, '$.states') <= 3, false)
+      when 'explanation' then coalesce(list_has_all(json_keys(r, '$.before'), ['zh', 'en']) and list_has_all(json_keys(r, '$.after'), ['zh', 'en']) and list_has_all(json_keys(r, '$.tactic'), ['zh', 'en']), false)
+      else (t is null and kind = 'generation' and list_contains(own, 'info')) or coalesce(json_type(t) = 'ARRAY' and len(list_filter(json_extract(t, '$[*]'), lambda i: not coalesce(json_type(i) = 'OBJECT' and list_has_all(json_keys(i), ['tactic', 'reason']), false))) = 0, false)
+      end as valid from v""",
+)
+def e9_problems(spark, sf_dir):
+    kinds, replies = (F.array(*(F.lit(x) for x in own)) for own in (KINDS_OF_REPLY, REPLIES))
+    reply = F.replace(F.get(replies, (F.floor(F.col("event_id") / 8) % len(REPLIES)).cast("int")), F.lit("%k"), F.col("user_id").cast("string"))
+    rows = table(spark, sf_dir, "events").select("event_id", F.get(kinds, (F.col("event_id") % 8).cast("int")).alias("kind"), reply.alias("reply"))
+    valid = F.when(F.lit(False), F.lit(False))
+    for kind in KINDS_OF_REPLY:
+        valid = valid.when(F.col("kind") == kind, op.reply_problem(F.col("reply"), kind).isNull())
+    return rows.select("event_id", "kind", valid.alias("valid"))
+
+
 @query("e10_lower_keys", "select doc_id, source as a, lang as strategy from documents")
 def e10(spark, sf_dir):
     m = op.lower_keys(F.create_map(F.lit("KEY"), "source"))

@@ -86,6 +86,11 @@ def u8(spark, sf_dir):
     return op.cluster_entropy(rows, "g", "vec_id", "embedding")
 
 
+@query("u8_cluster_entropy_of_all")
+def u8_all(spark, sf_dir):
+    return op.cluster_entropy_of_all(table(spark, sf_dir, "embeddings"), "embedding", 4)
+
+
 @query("u9_edit_similarity")
 def u9(spark, sf_dir):
     rows = table(spark, sf_dir, "benchmark").withColumn("g", F.floor(F.col("item_id") / 8))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from traceloom.functions.json import is_json
+
 
 def read_jsonl(spark: SparkSession, path: str, schema: T.StructType | str, n: int | None = None) -> DataFrame:
     """Whole, or ``n`` rows; an error if there are fewer."""
@@ -47,11 +49,11 @@ def _kinds_of_files(spark: SparkSession, path: str) -> tuple[list[str], list[str
 
     at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id())
     text = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), "value").where(F.trim("value") != "")
-    first = text.groupBy("file").agg(F.min_by("value", "at").alias("value")).select("file", F.try_parse_json("value").isNull().alias("more")).collect()
+    first = text.groupBy("file").agg(F.min_by("value", "at").alias("value")).select("file", (~is_json(F.col("value"))).alias("more")).collect()
     lines, whole = ([plain(r.file) for r in first if r.more == more] for more in (False, True))
     if whole:
         texts = spark.read.text(whole, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
-        broken = {plain(r.file) for r in texts.where(F.try_parse_json("value").isNull()).select("file").collect()}
+        broken = {plain(r.file) for r in texts.where(~is_json(F.col("value"))).select("file").collect()}
         lines, whole = lines + sorted(broken), [f for f in whole if f not in broken]
     return whole, lines
 

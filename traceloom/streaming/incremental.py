@@ -56,18 +56,29 @@ def after(left: int, goals: int) -> int:
     return left - (goals == 0) if left < 1 else left + goals - 1
 
 
-def live_open_goals(events: DataFrame, key: str, order: str, goals: Column) -> DataFrame:
-    """Key, left_open after each batch; the count lives in the stream's state. Events of a batch are taken in order."""
+def live_open_goals(events: DataFrame, key: str, order: str, goals: Column, time: str, late: str) -> DataFrame:
+    """Key, left_open after each batch that has events of the key: the count over all its events so far, by ``order``.
+
+    ``order`` rises with ``time``. Events may come in any order, up to ``late`` behind the latest: these are kept in the stream's state and
+    counted again; what the watermark has passed is settled as one number. Without a watermark's progress nothing is lost, state only grows.
+    """
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        left = state.get[0] if state.exists else 1
-        rows = pd.concat(list(batches)).sort_values(order)
-        for g in rows["goals"].tolist():
+        left, orders, times, waiting = state.get if state.exists else (1, [], [], [])
+        new = pd.concat(list(batches))
+        rows = sorted([*zip(orders, times, waiting), *zip(new[order].tolist(), new["_ms"].tolist(), new["goals"].tolist())])
+        passed, settled = state.getCurrentWatermarkMs(), 0
+        while settled < len(rows) and rows[settled][1] < passed:
+            left = after(left, rows[settled][2])
+            settled += 1
+        rows = rows[settled:]
+        state.update((left, *([int(r[k]) for r in rows] for k in range(3))))
+        for _, _, g in rows:
             left = after(left, g)
-        state.update((left,))
         yield pd.DataFrame({key: [group[0]], "left_open": [left]})
 
     kind = dict(events.dtypes)[key]
-    return events.select(key, order, goals.alias("goals")).groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, left_open long", "left_open long", "update", "NoTimeout"
+    rows = events.withWatermark(time, late).select(key, F.col(order).cast("long").alias(order), F.col(time), F.unix_millis(time).alias("_ms"), goals.cast("long").alias("goals"))
+    return rows.groupBy(key).applyInPandasWithState(
+        step, f"{key} {kind}, left_open long", "left_open long, orders array<long>, times array<long>, waiting array<long>", "update", "EventTimeTimeout"
     )
