@@ -183,10 +183,39 @@ def unit_vector(v: Column) -> Column:
     return F.transform(F.array(norm), lambda n: F.transform(wide, lambda x: F.when(n == 0, x).otherwise(x / n)))[0]
 
 
-def state_text(hyps: Column, goal: Column) -> Column:
-    """``name : type`` of each hypothesis (array of struct name, type) in order, then the goal."""
-    each = F.transform(hyps, lambda h: F.concat(h["name"], F.lit(" : "), h["type"]))
-    return F.concat(F.lit("hypotheses:\n"), F.array_join(each, "\n"), F.lit("\ngoal: "), goal)
+def by_mode(mode: str | Column, origin: Column, internal: Column) -> Column:
+    """A term as written, as the machine has it, or both; any other mode is an error."""
+    mode = F.lit(mode) if isinstance(mode, str) else mode
+    return (
+        F.when(mode == "origin", origin).when(mode == "internal", internal).when(mode == "mixed", F.concat(internal, F.lit(" (written: "), origin, F.lit(")")))
+        .otherwise(F.raise_error(F.concat(F.lit("no such mode: "), mode)).cast("string"))
+    )
+
+
+def state_text(state: Column, mode: str | Column = "origin") -> Column:
+    """``name : term`` of each hypothesis in order, then the goal.
+
+    ``state``: struct of hyps (array of struct name, origin, internal, ids) and goal (struct origin, internal, ids); null hyps are none.
+    """
+    hyps = F.coalesce(state["hyps"], F.array().cast("array<struct<name:string,origin:string,internal:string,ids:array<bigint>>>"))
+    each = F.transform(hyps, lambda h: F.concat(h["name"], F.lit(" : "), by_mode(mode, h["origin"], h["internal"])))
+    return F.concat(F.lit("hypotheses:\n"), F.array_join(each, "\n"), F.lit("\ngoal: "), by_mode(mode, state["goal"]["origin"], state["goal"]["internal"]))
+
+
+def state_ids(state: Column, extra: Column | None = None) -> Column:
+    """The distinct token ids of a state's hypotheses and goal, and of ``extra``, ascending."""
+    ids = F.flatten(F.array_append(F.transform(F.coalesce(state["hyps"], F.array()), lambda h: h["ids"]), state["goal"]["ids"]))
+    return F.array_sort(F.array_distinct(ids if extra is None else F.concat(ids, extra)))
+
+
+def after_texts(after: Column, mode: str | Column = "origin") -> Column:
+    """The texts of the states after a step, in order."""
+    return F.transform(after, lambda s: state_text(s, mode))
+
+
+def tactic_text(tactic: Column, before: Column, after: Column, mode: str | Column = "origin") -> Column:
+    """A step with the state before it and those after it."""
+    return F.concat_ws("\n", F.concat(F.lit("tactic: "), tactic), F.lit("before:"), state_text(before, mode), F.lit("after:"), F.array_join(after_texts(after, mode), "\n"))
 
 
 def card(name: Column, text: Column, intuition: Column | None = None) -> Column:
@@ -209,7 +238,7 @@ def assembled_prompt(blocks: dict[str, tuple[Column, Column]]) -> Column:
 CASES = {
     "no_ref_ps_all": ("mixed", None, False, False), "no_ref_ps_origin": ("origin", None, False, False),
     "origin_only": ("origin", False, True, False), "internal_only": ("internal", False, True, False), "intuition_only": ("empty", True, True, False),
-    "origin_internal": ("origin", True, True, False), "origin_intuition": ("origin", True, True, False), "internal_intuition": ("internal", True, True, False),
+    "origin_internal": ("mixed", False, True, False), "origin_intuition": ("origin", True, True, False), "internal_intuition": ("internal", True, True, False),
     "origin_internal_intuition": ("mixed", True, True, False), "zh_explanation": (None, None, True, False), "base": (None, None, True, True),
 }
 CASE = T.StructType([
@@ -218,11 +247,17 @@ CASE = T.StructType([
 ])
 
 
-def with_case(df: DataFrame, case: str, mode: str = "mixed", intuition: bool = True) -> DataFrame:
-    """Adds mode, intuition, definitions and plain of the row's ablation case; a case that is not known keeps the settings given."""
+def with_case(df: DataFrame, case: str, mode: str = "mixed", intuition: bool = True, scope: str = "all") -> DataFrame:
+    """Adds mode, intuition, definitions and plain of the row's ablation case, and state_mode; a case that is not known keeps the settings given.
+
+    ``scope``: with ``all`` the case's mode holds for states too, with ``def_only`` states keep the ``mode`` given. A state is never empty.
+    """
+    if scope not in ("all", "def_only"):
+        raise ValueError(f"no such scope: {scope}")
     cases = df.sparkSession.createDataFrame([(k, *v) for k, v in CASES.items()], CASE)
     met = df.join(F.broadcast(cases.withColumnRenamed("case", case)), case, "left")  # eleven rows
-    return met.fillna({"mode": mode, "intuition": intuition, "definitions": True, "plain": False}, ["mode", "intuition", "definitions", "plain"])
+    met = met.fillna({"mode": mode, "intuition": intuition, "definitions": True, "plain": False}, ["mode", "intuition", "definitions", "plain"])
+    return met.withColumn("state_mode", F.when(F.lit(scope == "all") & (F.col("mode") != "empty"), F.col("mode")).otherwise(F.lit(mode)))
 
 
 def ranking_card(df: DataFrame, by: str, order: str, tactics: Column, goals: Column) -> DataFrame:

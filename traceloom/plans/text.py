@@ -154,14 +154,54 @@ def e14(spark, sf_dir):
     return table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.aggregate(v, F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
 
 
+def term_sql(mode: str, origin: str, internal: str) -> str:
+    return f"case {mode} when 'origin' then {origin} when 'internal' then {internal} else {internal} || ' (written: ' || {origin} || ')' end"
+
+
+# the states of a conversation as a step: before it all its turns, after it a state for each turn but the first
+MODE_SQL = "['origin', 'internal', 'mixed'][1 + conv_id % 3]"
+STATE_SQL = f"""(with t as (select conv_id, turn, role || turn || ' : ' || {term_sql(MODE_SQL, "'len ' || length(text)", "'n' || turn || ' ' || role")} as hyp, {term_sql(MODE_SQL, "text", "'g' || turn")} as goal from conversations),
+ b as (select conv_id, 'hypotheses:' || chr(10) || string_agg(hyp, chr(10) order by turn) || chr(10) || 'goal: ' || arg_max(goal, turn) as before from t group by conv_id),
+ a as (select conv_id, string_agg('hypotheses:' || chr(10) || hyp || chr(10) || 'goal: ' || goal, chr(10) order by turn) as after from t where turn > 0 group by conv_id)
+ select b.conv_id, before, coalesce(after, '') as after from b left join a using (conv_id))"""
+
+
+def states(spark, sf_dir):
+    """conv_id, mode, before, after."""
+    ids = lambda *x: F.array(*(c.cast("long") for c in x))
+    hyp = F.struct(F.concat("role", "turn").alias("name"), F.concat(F.lit("len "), F.length("text")).alias("origin"), F.concat(F.lit("n"), "turn", F.lit(" "), "role").alias("internal"), ids(F.length("text"), F.col("turn")).alias("ids"))
+    goal = F.struct(F.col("text").alias("origin"), F.concat(F.lit("g"), "turn").alias("internal"), ids(F.col("turn"), F.lit(3)).alias("ids"))
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", hyp.alias("h"), goal.alias("g")))).alias("t"))
+    before = F.struct(F.transform("t", lambda x: x["h"]).alias("hyps"), F.element_at("t", -1)["g"].alias("goal"))
+    after = F.transform(F.filter("t", lambda x: x["turn"] > 0), lambda x: F.struct(F.array(x["h"]).alias("hyps"), x["g"].alias("goal")))
+    mode = F.get(F.array(F.lit("origin"), F.lit("internal"), F.lit("mixed")), (F.col("conv_id") % 3).cast("int"))
+    return rows.select("conv_id", mode.alias("mode"), before.alias("before"), after.alias("after"))
+
+
+@query("e15_state_text", f"select conv_id, before as state from {STATE_SQL}")
+def e15(spark, sf_dir):
+    return states(spark, sf_dir).select("conv_id", op.state_text(F.col("before"), F.col("mode")).alias("state"))
+
+
+@query("e15_after_states", f"select conv_id, after from {STATE_SQL}")
+def e15_after(spark, sf_dir):
+    return states(spark, sf_dir).select("conv_id", F.array_join(op.after_texts(F.col("after"), F.col("mode")), "\n").alias("after"))
+
+
+@query("e15_tactic_view", f"select conv_id, 'tactic: t' || conv_id || chr(10) || 'before:' || chr(10) || before || chr(10) || 'after:' || chr(10) || after as step from {STATE_SQL}")
+def e15_tactic(spark, sf_dir):
+    tactic = F.concat(F.lit("t"), "conv_id")
+    return states(spark, sf_dir).select("conv_id", op.tactic_text(tactic, F.col("before"), F.col("after"), F.col("mode")).alias("step"))
+
+
 @query(
-    "e15_state_text",
-    "select conv_id, 'hypotheses:' || chr(10) || string_agg(role || turn || ' : ' || length(text), chr(10) order by turn) || chr(10) || 'goal: ' || arg_max(text, turn) as state from conversations group by conv_id",
+    "e15_state_ids",
+    """select conv_id, string_agg(id::varchar, ',' order by id) as ids from (select conv_id, length(text) as id from conversations union select conv_id, turn from conversations
+    union select conv_id, 3 from conversations union select conv_id, -1 from conversations) group by conv_id""",
 )
-def e15(spark, sf_dir):
-    hyp = F.struct("turn", F.concat("role", "turn").alias("name"), F.length("text").cast("string").alias("type"))
-    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(hyp)).alias("h"), F.max_by("text", "turn").alias("goal"))
-    return rows.select("conv_id", op.state_text(F.col("h"), F.col("goal")).alias("state"))
+def e15_ids(spark, sf_dir):
+    ids = op.state_ids(F.col("before"), F.array(F.lit(-1).cast("long"), F.lit(3).cast("long")))
+    return states(spark, sf_dir).select("conv_id", F.array_join(ids, ",").alias("ids"))
 
 
 @query(
@@ -192,13 +232,15 @@ CASE_NAMES = [*op.CASES, "unknown"]
     "e18_ablation_cases",
     """with c as (select custkey, c from (select c_custkey as custkey, ['no_ref_ps_all', 'no_ref_ps_origin', 'origin_only', 'internal_only', 'intuition_only', 'origin_internal', 'origin_intuition',
     'internal_intuition', 'origin_internal_intuition', 'zh_explanation', 'base', 'unknown'][1 + c_custkey % 12] as c from customer))
-    select custkey, case when c in ('origin_only', 'origin_internal', 'origin_intuition', 'no_ref_ps_origin') then 'origin' when starts_with(c, 'internal') then 'internal'
-    when c = 'intuition_only' then 'empty' else 'mixed' end as mode, c not in ('origin_only', 'internal_only') as intuition, not starts_with(c, 'no_ref') as definitions, c = 'base' as plain from c""",
+    select *, case when scope = 'all' and mode != 'empty' then mode else 'internal' end as state_mode from (select custkey, scope, case when c in ('origin_only', 'origin_intuition', 'no_ref_ps_origin') then 'origin'
+    when c in ('internal_only', 'internal_intuition', 'zh_explanation', 'base', 'unknown') then 'internal' when c = 'intuition_only' then 'empty' else 'mixed' end as mode,
+    c not in ('origin_only', 'internal_only', 'origin_internal') as intuition, not starts_with(c, 'no_ref') as definitions, c = 'base' as plain from c, (select unnest(['all', 'def_only']) as scope))""",
 )
 def e18(spark, sf_dir):
     names = F.array(*(F.lit(c) for c in CASE_NAMES))
     rows = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey"), F.get(names, (F.col("c_custkey") % 12).cast("int")).alias("case"))
-    return op.with_case(rows, "case").select("custkey", "mode", "intuition", "definitions", "plain")
+    each = lambda scope: op.with_case(rows, "case", "internal", scope=scope).withColumn("scope", F.lit(scope))
+    return each("all").unionByName(each("def_only")).drop("case")
 
 
 @query(
