@@ -58,9 +58,14 @@ def sliced(df: DataFrame, by: str, order: str, key: str, first: int, last: int,
     return first_n(part, [by], ["_o", key], n).drop("_o")
 
 
-def crossed(df: DataFrame, cases: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """Every item with every case (a table of a dozen rows), without excluded (item, case) pairs."""
-    out = df.crossJoin(F.broadcast(cases))
+def crossed(df: DataFrame, cases: DataFrame, excluded: DataFrame | None = None, most: int = 1000) -> DataFrame:
+    """Every item with every case (a table of ``most`` rows at most, else an error), without excluded (item, case) pairs."""
+    rows = cases.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} cases")
+    kinds = f"array<{cases.schema.simpleString()}>"
+    each = F.array(*(F.struct(*(F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(cases.schema, r))) for r in rows)).cast(kinds)
+    out = df.select(*df.columns, F.inline(each))
     return out if excluded is None else out.join(excluded, [c for c in excluded.columns], "left_anti")
 
 

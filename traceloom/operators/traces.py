@@ -515,10 +515,10 @@ def byte_to_line_range(ranges: DataFrame, lines: DataFrame) -> DataFrame:
 
 
 def text_before(text: Column, mark: str, suffix: str) -> Column:
-    """The text before ``mark``, the statement from it to the first ``". "``, and a fixed last line."""
+    """The text before ``mark``, the statement from it to the first ``". "``, and a fixed last line; null where there is no mark."""
     at = F.locate(mark, text)
     rest = F.substr(text, at)
-    return F.concat(F.substr(text, F.lit(1), at - 1), F.substring_index(rest, ". ", 1), F.lit(".\n" + suffix))
+    return F.when(at > 0, F.concat(F.substr(text, F.lit(1), at - 1), F.substring_index(rest, ". ", 1), F.lit(".\n" + suffix)))
 
 
 def short_names(text: Column, keep: int = 1) -> Column:
