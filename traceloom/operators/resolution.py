@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,14 +63,19 @@ def _known(pairs: DataFrame, vocabulary: DataFrame) -> DataFrame:
     )
 
 
-def _first_made(rows: pd.DataFrame) -> pd.DataFrame:
-    """item, half, pos of the new locals of one item whose alternatives wait for each other, token by token."""
-    made, out = set(), []
-    for item, pos, a, makes, b, b_known in rows.sort_values("pos")[["item", "pos", "a", "makes", "b", "b_known"]].itertuples(index=False):
-        if makes and a not in made and not (b is not None and (b_known or b in made)):
-            made.add(a)
-            out.append((item, a, pos))
-    return pd.DataFrame(out, columns=["item", "half", "pos"])
+def _first_made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """item, half, pos of the new locals of items whose alternatives wait for each other: rows in order of item and pos, token by token."""
+    here, made = None, set()
+    for batch in batches:
+        out = []
+        for item, pos, a, makes, b, b_known in zip(*(batch[c].tolist() for c in ("item", "pos", "a", "makes", "b", "b_known"))):
+            if item != here:
+                here, made = item, set()
+            if makes and a not in made and not (b is not None and (b_known or b in made)):
+                made.add(a)
+                out.append((item, a, pos))
+        if out:
+            yield pd.DataFrame(out, columns=["item", "half", "pos"])
 
 
 def resolved(tokens: DataFrame, vocabulary: DataFrame, local: DataFrame | None = None, typed: DataFrame | None = None) -> DataFrame:
@@ -104,7 +111,7 @@ def resolved(tokens: DataFrame, vocabulary: DataFrame, local: DataFrame | None =
     waiting = open_.where("b is not null and not b_known").select("item").distinct()
     plain = open_.where("makes and b is null").join(waiting, "item", "left_anti").groupBy("item", F.col("a").alias("half")).agg(F.min("pos").alias("pos"))
     kinds = dict(split.dtypes)
-    tangled = open_.join(waiting, "item", "left_semi").groupBy("item").applyInPandas(_first_made, f"item {kinds['item']}, half string, pos {kinds['pos']}")
+    tangled = open_.join(waiting, "item", "left_semi").repartition("item").sortWithinPartitions("item", "pos").mapInPandas(_first_made, f"item {kinds['item']}, half string, pos {kinds['pos']}")
     made = plain.unionByName(tangled).withColumn("made_id", F.row_number().over(Window.partitionBy("item").orderBy("pos")).cast("long"))
     if local is not None:
         top = local.groupBy("item").agg(F.max("id").alias("_top"))
