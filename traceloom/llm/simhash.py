@@ -13,11 +13,12 @@ pairs. Equal fingerprints are one node throughout.
 bits, cut into eighteen words: each word emits its ball of radius one (half of two bits), 594 variants a
 text, so two texts meet where any of their words differ in two bits at most. Of 0.8 similar texts nine in ten
 meet, of 0.9 similar ones all but one in a thousand; a copy with several near ones has as many chances. A variant carries
-one 64-bit part of the fingerprint, by which pairs are chosen; they are verified on their shingle sets.
+32 bits of the fingerprint, by which pairs are chosen; they are verified on their shingle sets.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +32,9 @@ from .common import LONG, components, discard, documents, free_name, schema, wri
 
 BLOCKS = 4
 WORDS = 18  # of the wide fingerprint, 32 bits each
-SURE = 4  # differing bits of the sketch's 64, at about 0.9 similar: in a large bucket such a text needs no other link
+SURE = 2  # differing bits of the sketch's 32, at about 0.9 similar: in a large bucket such a text needs no other link
 LEADERS = 4096
-ALL_PAIRS = 32  # texts of a bucket up to which all its near pairs are verified
+ALL_PAIRS = 4  # texts of a bucket up to which all its near pairs are verified
 BINARY = T.BinaryType()
 SMALL = 48  # buckets up to this size are compared as matrices, larger ones by a search
 
@@ -211,7 +212,7 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
 
 PRINT = [f"f{k}" for k in range(WORDS // 2)]
 PRINTED = schema(("doc_id", LONG), ("text_hash", LONG), ("node", LONG), *((f, LONG) for f in PRINT))
-NODES = schema(("key", LONG), ("node", LONG), ("sketch", LONG))
+NODES = schema(("key", LONG), ("node", LONG), ("sketch", T.IntegerType()))
 LINKS = schema(("a", LONG), ("b", LONG))
 
 
@@ -243,7 +244,7 @@ class _Bucket:
     """
 
     def __init__(self, bits: int):
-        self.bits, self.node, self.sketch = bits, np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.bits, self.node, self.sketch = bits, np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def add(self, node: np.ndarray, sketch: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
         a, b = [], []
@@ -284,17 +285,24 @@ def candidates(nodes: DataFrame, bits: int) -> DataFrame:
                 part = batch.iloc[at : at + 200]
                 fp = part[PRINT].to_numpy().view(np.uint64)
                 keys = wide_variants(fp)
-                yield pd.DataFrame({"key": keys.ravel().view(np.int64), "node": np.repeat(part["node"].to_numpy(), keys.shape[1]), "sketch": np.repeat(part[PRINT[0]].to_numpy(), keys.shape[1])})
+                yield pd.DataFrame({"key": keys.ravel().view(np.int64), "node": np.repeat(part["node"].to_numpy(), keys.shape[1]), "sketch": np.repeat(part[PRINT[0]].to_numpy().astype(np.int32), keys.shape[1])})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, bucket = None, None
         for batch in batches:
             key, node = batch["key"].to_numpy(), batch["node"].to_numpy()
-            sketch = batch["sketch"].to_numpy().view(np.uint64)
+            sketch = batch["sketch"].to_numpy().view(np.uint32)
             start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
             end = np.r_[start[1:], len(key)]
-            more = np.flatnonzero((end - start > 1) | (key[start] == last) | (end == len(key)))
-            a, b = [], []
+            # small buckets that lie in this batch: all their pairs at once
+            size, whole, a, b = end - start, (key[start] != last) & (end < len(key)), [], []
+            for n in range(2, ALL_PAIRS + 1):
+                first = start[whole & (size == n)]
+                for i, j in itertools.combinations(range(n), 2):
+                    near = first[np.bitwise_count(sketch[first + i] ^ sketch[first + j]) <= bits]
+                    a.append(node[near + i])
+                    b.append(node[near + j])
+            more = np.flatnonzero(~whole | (size > ALL_PAIRS))
             for lo, hi in zip(start[more].tolist(), end[more].tolist()):
                 if key[lo] != last or bucket is None:
                     last, bucket = key[lo], _Bucket(bits)
@@ -336,14 +344,14 @@ def similar(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     return pairs.join(x, "a").join(y, "b").where(alike("x", "y")).select("a", "b")
 
 
-def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, bits: int = 20) -> DataFrame:
+def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, bits: int = 11) -> DataFrame:
     """doc_id, text_hash, component: a row for each row; ``component`` is equal for texts linked by similar ones.
 
     Texts are similar if their sets of ``shingle``-word shingles have a Jaccard similarity of ``least`` or more, or
     if their words are the same in the same order, ASCII case and blanks aside; so all texts without a word,
     null ones too, are copies of each other. A text of fewer words is one shingle. Long texts are taken whole. A
     null doc_id reads as -1; ids may repeat. Only doc_id and text are read. An empty table gives an empty one.
-    ``bits``: how many of the sketch's 64 may differ for a pair to be verified (0.8 similar texts differ in ten on average).
+    ``bits``: how many of the sketch's 32 may differ for a pair to be verified (0.8 similar texts differ in five on average, others in 16).
     """
     printed = written(_printed(docs, shingle), "simhash-wide")
     nodes = written(printed.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), *(F.min(f).alias(f) for f in PRINT)), "simhash-nodes")
