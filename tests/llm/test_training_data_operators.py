@@ -168,14 +168,14 @@ def test_one_of_equal_rows_stays(spark):
 
 def test_buckets_of_any_size_link_nearest():
     rng = np.random.default_rng(4)
-    fp = np.repeat(rng.integers(0, 1 << 63, (1, 4), dtype=np.uint64), 6000, axis=0)
-    for k in range(6000):
-        for bit in rng.integers(0, 256, 6):
-            fp[k, bit // 64] ^= np.uint64(1 << int(bit % 64))
-    bucket = simhash._Bucket(56)
+    fp = rng.integers(0, 1 << 32, dtype=np.uint32) ^ (np.uint32(1) << rng.integers(0, 32, 6000, dtype=np.uint32))
+    bucket = simhash._Bucket(11)
     ends = [bucket.add(np.arange(lo, lo + 1500), fp[lo : lo + 1500]) for lo in range(0, 6000, 1500)]
     a, b = (np.concatenate([x for e in ends for x in e[k]]) for k in (0, 1))
     assert sorted(a.tolist()) == list(range(1, 6000)) and (b < a).all() and len(bucket.node) < 4400
+    small = simhash._Bucket(11)
+    ends = [small.add(np.arange(lo, lo + 2), fp[lo : lo + 2]) for lo in (0, 2)]
+    assert sorted((int(x), int(y)) for e in ends for a, b in zip(*e) for x, y in zip(a, b)) == [(1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2)]
 
 
 def test_simhash_variants_meet():
