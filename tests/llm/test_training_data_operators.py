@@ -178,6 +178,41 @@ def test_buckets_of_any_size_link_nearest():
     assert sorted((int(x), int(y)) for e in ends for a, b in zip(*e) for x, y in zip(a, b)) == [(1, 0), (2, 0), (2, 1), (3, 0), (3, 1), (3, 2)]
 
 
+def test_near_copies_find_every_link_that_meets(spark):
+    """A chain of texts and a crowd of texts 0.7 similar to each: the links are exactly those of the pairs that meet in a bucket."""
+    rng, rows = np.random.default_rng(11), []
+    base = [f"b{k}" for k in range(260)]
+    for k in range(140):
+        w = list(base)
+        for at in rng.choice(len(w), 2 + k % 5, replace=False):
+            w[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    nodes = simhash._printed(df, 5).toPandas().sort_values("node", ignore_index=True)
+    keys = simhash.wide_variants(nodes[simhash.PRINT].to_numpy().view(np.uint64))
+    sketch = nodes[simhash.PRINT[0]].to_numpy().astype(np.int32).view(np.uint32)
+    sets, ids = [frozenset(simhash.shingle_hashes(dict(rows)[d], 5).tolist()) for d in nodes["doc_id"]], nodes["doc_id"].tolist()
+    meet = [(i, j) for i in range(140) for j in range(i) if int(sketch[i] ^ sketch[j]).bit_count() <= 11 and np.intersect1d(keys[i], keys[j]).size]
+    linked = [(ids[i], ids[j]) for i, j in meet if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])]
+    assert 100 < len(linked) < len(meet)
+    got, want = {}, united(ids, linked)
+    for r in simhash.near_copies(df).collect():
+        got.setdefault(r.component, set()).add(r.doc_id)
+    expected = {}
+    for d, c in want.items():
+        expected.setdefault(c, set()).add(d)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
+
+
+def test_odd_bits_never_exceed_the_difference():
+    rng = np.random.default_rng(3)
+    for size in (0, 5, 300, 4000):
+        a = np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[: size // 2], rng.integers(0, 1 << 63, size // 3 + 1, dtype=np.uint64)]))
+        bits = np.bitwise_count(np.frombuffer(simhash._odd(a), np.uint8) ^ np.frombuffer(simhash._odd(b), np.uint8)).sum()
+        assert bits <= len(np.setxor1d(a, b))
+
+
 def test_simhash_variants_meet():
     rng = np.random.default_rng(1)
     for distance in (1, 2, 3):

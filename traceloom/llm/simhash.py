@@ -13,28 +13,30 @@ pairs. Equal fingerprints are one node throughout.
 bits, cut into eighteen words: each word emits its ball of radius one (half of two bits), 594 variants a
 text, so two texts meet where any of their words differ in two bits at most. Of 0.8 similar texts nine in ten
 meet, of 0.9 similar ones all but one in a thousand; a copy with several near ones has as many chances. A variant carries
-32 bits of the fingerprint, by which pairs are chosen; they are verified on their shingle sets.
+32 bits of the fingerprint, by which pairs are chosen; they are verified on their shingle sets. First each text is verified with the
+two that it meets most; then all pairs that meet and lie in different components, so that every link between them is found.
 """
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pyspark.sql import types as T
 
-from .common import LONG, components, discard, documents, free_name, schema, written
+from .common import LONG, components, discard, documents, free_name, release, schema, written
 
 BLOCKS = 4
 WORDS = 18  # of the wide fingerprint, 32 bits each
 SURE = 2  # differing bits of the sketch's 32, at about 0.9 similar: in a large bucket such a text needs no other link
 LEADERS = 4096
-ALL_PAIRS = 4  # texts of a bucket up to which all its near pairs are verified
+ALL_PAIRS = 4  # texts of a bucket up to which all its near pairs are tried first
 BINARY = T.BinaryType()
 SMALL = 48  # buckets up to this size are compared as matrices, larger ones by a search
 
@@ -238,9 +240,9 @@ def wide_variants(fp: np.ndarray) -> np.ndarray:
 
 
 class _Bucket:
-    """Links the texts of one bucket: of a small one all near pairs, else each text to the nearest before it.
+    """Pairs of one bucket to try first: of a small one all near pairs, else each text with the nearest before it.
 
-    Of a large bucket, texts all but equal to one before are not kept for later ones.
+    Of a large bucket, texts all but equal to one before are not kept for later ones. ``across`` finds the pairs left out.
     """
 
     def __init__(self, bits: int):
@@ -276,8 +278,47 @@ class _Bucket:
         return a, b
 
 
-def candidates(nodes: DataFrame, bits: int) -> DataFrame:
-    """a, b: texts (``node``, its fingerprint) that share a variant and whose sketches differ in ``bits`` or fewer."""
+@contextlib.contextmanager
+def _long_batches(spark: SparkSession) -> Iterator[None]:
+    """Rows of a few numbers reach Python 10,000 at a time; what the session had, for texts, is put back."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, "10000")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def _whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows sorted by ``key``, cut between buckets only."""
+    held = []
+    for batch in batches:
+        key = batch["key"].to_numpy()
+        if not len(key):
+            continue
+        last = int(np.searchsorted(key, key[-1]))
+        if last or (held and held[-1]["key"].iloc[-1] != key[-1]):
+            yield pd.concat([*held, batch.iloc[:last]], ignore_index=True)
+            held = []
+        held.append(batch.iloc[last:])
+    if held:
+        yield pd.concat(held, ignore_index=True)
+
+
+def _of_size(key: np.ndarray) -> Iterator[np.ndarray]:
+    """Row numbers of buckets of two or more, a line for each bucket: those of one size together where they are small, large ones alone."""
+    start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+    size = np.diff(np.r_[start, len(key)])
+    for s in np.unique(size[size > 1]).tolist():
+        first = start[size == s]
+        step = 1 if s > SMALL else max(1, 1_000_000 // (s * s))
+        for at in range(0, len(first), step):
+            yield first[at : at + step, None] + np.arange(s)
+
+
+def meetings(nodes: DataFrame, bits: int) -> DataFrame:
+    """key, node, sketch: texts that share the variant ``key`` with one whose sketch differs in ``bits`` or fewer (of large buckets, all texts)."""
 
     def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -288,44 +329,115 @@ def candidates(nodes: DataFrame, bits: int) -> DataFrame:
                 yield pd.DataFrame({"key": keys.ravel().view(np.int64), "node": np.repeat(part["node"].to_numpy(), keys.shape[1]), "sketch": np.repeat(part[PRINT[0]].to_numpy().astype(np.int32), keys.shape[1])})
 
     def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, bucket = None, None
-        for batch in batches:
-            key, node = batch["key"].to_numpy(), batch["node"].to_numpy()
-            sketch = batch["sketch"].to_numpy().view(np.uint32)
-            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            end = np.r_[start[1:], len(key)]
-            # small buckets that lie in this batch: all their pairs at once
-            size, whole, a, b = end - start, (key[start] != last) & (end < len(key)), [], []
-            for n in range(2, ALL_PAIRS + 1):
-                first = start[whole & (size == n)]
-                for i, j in itertools.combinations(range(n), 2):
-                    near = first[np.bitwise_count(sketch[first + i] ^ sketch[first + j]) <= bits]
-                    a.append(node[near + i])
-                    b.append(node[near + j])
-            more = np.flatnonzero(~whole | (size > ALL_PAIRS))
-            for lo, hi in zip(start[more].tolist(), end[more].tolist()):
-                if key[lo] != last or bucket is None:
-                    last, bucket = key[lo], _Bucket(bits)
-                x, y = bucket.add(node[lo:hi], sketch[lo:hi])
-                a += x
-                b += y
-            both = np.unique(np.column_stack([np.concatenate(a or [node[:0]]), np.concatenate(b or [node[:0]])]), axis=0)
-            yield pd.DataFrame({"a": both[:, 0].copy(), "b": both[:, 1].copy()})
+        for rows in _whole(batches):
+            sketch, met = rows["sketch"].to_numpy().view(np.uint32), np.zeros(len(rows), bool)
+            for at in _of_size(rows["key"].to_numpy()):
+                if at.shape[1] > SMALL:
+                    met[at] = True
+                    continue
+                for k in range(1, at.shape[1]):  # each with the k-th after it
+                    near = np.bitwise_count(sketch[at[:, k:]] ^ sketch[at[:, :-k]]) <= bits
+                    met[at[:, k:][near]] = True
+                    met[at[:, :-k][near]] = True
+            yield rows[met]
 
     balls = nodes.select("node", *PRINT).mapInPandas(emit, NODES)
-    met = balls.repartition("key").sortWithinPartitions("key", "node").mapInPandas(meet, LINKS)
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a != b").distinct()
+    return balls.repartition("key").sortWithinPartitions("key").mapInPandas(meet, NODES)
+
+
+def candidates(met: DataFrame, bits: int, each: int = 2) -> DataFrame:
+    """a, b: for each text b, the ``each`` texts before it that it meets as its nearest in most buckets. ``across`` finds the other pairs."""
+
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole(batches):
+            node, sketch, a, b = rows["node"].to_numpy(), rows["sketch"].to_numpy().view(np.uint32), [], []
+            for at in _of_size(rows["key"].to_numpy()):
+                if at.shape[1] <= ALL_PAIRS:
+                    for i, j in itertools.combinations(range(at.shape[1]), 2):
+                        near = np.bitwise_count(sketch[at[:, i]] ^ sketch[at[:, j]]) <= bits
+                        a.append(node[at[near, i]])
+                        b.append(node[at[near, j]])
+                else:
+                    for bucket in at:
+                        y, x = _Bucket(bits).add(node[bucket], sketch[bucket])
+                        a += x
+                        b += y
+            both = pd.DataFrame({"a": np.concatenate(a or [node[:0]]), "b": np.concatenate(b or [node[:0]])})
+            yield both.groupby(["a", "b"], as_index=False).size().rename(columns={"size": "n"})
+
+    pairs = met.repartition("key").sortWithinPartitions("key", "node").mapInPandas(nearest, schema(("a", LONG), ("b", LONG), ("n", LONG)))
+    most = F.sort_array(F.collect_list(F.struct("n", "a")), asc=False)
+    return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("b").agg(F.slice(most, 1, each).alias("_to")).select(F.explode("_to.a").alias("a"), "b")
+
+
+def across(met: DataFrame, about: DataFrame, bits: int, least: float) -> DataFrame:
+    """a, b: every pair of texts of different components that meets in ``met`` with sketches at most ``bits`` apart and may be similar.
+
+    ``about``: node, label (its component), n (how many shingles), odd (``_odd`` of them). ``odd`` tells at least how many shingles two texts don't share:
+    a pair that it shows to be below ``least`` is no pair, so nothing similar is lost. Of a bucket, only texts of different
+    components are compared, in blocks.
+    """
+    fields = schema(("key", LONG), ("node", LONG), ("sketch", T.IntegerType()), ("label", LONG), ("n", LONG), ("odd", BINARY))
+
+    def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield batch.explode("key", ignore_index=True).astype({"key": np.int64})[fields.names]
+
+    def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole(batches):
+            node, label, n, sketch = (rows[c].to_numpy() for c in ("node", "label", "n", "sketch"))
+            sketch, odd = sketch.view(np.uint32), np.frombuffer(b"".join(rows["odd"]), np.uint64).reshape(len(rows), -1)
+            out = [np.zeros((0, 2), np.int64)]
+
+            def put(i: np.ndarray, j: np.ndarray) -> None:
+                for lo in range(0, len(i), 100_000):
+                    x, y = i[lo : lo + 100_000], j[lo : lo + 100_000]
+                    apart = np.maximum(np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64), np.abs(n[x] - n[y]))
+                    may = apart <= (n[x] + n[y]) * (1 - least) / (1 + least) + 1e-6
+                    ends = np.column_stack([node[x[may]], node[y[may]]])
+                    out.append(np.unique(np.sort(ends, axis=1), axis=0))
+
+            for at in _of_size(rows["key"].to_numpy()):
+                at = at[label[at].min(axis=1) != label[at].max(axis=1)]
+                if at.shape[1] <= SMALL:
+                    near = (np.bitwise_count(sketch[at][:, :, None] ^ sketch[at][:, None, :]) <= bits) & (label[at][:, :, None] < label[at][:, None, :])
+                    k, i, j = np.nonzero(near)
+                    put(at[k, i], at[k, j])
+                    continue
+                for bucket in at:  # one
+                    bucket = bucket[np.argsort(label[bucket], kind="stable")]
+                    of = label[bucket]
+                    for lo in range(0, len(bucket), 256):
+                        for start in range(int(np.searchsorted(of, of[lo], "right")), len(bucket), 8192):  # what follows the component of the first
+                            near = np.bitwise_count(sketch[bucket[lo : lo + 256], None] ^ sketch[None, bucket[start : start + 8192]]) <= bits
+                            i, j = np.nonzero(near & (of[lo : lo + 256, None] < of[None, start : start + 8192]))
+                            put(bucket[lo + i], bucket[start + j])
+            ends = np.unique(np.concatenate(out), axis=0)
+            yield pd.DataFrame({"a": ends[:, 0].copy(), "b": ends[:, 1].copy()})
+
+    texts = met.groupBy("node").agg(F.min("sketch").alias("sketch"), F.collect_list("key").alias("key"))  # a row for each text: at most 594 keys
+    rows = texts.join(about, "node").select("key", "node", "sketch", "label", "n", "odd").mapInPandas(spread, fields)
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(compare, LINKS).distinct()
+
+
+def _odd(hashes: np.ndarray) -> bytes:
+    """1,024 bits, each set if an odd number of the hashes falls on it: those of two sets differ in no more bits than the sets in members."""
+    return np.packbits(np.bincount((hashes >> np.uint64(54)).astype(np.int64), minlength=1024) & 1).tobytes()
 
 
 def _hash_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node, shingles (ascending 64-bit hashes) of the texts ``wanted`` (node, doc_id, text_hash)."""
+    """node, shingles (ascending 64-bit hashes), n (how many), odd (``_odd`` of them) of the texts ``wanted`` (node, doc_id, text_hash)."""
 
     @F.pandas_udf(BINARY)
     def hashes(texts: pd.Series) -> pd.Series:
         return pd.Series([shingle_hashes(t, shingle).tobytes() for t in texts])
 
+    @F.pandas_udf(BINARY)
+    def odd(sets: pd.Series) -> pd.Series:
+        return pd.Series([_odd(np.frombuffer(x, np.uint64)) for x in sets])
+
     texts = documents(docs).withColumn("text_hash", F.xxhash64("text"))
-    return texts.join(wanted, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]).select("node", hashes("text").alias("shingles"))
+    return texts.join(wanted, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]).select("node", hashes("text").alias("shingles")).select("node", "shingles", (F.octet_length("shingles") / 8).cast("long").alias("n"), odd("shingles").alias("odd"))
 
 
 def similar(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
@@ -355,11 +467,18 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, bits: int
     """
     printed = written(_printed(docs, shingle), "simhash-wide")
     nodes = written(printed.groupBy("node").agg(F.min(F.struct("doc_id", "text_hash")).alias("least"), *(F.min(f).alias(f) for f in PRINT)), "simhash-nodes")
-    pairs = written(candidates(nodes, bits), "simhash-pairs")
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = written(_hash_sets(docs, nodes.join(ends, "node").select("node", "least.*"), shingle), "simhash-sets")
-    united = components(similar(sets, pairs, least))
-    for done in (pairs, sets):
+    with _long_batches(docs.sparkSession):
+        met = written(meetings(nodes, bits), "simhash-met")
+        release(docs.sparkSession)
+        pairs = written(candidates(met, bits), "simhash-pairs")
+    sets = written(_hash_sets(docs, nodes.join(met.select("node").distinct(), "node").select("node", "least.*"), shingle), "simhash-sets")
+    first = written(components(similar(sets, pairs, least)), "simhash-first")
+    # what the nearest have not linked: every other pair that meets, unless its texts are in one component already
+    about = sets.select("node", "n", "odd").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "n", "odd")
+    with _long_batches(docs.sparkSession):
+        rest = written(across(met, about, bits, least), "simhash-rest")
+    united = components(similar(sets, rest, least).unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    for done in (met, pairs, sets, rest, first):
         discard(done)
     return printed.join(united, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
 
