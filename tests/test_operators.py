@@ -529,3 +529,19 @@ def test_open_goals_of_shuffled_batches(spark, tmp_path):
     for _, key, g in rows:
         want[key] = after(want.get(key, 1), g)
     assert got == want
+
+
+def test_closures_send_nothing_through_the_driver(spark):
+    from traceloom.sources.shared import table_in_shared
+
+    plans = []
+
+    def settle(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return table_in_shared(df, "closure")
+
+    deps = spark.createDataFrame([(f"g{k % 3}/f{k}.v", k, o, f"g{d % 3}/f{d}.v") for k in range(2, 30) for o, d in ((1, k // 2), (2, k - 1))], "file string, place long, ordinal long, dep string")
+    got = traces.dependencies(deps, spark.createDataFrame([("/root/g2/f5.v",)], "path string"), settle)
+    assert {r.package for r in got.collect()} == {"g0", "g1", "g2"}
+    rounds = [p for p in plans if "start" in p]
+    assert len(rounds) > 3 and not any("Broadcast" in p for p in rounds)

@@ -360,7 +360,7 @@ def containing(needles: DataFrame, hays: DataFrame, anchor: int = 12) -> DataFra
     sizes = short.select(F.length("_piece").alias("_n")).distinct()  # ``anchor`` rows at most
     long = hays.select("hay").distinct().join(F.broadcast(sizes), F.length("hay") >= F.col("_n"))
     pieces = long.select("hay", F.explode(F.transform(F.sequence(F.lit(1), F.length("hay") - F.col("_n") + 1), lambda k: F.substr("hay", k, F.col("_n")))).alias("_piece")).distinct()
-    return pieces.join(short, "_piece").where(F.col("hay").contains(F.col("needle"))).select("needle", "hay").distinct()
+    return pieces.hint("merge").join(short, "_piece").where(F.col("hay").contains(F.col("needle"))).select("needle", "hay").distinct()
 
 
 def module_name(paths: DataFrame, rules: DataFrame, prefix: str = "coq-", suffix: str = ".v") -> DataFrame:
@@ -399,7 +399,7 @@ def _jumps(single: DataFrame, settle) -> list[DataFrame]:
     found = [single]
     for _ in range(max(1, single.count()).bit_length()):  # no path without a repeated node is longer
         a, b = found[-1].withColumnRenamed("dst", "_on"), found[-1].withColumnRenamed("src", "_on")
-        then = settle(a.join(b, "_on").select("src", "dst"))
+        then = settle(a.hint("merge").join(b, "_on").select("src", "dst"))
         if then.isEmpty():
             break
         found.append(then)
@@ -412,28 +412,29 @@ def closure(edges: DataFrame, starts: DataFrame, settle, plain_rounds: int = 8)
     ``edges``: src, dst. ``settle`` writes a table and reads it again: each round's lineage ends there. A round joins only the pairs
     found last with the edges; it ends when there are no new ones. Where that takes more than ``plain_rounds``,
     nodes with a single way onward (other ways end at once) are jumped along, in one, two, four, ... steps, so that a chain
-    takes as many rounds as its length has binary digits, and only forks take one round each.
+    takes as many rounds as its length has binary digits, and only forks take one round each. Joins are merges: a broadcast
+    a round would send all of them through the driver.
     """
     def step(pairs: DataFrame, by: DataFrame) -> DataFrame:
-        return pairs.join(by.select(F.col("src").alias("node"), "dst"), "node").select("start", F.col("dst").alias("node"))
+        return pairs.hint("merge").join(by.select(F.col("src").alias("node"), "dst"), "node").select("start", F.col("dst").alias("node"))
 
     frontier = settle(step(starts.select("start", F.col("start").alias("node")), edges).distinct())
     found, jumps, forks, rounds = [frontier], [], edges, 0  # tables of fewer and fewer rounds: they are merged, so there are few
     while not frontier.isEmpty():
         rounds += 1
         if rounds == plain_rounds:
-            onward = settle(edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").distinct())
+            onward = settle(edges.hint("merge").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst").distinct())
             single = onward.groupBy("src").agg(F.min("dst").alias("dst"), F.count("*").alias("_n")).where("_n = 1").drop("_n")
             jumps = _jumps(settle(single), settle)
             # ways that end at once are gone before forks are, so a fork's own ends are still found with it
-            forks = settle(edges.join(jumps[0].withColumn("_single", F.lit(True)), ["src", "dst"], "left_anti"))
+            forks = settle(edges.hint("merge").join(jumps[0].withColumn("_single", F.lit(True)), ["src", "dst"], "left_anti"))
         reached = _union(found)
-        new = settle(step(frontier, forks).distinct().join(reached, ["start", "node"], "left_anti"))
+        new = settle(step(frontier, forks).distinct().hint("merge").join(reached, ["start", "node"], "left_anti"))
         if jumps:
             along = frontier.unionByName(new)
             for jump in jumps:
                 along = settle(along.unionByName(step(along, jump)).distinct())
-            new = settle(along.join(reached, ["start", "node"], "left_anti"))
+            new = settle(along.hint("merge").join(reached, ["start", "node"], "left_anti"))
         frontier = new
         found.append(frontier)
         if len(found) > 8:
@@ -450,12 +451,12 @@ def dependencies(deps: DataFrame, starts: DataFrame, settle) -> DataFrame:
     files = deps.groupBy("file").agg(F.min("place").alias("place"))
     wide = containing(starts.select(F.col("path").alias("needle")), files.select(F.col("file").alias("hay"))).select(F.col("needle").alias("path"), F.col("hay").alias("file"))
     narrow = containing(files.select(F.col("file").alias("needle")), starts.select(F.col("path").alias("hay"))).select(F.col("hay").alias("path"), F.col("needle").alias("file"))
-    met = settle(wide.unionByName(narrow).join(files, "file").groupBy("path").agg(F.min_by("file", F.struct("place", "file")).alias("file")))
+    met = settle(wide.unionByName(narrow).hint("merge").join(files, "file").groupBy("path").agg(F.min_by("file", F.struct("place", "file")).alias("file")))
     followed = deps.where("ordinal > 1").select(F.col("file").alias("src"), F.col("dep").alias("dst")).distinct()
     first = met.select(F.col("file").alias("start")).distinct()
     reached = closure(followed, first, settle).unionByName(first.select("start", F.col("start").alias("node")))
-    needed = reached.join(deps.select(F.col("file").alias("node"), F.substring_index("dep", "/", 1).alias("package")), "node").select("start", "package").distinct()
-    return met.join(needed.withColumnRenamed("start", "file"), "file").select("path", "package").distinct()
+    needed = reached.hint("merge").join(deps.select(F.col("file").alias("node"), F.substring_index("dep", "/", 1).alias("package")), "node").select("start", "package").distinct()
+    return met.hint("merge").join(needed.withColumnRenamed("start", "file"), "file").select("path", "package").distinct()
 
 
 def compile_flags(needs: DataFrame, flags: DataFrame, skipped: tuple[str, ...] = ()) -> DataFrame:
