@@ -545,3 +545,20 @@ def test_closures_send_nothing_through_the_driver(spark):
     assert {r.package for r in got.collect()} == {"g0", "g1", "g2"}
     rounds = [p for p in plans if "start" in p]
     assert len(rounds) > 3 and not any("Broadcast" in p for p in rounds)
+
+
+def test_cells_of_the_grid_take_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(2)
+    q, v = rng.normal(size=(1500, 8)), rng.normal(size=(4096, 8))
+    queries, vectors = pd.DataFrame({"query": range(1500), "v": list(q)}), pd.DataFrame({"name": range(4096), "v": list(v)})
+    tracemalloc.start()
+    got = retrieval._best_of_cell(3)(queries, vectors)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got["name"].tolist() == np.argsort(-(q @ v.T), axis=1)[:, :3].ravel().tolist()
+    assert peak < 40_000_000  # the whole product alone takes 49 MB

@@ -28,17 +28,18 @@ def _best_of_cell(k: int):
             vectors = vectors.sort_values("name", ignore_index=True)
             q, v = np.stack(queries["v"]).astype(np.float64), np.stack(vectors["v"]).astype(np.float64)
             names = vectors["name"].to_numpy()
-            near = q @ v.T
-            # the product's last digits depend on the order of its sums: what may be among the best is added up again, in order
-            least = np.partition(near, -k, axis=1)[:, -k] if len(v) > k else near.min(axis=1)
-            slack = 1e-9 * (np.abs(q).sum(axis=1) * np.abs(v).max(initial=0) + 1)
-            for i, query in enumerate(queries["query"]):
-                rows = np.flatnonzero(near[i] >= least[i] - slack[i])
-                score = 100 * np.concatenate([np.add.accumulate(v[part] * q[i], axis=1)[:, -1] for part in np.array_split(rows, len(rows) // 4096 + 1)])
-                best = np.lexsort([rows, -score])[:k]
-                out["query"] += [query] * len(best)
-                out["name"] += names[rows[best]].tolist()
-                out["score"] += score[best].tolist()
+            for lo in range(0, len(q), 256):  # a product of a few megabytes at a time
+                near = q[lo : lo + 256] @ v.T
+                # the product's last digits depend on the order of its sums: what may be among the best is added up again, in order
+                least = np.partition(near, -k, axis=1)[:, -k] if len(v) > k else near.min(axis=1)
+                slack = 1e-9 * (np.abs(q[lo : lo + 256]).sum(axis=1) * np.abs(v).max(initial=0) + 1)
+                for i, query in enumerate(queries["query"].iloc[lo : lo + 256]):
+                    rows = np.flatnonzero(near[i] >= least[i] - slack[i])
+                    score = 100 * np.concatenate([np.add.accumulate(v[part] * q[lo + i], axis=1)[:, -1] for part in np.array_split(rows, len(rows) // 4096 + 1)])
+                    best = np.lexsort([rows, -score])[:k]
+                    out["query"] += [query] * len(best)
+                    out["name"] += names[rows[best]].tolist()
+                    out["score"] += score[best].tolist()
         return pd.DataFrame({"query": np.array(out["query"], queries["query"].dtype), "name": np.array(out["name"], vectors["name"].dtype), "score": np.array(out["score"], float)})
 
     return run
