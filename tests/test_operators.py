@@ -562,3 +562,23 @@ def test_cells_of_the_grid_take_little_memory():
     tracemalloc.stop()
     assert got["name"].tolist() == np.argsort(-(q @ v.T), axis=1)[:, :3].ravel().tolist()
     assert peak < 40_000_000  # the whole product alone takes 49 MB
+
+
+def test_open_goals_keep_their_state_by_bucket(spark, tmp_path):
+    """As many states as buckets, whatever the keys, null ones and texts too; counts as row by row."""
+    from traceloom.streaming import incremental
+
+    rng = random.Random(4)
+    rows = [(k, rng.choice([None, "a", "bc", *(f"key{i}" for i in range(40))]), rng.choice([0, 0, 1, 1, 2, 3])) for k in range(600)]
+    frame = spark.createDataFrame(rows, "id long, key string, goals long").withColumn("ts", F.timestamp_seconds(F.col("id") + 1_000_000))
+    frame.repartition(6, "id").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(frame.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    live = incremental.live_open_goals(stream, "key", "id", F.col("goals"), "ts", "600 seconds", buckets=5)
+    query = incremental.write_updates(live, str(tmp_path / "out"), str(tmp_path / "state"))
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 6
+    got = {r.key: r.left_open for r in incremental.latest(spark.read.parquet(str(tmp_path / "out")), ["key"], "batch", ["left_open"]).collect()}
+    want = {}
+    for _, key, g in rows:
+        want[key] = after(want.get(key, 1), g)
+    assert got == want

@@ -45,9 +45,9 @@ def x2(spark, sf_dir):
 def x3(spark, sf_dir):
     path = scratch(spark, "x3")
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
-    for part in range(3):  # three files, each of events from all times
-        rows.where(F.pmod(F.xxhash64("event_id"), F.lit(3)) == part).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    files = spark.sparkContext.defaultParallelism  # a batch's, each of events from all times; three batches
+    rows.repartition(3 * files, F.xxhash64("event_id")).write.parquet(f"{path}/in")
     goals = F.when(F.col("event_type") == "view", 1).when(F.col("event_type") == "click", 0).when(F.col("event_type") == "purchase", 2).otherwise(1)
-    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/in")
     op.write_updates(op.live_open_goals(stream, "user_id", "event_id", goals, "ts", "400 days"), f"{path}/out", f"{path}/state").awaitTermination()
     return op.latest(spark.read.parquet(f"{path}/out"), ["user_id"], "batch", ["left_open"])

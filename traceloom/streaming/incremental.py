@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -56,29 +58,62 @@ def after(left: int, goals: int) -> int:
     return left - (goals == 0) if left < 1 else left + goals - 1
 
 
-def live_open_goals(events: DataFrame, key: str, order: str, goals: Column, time: str, late: str) -> DataFrame:
+def all_after(left: np.ndarray, who: np.ndarray, goals: np.ndarray) -> np.ndarray:
+    """``after`` over all rows: ``left`` of each number in ``who``, whose rows stand together in rising order.
+
+    Until a count first falls below one it is a running sum; from there on it loses one for each row without goals.
+    """
+    at = np.arange(len(left))
+    first, end = np.searchsorted(who, at, "left"), np.searchsorted(who, at, "right")
+    total, zeros = np.r_[0, np.cumsum(goals - 1)], np.r_[0, np.cumsum(goals == 0)]
+    walk = left[who] + total[1:] - total[first][who]
+    low = np.flatnonzero(walk < 1)
+    fallen, where = np.unique(who[low], return_index=True)
+    out = left + total[end] - total[first]
+    out[fallen] = walk[low[where]] - (zeros[end[fallen]] - zeros[low[where] + 1])
+    return np.where(left < 1, left - (zeros[end] - zeros[first]), out)
+
+
+def _packed(rows: pd.DataFrame) -> bytes:
+    sink = pa.BufferOutputStream()
+    table = pa.Table.from_pandas(rows, preserve_index=False)
+    with pa.ipc.new_stream(sink, table.schema) as out:
+        out.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(held: bytes) -> pd.DataFrame:
+    return pa.ipc.open_stream(held).read_all().to_pandas()
+
+
+def live_open_goals(events: DataFrame, key: str, order: str, goals: Column, time: str, late: str, buckets: int = 1024) -> DataFrame:
     """Key, left_open after each batch that has events of the key: the count over all its events so far, by ``order``.
 
     ``order`` rises with ``time``. Events may come in any order, up to ``late`` behind the latest: these are kept in the stream's state and
     counted again; what the watermark has passed is settled as one number. Without a watermark's progress nothing is lost, state only grows.
+    Keys are counted a bucket of them at a time, ``buckets`` in all: a stream keeps to the number that it started with. A batch rewrites the
+    state of the buckets that it has events of: take more for small batches over many keys.
     """
 
-    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        left, orders, times, waiting = state.get if state.exists else (1, [], [], [])
-        new = pd.concat(list(batches))
-        rows = sorted([*zip(orders, times, waiting), *zip(new[order].tolist(), new["_ms"].tolist(), new["goals"].tolist())])
-        passed, settled = state.getCurrentWatermarkMs(), 0
-        while settled < len(rows) and rows[settled][1] < passed:
-            left = after(left, rows[settled][2])
-            settled += 1
-        rows = rows[settled:]
-        state.update((left, *([int(r[k]) for r in rows] for k in range(3))))
-        for _, _, g in rows:
-            left = after(left, g)
-        yield pd.DataFrame({key: [group[0]], "left_open": [left]})
+    def step(_: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        new = pd.concat(list(batches), ignore_index=True)
+        kept, waiting = (_unpacked(x) for x in state.get) if state.exists else (pd.DataFrame({key: new[key].iloc[:0], "left": np.zeros(0, np.int64)}), None)
+        who, keys = pd.factorize(pd.concat([kept[key], new[key]], ignore_index=True), use_na_sentinel=False)
+        who = who[len(kept) :]
+        rows = pd.DataFrame({"who": who, order: new[order].astype(np.int64), "ms": new["_ms"].astype(np.int64), "goals": new["goals"].astype(np.int64)})
+        rows = pd.concat([waiting, rows], ignore_index=True).sort_values(["who", order, "ms", "goals"], ignore_index=True)
+        left = np.r_[kept["left"].to_numpy(), np.ones(len(keys) - len(kept), np.int64)]
+        # settled: what stands before the first row of its key that the watermark has not passed
+        ends, open_ = rows["who"].to_numpy(), (rows["ms"] >= state.getCurrentWatermarkMs()).to_numpy()
+        so_far = np.r_[0, np.cumsum(open_)]
+        settled = so_far[1:] == so_far[np.searchsorted(ends, ends, "left")]
+        left = all_after(left, ends[settled], rows["goals"].to_numpy()[settled])
+        rows = rows[~settled]
+        state.update((_packed(pd.DataFrame({key: keys, "left": left})), _packed(rows)))
+        seen = np.unique(who)
+        yield pd.DataFrame({key: keys[seen], "left_open": all_after(left, rows["who"].to_numpy(), rows["goals"].to_numpy())[seen]})
 
     kind = dict(events.dtypes)[key]
-    rows = events.withWatermark(time, late).select(key, F.col(order).cast("long").alias(order), F.col(time), F.unix_millis(time).alias("_ms"), goals.cast("long").alias("goals"))
-    return rows.groupBy(key).applyInPandasWithState(
-        step, f"{key} {kind}, left_open long", "left_open long, orders array<long>, times array<long>, waiting array<long>", "update", "EventTimeTimeout"
-    )
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(buckets)))  # keys of a bucket are all null or none
+    rows = events.withWatermark(time, late).select(bucket.alias("_bucket"), key, F.col(order).cast("long").alias(order), F.col(time), F.unix_millis(time).alias("_ms"), goals.cast("long").alias("goals"))
+    return rows.groupBy("_bucket").applyInPandasWithState(step, f"{key} {kind}, left_open long", "kept binary, waiting binary", "update", "EventTimeTimeout")
