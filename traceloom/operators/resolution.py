@@ -92,14 +92,19 @@ def resolved(tokens: DataFrame, vocabulary: DataFrame, local: DataFrame | None =
     split = tokens.select(*tokens.columns, F.substring_index("token", EITHER, 1).alias("_a"), F.when(either, F.get(F.split("token", EITHER), 1)).alias("_b"))
     pairs = split.select("name", F.explode(F.array("_a", "_b")).alias("half")).where("half is not null")
     known = table_in_shared(_known(pairs, vocabulary), "known-tokens")
-    for side in ("_a", "_b"):
-        split = split.join(known.select("name", F.col("half").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("before", "sibling", "walk"))), ["name", side], "left")
+
+    def looked_up(rows: DataFrame, side: str) -> DataFrame:
+        rows = rows.join(known.select("name", F.col("half").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in ("before", "sibling", "walk"))), ["name", side], "left")
         if local is None:
-            split = split.withColumn(f"{side}_local", F.lit(None).cast("long"))
+            rows = rows.withColumn(f"{side}_local", F.lit(None).cast("long"))
         else:
-            split = split.join(local.select("item", F.col("token").alias(side), F.col("id").alias(f"{side}_local")), ["item", side], "left")
+            rows = rows.join(local.select("item", F.col("token").alias(side), F.col("id").alias(f"{side}_local")), ["item", side], "left")
         there = F.when(F.col(f"{side}_local").isNotNull(), F.struct(F.lit(6).alias("rank"), F.lit("local").alias("rule"), F.col(f"{side}_local").alias("id")))
-        split = split.withColumn(f"{side}_hit", F.coalesce(f"{side}_before", there, f"{side}_sibling"))
+        return rows.withColumn(f"{side}_hit", F.coalesce(f"{side}_before", there, f"{side}_sibling"))
+
+    # only alternatives have a second half to look up
+    plain, both = looked_up(split.where("_b is null"), "_a"), looked_up(looked_up(split.where("_b is not null"), "_a"), "_b")
+    split = both.unionByName(plain, allowMissingColumns=True).drop(*(f"{side}_{c}" for side in ("_a", "_b") for c in ("before", "sibling", "local")), "_b_walk")
     if typed is None:
         split = split.withColumn("_typed", F.lit(False))
     else:
@@ -117,8 +122,13 @@ def resolved(tokens: DataFrame, vocabulary: DataFrame, local: DataFrame | None =
         top = local.groupBy("item").agg(F.max("id").alias("_top"))
         made = made.join(top, "item", "left").withColumn("made_id", F.col("made_id") + F.coalesce("_top", F.lit(0))).drop("_top")
     made = table_in_shared(made, "new-locals")
-    for side in ("_a", "_b"):
-        split = split.join(made.select("item", F.col("half").alias(side), F.col("pos").alias(f"{side}_at"), F.col("made_id").alias(f"{side}_made")), ["item", side], "left")
+
+    def numbered(rows: DataFrame, side: str) -> DataFrame:
+        return rows.join(made.select("item", F.col("half").alias(side), F.col("pos").alias(f"{side}_at"), F.col("made_id").alias(f"{side}_made")), ["item", side], "left")
+
+    # what is known needs no local
+    plain, both = numbered(split.where("_a_hit is null and _b is null"), "_a"), numbered(numbered(split.where("_a_hit is null and _b is not null"), "_a"), "_b")
+    split = both.unionByName(plain, allowMissingColumns=True).unionByName(split.where("_a_hit is not null"), allowMissingColumns=True)
 
     def pick(condition: Column, rule: Column | str, number: Column, half: str) -> tuple[Column, Column]:
         return condition, F.struct(number.alias("id"), (F.lit(rule) if isinstance(rule, str) else rule).alias("rule"), F.col(half).alias("half"))
