@@ -3,6 +3,7 @@
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -716,3 +717,16 @@ def test_ids_may_be_null(spark):
     full = df.withColumns({"lang": F.lit(None).cast("string"), "source": F.lit(None).cast("string")})
     assert mixing.mix(full, {}).count() == 3
     assert isinstance(full.schema, T.StructType)
+
+
+def test_language_fit_holds_only_spans_that_are_there():
+    pieces = sorted({"▁", *"abcdefgh", *("a" * k for k in range(1, 16))})
+    rng = np.random.default_rng(0)
+    many = Counter({"a" * 15: 1} | {"".join(rng.choice(list("abcdefgh"), 15)): 1 for _ in range(20_000)})
+    lattice = language.Lattice(pieces)
+    tracemalloc.start()
+    names, prob = language.fit({"x": many}, lattice, rounds=2)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert names == ["x"] and abs(prob[:-1].sum() - 1) < 1e-9
+    assert peak < 15e6

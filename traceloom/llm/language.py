@@ -21,6 +21,7 @@ from pyspark.sql import types as T
 from .common import DOUBLE, LONG, STRING, documents, schema
 
 TOGETHER = 32  # words up to so many letters are scored with others of their length, longer ones along the word
+FITTED = 4096  # words of equal length that a step of the fit takes at once
 FLOOR = 1e-7  # probability of a character outside the vocabulary
 CACHE_WORDS = 150_000
 
@@ -91,6 +92,18 @@ class Lattice:
             yield np.stack(out, axis=1)[min(lo, self.widest - 1) :]
 
 
+Met = dict[tuple[int, int], tuple[np.ndarray | slice, np.ndarray]]
+
+
+def met_spans(spans: dict[tuple[int, int], np.ndarray]) -> Met:
+    """``spans`` as (rows, ids) of the pieces that are there; single characters stay whole, so that those outside count too."""
+    out: Met = {}
+    for (i, j), ids in spans.items():
+        rows = slice(None) if j == i + 1 else np.flatnonzero(ids >= 0).astype(np.int32)
+        out[i, j] = rows, ids[rows].astype(np.int32)
+    return out
+
+
 def forward(spans: dict, n: int, rows: int, prob: np.ndarray, widest: int) -> list[np.ndarray]:
     """prob: (pieces + 1, languages), the last row for single characters outside. -> n + 1 arrays (rows, languages)."""
     alpha = [np.ones((rows, prob.shape[1]))] + [np.zeros((rows, prob.shape[1])) for _ in range(n)]
@@ -149,30 +162,38 @@ def fit(words: dict[str, Counter], lattice: Lattice, rounds: int = 4) -> tuple[l
     names = sorted(words)
     prob = np.full((lattice.size + 1, len(names)), 1.0 / max(1, lattice.size))
     prob[-1] = FLOOR
-    groups = {}
+    groups: dict[int, list[tuple[int, Met, np.ndarray]]] = {}
     for k, name in enumerate(names):
-        sized: dict[int, Counter] = defaultdict(Counter)
-        for word, count in words[name].items():
+        sized: dict[int, list[str]] = defaultdict(list)
+        for word in words[name]:
             if len(word) <= TOGETHER:
-                sized[len(word) + 1]["▁" + word] += count
-        groups[k] = [(n, lattice.spans(list(c)), np.array(list(c.values()), float)) for n, c in sized.items()]
+                sized[len(word) + 1].append(word)
+        groups[k] = []
+        for n, own in sized.items():
+            for lo in range(0, len(own), FITTED):
+                part = own[lo : lo + FITTED]
+                count = np.fromiter((words[name][w] for w in part), float, len(part))
+                groups[k].append((n, met_spans(lattice.spans(["▁" + w for w in part])), count))
     for _ in range(rounds):
         then = np.full_like(prob, 0.01)
         for k in range(len(names)):
-            own = prob[:, k : k + 1]
+            own = prob[:, k].copy()
             for n, spans, count in groups[k]:
-                alpha = forward(spans, n, len(count), own, lattice.widest)
-                beta = [np.zeros((len(count), 1)) for _ in range(n)] + [np.ones((len(count), 1))]
+                alpha = [np.ones(len(count))] + [np.zeros(len(count)) for _ in range(n)]
+                beta = [np.zeros(len(count)) for _ in range(n)] + [np.ones(len(count))]
+                for j in range(1, n + 1):
+                    for i in range(max(0, j - lattice.widest), j):
+                        if (i, j) in spans:
+                            at, ids = spans[i, j]
+                            alpha[j][at] += alpha[i][at] * own[ids]  # -1 is the last row
                 for j in range(n, 0, -1):
                     for i in range(max(0, j - lattice.widest), j):
-                        ids = spans.get((i, j))
-                        if ids is not None:
-                            use = ids >= 0 if j > i + 1 else slice(None)
-                            beta[i][use] += own[ids[use]] * beta[j][use]
-                for (i, j), ids in spans.items():
-                    use = np.flatnonzero(ids >= 0)
-                    share = (alpha[i][use] * own[ids[use]] * beta[j][use] / alpha[n][use])[:, 0] * count[use]
-                    then[:-1, k] += np.bincount(ids[use], share, lattice.size)
+                        if (i, j) in spans:
+                            at, ids = spans[i, j]
+                            beta[i][at] += own[ids] * beta[j][at]
+                for (i, j), (at, ids) in spans.items():
+                    share = alpha[i][at] * own[ids] * beta[j][at] / alpha[n][at] * count[at]
+                    then[:, k] += np.bincount(np.where(ids < 0, lattice.size, ids), share, lattice.size + 1)
         prob[:-1] = then[:-1] / then[:-1].sum(axis=0)
         prob[-1] = FLOOR
     return names, prob
@@ -197,8 +218,10 @@ def train(labelled: DataFrame, vocabulary_path: str, sample: int = 1500) -> tupl
 
     counted = rows.mapInPandas(count, schema(("lang", STRING), ("word", STRING), ("n", LONG)))
     words: dict[str, Counter] = defaultdict(Counter)
-    for r in counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word").collect():  # words of the bounded sample
-        words[r.lang][r.word] = r.n
+    # words of the bounded sample, in batches of columns: a row object each would be most of the driver's memory
+    for batch in counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).orderBy("lang", "word").toArrow().to_batches(max_chunksize=10_000):
+        for lang, word, n in zip(*(column.to_pylist() for column in batch.columns)):
+            words[lang][word] = n
     pieces = vocabulary(vocabulary_path)
     names, prob = fit({k: v for k, v in words.items() if v}, Lattice(pieces))
     return pieces, names, prob
