@@ -730,3 +730,22 @@ def test_language_fit_holds_only_spans_that_are_there():
     tracemalloc.stop()
     assert names == ["x"] and abs(prob[:-1].sum() - 1) < 1e-9
     assert peak < 15e6
+
+
+def test_suffixes_drop_each_table_before_the_next_shuffle(docs, monkeypatch):
+    there, held, written = {}, {}, suffixes.written
+
+    def watched(df, tag):
+        held[tag] = sorted(there)
+        there[tag] = out = written(df, tag)
+        return out
+
+    def discarded(df):
+        there.pop(next(tag for tag, other in there.items() if other is df))
+        common.discard(df)
+
+    monkeypatch.setattr(suffixes, "written", watched)
+    monkeypatch.setattr(suffixes, "discard", discarded)
+    suffixes.deduplicated(docs).count()
+    assert held["hits"] == ["answered", "contexts"] and held["removed"] == ["hits"]
+    assert sorted(there) == ["removed"]

@@ -34,6 +34,7 @@ from pyspark.sql import types as T
 from .common import LONG, discard, documents, release, schema, written
 
 GRAM = 24
+ANCHOR = 40  # bits kept of an anchor's hash: anchors that share one are compared like one anchor with several contexts
 PLACE = 20  # bits for a place within a buffer
 BUFFER = (1 << PLACE) - 4096
 SHARD_BYTES = 1_500_000
@@ -81,7 +82,7 @@ def anchored(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     own = own[s]
     first = np.flatnonzero(np.r_[True, (own[1:] != own[:-1]) | (s[1:] != s[:-1] + 1)])
     last = np.r_[first[1:], len(s)] - 1
-    return np.searchsorted(starts, s[first], side="right") - 1, s[first], s[last], z[own[first]], own[first]
+    return np.searchsorted(starts, s[first], side="right") - 1, s[first], s[last], z[own[first]] >> np.uint64(64 - ANCHOR), own[first]
 
 
 def _buffers(batch: pd.DataFrame, length: int):
@@ -119,22 +120,33 @@ def in_bitmap(words: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def suffix_order(text: np.ndarray) -> np.ndarray:
-    """Starts of all suffixes (cyclic), sorted by their first 64 bytes."""
+    """Starts of all suffixes (cyclic), sorted by their first 64 bytes or more.
+
+    A number holds a key and, in its lower bits, the start it belongs to: numbers sort several times as fast as an index does.
+    """
     n = len(text)
-    wide = np.concatenate([text, np.resize(text, 8)]).astype(np.uint64)
+    bits = np.uint64(max(1, int(n - 1).bit_length()))
+    if 3 * int(bits) > 64:
+        raise ValueError("a shard's text must be shorter than two million bytes")
+    start, mask = np.arange(n, dtype=np.uint64), (np.uint64(1) << bits) - np.uint64(1)
+    first = (64 - int(bits)) // 8
+    wide = np.concatenate([text, np.resize(text, first)]).astype(np.uint64)
     key = np.zeros(n, dtype=np.uint64)
-    for k in range(8):
+    for k in range(first):
         key = (key << np.uint64(8)) | wide[k : k + n]
-    order = np.argsort(key)
-    for step in (8, 16, 32, 0):
-        sorted_key = key[order]
+    order, step = None, first
+    while True:
+        key = (key << bits) | start
+        key.sort()
+        order = (key & mask).astype(np.int64)
+        key >>= bits
+        apart = np.r_[False, key[1:] != key[:-1]]
+        if step >= 64 or apart.sum() == n - 1:
+            return order
         rank = np.empty(n, dtype=np.uint64)
-        rank[order] = np.cumsum(np.r_[False, sorted_key[1:] != sorted_key[:-1]]).astype(np.uint64)
-        if not step or rank[order[-1]] == n - 1:
-            break
-        key = rank * np.uint64(n + 1) + np.roll(rank, -step)
-        order = np.argsort(key)
-    return order
+        rank[order] = np.cumsum(apart)
+        key = (rank << bits) | np.concatenate([rank[step % n :], rank[: step % n]])
+        step *= 2
 
 
 def equal_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -142,17 +154,20 @@ def equal_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     n = len(text)
     order = suffix_order(text)
     bwt = text[order - 1]  # the byte before each suffix
-    back = np.argsort(bwt, kind="stable")  # the k-th suffix, less its first byte, is the back[k]-th
+    back = np.argsort(bwt, kind="stable").astype(np.int32)  # the k-th suffix, less its first byte, is the back[k]-th
     firsts = text[order]
     apart = np.r_[True, firsts[1:] != firsts[:-1]]  # common prefix 0
     live = np.flatnonzero(~apart)
+    here, before = back[live], back[live - 1]
+    upto = np.empty(n, np.int32)
     for _ in range(1, length):  # level by level: common prefixes 1, 2, ... length - 1
-        upto = np.cumsum(apart)
-        reached = upto[back[live]] > upto[back[live - 1]]
         if not len(live):
             break
+        np.cumsum(apart, out=upto)
+        reached = upto.take(here) > upto.take(before)
         apart[live[reached]] = True
-        live = live[~reached]
+        if reached.any():
+            live, here, before = live[~reached], here[~reached], before[~reached]
     return order, apart
 
 
@@ -204,7 +219,7 @@ def sides(context: bytes, place: int, length: int) -> list[tuple[bytes, int, byt
     return out
 
 
-def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25, together: int = TOGETHER) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 26, together: int = TOGETHER) -> DataFrame:
     """doc_id, text_hash, spans: arrays of (from, to) bytes to remove, unmerged, of documents that have any."""
     if not GRAM < length <= 64:
         raise ValueError("windows must be longer than an anchor and at most 64 bytes")
@@ -356,18 +371,30 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25,
         by_window = single.join(smallest, "window").where("least < own").select("anchor", "key", "first", F.col("first").alias("last"), "least")
         found_mixed = found_mixed.unionByName(by_window)
 
+    # each step leaves a table of its own, so that what it read can go before the next one shuffles
     # of the documents of one context, the later ones lose it whole; each context has one part that begins where it does
     same = halves.where("at = 0 and least < most").select("anchor", "key", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"), "least")
     uniform = kinds.where("key = other").select("anchor", "key", F.lit(0).cast("long").alias("first"), F.lit(-1).cast("long").alias("last"), "least")
-    answered = found_mixed.unionByName(same).unionByName(uniform)
-    hits = contexts.select("anchor", "key", "doc_id", "text_hash", "start", "windows").join(answered, ["anchor", "key"]).where("least < doc_id")
+    answered = written(found_mixed.unionByName(same).unionByName(uniform), "answered")
+    for done in tables[1:]:
+        discard(done)
+    release(spark)
+    answer_bits = spark.sparkContext.broadcast(bitmap(answered, "key", anchor_bits))
+
+    @F.pandas_udf("boolean")
+    def maybe_answered(keys: pd.Series) -> pd.Series:
+        return pd.Series(in_bitmap(answer_bits.value, keys.to_numpy()))
+
+    asking = contexts.where(maybe_answered("key")).select("anchor", "key", "doc_id", "text_hash", "start", "windows")
+    hits = asking.join(answered, ["anchor", "key"]).where("least < doc_id")
     to = F.col("start") + F.when(F.col("last") < 0, F.col("windows") - 1).otherwise(F.col("last")) + length
-    span = F.struct((F.col("start") + F.col("first")).alias("a"), to.alias("b"))
-    spans = hits.select("doc_id", "text_hash", span.alias("span")).groupBy("doc_id", "text_hash").agg(F.collect_list("span").alias("spans"))
-    spans = written(spans, "removed")
-    for done in tables:
+    hits = written(hits.select("doc_id", "text_hash", (F.col("start") + F.col("first")).alias("a"), to.alias("b")), "hits")
+    for done in (contexts, answered):
         discard(done)
     release(spark)
+    spans = written(hits.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("a", "b")).alias("spans")), "removed")
+    discard(hits)
+    release(spark)
     return spans
 
 
