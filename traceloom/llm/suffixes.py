@@ -107,9 +107,9 @@ def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
     """A bit set for each value modulo ``bits`` (a multiple of 64), as ``bits / 64`` words: its size is fixed."""
     at = F.pmod(F.col(column), F.lit(bits))
     words = df.select((at / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("b"))
-    found = words.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     out = np.zeros(bits // 64, dtype=np.int64)
-    out[found["w"].to_numpy()] = found["b"].to_numpy()
+    for batch in words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow().to_batches():
+        out[batch.column("w").to_numpy()] = batch.column("b").to_numpy()
     return out
 
 
@@ -219,7 +219,7 @@ def sides(context: bytes, place: int, length: int) -> list[tuple[bytes, int, byt
     return out
 
 
-def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 26, together: int = TOGETHER) -> DataFrame:
+def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25, together: int = TOGETHER) -> DataFrame:
     """doc_id, text_hash, spans: arrays of (from, to) bytes to remove, unmerged, of documents that have any."""
     if not GRAM < length <= 64:
         raise ValueError("windows must be longer than an anchor and at most 64 bytes")
