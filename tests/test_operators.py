@@ -582,3 +582,20 @@ def test_open_goals_keep_their_state_by_bucket(spark, tmp_path):
     for _, key, g in rows:
         want[key] = after(want.get(key, 1), g)
     assert got == want
+
+
+def test_lists_meet_the_vocabulary_once_a_block(spark, monkeypatch):
+    docs = spark.createDataFrame([(1, "a b a c"), (1, "d x"), (None, "b"), (2, " "), (3, None), (4, "a " * 500 + "c")], "doc_id long, text string")
+    v = spark.createDataFrame([("a", 1000), ("b", 1001), ("c", 1002), ("d", 1003)], "token string, id long")
+    lists = vocabulary.item_lists(docs, "doc_id", "text")
+    for block in (1, 3, 10**6):
+        monkeypatch.setattr(vocabulary, "BLOCK", block)
+        ids = vocabulary.encoded_lists(lists, v)
+        assert {r.item: r.ids for r in ids.collect()} == {1: [1000, 1003, 1001, 1000, 1002], None: [1001], 4: [1000] * 500 + [1002]}
+        assert {r.item: r.text for r in vocabulary.decoded_lists(ids, v).collect()} == {1: "a d b a c", None: "b", 4: "a " * 500 + "c"}
+    met, write = [], vocabulary.table_in_shared
+    monkeypatch.setattr(vocabulary, "table_in_shared", lambda df, tag: met.append(write(df, tag)) or met[-1])
+    vocabulary.encoded_lists(lists.where("item = 4"), v).collect()
+    assert [len(r.words) for r in met[0].where("words is not null").collect()] == [2]  # of 501 places
+    with pytest.raises(Exception, match="no token for id 7"):
+        vocabulary.decoded_lists(spark.createDataFrame([(1, [7])], "item long, ids array<long>"), v).collect()

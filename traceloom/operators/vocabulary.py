@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from traceloom.functions.ordering import first_n, global_row_number, last_wins
+from traceloom.sources.shared import table_in_shared
 
 LOCALS = 100  # ids 1 to 100 are local variables
 FIRST_GLOBAL = 1000
 FIRST_LATE = 1_000_000
+BLOCK = 1_000_000  # list elements that share a dictionary, about
 
 # fixed value: delimiters that stay tokens, the longer ones first
 DELIMITERS = r"(:=|=>|<=|<-|/\\|\\/|\|-|\+|-\s|\s|\(|\)|\[|\]|\{|\}|\||,|~|%|;|:|@|\?|/)"
@@ -122,6 +130,81 @@ def encoded(rows: DataFrame) -> DataFrame:
     return rows.groupBy("item").agg(F.transform(ordered, lambda x: x["id"]).alias("ids"))
 
 
+def item_lists(df: DataFrame, key: str, text: str) -> DataFrame:
+    """item, list: the blank-separated tokens of each item; rows of one item are merged by position. Items without a token go."""
+    rows = df.groupBy(F.col(key).alias("item")).agg(F.collect_list(text).alias("_texts"))
+    at = F.transform("_texts", lambda t: F.transform(blank_tokens(t), lambda w, i: F.struct(i.alias("i"), w.alias("w"))))
+    tokens = F.when(F.size("_texts") == 1, blank_tokens(F.get("_texts", 0))).otherwise(F.transform(F.sort_array(F.flatten(at)), lambda x: x["w"]))
+    return rows.select("item", tokens.alias("list")).where(F.size("list") > 0)
+
+
+def exchanged(lists: DataFrame, key: str, to: str, table: DataFrame, missing: Column | None = None) -> DataFrame:
+    """``lists`` (item, list) with each element, ``key`` of ``table``, replaced by its ``to``; elements that ``table`` lacks go, or are ``missing``.
+
+    Lists are coded by dictionaries of blocks of about ``BLOCK`` elements. Only the dictionaries meet ``table``: an element
+    costs a row for each block that holds it, not for each place. Keys of ``table`` must be distinct.
+    """
+    kinds = dict(lists.dtypes)
+    element, out = kinds["list"].removeprefix("array<").removesuffix(">"), dict(table.dtypes)[to]
+
+    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, n, held, size = TaskContext.get().partitionId() << 32, 0, [], 0
+        for batch in batches:
+            while len(batch):
+                upto = np.cumsum(pc.list_value_length(batch.column("list")).to_numpy(zero_copy_only=False))
+                end = int(np.searchsorted(upto, BLOCK - size)) + 1
+                held.append(batch.slice(0, end))
+                size += int(upto[min(end, len(batch)) - 1])
+                batch = batch.slice(end)
+                if size >= BLOCK:
+                    yield from block(task + n, held)
+                    n, held, size = n + 1, [], 0
+        if held:
+            yield from block(task + n, held)
+
+    def block(number: int, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).combine_chunks()
+        lists_ = pa.concat_arrays(rows["list"].chunks)
+        coded = lists_.flatten().dictionary_encode()
+        codes = pa.ListArray.from_arrays(_offsets(lists_), coded.indices.cast(pa.int32()))
+        item = pa.concat_arrays(rows["item"].chunks)
+        words = pa.ListArray.from_arrays(pa.array([0, len(coded.dictionary)], pa.int32()), coded.dictionary)
+        names = ["block", "item", "codes", "words"]
+        yield pa.RecordBatch.from_arrays([pa.array([number] * len(item), pa.int64()), item, codes, pa.nulls(len(item), words.type)], names)
+        yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.nulls(1, item.type), pa.nulls(1, codes.type), words], names)
+
+    def fill(rows: pa.Table, words: pa.Table) -> pa.Table:
+        values = pa.concat_arrays(words["_to"].chunks).take(pa.array(np.argsort(words["k"].to_numpy())))
+        codes = pa.concat_arrays(rows["codes"].chunks)
+        picked, at = values.take(codes.flatten()), _offsets(codes).to_numpy()
+        there = np.r_[0, np.cumsum(pc.is_valid(picked).to_numpy(zero_copy_only=False))]
+        return pa.table({"item": rows["item"], "list": pa.ListArray.from_arrays(pa.array(there[at].astype(np.int32)), picked.drop_null())})
+
+    coded = table_in_shared(lists.mapInArrow(code, f"block long, item {kinds['item']}, codes array<int>, words array<{element}>"), "coded-lists")
+    words = coded.where("words is not null").select("block", F.posexplode("words").alias("k", key))
+    met = words.join(table.select(key, F.col(to).alias("_to")), key, "left")
+    found = F.col("_to") if missing is None else F.coalesce("_to", missing)
+    rows = coded.where("words is null").select("block", "item", "codes")
+    both = rows.groupBy("block").cogroup(met.select(F.col("block").alias("of"), "k", found.alias("_to")).groupBy("of"))
+    return both.applyInArrow(fill, f"item {kinds['item']}, list array<{out}>").where(F.size("list") > 0)
+
+
+def _offsets(lists: pa.ListArray) -> pa.Array:
+    return pa.array(np.r_[0, np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))].astype(np.int32))
+
+
+def encoded_lists(lists: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """V11 for whole lists (item, list of tokens): item, ids of the tokens in order, unresolved ones left out; items with none go."""
+    return exchanged(lists, "token", "id", vocabulary).withColumnRenamed("list", "ids")
+
+
+def decoded_lists(lists: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """V14 for whole lists (item, ids) without locals: item, text. An unknown id is an error."""
+    error = F.raise_error(F.concat(F.lit("no token for id "), F.col("id"))).cast("string")
+    words = exchanged(lists.select("item", F.col("ids").alias("list")), "id", "token", vocabulary, error)
+    return words.select("item", F.array_join("list", " ").alias("text"))
+
+
 def looked_up(episodes: DataFrame, definitions: DataFrame) -> DataFrame:
     """Adds ``found``: the definition by name, else by the text before the first ``_``."""
     d = definitions.select("name", "value")

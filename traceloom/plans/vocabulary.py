@@ -267,8 +267,8 @@ def v13(spark, sf_dir):
 @query("v14_decode", f"select item, string_agg(token, ' ' order by pos) as text from {TOK} where token not in ('the', 'of', 'and') group by item")
 def v14(spark, sf_dir):
     v = vocabulary(spark, sf_dir)
-    rows = tokens(spark, sf_dir).join(v, "token").select("item", "pos", "id")
-    return op.decoded(rows, v)
+    lists = op.item_lists(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return op.decoded_lists(op.encoded_lists(lists, v), v)
 
 
 @query("v15_free_text_ids", f"select item, pos, id from {TOK} join {VOCAB} using (token) where id > 1000")
