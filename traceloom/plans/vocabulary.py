@@ -210,8 +210,8 @@ def v10(spark, sf_dir):
 
 @query("v11_encode_definitions", f"select item, string_agg(id::varchar, ',' order by pos) as ids from {TOK} t join {VOCAB} v using (token) group by item")
 def v11(spark, sf_dir):
-    rows = tokens(spark, sf_dir).join(vocabulary(spark, sf_dir), "token", "left")
-    return op.encoded(rows).select("item", F.array_join("ids", ",").alias("ids")).where("ids != ''")
+    lists = op.item_lists(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return op.encoded_lists(lists, vocabulary(spark, sf_dir)).select("item", F.array_join("ids", ",").alias("ids"))
 
 
 #: item, name, at, tactic, token: words of each turn's text (a state), then a tactic of its first and last word, joined by _ in every other turn.
