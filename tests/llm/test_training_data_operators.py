@@ -205,6 +205,46 @@ def test_near_copies_find_every_link_that_meets(spark):
     assert sorted(map(sorted, got.values())) == sorted(map(sorted, expected.values()))
 
 
+def test_near_copies_write_no_pairs_of_a_crowd(spark, monkeypatch):
+    """Of 90 texts, each about 0.75 similar to most others, nearly all pairs were written; now a text once a bucket of its pairs, and a forest of links."""
+    rng, rows, tables = np.random.default_rng(13), [], {}
+    for k in range(90):
+        w = [f"b{k}" for k in range(300)]
+        for at in rng.choice(len(w), 5, replace=False):
+            w[at] = f"x{k}y{at}"
+        rows.append((k, " ".join(w)))
+    write = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, tag, *a: tables.setdefault(tag, write(df, tag, *a)))
+    monkeypatch.setattr(simhash, "discard", lambda df: None)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (4096, 32):
+        tables.clear()
+        monkeypatch.setattr(simhash, "BLOCK", block)
+        of = {r.doc_id: r.component for r in simhash.near_copies(df).collect()}
+        assert tables["simhash-rest"].count() < len(rows)
+        groups = tables["simhash-across"].toPandas()
+        assert len(groups) == len(groups.drop_duplicates()) and groups.groupby("key").size().max() <= 2 * block
+        met = tables["simhash-met"].count()
+        assert len(groups) <= met
+        split = of if block == 4096 else split
+        parts = lambda of: sorted(sorted(d for d in of if of[d] == c) for c in set(of.values()))
+        assert parts(of) == parts(split)
+
+
+def test_first_variant_is_shared():
+    rng = np.random.default_rng(6)
+    x = rng.integers(0, 1 << 63, (300, 9), dtype=np.uint64)
+    y = rng.integers(0, 1 << 63, (300, 9), dtype=np.uint64)
+    for k in range(300):
+        y[k, k % 9] = x[k, k % 9]
+        for _ in range(k % 3):
+            y[k, k % 9] ^= np.uint64(1) << np.uint64(rng.integers(0, 64))
+    one, other = simhash.first_variant(x, y), simhash.first_variant(y, x)
+    assert (one == other).all()
+    for k in range(300):
+        assert all(one[k] in simhash.wide_variants(f[k : k + 1]).view(np.int64) for f in (x, y))
+
+
 def test_odd_bits_never_exceed_the_difference():
     rng = np.random.default_rng(3)
     for size in (0, 5, 300, 4000):

@@ -38,6 +38,7 @@ SURE = 2  # differing bits of the sketch's 32, at about 0.9 similar: in a large
 LEADERS = 4096
 ALL_PAIRS = 4  # texts of a bucket up to which all its near pairs are tried first
 BINARY = T.BinaryType()
+BLOCK = 4096  # texts of a bucket that are verified in one group
 SMALL = 48  # buckets up to this size are compared as matrices, larger ones by a search
 
 
@@ -370,14 +371,45 @@ def candidates(met: DataFrame, bits: int, each: int = 2) -> DataFrame:
     return pairs.groupBy("a", "b").agg(F.sum("n").alias("n")).groupBy("b").agg(F.slice(most, 1, each).alias("_to")).select(F.explode("_to.a").alias("a"), "b")
 
 
+def first_variant(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """One of the variants that each pair of fingerprints shares, the same for (y, x): in the first word that differs in two bits at most."""
+    u, v = (np.ascontiguousarray(f).view("<u4").reshape(len(f), WORDS) for f in (x, y))
+    place = (np.bitwise_count(u ^ v) <= 2).argmax(axis=1)
+    u, v = u[np.arange(len(u)), place], v[np.arange(len(v)), place]
+    low = (u ^ v) & (~(u ^ v) + np.uint32(1))
+    return (np.minimum(u ^ low, v ^ low).astype(np.uint64) | (place.astype(np.uint64) << np.uint64(32))).view(np.int64)
+
+
+class _Texts:
+    """Rows of buckets: key, node, label, n, odd and the fingerprint."""
+
+    def __init__(self, rows: pd.DataFrame, bits: int, least: float):
+        self.key, self.node, self.label, self.n = (rows[c].to_numpy() for c in ("variant" if "variant" in rows else "key", "node", "label", "n"))
+        self.fp = np.ascontiguousarray(rows[PRINT].to_numpy()).view(np.uint64)
+        self.sketch = rows[PRINT[0]].to_numpy().astype(np.int32).view(np.uint32)
+        self.odd = np.frombuffer(b"".join(rows["odd"]), np.uint64).reshape(len(rows), -1)
+        self.bits, self.least = bits, least
+
+    def may(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether rows i and j of a bucket, near by their sketches, are a pair to verify here: in one bucket of all that they share."""
+        out = np.zeros(len(i), bool)
+        for lo in range(0, len(i), 100_000):
+            x, y = i[lo : lo + 100_000], j[lo : lo + 100_000]
+            apart = np.maximum(np.bitwise_count(self.odd[x] ^ self.odd[y]).sum(axis=1, dtype=np.int64), np.abs(self.n[x] - self.n[y]))
+            ok = np.flatnonzero(apart <= (self.n[x] + self.n[y]) * (1 - self.least) / (1 + self.least) + 1e-6)
+            out[lo + ok[first_variant(self.fp[x[ok]], self.fp[y[ok]]) == self.key[x[ok]]]] = True
+        return out
+
+
 def across(met: DataFrame, about: DataFrame, bits: int, least: float) -> DataFrame:
-    """a, b: every pair of texts of different components that meets in ``met`` with sketches at most ``bits`` apart and may be similar.
+    """group, variant, node: the texts that have a text of another component to be verified with in a bucket, once a bucket; a group is a bucket's.
 
-    ``about``: node, label (its component), n (how many shingles), odd (``_odd`` of them). ``odd`` tells at least how many shingles two texts don't share:
-    a pair that it shows to be below ``least`` is no pair, so nothing similar is lost. Of a bucket, only texts of different
-    components are compared, in blocks.
+    ``about``: node, label (its component), n (how many shingles), odd (``_odd`` of them), the fingerprint. ``odd`` tells at least how many shingles two texts don't share:
+    a pair that it shows to be below ``least`` is no pair, so nothing similar is lost. Each pair counts in one bucket of those that
+    it shares. No pairs leave a task, but the texts of them: ``verified`` pairs them again. A bucket of over ``BLOCK`` texts goes as a group for each two of its blocks
+    that have a pair, so that a task never holds more than two blocks.
     """
-    fields = schema(("key", LONG), ("node", LONG), ("sketch", T.IntegerType()), ("label", LONG), ("n", LONG), ("odd", BINARY))
+    fields = schema(("key", LONG), ("node", LONG), ("label", LONG), ("n", LONG), ("odd", BINARY), *((f, LONG) for f in PRINT))
 
     def spread(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -385,39 +417,70 @@ def across(met: DataFrame, about: DataFrame, bits: int, least: float) -> DataFra
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for rows in _whole(batches):
-            node, label, n, sketch = (rows[c].to_numpy() for c in ("node", "label", "n", "sketch"))
-            sketch, odd = sketch.view(np.uint32), np.frombuffer(b"".join(rows["odd"]), np.uint64).reshape(len(rows), -1)
-            out = [np.zeros((0, 2), np.int64)]
-
-            def put(i: np.ndarray, j: np.ndarray) -> None:
-                for lo in range(0, len(i), 100_000):
-                    x, y = i[lo : lo + 100_000], j[lo : lo + 100_000]
-                    apart = np.maximum(np.bitwise_count(odd[x] ^ odd[y]).sum(axis=1, dtype=np.int64), np.abs(n[x] - n[y]))
-                    may = apart <= (n[x] + n[y]) * (1 - least) / (1 + least) + 1e-6
-                    ends = np.column_stack([node[x[may]], node[y[may]]])
-                    out.append(np.unique(np.sort(ends, axis=1), axis=0))
-
-            for at in _of_size(rows["key"].to_numpy()):
-                at = at[label[at].min(axis=1) != label[at].max(axis=1)]
+            t = _Texts(rows, bits, least)
+            groups, members = [t.key[:0]], [np.zeros(0, np.int64)]
+            for at in _of_size(t.key):
+                at = at[t.label[at].min(axis=1) != t.label[at].max(axis=1)]
                 if at.shape[1] <= SMALL:
-                    near = (np.bitwise_count(sketch[at][:, :, None] ^ sketch[at][:, None, :]) <= bits) & (label[at][:, :, None] < label[at][:, None, :])
+                    near = (np.bitwise_count(t.sketch[at][:, :, None] ^ t.sketch[at][:, None, :]) <= bits) & (t.label[at][:, :, None] < t.label[at][:, None, :])
                     k, i, j = np.nonzero(near)
-                    put(at[k, i], at[k, j])
+                    x, y = at[k, i], at[k, j]
+                    ok = t.may(x, y)
+                    members.append(np.unique(np.concatenate([x[ok], y[ok]])))
+                    groups.append(t.key[members[-1]])
                     continue
                 for bucket in at:  # one
-                    bucket = bucket[np.argsort(label[bucket], kind="stable")]
-                    of = label[bucket]
-                    for lo in range(0, len(bucket), 256):
-                        for start in range(int(np.searchsorted(of, of[lo], "right")), len(bucket), 8192):  # what follows the component of the first
-                            near = np.bitwise_count(sketch[bucket[lo : lo + 256], None] ^ sketch[None, bucket[start : start + 8192]]) <= bits
-                            i, j = np.nonzero(near & (of[lo : lo + 256, None] < of[None, start : start + 8192]))
-                            put(bucket[lo + i], bucket[start + j])
-            ends = np.unique(np.concatenate(out), axis=0)
-            yield pd.DataFrame({"a": ends[:, 0].copy(), "b": ends[:, 1].copy()})
+                    bucket = bucket[np.argsort(t.label[bucket], kind="stable")]
+                    blocks = [bucket[lo : lo + BLOCK] for lo in range(0, len(bucket), BLOCK)]
+                    for k, (p, q) in enumerate(itertools.combinations_with_replacement(blocks, 2)):
+                        found = np.zeros(len(rows), bool)
+                        for lo in range(0, len(p), 256):
+                            part = p[lo : lo + 256]
+                            others = q[np.searchsorted(t.label[q], t.label[part[0]], "right") :]  # what follows the component of the first
+                            near = np.bitwise_count(t.sketch[part, None] ^ t.sketch[None, others]) <= bits
+                            i, j = np.nonzero(near & (t.label[part, None] < t.label[None, others]))
+                            ok = t.may(part[i], others[j])
+                            found[part[i[ok]]] = found[others[j[ok]]] = True
+                        members.append(np.flatnonzero(found))
+                        group = t.key[p[0]] if not k else _mixed(np.array([t.key[p[0]] + k]).view(np.uint64)).view(np.int64)[0]
+                        groups.append(np.full(len(members[-1]), group))
+            of = np.concatenate(members)
+            yield pd.DataFrame({"key": np.concatenate(groups), "variant": t.key[of], "node": t.node[of]})
+
+    texts = met.groupBy("node").agg(F.collect_list("key").alias("key"))  # a row for each text: at most 594 keys
+    rows = texts.join(about, "node").select("key", "node", "label", "n", "odd", *PRINT).mapInPandas(spread, fields)
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(compare, schema(("key", LONG), ("variant", LONG), ("node", LONG)))
+
+
+def verified(groups: DataFrame, about: DataFrame, bits: int, least: float) -> DataFrame:
+    """a, b: similar texts that connect exactly the components that similar texts of ``across``'s ``groups`` connect: a forest for each group.
+
+    ``about`` has the ``shingles``, too. A pair that a group's links connect already is not verified.
+    """
 
-    texts = met.groupBy("node").agg(F.min("sketch").alias("sketch"), F.collect_list("key").alias("key"))  # a row for each text: at most 594 keys
-    rows = texts.join(about, "node").select("key", "node", "sketch", "label", "n", "odd").mapInPandas(spread, fields)
-    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(compare, LINKS).distinct()
+    def forest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for rows in _whole(batches):
+            t = _Texts(rows, bits, least)
+            sets, ends = [np.frombuffer(x, np.uint64) for x in rows["shingles"]], []
+            root, key = np.unique(t.label, return_inverse=True)[1], rows["key"].to_numpy()
+            start = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+            for lo, hi in zip(start, np.r_[start[1:], len(key)]):
+                for i in range(lo, hi - 1):
+                    j = np.arange(i + 1, hi)
+                    j = j[(t.key[j] == t.key[i]) & (root[j] != root[i]) & (np.bitwise_count(t.sketch[j] ^ t.sketch[i]) <= bits)]
+                    j = j[t.may(np.full(len(j), i), j)]
+                    while len(j):
+                        if alike(sets[i], sets[j[0]], least):
+                            ends.append((t.node[i], t.node[j[0]]))
+                            own = root[lo:hi]
+                            own[own == root[j[0]]] = root[i]
+                            j = j[root[j] != root[i]]
+                        else:
+                            j = j[1:]
+            yield pd.DataFrame(ends, columns=LINKS.names, dtype=np.int64)
+
+    rows = groups.join(about, "node").select("key", "variant", "node", "label", "n", "odd", *PRINT, "shingles")
+    return rows.repartition("key").sortWithinPartitions("key").mapInPandas(forest, LINKS)
 
 
 def _odd(hashes: np.ndarray) -> bytes:
@@ -440,20 +503,21 @@ def _hash_sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return texts.join(wanted, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]).select("node", hashes("text").alias("shingles")).select("node", "shingles", (F.octet_length("shingles") / 8).cast("long").alias("n"), odd("shingles").alias("odd"))
 
 
+def alike(u: np.ndarray, v: np.ndarray, least: float) -> bool:
+    """Whether two sets have a Jaccard similarity of ``least`` or more."""
+    both = len(np.intersect1d(u, v, assume_unique=True))
+    return both > 0 and both >= least * (len(u) + len(v) - both)
+
+
 def similar(sets: DataFrame, pairs: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) whose ``shingles`` have a Jaccard similarity of ``least`` or more."""
 
     @F.pandas_udf("boolean")
-    def alike(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = []
-        for u, v in zip(x, y):
-            u, v = np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64)
-            both = len(np.intersect1d(u, v, assume_unique=True))
-            out.append(both > 0 and both >= least * (len(u) + len(v) - both))
-        return pd.Series(out, dtype=bool)
+    def checked(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([alike(np.frombuffer(u, np.uint64), np.frombuffer(v, np.uint64), least) for u, v in zip(x, y)], dtype=bool)
 
     x, y = (sets.select(F.col("node").alias(k), F.col("shingles").alias(n)) for k, n in (("a", "x"), ("b", "y")))
-    return pairs.join(x, "a").join(y, "b").where(alike("x", "y")).select("a", "b")
+    return pairs.join(x, "a").join(y, "b").where(checked("x", "y")).select("a", "b")
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, bits: int = 11) -> DataFrame:
@@ -474,11 +538,14 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: float = 0.8, bits: int
     sets = written(_hash_sets(docs, nodes.join(met.select("node").distinct(), "node").select("node", "least.*"), shingle), "simhash-sets")
     first = written(components(similar(sets, pairs, least)), "simhash-first")
     # what the nearest have not linked: every other pair that meets, unless its texts are in one component already
-    about = sets.select("node", "n", "odd").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "n", "odd")
+    prints = nodes.select("node", *PRINT)
+    about = sets.join(prints, "node").join(first, "node", "left").select("node", F.coalesce("component", "node").alias("label"), "n", "odd", *PRINT, "shingles")
     with _long_batches(docs.sparkSession):
-        rest = written(across(met, about, bits, least), "simhash-rest")
-    united = components(similar(sets, rest, least).unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
-    for done in (met, pairs, sets, rest, first):
+        groups = written(across(met, about.drop("shingles"), bits, least), "simhash-across")
+        release(docs.sparkSession)
+    rest = written(verified(groups, about, bits, least), "simhash-rest")
+    united = components(rest.unionByName(first.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+    for done in (met, pairs, sets, groups, rest, first):
         discard(done)
     return printed.join(united, "node", "left").select("doc_id", "text_hash", F.coalesce("component", "node").alias("component"))
 
