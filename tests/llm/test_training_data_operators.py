@@ -206,7 +206,7 @@ def test_near_copies_find_every_link_that_meets(spark):
 
 
 def test_near_copies_write_no_pairs_of_a_crowd(spark, monkeypatch):
-    """Of 90 texts, each about 0.75 similar to most others, nearly all pairs were written; now a text once a bucket of its pairs, and a forest of links."""
+    """What is verified between components is written as texts, once a bucket, and comes back as a forest of links, in groups of any size."""
     rng, rows, tables = np.random.default_rng(13), [], {}
     for k in range(90):
         w = [f"b{k}" for k in range(300)]
@@ -345,6 +345,37 @@ def test_interval_expansion_finds_equal_windows():
         assert g.tolist() == [least[c[i : i + 50]] for i in range(len(c) - 49)]
 
 
+def test_levels_double_to_any_length(monkeypatch):
+    """Levels go to 50 in seven sums over a shard; one a byte took 49."""
+    sums, cumsum = [], np.cumsum
+    monkeypatch.setattr(suffixes.np, "cumsum", lambda *a, **k: sums.append(1) or cumsum(*a, **k))
+    rng = np.random.default_rng(9)
+    for length in (25, 32, 49, 50, 51, 63, 64):
+        base = rng.integers(97, 100, 3000, dtype=np.uint8)
+        cuts = [base[a : a + int(size)] for a, size in zip(rng.integers(0, 2900, 60), rng.integers(length, 90, 60))]
+        text = np.concatenate([np.r_[c, np.uint8(255)] for c in cuts])
+        monkeypatch.setattr(suffixes, "suffix_order", lambda t: np.array(sorted(range(len(t)), key=lambda k: (np.concatenate([t[k:], t[:k]])[:80].tobytes(), k))))
+        sums.clear()
+        order, apart = suffixes.equal_prefixes(text, length)
+        assert len(sums) <= 11
+        twice = np.concatenate([text, text])
+        own = [twice[k : k + length].tobytes() for k in order.tolist()]
+        assert apart.tolist() == [k == 0 or own[k] != own[k - 1] for k in range(len(own))]
+        assert 0 < (~apart).sum()
+
+
+def test_hashes_are_of_the_bytes_alone():
+    rng = np.random.default_rng(5)
+    raw = rng.integers(97, 99, 5000, dtype=np.uint8).tobytes()
+    first = rng.integers(0, 4900, 4000)
+    end = first + rng.integers(8, 77, 4000)
+    got = suffixes.hashed(suffixes.words_at(raw), first, end).tolist()
+    texts = [raw[a:b] for a, b in zip(first, end)]
+    assert len(set(zip(got, texts))) == len(set(got)) == len(set(texts))
+    tail = suffixes.hashed(suffixes.words_at(raw[4950:]), np.array([0, 42]), np.array([50, 50])).tolist()
+    assert tail == suffixes.hashed(suffixes.words_at(raw), np.array([4950, 4992]), np.array([5000, 5000])).tolist()
+
+
 def test_long_texts_are_cut_with_overlap(monkeypatch):
     import pandas as pd
 

@@ -11,7 +11,8 @@ id. The corpus has no suffix array of its own; its work is cut so that strings t
    or more before the anchor, which must agree on these and the anchor, and the rest, which must agree
    on the anchor and 13 bytes after it. Those that agree meet in a shard. A shard's text gets its suffixes
    sorted and transformed, and breadth-first backward extension sets common prefixes by increasing value,
-   level by level: a neighbour pair is set once a pair between the two suffixes behind it is. It stops at 50;
+   level by level: a neighbour pair is set once a pair between the two suffixes behind it is. Levels double: the
+   extension, taken with itself, goes as many bytes on as are known (1, 2, 3, 6, 12, 24, 25, 50). It stops at 50;
    the neighbours not set share 50 bytes. Each group of equal windows learns its smallest document.
    Parts that agree in more contexts than a task should hold (a passage in very many documents, each time
    with something else beside it) are taken window by window, in an aggregation that Spark combines map-side.
@@ -51,6 +52,34 @@ def _sliding(x: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(x[: len(x) - (width - done)], x[width - done :]) if done < width else x
 
 
+def words_at(raw: bytes, more: int = 0) -> np.ndarray:
+    """The eight bytes from each place on, as numbers, zeros after the end; ``more`` places beyond it."""
+    n, raw = len(raw), raw + bytes(more + 8)
+    words = np.empty(n + more, dtype=np.uint64)
+    for o in range(min(8, len(words))):
+        at = words[o::8]
+        at[:] = np.frombuffer(raw, dtype="<u8", count=len(at), offset=o)
+    return words
+
+
+def hashed(words: np.ndarray, first: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes (signed) of the bytes from ``first`` to ``end`` (8 or more each), by steps of MurmurHash3 over ``words_at``."""
+
+    def turned(x: np.ndarray, by: int) -> np.ndarray:
+        return (x << np.uint64(by)) | (x >> np.uint64(64 - by))
+
+    size = end - first
+    h = size.astype(np.uint64)
+    for o in range(0, int(size.max(initial=0)), 8):  # past its end each takes its last eight again
+        k = words[np.minimum(first + o, end - 8)] * np.uint64(0x87C37B91114253D5)
+        h ^= turned(k, 31) * np.uint64(0x4CF5AD432745937F)
+        h = turned(h, 27) * np.uint64(5) + np.uint64(0x52DCE729)
+    for by, factor in ((33, 0xFF51AFD7ED558CCD), (33, 0xC4CEB9FE1A85EC53)):
+        h ^= h >> np.uint64(by)
+        h *= np.uint64(factor)
+    return (h ^ (h >> np.uint64(33))).view(np.int64)
+
+
 def anchored(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Runs of windows with one anchor, over the joined ``parts``: part, first and last window start, anchor's hash and start."""
     sizes = np.array([len(p) for p in parts])
@@ -59,11 +88,7 @@ def anchored(parts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, n
     none = np.zeros(0, np.int64)
     if n < length:
         return none, none, none, none.astype(np.uint64), none
-    raw = b"".join(parts) + bytes(32)
-    words = np.empty(n + 24, dtype=np.uint64)
-    for o in range(8):
-        at = words[o::8]
-        at[:] = np.frombuffer(raw, dtype="<u8", count=len(at), offset=o)
+    words = words_at(b"".join(parts), 24)
     z = (words[:n] * np.uint64(0x9E3779B97F4A7C15)) ^ ((words[8 : n + 8] + np.uint64(0x7F4A7C15)) * np.uint64(0xC2B2AE3D27D4EB4F))
     z ^= z >> np.uint64(31)
     z += words[16 : n + 16]
@@ -158,16 +183,30 @@ def equal_prefixes(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarra
     firsts = text[order]
     apart = np.r_[True, firsts[1:] != firsts[:-1]]  # common prefix 0
     live = np.flatnonzero(~apart)
-    here, before = back[live], back[live - 1]
     upto = np.empty(n, np.int32)
-    for _ in range(1, length):  # level by level: common prefixes 1, 2, ... length - 1
-        if not len(live):
-            break
+
+    def extended(ahead: np.ndarray) -> None:
+        nonlocal live
         np.cumsum(apart, out=upto)
-        reached = upto.take(here) > upto.take(before)
+        reached = upto.take(ahead.take(live)) > upto.take(ahead.take(live - 1))
         apart[live[reached]] = True
-        if reached.any():
-            live, here, before = live[~reached], here[~reached], before[~reached]
+        live = live[~reached]
+
+    # apart tells common prefixes below upto_now; the k-th suffix, less its first upto_now bytes, is the ahead[k]-th
+    ahead, upto_now = back, 1
+    for bit in bin(length)[3:]:  # the level doubles, and grows by one where the length has a bit
+        if not len(live):
+            break
+        extended(ahead)
+        upto_now *= 2
+        if upto_now == length:
+            break
+        ahead = ahead.take(ahead)
+        if bit == "1":
+            extended(back)
+            upto_now += 1
+            if upto_now < length:
+                ahead = ahead.take(back)
     return order, apart
 
 
@@ -249,16 +288,17 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25,
                     continue
                 raw = b"".join(parts)
                 base = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
-                texts_ = [raw[a : b + length] for a, b in zip(first[keep].tolist(), last[keep].tolist())]
+                begin, end = first[keep], last[keep] + length
                 row, of = np.array(rows, np.int64)[part[keep]], part[keep]
-                keys = [_digest(t) for t in texts_]
+                keys = hashed(words_at(raw), begin, end)
                 if len(seen) > 1_000_000:
                     seen.clear()
-                once = [None if k in seen or seen.add(k) else t for k, t in zip(keys, texts_)]  # a task's later ones go without bytes
+                # a task's later ones go without bytes
+                once = [None if k in seen or seen.add(k) else raw[a:b] for k, a, b in zip(keys.tolist(), begin.tolist(), end.tolist())]
                 yield pd.DataFrame(
                     {
                         "anchor": anchor[keep],
-                        "key": _signed(keys),
+                        "key": keys,
                         "context": pd.Series(once, dtype=object),
                         "place": (own[keep] - first[keep]).astype(np.int32),
                         "doc_id": ids[row],
