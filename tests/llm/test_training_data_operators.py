@@ -820,3 +820,35 @@ def test_suffixes_drop_each_table_before_the_next_shuffle(docs, monkeypatch):
     suffixes.deduplicated(docs).count()
     assert held["hits"] == ["answered", "contexts"] and held["removed"] == ["hits"]
     assert sorted(there) == ["removed"]
+
+
+def test_suffixes_send_on_what_is_shared_alone(spark, monkeypatch):
+    rng, rows, passed, written = np.random.default_rng(8), [], {}, suffixes.written
+    own = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    for d in range(200):
+        rows.append((d, own(700) + (PASSAGE if d % 20 == 0 else "")))
+    rows += [(1000 + 50 * k + d, rows[d][1]) for k in range(3) for d in range(20)]  # copies, with and without the passage
+    rows += [(3, rows[3][1]), (1003, rows[3][1]), (1003, own(60)), (1004, own(30)), (7, rows[150][1])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+
+    def watched(table, tag):
+        out = written(table, tag)
+        passed[tag] = out.count()
+        return out
+
+    monkeypatch.setattr(suffixes, "written", watched)
+    suffixes.removed_spans(df, anchor_bits=64)
+    every = len(suffixes.anchored([t.encode() for _, t in rows], 50)[0])
+    assert 0 < passed["contexts"] < every / 4
+    assert removed(suffixes.deduplicated(df)) == brute_removed(rows)
+
+
+def test_bitmaps_have_room_and_come_in_pieces(spark, monkeypatch):
+    assert suffixes.room(10, 1 << 25) == 1 << 25 and suffixes.room(1 << 40, 64) == 1 << 30
+    assert all(4 * n < suffixes.room(n, 64) <= max(64, 8 * n) for n in (1, 100, 33_000_000))
+    df = spark.range(-5_000, 5_000).select((F.col("id") * 7_919).alias("v"))
+    whole = suffixes.bitmap(df, "v", 1 << 16)
+    values = np.arange(-5_000, 5_000) * 7_919
+    assert suffixes.in_bitmap(whole, values).all() and int(np.unpackbits(whole.view(np.uint8)).sum()) == len(set((values % (1 << 16)).tolist()))
+    monkeypatch.setattr(suffixes, "PIECE", 100)
+    assert (suffixes.bitmap(df, "v", 1 << 16) == whole).all()

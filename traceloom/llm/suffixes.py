@@ -3,6 +3,9 @@
 A byte goes if a string of ``length`` (50) bytes covers it that also starts in a document with a smaller
 id. The corpus has no suffix array of its own; its work is cut so that strings that can be equal meet:
 
+Of rows with the same text only the one with the smallest id is compared with others: the later ones lose every byte
+(texts are told apart by 128 bits of hashes).
+
 1. Every window of 50 bytes belongs to an anchor, the least-hashed 24-byte string in it (leftmost), so
    equal windows have equal anchors at equal places. One aggregation finds anchors of several documents.
 2. For these, runs of windows with one anchor are contexts of at most 76 bytes. Anchors that have one context
@@ -18,8 +21,8 @@ id. The corpus has no suffix array of its own; its work is cut so that strings t
    with something else beside it) are taken window by window, in an aggregation that Spark combines map-side.
 4. Occurrences meet their context's answer, and each document its spans.
 
-Bitmaps of fixed size only spare work: they drop anchors and documents that surely have no match. The more
-anchors there are in all, the less they spare; the result is the same.
+Bitmaps only spare work: they drop anchors and documents that surely have no match. They have four to eight bits for
+each value, so that they spare as much of any input, up to 128 MB; from there on less, with the same result.
 """
 
 from __future__ import annotations
@@ -28,6 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -39,6 +43,8 @@ ANCHOR = 40  # bits kept of an anchor's hash: anchors that share one are compare
 PLACE = 20  # bits for a place within a buffer
 BUFFER = (1 << PLACE) - 4096
 SHARD_BYTES = 1_500_000
+PIECE = 1 << 22  # words of a bitmap that come to the driver together
+MOST_BITS = 1 << 30  # a bitmap of 128 MB, for a quarter of a thousand million values
 TOGETHER = 20_000  # contexts that agree on a part are compared in one task up to this number
 BINARY = T.BinaryType()
 
@@ -128,13 +134,19 @@ def _buffers(batch: pd.DataFrame, length: int):
         yield rows, offsets, parts
 
 
+def room(values: int, least: int) -> int:
+    """Bits of a bitmap of so many values: ``least`` or a power of two, four to eight for each, at most ``MOST_BITS``."""
+    return max(least, min(MOST_BITS, 1 << (4 * values).bit_length()))
+
+
 def bitmap(df: DataFrame, column: str, bits: int) -> np.ndarray:
-    """A bit set for each value modulo ``bits`` (a multiple of 64), as ``bits / 64`` words: its size is fixed."""
-    at = F.pmod(F.col(column), F.lit(bits))
-    words = df.select((at / 64).cast("long").alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("b"))
+    """A bit set for each value modulo ``bits`` (a multiple of 64), as ``bits / 64`` words, which come in pieces of 64 MB."""
+    words = df.select(F.expr(f"pmod({column}, {bits}L) div 64").alias("w"), F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))").alias("b"))
     out = np.zeros(bits // 64, dtype=np.int64)
-    for batch in words.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow().to_batches():
-        out[batch.column("w").to_numpy()] = batch.column("b").to_numpy()
+    for at in range(0, len(out), PIECE):
+        piece = words.where(F.col("w").between(at, at + PIECE - 1)) if len(out) > PIECE else words
+        for batch in piece.groupBy("w").agg(F.bit_or("b").alias("b")).toArrow().to_batches():
+            out[batch.column("w").to_numpy()] = batch.column("b").to_numpy()
     return out
 
 
@@ -262,23 +274,40 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25,
     """doc_id, text_hash, spans: arrays of (from, to) bytes to remove, unmerged, of documents that have any."""
     if not GRAM < length <= 64:
         raise ValueError("windows must be longer than an anchor and at most 64 bytes")
-    texts = documents(docs).where(F.octet_length("text") >= length).withColumn("text_hash", F.xxhash64("text"))
+    spark = docs.sparkSession
+    texts = documents(docs).where(F.octet_length("text") >= length).withColumn("text_hash", F.xxhash64("text")).withColumn("row", F.xxhash64("doc_id", "text_hash"))
+    rows = texts.select("doc_id", "text_hash", F.xxhash64(F.lit(1), "text").alias("other_hash"), F.octet_length("text").cast("long").alias("b"))
+    firsts = rows.groupBy("text_hash", "other_hash").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"))
+    later = rows.join(firsts.where("first < last"), ["text_hash", "other_hash"]).where("doc_id > first").select("doc_id", "text_hash", F.lit(0).cast("long").alias("a"), "b")
+    first_bits = spark.sparkContext.broadcast(bitmap(firsts.select(F.xxhash64("first", "text_hash").alias("row")), "row", room(docs.count(), 1 << 23)))
+    release(spark)
 
-    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def first_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Without rows that are surely not the first of their text; one in some is let through, with the same result."""
         for batch in batches:
+            yield batch[in_bitmap(first_bits.value, batch["row"].to_numpy())]
+
+    def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in first_rows(batches):
             for _, _, parts in _buffers(batch, length):
                 part, _, _, anchor, _ = anchored(parts, length)
                 _, once = np.unique(anchor + part.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), return_index=True)
                 yield pd.DataFrame({"anchor": anchor.view(np.int64)[once]})  # each once a text
 
-    shared = texts.select("text").mapInPandas(find, schema(("anchor", LONG))).groupBy("anchor").count().where("count > 1")
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(bitmap(shared.select("anchor"), "anchor", anchor_bits))
+    def sent_bits(values: DataFrame) -> Broadcast:
+        (column,) = values.columns
+        return spark.sparkContext.broadcast(bitmap(values, column, room(values.count(), anchor_bits)))
+
+    shared = texts.select("row", "text").mapInPandas(find, schema(("anchor", LONG))).groupBy("anchor").count().where("count > 1")
+    shared = written(shared.select("anchor"), "shared-anchors")
+    release(spark)
+    sent = sent_bits(shared)
+    discard(shared)
     release(spark)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         words, seen = sent.value, set()
-        for batch in batches:
+        for batch in first_rows(batches):
             ids, hashes = batch["doc_id"].to_numpy(), batch["text_hash"].to_numpy()
             for rows, offsets, parts in _buffers(batch, length):
                 part, first, last, anchor, own = anchored(parts, length)
@@ -308,13 +337,13 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25,
                     }
                 )
 
-    contexts = written(texts.select("doc_id", "text_hash", "text").mapInPandas(cut, CONTEXTS), "contexts")
+    contexts = written(texts.select("doc_id", "text_hash", "row", "text").mapInPandas(cut, CONTEXTS), "contexts")
     kinds = contexts.groupBy("anchor").agg(
         F.min("key").alias("key"), F.max("key").alias("other"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
     )
     kinds = written(kinds.where("least < most").select("anchor", "key", "other", "least"), "anchors")
     release(spark)
-    mixed_bits = spark.sparkContext.broadcast(bitmap(kinds.where("key != other").select("anchor"), "anchor", anchor_bits))
+    mixed_bits = sent_bits(kinds.where("key != other").select("anchor"))
 
     @F.pandas_udf("boolean")
     def maybe_mixed(anchors: pd.Series) -> pd.Series:
@@ -339,7 +368,7 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25,
     met = halves.groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.min("least").alias("a"), F.max("least").alias("b"))
     met = written(met.where("n > 1 and a < b").select("side", "n"), "met-sides")
     many = met.where(F.col("n") > together).select("side")
-    met_bits = spark.sparkContext.broadcast(bitmap(met.where(F.col("n") <= together).select("side"), "side", anchor_bits))
+    met_bits = sent_bits(met.where(F.col("n") <= together).select("side"))
 
     @F.pandas_udf("boolean")
     def maybe_met(values: pd.Series) -> pd.Series:
@@ -419,7 +448,7 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25,
     for done in tables[1:]:
         discard(done)
     release(spark)
-    answer_bits = spark.sparkContext.broadcast(bitmap(answered, "key", anchor_bits))
+    answer_bits = sent_bits(answered.select("key"))
 
     @F.pandas_udf("boolean")
     def maybe_answered(keys: pd.Series) -> pd.Series:
@@ -428,7 +457,8 @@ def removed_spans(docs: DataFrame, length: int = 50, anchor_bits: int = 1 << 25,
     asking = contexts.where(maybe_answered("key")).select("anchor", "key", "doc_id", "text_hash", "start", "windows")
     hits = asking.join(answered, ["anchor", "key"]).where("least < doc_id")
     to = F.col("start") + F.when(F.col("last") < 0, F.col("windows") - 1).otherwise(F.col("last")) + length
-    hits = written(hits.select("doc_id", "text_hash", (F.col("start") + F.col("first")).alias("a"), to.alias("b")), "hits")
+    hits = hits.select("doc_id", "text_hash", (F.col("start") + F.col("first")).alias("a"), to.alias("b"))
+    hits = written(hits.unionByName(later), "hits")
     for done in (contexts, answered):
         discard(done)
     release(spark)
@@ -450,7 +480,7 @@ def deduplicated(docs: DataFrame, length: int = 50, document_bits: int = 1 << 23
     Rows with equal doc_id do not remove from each other. A null doc_id reads as -1.
     """
     spans = removed_spans(docs, length)
-    sent = docs.sparkSession.sparkContext.broadcast(bitmap(spans, "text_hash", document_bits))
+    sent = docs.sparkSession.sparkContext.broadcast(bitmap(spans, "text_hash", room(spans.count(), document_bits)))
     texts = documents(docs).withColumn("text_hash", F.xxhash64("text"))
 
     @F.pandas_udf("boolean")
