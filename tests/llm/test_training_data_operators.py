@@ -852,3 +852,41 @@ def test_bitmaps_have_room_and_come_in_pieces(spark, monkeypatch):
     assert suffixes.in_bitmap(whole, values).all() and int(np.unpackbits(whole.view(np.uint8)).sum()) == len(set((values % (1 << 16)).tolist()))
     monkeypatch.setattr(suffixes, "PIECE", 100)
     assert (suffixes.bitmap(df, "v", 1 << 16) == whole).all()
+
+
+def test_graph_links_back_in_batches(monkeypatch):
+    calls, spread = [], embeddings.Graph._spread
+    monkeypatch.setattr(embeddings.Graph, "_spread", lambda self, nodes, *more: calls.append(len(nodes)) or spread(self, nodes, *more))
+    rng = np.random.default_rng(2)
+    x = unit(rng, 3000)
+    x[2000:] = x[:1000] + 0.02 * rng.normal(size=(1000, 16))
+    x[2900:] = x[0] + 0.02 * rng.normal(size=(100, 16))
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(3000)]
+    graph = embeddings.Graph(x)
+    assert len(calls) < 100 < sum(calls)
+    for level in graph.levels:  # what a node has stands first, each once, and is no link to itself
+        there = level >= 0
+        assert (there[:, 1:] <= there[:, :-1]).all() and not (level == np.arange(len(level))[:, None]).any()
+        assert all(len(set(row[row >= 0].tolist())) == (row >= 0).sum() for row in level)
+    monkeypatch.setattr(embeddings, "PAIRS", 700 * 3001)
+    a, b = embeddings.linked(graph, x, x, 0.95, 64)
+    true = x @ x.T >= 0.95
+    assert true[a, b].all() and len(set(zip(a.tolist(), b.tolist()))) == len(a) >= 0.98 * true.sum()
+
+
+def test_shards_are_few_and_have_tasks_of_their_own(spark, monkeypatch):
+    rng, built, written = np.random.default_rng(3), [], embeddings.written
+
+    def watched(table, tag):
+        out = written(table.withColumn("task", F.spark_partition_id()) if tag == "vector-graphs" else table, tag)
+        if tag == "vector-graphs":
+            built.extend(out.select("shard", "task").collect())
+        return out.drop("task")
+
+    monkeypatch.setattr(embeddings, "written", watched)
+    monkeypatch.setattr(embeddings, "ASKED", 40)
+    x = np.vstack([unit(rng, 900, 32), np.repeat(unit(rng, 1, 32), 100, 0) + 0.01 * rng.normal(size=(100, 32))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
+    assert len(built) == len({r.shard for r in built}) == len({r.task for r in built}) == 4
+    assert got == {i: (99, 900) if i >= 900 else (0, i) for i in range(1000)}

@@ -1,8 +1,8 @@
 """Embedding near-duplicates by navigable small-world graphs, one hierarchy a shard.
 
 Vectors are dealt to shards; each shard builds a hierarchical graph in numpy, batch by batch, and
-keeps it in a table. Blocks of vectors are then sent to every shard, streamed past its graph, and
-searched together, a step of all their beams at a time. A beam that is full of links is searched
+keeps it in a table. Blocks of vectors are then sent to every shard, to one of the tasks that hold a copy of
+its graph, streamed past it, and searched together, a step of all their beams at a time. A beam that is full of links is searched
 again twice as wide, and beams widen until an audit of the shard against brute force reaches the
 wanted recall. Cosines are verified in double precision. What leaves a task is a count for
 each vector and a spanning forest of the block's links, never all pairs; components are united
@@ -16,13 +16,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import LONG, components, schema, written
 
-BLOCK = 512
+BLOCK = 512  # vectors put into a graph together
+ASKED = 2048  # vectors that look for links together
+SHARD = 150_000  # vectors of a shard, while there are not too many shards
+PAIRS = 1 << 27  # of a vector that asks and a node, marked at once
 BINARY = T.BinaryType()
 
 
@@ -63,25 +67,34 @@ class Graph:
         graph, width = self.levels[0], 2 * self.degree
         kept = self._spread(new, candidates, self.degree)
         graph[new, : self.degree] = kept
-        # links back: what a node has and is offered, spread again where it is too much
-        to, back = kept.ravel(), np.repeat(new, kept.shape[1])
-        ok = to >= 0
-        if not ok.any():
+        # links back: what a node has and is offered, spread again where it is too much, nodes with about as much together
+        to, back = kept.ravel(), np.repeat(new, kept.shape[1]).astype(np.int32)
+        more = (to >= 0) & ~(graph[to] == back[:, None]).any(axis=1)
+        if not more.any():
             return
-        order = np.argsort(to[ok], kind="stable")
-        to, back = to[ok][order], back[ok][order]
+        order = np.argsort(to[more], kind="stable")
+        to, back = to[more][order], back[more][order]
         start = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
-        for a, b in zip(start, np.r_[start[1:], len(to)]):
-            node = to[a]
-            row = graph[node]
-            have = row[row >= 0]
-            more = np.setdiff1d(back[a:b], have)
-            every = np.concatenate([have, more]).astype(np.int32)
-            if len(every) > width:
-                every = self._spread(np.array([node]), every[None, :], width)[0]
-                every = every[every >= 0]
-            graph[node] = -1
-            graph[node, : len(every)] = every
+        nodes, offered = to[start], np.diff(np.r_[start, len(to)])
+        have = (graph[nodes] >= 0).sum(axis=1)
+        of = np.repeat(np.arange(len(nodes)), offered)
+        place = np.arange(len(to)) - start[of] + have[of]
+        every = have + offered
+        room = (every <= width)[of]
+        graph[to[room], place[room]] = back[room]
+        wide = width
+        while (every > wide).any():
+            wide *= 2
+            some = np.flatnonzero((every > max(width, wide // 2)) & (every <= wide))
+            for at in range(0, len(some), most := max(1, 4_000_000 // wide**2)):
+                own = some[at : at + most]
+                row = np.full(len(nodes), -1)
+                row[own] = np.arange(len(own))
+                candidates = np.full((len(own), wide), -1, np.int32)
+                candidates[:, :width] = graph[nodes[own]]
+                mine = np.flatnonzero(row[of] >= 0)
+                candidates[row[of[mine]], place[mine]] = back[mine]
+                graph[nodes[own]] = self._spread(nodes[own], candidates, width)
 
     def _spread(self, nodes: np.ndarray, candidates: np.ndarray, most: int) -> np.ndarray:
         """Of each node's candidates those nearer to it than to any kept before, then the nearest of the rest."""
@@ -93,11 +106,12 @@ class Graph:
         repeat = np.zeros_like(candidates, dtype=bool)
         repeat[:, 1:] = candidates[:, 1:] == candidates[:, :-1]
         sims[repeat] = -9
-        between = np.einsum("bkd,bjd->bkj", x[candidates], x[candidates])
-        kept = np.zeros(candidates.shape, dtype=bool)
+        own = x[candidates]
+        between = own @ own.transpose(0, 2, 1)
+        kept, n = np.zeros(candidates.shape, dtype=bool), np.zeros(len(nodes), np.int64)
         for k in range(candidates.shape[1]):
-            apart = ~(kept & (between[:, k, :] > sims[:, k, None])).any(axis=1)
-            kept[:, k] = apart & (sims[:, k] > -2) & (kept.sum(axis=1) < most * 3 // 4)
+            kept[:, k] = (sims[:, k] > -2) & (n < most * 3 // 4) & ~(kept[:, :k] & (between[:, k, :k] > sims[:, k, None])).any(axis=1)
+            n += kept[:, k]
         rank = np.where(kept, 0, np.where(sims > -2, 1, 2)) * candidates.shape[1] + np.arange(candidates.shape[1])
         pick = np.argsort(rank, axis=1)[:, :most]
         out = np.where(np.take_along_axis(sims, pick, 1) > -2, np.take_along_axis(candidates, pick, 1), -1)
@@ -121,8 +135,11 @@ class Graph:
         return ids, sims
 
     def _beam(self, graph: np.ndarray, q: np.ndarray, entry: np.ndarray, beam: int, step: int = 4) -> tuple[np.ndarray, np.ndarray]:
-        rows = np.arange(len(q))[:, None]
-        seen = np.zeros((len(q), len(graph) + 1), dtype=bool)  # the last for -1
+        n = len(graph)
+        wide = n + 1
+        kind = np.int32 if len(q) * wide < 1 << 31 else np.int64
+        seen = np.zeros(len(q) * wide, dtype=bool)  # (query, node) pairs as numbers, a query's last for -1
+        seen[n::wide] = True
         ids = np.full((len(q), beam), -1, np.int32)
         sims = np.full((len(q), beam), -9, np.float32)
         done = np.ones((len(q), beam), dtype=bool)
@@ -130,8 +147,8 @@ class Graph:
         ids[:, :k] = entry[:, :k]
         done[:, :k] = entry[:, :k] < 0
         sims[:, :k] = np.where(done[:, :k], -9, np.einsum("bd,bkd->bk", q, self.x[ids[:, :k]]))
-        seen[rows, ids] = True
-        live = np.arange(len(q))
+        seen[(np.arange(len(q), dtype=kind) * wide)[:, None] + np.where(ids < 0, n, ids)] = True
+        live = np.arange(len(q), dtype=kind)
         while len(live):
             s = np.where(done[live], -9, sims[live])
             pick = np.argpartition(-s, min(step, beam) - 1, axis=1)[:, :step] if beam > step else np.argsort(-s, axis=1)
@@ -141,32 +158,44 @@ class Graph:
             if not len(live):
                 break
             r = live[:, None]
-            chosen = np.where(valid, ids[r, pick], -1)
+            chosen = ids[r, pick][valid]
             done[r, pick] = True
-            nodes = np.where(chosen[:, :, None] >= 0, graph[chosen], -1).reshape(len(live), -1)
-            nodes = np.sort(nodes, axis=1)
-            fresh = (nodes >= 0) & ~seen[r, nodes]
-            fresh[:, 1:] &= nodes[:, 1:] != nodes[:, :-1]
-            seen[r, np.where(fresh, nodes, -1)] = True
-            most = int(fresh.sum(axis=1).max())
-            if not most:
+            pairs = graph[chosen]
+            pairs[pairs < 0] = n
+            pairs = (pairs + (np.repeat(live, valid.sum(axis=1)) * kind(wide))[:, None]).ravel()
+            pairs = np.sort(pairs[~seen[pairs]])
+            if not len(pairs):
                 continue
-            front = np.argsort(~fresh, axis=1, kind="stable")[:, :most]
-            nodes = np.where(np.take_along_axis(fresh, front, 1), np.take_along_axis(nodes, front, 1), -1)
-            new = np.where(nodes >= 0, np.einsum("bd,bkd->bk", q[live], self.x[nodes]), -9)
-            all_ids = np.concatenate([ids[live], nodes], axis=1)
-            all_sims = np.concatenate([sims[live], new], axis=1)
-            all_done = np.concatenate([done[live], nodes < 0], axis=1)
+            pairs = pairs[np.r_[True, pairs[1:] != pairs[:-1]]]
+            seen[pairs] = True
+            of = pairs // kind(wide)
+            nodes = pairs - of * kind(wide)
+            new = np.einsum("kd,kd->k", q[of], self.x[nodes])
+            better = new > sims.min(axis=1)[of]  # the others would leave the beam at once
+            of, nodes, new = of[better], nodes[better], new[better]
+            if not len(of):
+                continue
+            first = np.flatnonzero(np.r_[True, of[1:] != of[:-1]])
+            size = np.diff(np.r_[first, len(of)])
+            row, place, own = np.repeat(np.arange(len(first)), size), np.arange(len(of)) - np.repeat(first, size), of[first]
+            all_ids = np.concatenate([ids[own], np.full((len(own), size.max()), -1, np.int32)], axis=1)
+            all_sims = np.concatenate([sims[own], np.full((len(own), size.max()), -9, np.float32)], axis=1)
+            all_ids[row, beam + place], all_sims[row, beam + place] = nodes, new
+            all_done = np.concatenate([done[own], all_ids[:, beam:] < 0], axis=1)
             best = np.argpartition(-all_sims, beam - 1, axis=1)[:, :beam]
-            ids[live] = np.take_along_axis(all_ids, best, 1)
-            sims[live] = np.take_along_axis(all_sims, best, 1)
-            done[live] = np.take_along_axis(all_done, best, 1)
+            ids[own] = np.take_along_axis(all_ids, best, 1)
+            sims[own] = np.take_along_axis(all_sims, best, 1)
+            done[own] = np.take_along_axis(all_done, best, 1)
         order = np.argsort(-sims, axis=1)
         return np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
 
 
 def linked(graph: Graph, exact: np.ndarray, q: np.ndarray, least: float, beam: int) -> tuple[np.ndarray, np.ndarray]:
     """(query row, node) pairs with cosine >= ``least`` in double precision; full beams are searched again, wider."""
+    most = max(64, PAIRS // (len(exact) + 1))
+    if len(q) > most:
+        found = [linked(graph, exact, q[at : at + most], least, beam) for at in range(0, len(q), most)]
+        return np.concatenate([a + k * most for k, (a, _) in enumerate(found)]), np.concatenate([b for _, b in found])
     near = np.float32(least - 1e-5)
     a, b, rows, n = [], [], np.arange(len(q)), len(exact)
     while len(rows):
@@ -223,7 +252,8 @@ def _forest(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-SENT = schema(("shard", LONG), ("kind", LONG), ("part", LONG), ("blob", BINARY))
+GRAPHS = schema(("shard", LONG), ("blob", BINARY))
+SENT = schema(("task", LONG), ("kind", LONG), ("part", LONG), ("blob", BINARY))
 FOUND = schema(("a", LONG), ("b", LONG), ("n", LONG))
 
 
@@ -249,7 +279,8 @@ def near_duplicates(
     reachable by links, itself included. Vectors that are null, zero or hold null or non-finite
     components link with nothing. Vectors of unequal dimension do not link. A null vec_id reads as -1.
     ``audited`` vectors of each shard or more are compared with all of it (see ``audited_beam``); its beams double until
-    they find ``recall`` of the links. Choose ``shards`` so that a shard fits a task's memory.
+    they find ``recall`` of the links. There are at most ``shards``: four, or as many as keep them below ``SHARD`` vectors. Choose
+``shards`` so that a shard fits a task's memory.
     """
     spark = vectors.sparkSession
     rows = vectors.select(F.coalesce(F.col("vec_id").cast("long"), F.lit(-1)).alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
@@ -278,35 +309,44 @@ def near_duplicates(
 
 def _compared(nodes: DataFrame, least: float, shards: int, beam: int, recall: float, audited: int) -> DataFrame:
     """Rows (node, null, how many vectors link with it in one shard) and (a, b, null) of a spanning forest."""
-    dealt = nodes.select("node", "size", "v", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(shards)).alias("shard"))
-
-    def build(key: tuple, batch: pd.DataFrame) -> pd.DataFrame:
-        batch = batch.iloc[np.lexsort([batch["node"]])]
-        batch = batch.iloc[np.random.default_rng(1).permutation(len(batch))]
-        x = _unit(batch["v"])
-        data = (Graph(x), x, batch["node"].to_numpy(), batch["size"].to_numpy())
-        return pd.DataFrame([(int(key[0]), 0, 0, pickle.dumps(data, protocol=5))], columns=SENT.names)
+    # each vector asks every shard, so there are few; each is asked by several tasks, with a copy of its graph
+    n = nodes.count()
+    shards = min(shards, max(4, -(-n // SHARD)))
+    copies = max(1, min(24 // shards, -(-n // (8 * ASKED))))
+    dealt = nodes.select("node", "size", "v", F.pmod(F.xxhash64(F.lit(3), "node"), F.lit(shards)).cast("int").alias("shard"))
+
+    def build(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held = [batch for batch in batches if len(batch)]
+        for shard, batch in pd.concat(held).groupby("shard") if held else ():
+            batch = batch.iloc[np.lexsort([batch["node"]])]
+            batch = batch.iloc[np.random.default_rng(1).permutation(len(batch))]
+            x = _unit(batch["v"])
+            graph = Graph(x)
+            width = audited_beam(graph, x, least, beam, recall, audited)
+            graph.x = None  # ``x`` in single precision
+            yield pd.DataFrame([(shard, pickle.dumps((graph, x, batch["node"].to_numpy(), batch["size"].to_numpy(), width), protocol=5))], columns=GRAPHS.names)
 
     def block(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        copy = TaskContext.get().partitionId()
         for batch in batches:
-            for at in range(0, len(batch), BLOCK):
-                own = batch.iloc[at : at + BLOCK]
+            for at in range(0, len(batch), ASKED):
+                own = batch.iloc[at : at + ASKED]
                 blob = pickle.dumps((own["node"].to_numpy(), _unit(own["v"])), protocol=5)
-                yield pd.DataFrame([(s, 1, int(own["node"].iloc[0]), blob) for s in range(shards)], columns=SENT.names)
+                copy = (copy + 1) % copies
+                for s in range(shards):
+                    yield pd.DataFrame([(s * copies + copy, 1, int(own["node"].iloc[0]), blob)], columns=SENT.names)
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        here = width = None
+        here = None
         for batch in batches:
-            for shard, kind, blob in zip(batch["shard"].tolist(), batch["kind"].tolist(), batch["blob"]):
+            for task, kind, blob in zip(batch["task"].tolist(), batch["kind"].tolist(), batch["blob"]):
                 if kind == 0:
-                    graph, exact, node, size = pickle.loads(blob)
-                    here, width = shard, None
+                    graph, exact, node, size, width = pickle.loads(blob)
+                    here, graph.x = task, exact.astype(np.float32)
                     continue
-                if shard != here:  # a shard without vectors
+                if task != here:  # a shard without vectors
                     continue
                 ids, q = pickle.loads(blob)
-                if width is None:
-                    width = audited_beam(graph, exact, least, beam, recall, audited)
                 a, b = linked(graph, exact, q, least, width)
                 other = ids[a] != node[b]
                 a, b = a[other], b[other]
@@ -321,7 +361,11 @@ def _compared(nodes: DataFrame, least: float, shards: int, beam: int, recall: fl
                     }
                 )
 
-    graphs = written(dealt.groupBy("shard").applyInPandas(build, SENT), "vector-graphs")
+    # a shard, or a copy of it, has a task of its own: dealt by a hash, several would share one
+    graphs = written(dealt.repartitionById(shards, "shard").mapInPandas(build, GRAPHS), "vector-graphs")
+    copied = graphs.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1)))).select(
+        (F.col("shard") * copies + F.col("copy")).alias("task"), F.lit(0).cast("long").alias("kind"), F.lit(0).cast("long").alias("part"), "blob"
+    )
     blocks = nodes.select("node", "v").mapInPandas(block, SENT)
-    sent = graphs.unionByName(blocks).repartition(shards, "shard").sortWithinPartitions("shard", "kind", "part")
+    sent = copied.unionByName(blocks).repartitionById(shards * copies, F.col("task").cast("int")).sortWithinPartitions("task", "kind", "part")
     return sent.mapInPandas(ask, FOUND)
