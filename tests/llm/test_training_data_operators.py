@@ -890,3 +890,18 @@ def test_shards_are_few_and_have_tasks_of_their_own(spark, monkeypatch):
     got = {r.vec_id: (r.n_links, r.component_id) for r in embeddings.near_duplicates(df).collect()}
     assert len(built) == len({r.shard for r in built}) == len({r.task for r in built}) == 4
     assert got == {i: (99, 900) if i >= 900 else (0, i) for i in range(1000)}
+
+
+def test_every_node_of_a_graph_is_reached():
+    rng = np.random.default_rng(11)
+    x = np.vstack([unit(rng, 900, 32), np.repeat(unit(rng, 1, 32), 100, 0) + rng.normal(size=(100, 32)) * 0.012])
+    x = (x / np.linalg.norm(x, axis=1, keepdims=True))[rng.permutation(1000)]
+    graph = embeddings.Graph(x)
+    level = graph.levels[0]
+    for node in (700, 998):  # as if every link back to it had been dropped
+        rest = np.where(level == node, -1, level)
+        level[:] = np.take_along_axis(rest, np.argsort(rest < 0, axis=1, kind="stable"), 1)
+    assert len(graph.levels) == 2 and not np.isin(embeddings.linked(graph, x, x, 0.95, 64)[1], [700, 998]).any()
+    graph._reach(len(graph.levels[1]))
+    a, b = embeddings.linked(graph, x, x, 0.95, 64)
+    assert set(zip(a.tolist(), b.tolist())) == set(zip(*(k.tolist() for k in np.nonzero(x @ x.T >= 0.95))))

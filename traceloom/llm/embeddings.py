@@ -62,6 +62,34 @@ class Graph:
             own = np.argpartition(-sims, k - 1, axis=1)[:, :k] + at
             self._join(new, np.concatenate([found, own.astype(np.int32)], axis=1))
             at = new[-1] + 1
+        if len(self.levels) > 1:
+            self._reach(len(self.levels[1]))
+
+    def _reach(self, roots: int) -> None:
+        """Nodes that no walk from the level above meets, as all links back to them were dropped, get one from the nearest of their own that is met."""
+        graph = self.levels[0]
+        met = np.zeros(len(graph), dtype=bool)
+
+        def walk(front: np.ndarray) -> None:
+            while len(front):
+                met[front] = True
+                front = np.unique(graph[front])
+                front = front[front >= 0]
+                front = front[~met[front]]
+
+        walk(np.arange(roots))
+        for node in np.flatnonzero(~met):
+            if met[node]:
+                continue
+            own = graph[node][graph[node] >= 0]
+            own = own[met[own]] if met[own].any() else np.flatnonzero(met)
+            near = own[np.argmax(self.x[own] @ self.x[node])]
+            place = (graph[near] >= 0).sum()
+            if place == graph.shape[1]:
+                graph = np.pad(graph, ((0, 0), (0, 1)), constant_values=-1)
+            graph[near, place] = node
+            walk(np.array([node]))
+        self.levels[0] = graph
 
     def _join(self, new: np.ndarray, candidates: np.ndarray) -> None:
         graph, width = self.levels[0], 2 * self.degree
